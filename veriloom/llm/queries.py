@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veriloom.llm import cube_mixing, kn_quality, langid_ftrl, media_shards, rank_bpe, secret_scan
+from veriloom.llm import cube_mixing, kn_quality, langid_ftrl, lsh_forest, media_shards, rank_bpe, secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_cube_mixing": cube_mixing.op4,
     "op5_secret_scan": secret_scan.op5,
+    "op6_lsh_forest": lsh_forest.op6,
     "op7_media_shards": media_shards.op7,
     "op8_rank_bpe": rank_bpe.op8,
     "op9_langid_ftrl": langid_ftrl.op9,
