@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veriloom.llm import cube_mixing, kn_quality, langid_ftrl, line_dedup, lsh_forest, media_shards, rank_bpe, secret_scan
+from veriloom.llm import cube_mixing, kn_quality, langid_ftrl, line_dedup, lsh_forest, media_shards, pii_bootstrap, rank_bpe, secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_pii_bootstrap": pii_bootstrap.op2,
     "op3_line_dedup": line_dedup.op3,
     "op4_cube_mixing": cube_mixing.op4,
     "op5_secret_scan": secret_scan.op5,
