@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veriloom.llm import cube_mixing, kn_quality, langid_ftrl, line_dedup, lsh_forest, media_shards, pii_bootstrap, rank_bpe, secret_scan
+from veriloom.llm import chat_tools, cube_mixing, kn_quality, langid_ftrl, line_dedup, lsh_forest, media_shards, pii_bootstrap, rank_bpe, secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_tools": chat_tools.op1,
     "op2_pii_bootstrap": pii_bootstrap.op2,
     "op3_line_dedup": line_dedup.op3,
     "op4_cube_mixing": cube_mixing.op4,
@@ -20,4 +21,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_kn_quality": kn_quality.op10,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_chat_tools": chat_tools.OP1_SQL}
