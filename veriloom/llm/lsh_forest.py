@@ -49,8 +49,9 @@ def shingles(text: str | None) -> np.ndarray:
         return np.zeros(0, dtype=np.uint64)
     if len(_known) > 1_000_000:
         _known.clear()
-    for w in {*words} - _known.keys():
-        _known[w] = xxhash.xxh3_64_intdigest(w)
+    for w in {*words}:
+        if w not in _known:
+            _known[w] = xxhash.xxh3_64_intdigest(w)
     h = np.array([*map(_known.__getitem__, words)], dtype=np.uint64)
     n = max(len(h) - WORDS + 1, 1)
     out = np.full(n, min(len(h), WORDS), dtype=np.uint64)

@@ -185,7 +185,7 @@ class RankBpe:
             for ws in some:
                 if ws.__class__ is list:
                     new.update(ws)
-        self._learn(list(new - self.known.keys()))
+        self._learn([w for w in new if w not in self.known])
         get, out = self.known.__getitem__, []
         for some in parts:
             raw = [b"".join(map(get, ws)) if ws.__class__ is list else ws.to_bytes(4, "little") for ws in some]
