@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-FLAGSHIP = ""
+from veriloom.plans import scalars  # noqa: F401
+from veriloom.plans.base import ORACLES, QUERIES
+
+FLAGSHIP = "n03_for_matching"
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
