@@ -93,7 +93,7 @@ def identity_host(c: Column) -> Column:
     """Host for identity: hidden characters go, stops of other scripts become dots; lookalikes are NOT folded."""
     out = F.lower(compatible(strip_invisible(c)))
     out = F.regexp_replace(F.translate(out, "․。．｡", "...."), r"\.+", ".")
-    return F.regexp_replace(F.trim(out), r"^\.|\.$", "")
+    return F.regexp_replace(F.trim(out), r"^\.|\.\z", "")
 
 
 def resemblance_host(c: Column) -> Column:

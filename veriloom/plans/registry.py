@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from veriloom.plans import scalars  # noqa: F401
+from veriloom.plans import relational, scalars  # noqa: F401
 from veriloom.plans.base import ORACLES, QUERIES
 
-FLAGSHIP = "n03_for_matching"
+FLAGSHIP = "a15_verdict_ladder"
 
 __all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
