@@ -76,8 +76,8 @@ def measures(df: DataFrame, p: str = "p", y: str = "y", rate: float = 0.01) -> D
     at = df.groupBy(p).agg(F.sum(y).alias("pos"), F.count(F.lit(1)).alias("n"))
     w = Window.orderBy(F.desc(p))
     cum = at.withColumns({"tp": F.sum("pos").over(w), "all": F.sum("n").over(w)}).withColumn("fp", F.col("all") - F.col("tp"))
-    ends = df.agg(F.sum(y).alias("P"), (F.count(F.lit(1)) - F.sum(y)).alias("N"), F.avg((F.col(p) - F.col(y)) ** 2).alias("brier"))
-    return cum.join(ends).agg(F.sum(F.col("pos") / F.col("P") * F.col("tp") / F.col("all")).alias("average_precision"), F.max(F.when(F.col("fp") <= rate * F.col("N"), F.col("tp") / F.col("P"))).alias("recall_at_rate"), F.first("brier").alias("brier"))
+    ends = df.agg(F.sum(y).alias("positives"), (F.count(F.lit(1)) - F.sum(y)).alias("negatives"), F.avg((F.col(p) - F.col(y)) ** 2).alias("brier"))
+    return cum.join(ends).agg(F.sum(F.col("pos") / F.col("positives") * F.col("tp") / F.col("all")).alias("average_precision"), F.max(F.when(F.col("fp") <= rate * F.col("negatives"), F.col("tp") / F.col("positives"))).alias("recall_at_rate"), F.first("brier").alias("brier"))
 
 
 def bootstrap_mcc(df: DataFrame, got: str, y: str, rounds: int = 200, seed: int = 42) -> DataFrame:

@@ -16,9 +16,12 @@ from veriloom.sources.shared import shared_dir
 
 
 def file_stream(spark: SparkSession, path: str, files: int = 4) -> DataFrame:
-    """A stream over Parquet files, so many a trigger; the schema is that of the files there are."""
+    """A stream over a Parquet file or folder, so many files a trigger; the schema is that of the files there are.
+
+    The path is given as a pattern that only it fits, since streams take a plain path for a folder.
+    """
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
