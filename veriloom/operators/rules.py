@@ -98,7 +98,7 @@ def accepted(found: Column) -> Column:
 
 
 def mask(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, masked text and spans: identifiers give way to their kind in brackets."""
+    """key, masked text and spans: identifiers give way to their kind in brackets; a null text masks as an empty one."""
     compiled = [(k, re.compile(p)) for k, p in IDENTIFIERS]
 
     @F.pandas_udf("array<struct<start int, end int, kind string>>")

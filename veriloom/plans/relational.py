@@ -140,7 +140,8 @@ SELECT o_orderkey, arg_max(p_name, (length(p_name), p_name)) AS name FROM g GROU
     lambda t: lookups.longest_name(lookups.names_in_text(t("orders").join(t("part"), C("o_orderkey") % 100 == C("p_partkey")).select("o_orderkey", F.concat(F.lit(" "), "p_name", F.lit(" with "), "o_orderpriority").alias("s")), "o_orderkey", "s", t("part").select(C("p_name").alias("name"), F.lower("p_name").alias("normalised")).distinct()), "o_orderkey"))
 query("j11_names_in_text", "WITH n AS (SELECT name FROM (SELECT lower(regexp_extract(text, '^[A-Za-z]+')) AS name, count(*) AS k FROM documents GROUP BY 1) WHERE k >= 10 AND name <> ''), d AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[^a-z0-9#]+', ' ', 'g')) || ' ' AS t FROM documents) SELECT doc_id, name FROM d, n WHERE contains(t, ' ' || name || ' ')")(
     lambda t: lookups.names_in_text(t("documents"), "doc_id", "text", t("documents").groupBy(F.lower(F.regexp_extract("text", "^[A-Za-z]+", 0)).alias("name")).agg(F.count(F.lit(1)).alias("n")).filter("n >= 10 and name <> ''").select("name", C("name").alias("normalised")), 1, 1))
-query("j08_resolve")(lambda t: lookups.resolve(t("customer").select("c_custkey", F.lower(F.regexp_replace("c_name", "#0*", " ")).alias("n")), "c_custkey", "n", t("supplier").select(C("s_name").alias("registered"), F.lower(F.regexp_replace("s_name", "#0*", " ")).alias("normalised"))))
+query("j08_resolve", "SELECT s_suppkey, s_name AS registered FROM supplier")(
+    lambda t: lookups.resolve(t("supplier").select("s_suppkey", F.concat(F.lower(F.regexp_replace("s_name", "#0*", " ")), F.when(C("s_suppkey") % 2 == 0, " india").otherwise("")).alias("n")), "s_suppkey", "n", t("supplier").select(C("s_name").alias("registered"), F.lower(F.regexp_replace("s_name", "#0*", " ")).alias("normalised"))).select("s_suppkey", "registered"))
 query("j14_priority", "SELECT user_id, arg_min(event_type, (event_id)) AS event_type FROM events GROUP BY user_id")(lambda t: lookups.priority(t("events"), "user_id", "event_id", "event_type"))
 query("j15_prefix_join", "SELECT c_custkey, r_name FROM customer LEFT JOIN region ON substr(c_mktsegment, 1, 1) = substr(r_name, 1, 1)")(lambda t: t("customer").join(t("region"), F.substring("c_mktsegment", 1, 1) == F.substring("r_name", 1, 1), "left").select("c_custkey", "r_name"))
 query("j17_lookalikes", "WITH k AS (SELECT n_name AS name, n_nationkey AS ord FROM nation), h AS (SELECT s_suppkey, 'NATION_' || (s_suppkey % 97) AS l FROM supplier), c AS (SELECT s_suppkey, name, levenshtein(l, name) AS d, ord FROM h, k WHERE levenshtein(l, name) BETWEEN 1 AND 2) SELECT s_suppkey, arg_min(d, (d, ord))::INT AS edits FROM c GROUP BY s_suppkey")(
