@@ -1,0 +1,60 @@
+import base64
+import hmac
+import json
+import random
+import re
+
+from veriloom.llm.secret_scan import BASE, scan_secrets, secret_spans
+
+
+def der(tag, body):
+    n = len(body)
+    size = bytes([n]) if n < 128 else bytes([0x80 | (k := (n.bit_length() + 7) // 8)]) + n.to_bytes(k, "big")
+    return bytes([tag]) + size + body
+
+
+RSA = der(0x30, der(2, b"\x00") + b"".join(der(2, b"\x01" + bytes([7 + i]) * k) for i, k in enumerate((128, 3, 128, 64, 64, 64, 64, 64))))
+EC = der(0x30, der(2, b"\x01") + der(4, b"\x05" * 32) + der(0xA0, der(6, b"\x2a\x86\x48\xce\x3d\x03\x01\x07")))
+
+
+def kinds(t):
+    return [k for k, _, _ in secret_spans(t)]
+
+
+def test_structures():
+    b64 = base64.b64encode(RSA).decode()
+    assert kinds(f"x {b64} y") == ["der_key"]
+    assert "der_key" in kinds(f"-----BEGIN RSA PRIVATE KEY-----\n{b64[:64]}\n{b64[64:]}\n-----END RSA PRIVATE KEY-----")
+    assert kinds("k " + base64.urlsafe_b64encode(EC).decode().rstrip("=")) == ["der_key"]
+    assert "der_key" in kinds(EC.hex()) and "der_key" in kinds(EC.hex().upper())
+    broken = bytearray(RSA)
+    broken[9] ^= 1
+    assert kinds(base64.b64encode(bytes(broken)).decode()) == [] == kinds(base64.b64encode(RSA[:-1]).decode())
+    assert kinds(base64.b64encode(bytes(random.Random(1).randbytes(90))).decode()) == []
+
+
+def test_signed_tokens():
+    enc = lambda b: base64.urlsafe_b64encode(b).decode().rstrip("=")
+    head, body = enc(json.dumps({"alg": "HS256", "typ": "JWT"}).encode()), enc(json.dumps({"sub": "someone"}).encode())
+    sig = enc(hmac.digest(b"k", b"x", "sha256"))
+    assert kinds(f"Bearer {head}.{body}.{sig}.") == ["signed_token"]
+    assert kinds(f"{head}.{body}.{sig[:-6]}") == [] == kinds(f"{enc(b'[1]' * 9)}.{body}.{sig}")
+
+
+def test_encoded_secret():
+    assert kinds(base64.b64encode(b"database password = hunter2hunter2 end").decode()) == ["encoded_secret"]
+
+
+def test_base_spans():
+    t = """a PassWord: 'hunter2hunter' api_key=abc token="12345678" AKIAABCDEFGHIJKLMN AKIA12 0123456789abcdef0123456789abcdef zz"""
+    got = [x for x in secret_spans(t) if x[0] in BASE]
+    assert [(k, t[a:b]) for k, a, b in got] == [("assign", "PassWord: 'hunter2hunter"), ("assign", 'token="12345678'), ("access", "AKIAABCDEFGHIJKLMN"), ("hex", "0123456789abcdef0123456789abcdef")]
+    random.seed(5)
+    for _ in range(500):
+        t = "".join(random.choice(["token", "=", " ", ":", "secret", "'", "a" * 9, "f" * 31, "0", "AKIA", "A1", "ſecret", "é"]) for _ in range(12))
+        wanted = [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32] + [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+        assert sorted(x for x in secret_spans(t) if x[0] in ("hex", "access")) == sorted(wanted)
+
+
+def test_odd_rows(odd, none):
+    assert scan_secrets(odd).count() == odd.count() and scan_secrets(none).count() == 0
