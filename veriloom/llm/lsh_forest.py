@@ -9,8 +9,9 @@ orders, tree t from hash 8 * t on and around. The documents that agree in a tree
    the one that agrees best is confirmed on full sets. Confirmed links make first components.
 3. What may still be missing are links between components. In regions that hold several, each vertex outside the
    region's largest component is held against all vertices of other components, in one join whose condition compares
-   signatures, so that only pairs that may reach the threshold come out, once for all trees; they are confirmed on
-   full sets, and the components are joined. Groups of copies, of one component by now, cost nothing here.
+   signatures, and full sets of up to SMALL shingles, so that only pairs that may reach the threshold come out, once
+   for all trees; they are confirmed on full sets, and the components are joined. Groups of copies, of one component
+   by now, cost nothing here.
 
 A pair of similarity 0.85 shares a region with odds 1 - (1 - 0.85**4)**16 = 0.99999; the signature test gives
 away four standard deviations.
@@ -33,7 +34,9 @@ from veriloom.llm.components import components
 
 HASHES, TREES, WORDS = 128, 16, 5
 LONGS = HASHES // 4  # four hashes of 16 bits each
-LANE = 0x0001000100010001
+LANES = (0xFFFF, 0xFFFF << 16, 0xFFFF << 32, -1 << 48)
+COARSE = 4  # words that hold two bits of each hash
+SMALL = 512  # sets of so many shingles at most are compared in full within the join itself
 
 _rng = np.random.default_rng(20240607)
 _TIMES = (_rng.integers(1, 1 << 32, HASHES, dtype=np.uint64) | 1).astype(np.uint32)
@@ -72,13 +75,21 @@ def signature(s: np.ndarray) -> np.ndarray:
     return mixed.astype(np.uint16).view(np.int64)
 
 
+def coarse(sig: np.ndarray) -> list[int]:
+    """COARSE words with the lowest two bits of each hash: an unequal hash flips one of them on average."""
+    h = sig.view(np.uint16)
+    bits = np.concatenate([h & 1, (h >> 1) & 1]).astype(np.uint8)
+    return np.packbits(bits).view(np.int64).tolist()
+
+
 def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
             s = shingles(text)
-            rows.append((doc_id, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None, signature(s).tolist() if len(s) else None))
-        out = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "digest", "sig"])
+            sig = signature(s) if len(s) else None
+            rows.append((doc_id, len(s), None, None, None) if sig is None else (doc_id, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), sig.tolist(), coarse(sig)))
+        out = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "digest", "sig", "coarse"])
         out["doc_id"] = out["doc_id"].astype("Int64")
         yield out
 
@@ -116,22 +127,21 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _agreement(a, b):
     """Native count of equal 16-bit lanes of two arrays of 64-bit words."""
+    same = lambda d, k: (d.bitwiseAND(F.lit(LANES[k])) == 0).cast("int")
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y)), F.lit(0), lambda n, d: n + same(d, 0) + same(d, 1) + same(d, 2) + same(d, 3))
 
-    def lanes(x, y):
-        d = x.bitwiseXOR(y)
-        for k in (8, 4, 2, 1):  # the lowest bit of a lane comes to say whether any bit of it is set
-            d = d.bitwiseOR(F.shiftrightunsigned(d, k))
-        return F.lit(4) - F.bit_count(d.bitwiseAND(F.lit(LANE)))
 
-    return F.aggregate(F.zip_with(a, b, lanes), F.lit(0), lambda x, y: x + y)
+def _linked(a, b, percent: int):
+    """Whether two full sets reach the threshold; null if either isn't there."""
+    common = F.size(F.array_intersect(a, b))
+    return F.when(a.isNotNull() & b.isNotNull(), 100 * common >= percent * (F.size(a) + F.size(b) - common))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets reach the threshold."""
     one = pairs.join(sets.select(F.col("vertex").alias("a"), F.col("set").alias("set_a")), "a")
     both = one.join(sets.select(F.col("vertex").alias("b"), F.col("set").alias("set_b")), "b")
-    common = F.size(F.array_intersect("set_a", "set_b"))
-    return both.withColumn("common", common).filter(100 * F.col("common") >= percent * (F.size("set_a") + F.size("set_b") - F.col("common"))).select("a", "b")
+    return both.filter(_linked(F.col("set_a"), F.col("set_b"), percent)).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, reach: int = 2) -> DataFrame:
@@ -144,14 +154,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85, reach: int = 2) -> DataF
     """
     share = percent / 100
     least = math.floor(HASHES * share - 4 * math.sqrt(HASHES * share * (1 - share)))
-    sketches = save(docs.select("doc_id", "text").mapInPandas(_sketch, "doc_id bigint, n_shingles bigint, digest binary, sig array<bigint>"), "sketches")
+    apart = 1 - share  # of the two bits of an unequal hash, none, one or two differ, in odds of 1, 2 and 1 to 4
+    most = math.ceil(HASHES * apart + 4.5 * math.sqrt(HASHES * (1.5 * apart - apart * apart)))
+    sketches = save(docs.select("doc_id", "text").mapInPandas(_sketch, "doc_id bigint, n_shingles bigint, digest binary, sig array<bigint>, coarse array<bigint>"), "sketches")
     known = sketches.filter("digest is not null and doc_id is not null")
-    same = save(known.groupBy("digest").agg(F.min("doc_id").alias("vertex"), F.first("sig").alias("sig")), "vertices")
+    same = save(known.groupBy("digest").agg(F.min("doc_id").alias("vertex"), F.first("sig").alias("sig"), F.first("coarse").alias("coarse")), "vertices")
     roots = F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.element_at("sig", 2 * t + 1).alias("key"))))
     keys = same.select("vertex", roots.alias("at")).select("vertex", "at.*")
     shared = keys.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = keys.join(shared.drop("n"), ["tree", "key"])
-    members = save(members.join(same.select("vertex", "sig"), "vertex"), "regions")
+    members = save(members.join(same.select("vertex", "sig", "coarse"), "vertex"), "regions")
 
     turned = F.slice(F.concat("sig", "sig"), 2 * F.col("tree") + 1, LONGS)
     ordered = members.withColumn("turned", turned).repartitionByRange("tree", "key", "turned", "vertex").sortWithinPartitions("tree", "key", "turned", "vertex").select("tree", "key", "vertex", "sig")
@@ -166,16 +178,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85, reach: int = 2) -> DataF
     first = components(links)
 
     # links between components
-    named = members.join(first, members["vertex"] == first["id"], "left").select("tree", "key", "vertex", "sig", F.coalesce("component", "vertex").alias("component"))
+    named = members.join(first, members["vertex"] == first["id"], "left").select("tree", "key", "vertex", "sig", *[F.element_at("coarse", k + 1).alias(f"c{k}") for k in range(COARSE)], F.coalesce("component", "vertex").alias("component"))
     named = save(named, "named")
     parts = named.groupBy("tree", "key", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = parts.groupBy("tree", "key").agg(F.max(F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("tree", "key", F.col("main.component").alias("main"))
-    inside = save(named.join(mixed, ["tree", "key"]), "mixed")
+    small = sets.filter(F.size("set") <= SMALL).withColumnRenamed("set", "small")
+    inside = save(named.join(mixed, ["tree", "key"]).join(small, "vertex", "left"), "mixed")
     a, b = inside.filter("component <> main").alias("a"), inside.alias("b")
     once = (F.col("b.component") == F.col("b.main")) | (F.col("a.vertex") < F.col("b.vertex"))
     roots_of = lambda x: F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.element_at(x, 2 * t + 1))
     agree_at = F.array_position(F.zip_with(roots_of("a.sig"), roots_of("b.sig"), lambda x, y: x == y), True)
-    condition = (F.col("a.tree") == F.col("b.tree")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & once & (_agreement(F.col("a.sig"), F.col("b.sig")) >= least) & (agree_at == F.col("a.tree") + 1)
+    flips = sum((F.bit_count(F.col(f"a.c{k}").bitwiseXOR(F.col(f"b.c{k}"))) for k in range(COARSE)), F.lit(0))
+    condition = (F.col("a.tree") == F.col("b.tree")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & once & (flips <= most) & (_agreement(F.col("a.sig"), F.col("b.sig")) >= least) & (agree_at == F.col("a.tree") + 1)
+    condition &= F.coalesce(_linked(F.col("a.small"), F.col("b.small"), percent), F.lit(True))
     across = save(a.join(b, condition).select(F.col("a.vertex").alias("a"), F.col("b.vertex").alias("b")), "across")
     more = save(_confirmed(across, sets, percent), "more-links")
     whole = components(links.unionByName(more)) if not more.isEmpty() else first
