@@ -85,12 +85,18 @@ def probes(length: int, edits: int) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def sketch(line: str) -> int:
-    """64 parity bits of a line's pairs of adjacent characters."""
-    x = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+def sketches(lines: list[str]) -> list[int]:
+    """64 parity bits of each line's pairs of adjacent characters; lines have two characters or more."""
+    x = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     h = (x[:-1] * np.uint64(0x9E3779B97F4A7C15) + x[1:] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(58)
-    odd = np.flatnonzero(np.bincount(h.astype(np.int64), minlength=64) & 1)
-    return int((np.uint64(1) << odd.astype(np.uint64)).sum(dtype=np.uint64).view(np.int64)) if len(odd) else 0
+    bits = np.uint64(1) << h
+    ends = np.cumsum([len(line) for line in lines])
+    bits[ends[:-1] - 1] = 0  # pairs across two lines
+    return np.bitwise_xor.reduceat(bits, np.concatenate([[0], ends[:-1]])).view(np.int64).tolist() if lines else []
+
+
+def sketch(line: str) -> int:
+    return sketches([line])[0]
 
 
 def _id(line: str) -> tuple[int, int]:
@@ -126,27 +132,32 @@ def _rows(least: int, edits: int, index: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[tuple[int, int]] = set()
         plans: dict[int, list] = {}
-        for batch in batches:
+        hashed = xxhash.xxh3_64_intdigest
+
+        def made(new: dict[tuple[int, int], str]) -> pd.DataFrame:
             rows = []
+            for (h, line), bits in zip(new.items(), sketches(list(new.values())), strict=True):
+                n = len(line)
+                if n not in plans:
+                    plans[n] = [(n, i, a, s) for i, (a, s) in enumerate(segments(n, edits))] if index else probes(n, edits)
+                for size, i, at, width in plans[n]:
+                    part = hashed(line[at : at + width].encode("utf-8", "surrogatepass"), size * (edits + 1) + i)
+                    rows.append((part - (1 << 63), *h, bits))
+            return pd.DataFrame(np.array(rows, dtype=np.int64).reshape(-1, 4), columns=["seg", "h", "g", "bits"])
+
+        for batch in batches:
+            new: dict[tuple[int, int], str] = {}
             for text in batch["text"]:
                 for _, line in _lines(text, least):
-                    h = _id(line)
-                    if h in seen:
-                        continue
-                    seen.add(h)
-                    n = len(line)
-                    if n not in plans:
-                        plans[n] = [(n, i, a, s) for i, (a, s) in enumerate(segments(n, edits))] if index else probes(n, edits)
-                    bits = sketch(line)
-                    for size, i, at, width in plans[n]:
-                        part = xxhash.xxh3_64_intdigest(line[at : at + width].encode("utf-8", "surrogatepass"), size * (edits + 1) + i)
-                        rows.append((part - (1 << 63), *h, bits))
-                if len(rows) > 100_000:
-                    yield pd.DataFrame(rows, columns=["seg", "h", "g", "bits"])
-                    rows = []
+                    if (h := _id(line)) not in seen:
+                        seen.add(h)
+                        new[h] = line
+                if len(new) > 20_000:
+                    yield made(new)
+                    new = {}
+            yield made(new)
             if len(seen) > 200_000:
                 seen.clear()
-            yield pd.DataFrame(rows, columns=["seg", "h", "g", "bits"])
 
     return run
 
