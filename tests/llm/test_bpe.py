@@ -38,5 +38,5 @@ def test_random_words():
 
 def test_rows(odd, none):
     rows = bpe(odd, PATH, ids=True).collect()
-    assert len(rows) == odd.count() and all(len(r["ids"]) == r["n_tokens"] for r in rows)
+    assert len(rows) == odd.count() and all(len(r["ids"]) == 4 * r["n_tokens"] for r in rows)
     assert bpe(none, PATH).count() == 0

@@ -228,10 +228,10 @@ def bpe(docs: DataFrame, path: str, *, ids: bool = False, round_trip: bool = Tru
     """Encodes the whole text of every row; null counts as empty and gives no ids.
 
     Returns the kept columns (by place, so that their names may clash with nothing), n_tokens, ids_sha256,
-    decoded_sha256 (if round_trip), ids (if asked for). Rows are independent: repeated rows give repeated results.
+    decoded_sha256 (if round_trip), ids (if asked for, little-endian unsigned 32-bit integers). Rows are independent: repeated rows give repeated results.
     """
     source = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
-    kind = "struct<n_tokens bigint, ids_sha256 string" + ", decoded_sha256 string" * round_trip + ", ids array<bigint>" * ids + ">"
+    kind = "struct<n_tokens bigint, ids_sha256 string" + ", decoded_sha256 string" * round_trip + ", ids binary" * ids + ">"
 
     @F.pandas_udf(kind)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -242,7 +242,7 @@ def bpe(docs: DataFrame, path: str, *, ids: bool = False, round_trip: bool = Tru
                 for got in codec.encode_batch(texts[lo:hi]):
                     row = [len(got), hashlib.sha256(got.tobytes()).hexdigest()]
                     row += [hashlib.sha256(codec.decode(got).encode()).hexdigest()] * round_trip
-                    rows.append(row + [got.tolist()] * ids)
+                    rows.append(row + [got.tobytes()] * ids)
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", *["decoded_sha256"] * round_trip, *["ids"] * ids])
 
     out: Column = run(F.col("text"))
