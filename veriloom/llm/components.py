@@ -23,7 +23,8 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         low = both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("v"), F.least("a", "least").alias("m"))
         large = both.join(low, F.col("a") == F.col("v")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b")
         below = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(below.withColumnRenamed("a", "v"), F.col("a") == F.col("v")).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*").filter("a > b").distinct()
+        small = large.join(below.withColumnRenamed("a", "v"), F.col("a") == F.col("v")).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b")
+        small = small.unionByName(below.select("a", F.col("m").alias("b"))).distinct()
         edges = save(small, "edges")
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:

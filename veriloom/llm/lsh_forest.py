@@ -141,7 +141,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets reach the threshold."""
     one = pairs.join(sets.select(F.col("vertex").alias("a"), F.col("set").alias("set_a")), "a")
     both = one.join(sets.select(F.col("vertex").alias("b"), F.col("set").alias("set_b")), "b")
-    return both.filter(_linked(F.col("set_a"), F.col("set_b"), percent)).select("a", "b")
+    return both.filter(_linked(F.col("set_a"), F.col("set_b"), percent)).drop("set_a", "set_b")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, reach: int = 2) -> DataFrame:
@@ -191,12 +191,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, reach: int = 2) -> DataF
     flips = sum((F.bit_count(F.col(f"a.c{k}").bitwiseXOR(F.col(f"b.c{k}"))) for k in range(COARSE)), F.lit(0))
     condition = (F.col("a.tree") == F.col("b.tree")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & once & (flips <= most) & (_agreement(F.col("a.sig"), F.col("b.sig")) >= least) & (agree_at == F.col("a.tree") + 1)
     condition &= F.coalesce(_linked(F.col("a.small"), F.col("b.small"), percent), F.lit(True))
-    across = save(a.join(b, condition).select(F.col("a.vertex").alias("a"), F.col("b.vertex").alias("b")), "across")
+    across = save(a.join(b, condition).select(F.col("a.vertex").alias("a"), F.col("b.vertex").alias("b"), F.col("a.component").alias("ca"), F.col("b.component").alias("cb")), "across")
     more = save(_confirmed(across, sets, percent), "more-links")
-    whole = components(links.unionByName(more)) if not more.isEmpty() else first
+    # components that these links join, by their names, the least vertex of each
+    second = components(more.select(F.col("ca").alias("a"), F.col("cb").alias("b"))) if not more.isEmpty() else first.limit(0)
 
-    named = sketches.join(same.select("digest", "vertex"), "digest", "left").join(whole.withColumnRenamed("id", "vertex"), "vertex", "left")
-    rows = named.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "vertex", "doc_id")).alias("component_id"))
+    named = sketches.join(same.select("digest", "vertex"), "digest", "left").join(first.select(F.col("id").alias("vertex"), F.col("component").alias("first")), "vertex", "left")
+    named = named.withColumn("first", F.coalesce("first", "vertex")).join(second.withColumnRenamed("id", "first"), "first", "left")
+    rows = named.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "first", "doc_id")).alias("component_id"))
     return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
