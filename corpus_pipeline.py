@@ -25,8 +25,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that came before; those that are copies by their lines go."""
-    return drop_repeated_lines(docs)
+    """Documents without lines that came before; those of which no word is left go."""
+    return drop_repeated_lines(docs, most=1)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

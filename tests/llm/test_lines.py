@@ -4,6 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import corpus_pipeline
 from veriloom.llm.line_dedup import _id, _lines, drop_repeated_lines, edit_distance, probes, repeated_lines, segments, sketch
 
 
@@ -79,3 +80,16 @@ def test_odd_rows(odd, none):
     assert ids.count(1) == 1 and 2 not in ids  # a copy goes, and so does each repeat of it
     assert {3, 4, 5, 6, 7, 8, 9} <= set(ids) and ids.count(None) == 1  # the text without doc_id comes last, so that its lines go
     assert drop_repeated_lines(none).count() == 0
+
+
+def test_short_unique_lines_stay(spark):
+    header = "Licensed under the terms of the licence found beside this file."
+    long = [f"a line of document {i} that no other document has at all, {'x' * i}" for i in (1, 6)]
+    code = "\n".join(f"v{i} = {i}" for i in range(40))
+    docs = [(0, header), (1, f"{header}\n{code}"), (2, f"  {header}\t\n\n \n"), (3, "\n".join([header, header + "!"] * 4 + long)), (4, header + "\nend"), (5, None)]
+    df = spark.createDataFrame([(i, t, len(t or "")) for i, t in docs], "doc_id long, text string, n_chars long")
+    rest = {0: header, 1: code, 3: "\n".join(long), 4: "end", 5: None}
+    assert {r["doc_id"]: r["text"] for r in drop_repeated_lines(df, most=1).collect()} == rest
+    assert {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, df, "").collect()} == rest
+    got = drop_repeated_lines(df).collect()  # 0.8 of the whole text: 40 short lines are more than a fifth, "end" isn't
+    assert {r["doc_id"] for r in got} == {0, 1, 5} and all(r["n_chars"] == len(r["text"] or "") for r in got)

@@ -229,16 +229,19 @@ def op3(spark, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(docs: DataFrame, most: float = 0.8, **options) -> DataFrame:
-    """Documents without their repeated lines; a document that would lose more than `most` of its characters in lines
-    that count is a copy and goes as a whole. Columns as before; n_chars, if there, follows the text.
+    """Documents without their repeated lines. A document goes as a whole if no word is left, or if the lines that go
+    hold more than `most` of all its characters (white space around lines aside, lines of any length); with most=1
+    only the former. Columns as before; n_chars, if there, follows the text.
     """
     names = docs.columns
     found = repeated_lines(docs, **options).filter(F.size("dropped") > 0)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
     both = rows.join(found, F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.xxhash64("row.text") == F.col("key")), "left")
-    kept = both.filter(F.coalesce(F.col("dropped_chars") <= most * F.col("chars"), F.lit(True)))
-    rest = F.array_join(F.filter(F.split(F.col("row.text"), "\n"), lambda x, i: ~F.array_contains("dropped", i)), "\n")
-    kept = kept.withColumn("rest", F.when(F.col("dropped").isNotNull(), rest).otherwise(F.col("row.text")))
+    others = F.filter(F.split(F.col("row.text"), "\n"), lambda x, i: ~F.array_contains("dropped", i))
+    left = F.aggregate(others, F.lit(0).cast("long"), lambda n, x: n + F.length(F.btrim(x, F.lit(SPACES))))
+    both = both.withColumn("left", F.when(F.col("dropped").isNotNull(), left))
+    kept = both.filter(F.coalesce((F.col("left") > 0) & (F.col("dropped_chars") <= most * (F.col("dropped_chars") + F.col("left"))), F.lit(True)))
+    kept = kept.withColumn("rest", F.when(F.col("dropped").isNotNull(), F.array_join(others, "\n")).otherwise(F.col("row.text")))
     new = {"text": F.col("rest"), "n_chars": F.coalesce(F.length("rest"), F.lit(0)).cast("long")}
     same = lambda c: F.col("row").getField(c)
     return kept.select(*[(F.when(F.col("dropped").isNotNull(), new[c]).otherwise(same(c)) if c in new else same(c)).alias(c) for c in names])
