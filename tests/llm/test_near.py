@@ -1,5 +1,6 @@
 import random
 
+import corpus_pipeline
 from veriloom.llm.lsh_forest import drop_near_duplicates, near_duplicates, shingles
 
 
@@ -55,3 +56,30 @@ def test_odd_rows(odd, none):
     ids = [r["doc_id"] for r in kept.collect()]
     assert kept.columns == odd.columns and ids.count(None) == 2 and sorted(i for i in ids if i is not None) == [1, 3, 4, 5, 6, 7, 8, 9]
     assert near_duplicates(none).count() == 0
+
+
+def test_pipeline_stage_links_from_80(spark):
+    random.seed(8)
+    docs, lines = [], iter(range(10_000))
+    for g in range(12):  # groups of a text and copies with 1 to 4 changed words, so similarities from 0.69 to 0.95
+        base = [f"g{g}w{i}" for i in range(110)]
+        for changed in (0, 1, 2, 3, 4):
+            x = list(base)
+            for k in random.sample(range(10, 100), changed):
+                x[k] = f"new{next(lines)}"
+            docs.append((len(docs), " ".join(x)))
+    sets = {i: words(t) for i, t in docs}
+    between = 0
+    roots = {i: i for i in sets}
+    for a in sets:
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            union = len(sets[a]) + len(sets[b]) - both
+            between += 80 * union <= 100 * both < 85 * union
+            if 100 * both >= 80 * union:
+                x, y = sorted((roots[a], roots[b]))
+                roots = {k: x if v == y else v for k, v in roots.items()}
+    kept = {i for i in roots if roots[i] == i}
+    assert between > 5
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(docs, "doc_id long, text string"), "").collect()
+    assert {r["doc_id"] for r in got} == kept
