@@ -5,6 +5,10 @@ candidates only: a candidate is reported when its decoded bytes prove to be what
 must nest exactly, each length ending where its parent says, and hold the fields of a private key; the binary key
 container must have all its length-prefixed fields; a signed token needs a JSON header that names an algorithm, a
 JSON body and a signature of the algorithm's size; a decoded text must itself hold a base secret.
+
+The floor of a candidate is the least that can be confirmed: ten bytes of an encrypted key, SHORTEST characters of
+base64. Within a run, tokens are tried at every start of a JSON object, decoding at every part between dots and equals
+signs, and there from every slash to the next one and to the part's end.
 """
 
 from __future__ import annotations
@@ -28,10 +32,17 @@ ASSIGN = re.compile(rf"""({_NAMES})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 #: Candidates; the look-behinds keep one long run from being tried at each of its places.
-RUN = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{40,}")
-WRAPPED = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----([A-Za-z0-9+/=\s]+)-----END \1-----")
-HEX_RUN = re.compile(r"(?:[0-9a-f]{2}){32,}\Z|(?:[0-9A-F]{2}){32,}\Z")
-_SPACE = re.compile(r"\s+")
+SHORTEST = 14
+RUN = re.compile(rf"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{{{SHORTEST},}}")
+#: White space and slashes of a wrapped key may be escaped, as in JSON strings.
+WRAPPED = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----((?:[A-Za-z0-9+/=\s]|\\+[nrt/])+)-----END \1-----")
+HEX_RUN = re.compile(r"(?:[0-9a-f]{2}){10,}\Z|(?:[0-9A-F]{2}){10,}\Z")
+#: Base64 of an opening brace and a quote or white space.
+HEAD = re.compile(r"e(?:y[A-DI-L]|w[k-r0-3])")
+PART = re.compile(r"[^.]+")
+PIECE = re.compile(r"[^.=]+={0,2}")
+URL_SAFE = re.compile(r"[A-Za-z0-9_-]+={0,2}")
+_SPACE = re.compile(r"\s+|\\+[nrt]|\\+(?=/)")
 #: Fixed sizes of the signatures of signed tokens, by algorithm name.
 SIGNATURES = {"HS256": (32, 32), "HS384": (48, 48), "HS512": (64, 64), "ES256": (64, 64), "ES384": (96, 96), "ES512": (132, 132), "EdDSA": (64, 114), "RS256": (128, 1024), "RS384": (128, 1024), "RS512": (128, 1024), "PS256": (128, 1024), "PS384": (128, 1024), "PS512": (128, 1024)}
 #: The first field of the binary private key container.
@@ -158,28 +169,63 @@ def confirm(data: bytes | None) -> str | None:
     return None
 
 
+def token_spans(run: str) -> list[tuple[int, int]]:
+    """Start and end of the signed tokens within a run, whatever stands before and behind them."""
+    parts, found, at = [(m.start(), m[0]) for m in PART.finditer(run)], [], 0
+    for (a, x), (b, y), (c, z) in zip(parts, parts[1:], parts[2:]):
+        if a < at or b != a + len(x) + 1 or c != b + len(y) + 1:
+            continue
+        short = m[0] if (m := URL_SAFE.match(z)) else z
+        tried = [(k, end) for k in dict.fromkeys((0, *(m.start() for m in HEAD.finditer(x)))) for end in dict.fromkeys((z, short))]
+        if (one := next((t for t in tried if signed_token(f"{x[t[0] :]}.{y}.{t[1]}")), None)) is not None:
+            at = c + len(one[1])
+            found.append((a + one[0], at))
+    return found
+
+
+def _promising(run: str) -> bool:
+    """Whether the first characters of a base64 run may be those of a key or of plain text."""
+    data = decode64(run.rstrip("="))
+    return bool(data) and (data[0] == 0x30 or data.isascii())
+
+
+def decoded_kind(run: str) -> str | None:
+    """The kind of secret that a whole run encodes."""
+    if len(run) < SHORTEST:
+        return None
+    return (HEX_RUN.match(run) and confirm(bytes.fromhex(run))) or confirm(decode64(run))
+
+
+def encoded_spans(run: str) -> list[tuple[str, int, int]]:
+    """kind, start and end of what is encoded in a run or in its parts."""
+    found = []
+    for m in PIECE.finditer(run):
+        at, piece = m.start(), m[0]
+        end = at + len(piece)
+        bare = at + len(piece.rstrip("="))
+        while bare - at >= SHORTEST:
+            if at == m.start() or _promising(run[at : min(bare, at + 60)]):
+                to = end if end == len(run) or (end - at) % 4 == 0 else bare  # else a name and its equals sign
+                if kind := decoded_kind(run[at:bare]):
+                    found.append((kind, at, to))
+                    break
+            to = run.find("/", at, end)
+            if to < 0:
+                break
+            if at < to and (kind := decoded_kind(run[at:to])):
+                found.append((kind, at, to))
+            at = to + 1
+    return found
+
+
 def secret_spans(text: str) -> list[tuple[str, int, int]]:
     """All spans of a text, by start and then by kind; code points, end exclusive."""
     found = base_spans(text)
     for m in RUN.finditer(text):
-        run = m[0].rstrip(".")
-        at, end = m.start(), m.start() + len(run)
-        if run.count(".") == 2 and signed_token(run):
-            found.append(("signed_token", at, end))
-            continue
-        # a name and an equals sign may stand before the run
-        if (eq := run.rstrip("=").rfind("=")) >= 0:
-            run, at = run[eq + 1 :], at + eq + 1
-            if run.count(".") == 2 and signed_token(run):
-                found.append(("signed_token", at, end))
-                continue
-        if len(run) < 40:
-            continue
-        kind = None
-        if HEX_RUN.match(run):
-            kind = confirm(bytes.fromhex(run))
-        if kind := kind or confirm(decode64(run)):
-            found.append((kind, at, end))
+        run, at = m[0].rstrip("."), m.start()
+        tokens = token_spans(run) if run.count(".") >= 2 else []
+        found += [("signed_token", at + a, at + b) for a, b in tokens]
+        found += [(k, at + a, at + b) for k, a, b in encoded_spans(run) if not any(a < hi and lo < b for lo, hi in tokens)]
     if "-----BEGIN " in text:
         for m in WRAPPED.finditer(text):
             if (kind := confirm(decode64(_SPACE.sub("", m[2])))) and "PUBLIC" not in m[1]:
