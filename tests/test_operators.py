@@ -1,7 +1,9 @@
 """Operators on small cases of their own."""
 
+import random
 from email.message import EmailMessage
 
+import pandas as pd
 import pyspark.sql.functions as F
 
 from veriloom.functions import checks, entities, markup, text, urls
@@ -117,3 +119,26 @@ def test_rate_limit_counts_accepted_rows_only(spark, tmp_path):
     spark.createDataFrame(rows, "user_id long, k string, t string").select("user_id", F.col("t").cast("timestamp").alias("ts")).coalesce(1).write.parquet(str(tmp_path / "in"))
     got = flows.run_to_table(flows.rate_limited(flows.file_stream(spark, str(tmp_path / "in")), "user_id", "ts", 2))
     assert [r["accepted"] for r in got.orderBy("ts").collect()] == [True, True, False, False, True]
+
+
+def test_resolve_against_all_pairs(spark):
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("abdeilnorst") for _ in range(rnd.randint(4, 10)))
+    tails = ["industries", "finance", "industries india", "capital and finance", ""]
+    register = ["reliance industries", "bajaj", *(f"{word()} {rnd.choice(tails)}".strip() for _ in range(250))]
+    names = ["relianse industries", "industries", "bajai", "reliancee"]
+    for x in rnd.sample(register, 50):
+        y = list(x)
+        for _ in range(rnd.randint(1, 3)):
+            y[rnd.randrange(len(y))] = rnd.choice(["", "x", "ab", "e"])
+        z = "".join(y).split()
+        rnd.shuffle(z)
+        names.append(" ".join(z + [word()] * rnd.randint(0, 1)))
+    wanted = {}
+    for i, x in enumerate(names):
+        score = lookups.set_ratio.func(pd.Series([x] * len(register)), pd.Series(register))
+        near = [(100.0 if x == y else s, y) for s, y in zip(score, register) if s >= 85 and (s >= 92 or set(x.split()) & set(y.split()))]
+        if near:
+            wanted[i] = max(near)[::-1]
+    got = lookups.resolve(spark.createDataFrame(list(enumerate(names)), "k int, n string"), "k", "n", spark.createDataFrame([(x, x) for x in register], "registered string, normalised string")).collect()
+    assert {r["k"]: (r["registered"], r["score"]) for r in got} == wanted and wanted[0][0] == "reliance industries" and len(wanted) > 10

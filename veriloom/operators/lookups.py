@@ -89,19 +89,68 @@ def set_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x or "", y or "") for x, y in zip(a, b, strict=True)])
 
 
-def resolve(names: DataFrame, key: str, name: str, register: DataFrame, least: float = 85.0) -> DataFrame:
-    """Registered name of each name: equal first, then the best word-set ratio among those that share a word.
+def _prefixes(grams: DataFrame, by: list[str], df: DataFrame, what: str, size, keep) -> DataFrame:
+    """The rows of grams that must be looked up: the rarest of each name, as long as keep(size of rarer ones) holds."""
+    before = Window.partitionBy(*by).orderBy(F.coalesce("_n", F.lit(0)), what).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = grams.join(df, what, "left").withColumn("_before", F.coalesce(F.sum(size).over(before), F.lit(0)))
+    return ranked.filter(keep(F.col("_before"))).select(*by, what)
 
-    Words that are in more than a hundredth of the register don't block; register has registered, normalised.
+
+def candidates(names: DataFrame, key: str, name: str, register: DataFrame, least: float) -> DataFrame:
+    """key, name, registered, normalised and common (whether they share a word) of all pairs that set_ratio may give `least`.
+
+    With r = least / 100, either the common words fill r / (2 - r) of one side, so that one of its rarest words is among
+    them; or the sides of lengths p and q have runs in common that hold (1.5 r - 1)(p + q) + 1 of the bigrams of their
+    words, so that one of the rarest bigrams of each is the same. All lengths of names and frequencies of words count.
+    """
+    r = least / 100
+    fill, slope = r / (2 - r), 1.5 * r - 1
+    words = lambda c: F.array_sort(F.array_distinct(F.filter(F.split(c, r"(?U)\s+"), lambda w: w != "")))
+    pairs_of = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substring(F.concat(F.lit(" "), w, F.lit(" ")), i, F.lit(2)))
+    numbered = lambda g: F.transform(g, lambda x, i: F.concat(x, F.size(F.filter(F.slice(g, F.lit(1), i + 1), lambda y: y == x)).cast("string")))
+
+    def side(df: DataFrame, text: str, x: str) -> DataFrame:
+        df = df.withColumn(f"_w{x}", words(F.col(text))).filter(F.size(f"_w{x}") > 0)
+        df = df.withColumn(f"_l{x}", F.length(F.array_join(f"_w{x}", " "))).withColumn(f"_g{x}", F.flatten(F.transform(f"_w{x}", pairs_of)))
+        return df.withColumn(f"_g{x}", numbered(F.col(f"_g{x}")))
+
+    a = side(names.select(key, name).distinct(), name, "a")
+    b = side(register.select("registered", "normalised").distinct(), "normalised", "b")
+    ka, kb = [key, name], ["registered", "normalised"]
+    if slope > 0:
+        wa, wb = a.select(*ka, "_la", F.explode("_wa").alias("_w")), b.select(*kb, "_lb", F.explode("_wb").alias("_w"))
+        ga, gb = a.select(*ka, "_la", F.explode("_ga").alias("_g")), b.select(*kb, "_lb", F.explode("_gb").alias("_g"))
+        dw, dg = (x.groupBy(c).agg(F.count(F.lit(1)).alias("_n")) for x, c in ((wb, "_w"), (gb, "_g")))
+        missing = lambda x: lambda before: before <= F.col(x) * (1 - fill) + 1e-6
+        few = lambda x: lambda before: before <= F.col(x) + 1 - F.ceil(F.col(x) * slope * (1 + fill) + 1 - 1e-6)
+        width = F.length("_w") + 1
+        met = [
+            _prefixes(wa, [*ka, "_la"], dw, "_w", width, missing("_la")).join(wb, "_w"), _prefixes(wb, [*kb, "_lb"], dw, "_w", width, missing("_lb")).join(wa, "_w"),
+            _prefixes(ga, [*ka, "_la"], dg, "_g", F.lit(1), few("_la")).join(_prefixes(gb, [*kb, "_lb"], dg, "_g", F.lit(1), few("_lb")), "_g"),
+        ]
+        met = [x.select(*ka, *kb, "_la", "_lb") for x in met]
+        # the lengths allow it, before sides are looked up again
+        met[2] = met[2].filter(F.least("_la", "_lb") >= fill * F.greatest("_la", "_lb") - 1e-6)
+        found = met[0].unionByName(met[1]).unionByName(met[2]).select(*ka, *kb).distinct()
+        both = found.join(a, ka).join(b, kb)
+    else:
+        both = a.crossJoin(b)
+    same = F.array_intersect("_wa", "_wb")
+    both = both.withColumn("_lc", F.length(F.array_join(same, " "))).withColumn("_shared", F.size(F.array_intersect("_ga", "_gb")))
+    filled = (F.col("_lc") > 0) & (F.col("_lc") >= fill * F.least("_la", "_lb") - 1e-6)
+    alike = (F.least("_la", "_lb") >= fill * F.greatest("_la", "_lb") - 1e-6) & (F.col("_shared") >= slope * (F.col("_la") + F.col("_lb")) + 1 - 1e-6)
+    return both.filter(filled | alike).select(*ka, *kb, (F.col("_lc") > 0).alias("common"))
+
+
+def resolve(names: DataFrame, key: str, name: str, register: DataFrame, least: float = 85.0, alone: float = 92.0) -> DataFrame:
+    """Registered name of each name: equal first, then the best word-set ratio of all names in the register.
+
+    Without a common word, the ratio must reach `alone`. register has registered, normalised.
     """
     exact = names.join(register, F.col(name) == F.col("normalised")).select(key, "registered", F.lit(100.0).alias("score"))
     rest = names.join(exact.select(key), key, "left_anti")
-    words = register.select("registered", "normalised", F.explode(F.array_distinct(F.split("normalised", " "))).alias("w"))
-    df = words.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    total = register.agg(F.count(F.lit(1)).alias("total"))
-    rare = df.join(total, F.col("n") <= F.greatest(F.lit(5), F.col("total") / 100)).select("w")
-    blocked = rest.select(key, name, F.explode(F.array_distinct(F.split(name, " "))).alias("w")).join(words.join(rare, "w"), "w").select(key, name, "registered", "normalised").distinct()
-    scored = blocked.withColumn("score", set_ratio(F.col(name), F.col("normalised"))).filter(F.col("score") >= least)
+    scored = candidates(rest, key, name, register, least).withColumn("score", set_ratio(F.col(name), F.col("normalised")))
+    scored = scored.filter((F.col("score") >= least) & (F.col("common") | (F.col("score") >= alone)))
     best = scored.groupBy(key).agg(F.max_by(F.struct("registered", "score"), F.struct(F.col("score"), F.col("registered"))).alias("b")).select(key, "b.*")
     return exact.unionByName(best)
 
