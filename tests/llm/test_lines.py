@@ -1,11 +1,13 @@
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import __spark_entry__
 import corpus_pipeline
-from veriloom.llm.line_dedup import _id, _lines, drop_repeated_lines, edit_distance, probes, repeated_lines, segments, sketch
+from veriloom.llm.line_dedup import EXACT, Lines, _ids, _lines, alike_lines, drop_repeated_lines, edit_distance, repeated_lines, segments
 
 
 def table(a, b):
@@ -32,33 +34,45 @@ def test_no_pair_is_missed(a, k, rnd):
         b[rnd.randrange(len(b))] = rnd.choice(["", "a", "c", "ab"]) or ""
         b = list("".join(b)) or ["a"]
     x, y = sorted((a, "".join(b)), key=len)
-    if len(x) > k and table(x, y) <= k:
-        index = {(len(x), i, x[p : p + w]) for i, (p, w) in enumerate(segments(len(x), k))}
-        assert index & {(n, i, y[p : p + w]) for n, i, p, w in probes(len(y), k)}
-        assert bin((sketch(x) ^ sketch(y)) & (2**64 - 1)).count("1") <= 4 * k
+    if len(x) > 2 * k and table(x, y) <= k:
+        one, two = Lines([x, "another line"]), Lines(["some line before", y])
+        index = {key for of, key in zip(*one.segment_keys(k), strict=True) if of == 0}
+        assert index & {key for of, key in zip(*two.probe_keys(k), strict=True) if of == 1}
+        for bits in (5, 7):
+            flips = one.sketches(bits)[0] ^ two.sketches(bits)[1]
+            assert sum(bin(int(w) & (2**64 - 1)).count("1") for w in flips) <= 4 * k
 
 
-def brute(docs, edits, least):
+def test_keys_are_of_substrings():
+    x = Lines(["abcdefghij", "xxabcdefghijyy", ""])
+    where = lambda of, at, n, mark: x.keys(*(np.array([v]) for v in (of, at, n, mark)))[0]
+    assert where(0, 2, 5, 7) == where(1, 4, 5, 7) != where(1, 5, 5, 7) and where(0, 2, 5, 7) != where(0, 2, 5, 8)
+    assert [(int(a), int(n)) for a, n in segments(10, 2)] == [(0, 3), (3, 3), (6, 4)]
+
+
+def brute(docs, edits, least, exact):
     first = {}
     for i, t in docs:
-        for _, line in _lines(t, least):
+        for _, line in _lines(t, exact):
             first[line] = min(first.get(line, i), i)
-    order = lambda x: (first[x], *_id(x))
-    links, loses = dict.fromkeys(first, 0), set()
+    order = lambda x: (first[x], *_ids([x])[0].tolist())
+    links, to = dict.fromkeys(first, 0), {}
     for a in first:
         for b in first:
-            if a < b and table(a, b) <= edits:
+            if a < b and min(len(a), len(b)) >= least and table(a, b) <= edits:
                 links[a], links[b] = links[a] + 1, links[b] + 1
-                loses.add(max(a, b, key=order))
+                best, worse = sorted((a, b), key=order)
+                to[worse] = min(to.get(worse, first[best]), first[best])
     out = {}
     for i, t in docs:
-        seen, gone, n = set(), [], 0
-        for p, line in _lines(t, least):
+        seen, gone, kept, n = set(), [], [], 0
+        for p, line in _lines(t, exact):
             n += 0 if line in seen else links[line]
-            if line in seen or first[line] != i or line in loses:
+            if line in seen or first[line] != i or line in to:
                 gone.append(p)
+                kept.append(min(first[line], to.get(line, first[line])))
             seen.add(line)
-        out[i] = (n, gone)
+        out[i] = (n, gone, kept)
     return out
 
 
@@ -66,11 +80,39 @@ def brute(docs, edits, least):
 def test_against_all_pairs(spark, edits):
     random.seed(edits)
     base = ["".join(random.choice("abcde ") for _ in range(random.randint(12, 20))).strip() + "xyz" for _ in range(12)]
-    lines = base + [x[:5] + "q" + x[6:] for x in base] + [x + "!" for x in base[:6]] + [x[1:] for x in base[:4]]
+    lines = base + [x[:5] + "q" + x[6:] for x in base] + [x + "!" for x in base[:6]] + [x[1:] for x in base[:4]] + ["short 1", "short 2", "tiny"]
     docs = [(i, "\n".join(random.choice(lines) for _ in range(random.randint(0, 6)))) for i in range(40)]
-    got = {r["doc_id"]: (r["links"], r["dropped"]) for r in repeated_lines(spark.createDataFrame(docs, "doc_id long, text string"), edits, 10).collect()}
-    wanted = brute(docs, edits, 10)
-    assert got == {i: wanted[i] for i, t in docs if _lines(t, 10)}
+    got = {r["doc_id"]: (r["links"], r["dropped"], r["kept_in"]) for r in repeated_lines(spark.createDataFrame(docs, "doc_id long, text string"), edits, 10, 5).collect()}
+    wanted = brute(docs, edits, 10, 5)
+    assert got == {i: wanted[i] for i, t in docs if _lines(t, 5)}
+
+
+def test_heavy_segments_lose_no_link(spark):
+    random.seed(11)
+    half = "the first half of this line is the same in all of them, "
+    lines = [half + "".join(random.choice("abcdefgh ") for _ in range(60)).strip("  ") + "." for _ in range(120)]
+    lines += [x[:70] + "Z" + x[71:-3] + x[-2:] for x in lines[:30]] + [f"user number {i:05d} has logged in from the house" for i in range(40)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    name = {tuple(_ids([x])[0].tolist()): i for i, x in enumerate(lines)}
+    wanted = {(a, b) for a in range(len(lines)) for b in range(a + 1, len(lines)) if table(lines[a], lines[b]) <= 2}
+    for heavy in (20, 100_000):
+        got = [tuple(sorted((name[r["h"], r["g"]], name[r["h2"], r["g2"]]))) for r in alike_lines(df, heavy=heavy).collect()]
+        assert len(got) == len(wanted) and set(got) == wanted and len(wanted) > 100
+
+
+def test_query(spark, data):
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    rows = __spark_entry__.queries()["op3_line_dedup"](spark, data).collect()
+    assert len(rows) == len(texts) and any(r["n_dropped"] for r in rows)
+    first = {}
+    for i in sorted(texts):
+        for _, line in _lines(texts[i], EXACT):
+            first.setdefault(line, i)
+    for r in rows:
+        gone = [int(x) for x in r["dropped"].split(",") if x]
+        lines = dict(_lines(texts[r["doc_id"]], EXACT))
+        assert {p for p, x in lines.items() if first[x] != r["doc_id"]} <= set(gone) <= set(lines)
+        assert len(lines) == r["n_lines"] and r["class_id"] == min([r["doc_id"], *(int(x) for x in r["kept_in"].split(",") if x)])
 
 
 def test_odd_rows(odd, none):

@@ -10,17 +10,28 @@ from pyspark.sql import functions as F
 
 #: Words are maximal runs of anything but these: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
+BATCH = 1000
 SPACES = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else one made for this session (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; in local mode else one made for this session."""
     if path := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
         return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="veriloom-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows with whole texts go to Python BATCH at a time, unless the session sets its own number: both sides of the
+    socket hold a batch several times over."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) == 10_000:  # Spark's default
+        spark.conf.set(name, BATCH)
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again: cuts lineage and survives lost executors."""
     spark = df.sparkSession

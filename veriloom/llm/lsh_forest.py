@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veriloom.llm.common import save, table
+from veriloom.llm.common import save, small_batches, table
 from veriloom.llm.components import components
 
 HASHES, TREES, WORDS = 128, 16, 5
@@ -38,6 +38,8 @@ LANES = (0xFFFF, 0xFFFF << 16, 0xFFFF << 32, -1 << 48)
 COARSE = 4  # words that hold two bits of each hash
 SMALL = 512  # sets of so many shingles at most are compared in full within the join itself
 
+STORE = 100_000  # words whose hashes a task remembers
+
 _rng = np.random.default_rng(20240607)
 _TIMES = (_rng.integers(1, 1 << 32, HASHES, dtype=np.uint64) | 1).astype(np.uint32)
 _PLUS = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
@@ -50,7 +52,7 @@ def shingles(text: str | None) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, dtype=np.uint64)
-    if len(_known) > 1_000_000:
+    if len(_known) > STORE:
         _known.clear()
     for w in {*words}:
         if w not in _known:
@@ -152,6 +154,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, reach: int = 2) -> DataF
     links. Rows with one doc_id are one document, whose texts' links meet. A row without doc_id is linked with
     nothing: its component_id is null and it is kept.
     """
+    small_batches(docs.sparkSession)
     share = percent / 100
     least = math.floor(HASHES * share - 4 * math.sqrt(HASHES * share * (1 - share)))
     apart = 1 - share  # of the two bits of an unequal hash, none, one or two differ, in odds of 1, 2 and 1 to 4

@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veriloom.llm.common import small_batches
+
 #: Fixed values of the vocabulary file's format.
 END = "</w>"
 BLANKS = (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
@@ -50,7 +52,7 @@ def _ranges(kind: str) -> str:
 class RankBpe:
     """Encoder and decoder of one vocabulary file, given as its JSON text."""
 
-    def __init__(self, source: str, keep: int = 1_000_000):
+    def __init__(self, source: str, keep: int = 200_000):
         import regex
 
         spec = json.loads(source)
@@ -203,6 +205,7 @@ _loaded: dict[str, RankBpe] = {}
 def _codec(source: str) -> RankBpe:
     key = hashlib.md5(source.encode()).hexdigest()
     if key not in _loaded:
+        _loaded.clear()
         _loaded[key] = RankBpe(source)
     return _loaded[key]
 
@@ -230,6 +233,7 @@ def bpe(docs: DataFrame, path: str, *, ids: bool = False, round_trip: bool = Tru
     Returns the kept columns (by place, so that their names may clash with nothing), n_tokens, ids_sha256,
     decoded_sha256 (if round_trip), ids (if asked for, little-endian unsigned 32-bit integers). Rows are independent: repeated rows give repeated results.
     """
+    small_batches(docs.sparkSession)
     source = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
     kind = "struct<n_tokens bigint, ids_sha256 string" + ", decoded_sha256 string" * round_trip + ", ids binary" * ids + ">"
 
@@ -244,6 +248,7 @@ def bpe(docs: DataFrame, path: str, *, ids: bool = False, round_trip: bool = Tru
                     row += [hashlib.sha256(codec.decode(got).encode()).hexdigest()] * round_trip
                     rows.append(row + [got.tobytes()] * ids)
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", *["decoded_sha256"] * round_trip, *["ids"] * ids])
+        codec.known.clear()  # a worker may serve other jobs next
 
     out: Column = run(F.col("text"))
     return docs.select(*keep, out.alias("made")).select(*keep, "made.*")
