@@ -21,7 +21,7 @@ TOKENIZER = "word_bpe_49k.json"
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and lie in their language's perplexity band."""
-    return quality_filter(docs)
+    return quality_filter(docs, files=True)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

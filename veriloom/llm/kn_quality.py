@@ -1,67 +1,101 @@
 """Quality rules by n-gram perplexity.
 
-Documents first pass plain rules on length and repetition. Spark counts the character trigrams of all that pass, by
-language; a modified Kneser-Ney model of each language is built from the counts and kept as sorted arrays of n-gram
-codes with log probabilities and back-off weights beside them. Every document is scored in bits per symbol. The bands
-of a language lie around the median of its documents, so many quartile distances below and above; documents outside
-are rejected: below is text that repeats or lists, above is text that the language doesn't explain.
-
-The model is sent to all tasks, so its size is bounded: characters fold to 64 symbols, and the MODELS languages with
-most text have models of their own, all others share one. That is at most (MODELS + 1) * 64**3 entries of 12 bytes.
+Documents first pass plain rules on length and repetition. The characters of all that pass are counted as five-grams
+by Spark, for each language; from the counts, Spark builds a modified Kneser-Ney model of each language, level by
+level. Any character of any script counts as itself (letters in lower case, digits as 0), so that what is gathered
+grows with the corpus. Texts fall into two halves by hash, and each half is scored by the model of the other one: no
+text is predicted from itself, and copies fall into one half.
+
+Nothing of the model is sent whole. Documents are read a file at a time; a file's grams are counted once for the
+file, and the same rows ask for the file's answers: they are joined with the scored grams and written, as sorted
+arrays of gram hashes with bits beside them, into one folder a file. The task that scores a file's documents opens
+that folder only. So a task holds at most the distinct grams of one file, whatever the corpus.
+
+Scores are bits per character. The bands of a language lie around the median of its documents, so many quartile
+distances below and above; documents outside are rejected: below is text that repeats or lists, above is text that
+the language doesn't explain.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veriloom.llm.common import save, table
+from veriloom.llm.common import save, shared_dir, small_batches, table
 
-SYMBOLS, BITS, MODELS = 64, 6, 24
-START, STOP = 0, 1
-REST = "*"
-#: Marks with a symbol of their own, and marks that share another's.
-MARKS = ".,;:!?'\"-()/@#$%&*+=|<"
-SHARED = {">": "<", "[": "(", "{": "(", "]": ")", "}": ")", "_": "-", "\\": "/", "^": "*", "~": "*", "`": "'"}
+ORDER = 5
+#: Bits of a character that no model explains: one code point among all.
+UNKNOWN = 21.0
+PAD, STOP = 0, 1
 BLANKS = b" \t\n\x0b\x0c\r"
-
-
-def _symbol(c: str) -> int:
-    if "a" <= c <= "z":
-        return 2 + ord(c) - ord("a")
-    if c.isupper():
-        return 28
-    if c.isdigit():
-        return 29
-    if c == "\n":
-        return 31
-    if c.isspace():
-        return 30
-    c = SHARED.get(c, c)
-    if c in MARKS:
-        return 41 + MARKS.index(c)
-    return 32 + ord(c) % 8 if c.isalpha() else 40
-
-
-_table: list[np.ndarray] = []
-
-
-def symbols(text: str) -> np.ndarray:
-    """Symbol of each code point; those above U+FFFF count as one that is no letter."""
-    if not _table:
-        _table.append(np.array([_symbol(chr(c)) for c in range(0x10000)], dtype=np.int32))
-    return _table[0][np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), 0xFFFF)]
-
-
-def trigrams(text: str) -> np.ndarray:
-    """Codes of a text's trigrams, with two starts before and a stop behind."""
-    s = np.empty(len(text) + 3, dtype=np.int32)
-    s[:2], s[2:-1], s[-1] = START, symbols(text), STOP
-    return (s[:-2] << (2 * BITS)) | (s[1:-1] << BITS) | s[2:]
+#: Characters that a task works on at once, and grams that it gathers before they are passed on.
+SLICE, GATHERED = 1 << 20, 1 << 20
+SALTS = 64
+_MASK = (1 << 21) - 1
+
+
+def folded(text: str) -> np.ndarray:
+    """Code points of the lower-cased text; digits count as 0, blanks and what is used for padding as a blank."""
+    x = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32).copy()
+    x[(x >= 48) & (x <= 57)] = 48
+    x[(x <= 32) & (x != 10)] = 32
+    return x
+
+
+def joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Texts with ORDER - 1 pads before and a stop behind each, and the number of five-grams of each: one for each
+    character and one for its end."""
+    pad, parts, sizes = np.full(ORDER - 1, PAD, dtype=np.uint32), [], []
+    for t in texts:
+        x = folded(t)
+        parts += [pad, x, np.array([STOP], dtype=np.uint32)]
+        sizes.append(len(x) + 1)
+    return np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint32), np.array(sizes, dtype=np.int64)
+
+
+def _halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First two and last three characters of each five-gram, 21 bits a character; grams that end in a pad are left out."""
+    n = len(x) - ORDER + 1
+    c = [x[k : n + k].astype(np.int64) for k in range(ORDER)]
+    keep = c[-1] != PAD
+    return ((c[0] << 21) | c[1])[keep], ((c[2] << 42) | (c[3] << 21) | c[4])[keep]
+
+
+def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of grams, for sorted arrays."""
+    with np.errstate(over="ignore"):
+        h = (a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (b.view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+def gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First two and last three characters of the distinct five-grams of some texts, and their counts."""
+    x, _ = joined(texts)
+    if not len(x):
+        return (np.zeros(0, dtype=np.int64),) * 3
+    seen = np.zeros(0x110000, dtype=bool)
+    seen[x] = True
+    letters = np.flatnonzero(seen)
+    width = max(1, int(len(letters) - 1).bit_length())
+    if width * ORDER > 63:  # too many kinds to pack five in one number
+        a, b = _halves(x)
+        h, at, n = np.unique(mixed(a, b), return_index=True, return_counts=True)
+        return a[at], b[at], n
+    place = np.zeros(0x110000, dtype=np.int64)
+    place[letters] = np.arange(len(letters))
+    y, n = place[x], len(x) - ORDER + 1
+    packed = np.zeros(n, dtype=np.int64)
+    for k in range(ORDER):
+        packed = (packed << width) | y[k : n + k]
+    packed, n = np.unique(packed[x[ORDER - 1 :] != PAD], return_counts=True)
+    c = [letters[(packed >> (width * (ORDER - 1 - k))) & ((1 << width) - 1)] for k in range(ORDER)]
+    return (c[0] << 21) | c[1], (c[2] << 42) | (c[3] << 21) | c[4], n
 
 
 def base_rules(text: str | None) -> tuple[int, int, int, int, int, bool]:
@@ -77,7 +111,8 @@ def base_rules(text: str | None) -> tuple[int, int, int, int, int, bool]:
     if n > 3:
         seen: dict[bytes, int] = {}
         ids = np.array([seen.setdefault(w, len(seen)) for w in words], dtype=np.int64)
-        _, back, count = np.unique((ids[:-2] * len(seen) + ids[1:-1]) * len(seen) + ids[2:], return_inverse=True, return_counts=True)
+        _, pair = np.unique(ids[:-1] * len(seen) + ids[1:], return_inverse=True)  # numbered anew, so that no product overflows
+        _, back, count = np.unique(pair[:-1] * len(seen) + ids[2:], return_inverse=True, return_counts=True)
         twice = count[back] > 1
         cover = np.zeros(n, dtype=bool)
         for k in range(3):
@@ -86,127 +121,175 @@ def base_rules(text: str | None) -> tuple[int, int, int, int, int, bool]:
     return n, chars, marks, len(lines) - len(set(lines)), repeat, n < 50 or 100 * repeat > 50 * n
 
 
-class KneserNey:
-    """Modified Kneser-Ney model of order 3 over symbols, from sorted trigram codes and their counts."""
-
-    def __init__(self, codes: np.ndarray, counts: np.ndarray):
-        pairs = codes & (SYMBOLS * SYMBOLS - 1)
-        self.two, follow2 = np.unique(pairs, return_counts=True)  # kinds of symbols before each pair
-        self.one, follow1 = np.unique(self.two & (SYMBOLS - 1), return_counts=True)
-        p1, g0 = self._level(np.zeros(len(self.one), dtype=np.int64), follow1)
-        base = np.full(SYMBOLS, g0[0] / SYMBOLS if len(g0) else 1 / SYMBOLS)
-        base[self.one] += p1
-        p2, g1 = self._level(self.two >> BITS, follow2)
-        self.back1 = np.ones(SYMBOLS)
-        self.back1[np.unique(self.two >> BITS)] = g1
-        p2 = p2 + self.back1[self.two >> BITS] * base[self.two & (SYMBOLS - 1)]
-        self.three = codes
-        p3, g2 = self._level(codes >> BITS, counts)
-        self.context = np.unique(codes >> BITS)
-        self.back2 = g2
-        self.p1, self.p2 = base, p2
-        self.p3 = p3 + g2[np.searchsorted(self.context, codes >> BITS)] * self._pair(codes & (SYMBOLS * SYMBOLS - 1))
-
-    @staticmethod
-    def _level(context: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Discounted share of each entry in its context, and the weight that each context leaves to the order below."""
-        if not len(count):
-            return np.zeros(0), np.zeros(0)
-        n = [int((count == k).sum()) for k in (1, 2, 3, 4)]
-        y = n[0] / (n[0] + 2 * n[1]) if n[0] and n[1] else 0.5
-        d = [0.0, *(min(max(k + 1 - (k + 2) * y * n[k + 1] / n[k], 0.05), k + 0.95) if n[k] else 0.5 * (k + 1) for k in range(3))]
-        off = np.array(d)[np.minimum(count, 3)]
-        starts = np.flatnonzero(np.diff(context, prepend=context[0] - 1))
-        total, left = np.add.reduceat(count, starts).astype(float), np.add.reduceat(off, starts)
-        return (count - off) / np.repeat(total, np.diff(starts, append=len(context))), left / total
-
-    def _pair(self, pairs: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.two, pairs), len(self.two) - 1)
-        return np.where(self.two[at] == pairs, self.p2[at], self.back1[pairs >> BITS] * self.p1[pairs & (SYMBOLS - 1)])
-
-    def bits(self, codes: np.ndarray) -> np.ndarray:
-        """Minus log2 of the probability of the last symbol of each trigram, given the others."""
-        if not len(self.three):
-            return np.full(len(codes), float(BITS))
-        at = np.minimum(np.searchsorted(self.three, codes), len(self.three) - 1)
-        over = np.minimum(np.searchsorted(self.context, codes >> BITS), len(self.context) - 1)
-        weight = np.where(self.context[over] == codes >> BITS, self.back2[over], 1.0)
-        p = np.where(self.three[at] == codes, self.p3[at], weight * self._pair(codes & (SYMBOLS * SYMBOLS - 1)))
-        return -np.log2(p)
+def _slices(texts: list[str]) -> Iterator[list[int]]:
+    """Places of texts, some SLICE characters at a time."""
+    some, size = [], 0
+    for k, t in enumerate(texts):
+        some.append(k)
+        size += len(t)
+        if size >= SLICE:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    sums: dict[str, np.ndarray] = {}
+    """Counts of the grams of a task's documents that pass the base rules, by file, language and half."""
+    sums: dict[tuple, list] = {}
+    size = 0
 
     def flush() -> Iterator[pd.DataFrame]:
-        for lang, x in sums.items():
-            at = np.flatnonzero(x)
-            yield pd.DataFrame({"lang": lang, "code": at.astype(np.int32), "n": x[at]})
+        for (block, lang, half), parts in sums.items():
+            a, b, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+            if len(parts) > 1:
+                _, at, back = np.unique(mixed(a, b), return_index=True, return_inverse=True)
+                a, b, n = a[at], b[at], np.bincount(back, weights=n).astype(np.int64)
+            yield pd.DataFrame({"block": block, "lang": lang, "half": half, "a": a, "b": b, "n": n})
         sums.clear()
 
     for batch in batches:
-        for text, lang in zip(batch["text"], batch["lang"], strict=True):
-            if base_rules(text)[-1]:
-                continue
-            if lang not in sums:
-                if len(sums) >= 64:
-                    yield from flush()
-                sums[lang] = np.zeros(SYMBOLS**3, dtype=np.int64)
-            x, codes = sums[lang], trigrams(text)
-            if len(codes) > 50_000:
-                x += np.bincount(codes, minlength=len(x))
-            else:
-                at, n = np.unique(codes, return_counts=True)
-                x[at] += n
+        good = batch[[not base_rules(t)[-1] for t in batch["text"]]]
+        for key, rows in good.groupby(["block", "lang", "half"], sort=False):
+            texts = rows["text"].tolist()
+            for some in _slices(texts):
+                made = gram_counts([texts[k] for k in some])
+                sums.setdefault(key, []).append(made)
+                size += len(made[0])
+        if size > GATHERED:
+            yield from flush()
+            size = 0
     yield from flush()
 
 
-def train(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Sorted trigram codes and counts of each modelled language, over all documents that pass the base rules."""
-    rows = docs.select("text", F.coalesce(F.col("lang"), F.lit("")).alias("lang"))
-    counts = save(rows.mapInPandas(_count, "lang string, code int, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n")), "trigrams")
-    own = [r["lang"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MODELS).collect()]
-    merged = counts.withColumn("lang", F.when(F.col("lang").isin(own), F.col("lang")).otherwise(F.lit(REST))).groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    got = merged.toPandas().sort_values(["lang", "code"])
-    return {k: (x["code"].to_numpy(np.int32), x["n"].to_numpy(np.int64)) for k, x in got.groupby("lang")}
-
-
-_models: dict[int, dict[str, KneserNey]] = {}
-
-
-def score(docs: DataFrame, model: dict, keep=("doc_id",)) -> DataFrame:
-    """The kept columns, the base rules' columns, the model's name and bits per symbol (null where base_failed)."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    key = sent.id if hasattr(sent, "id") else id(sent)
-
-    @F.pandas_udf("struct<n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, model string, bits double>")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        if key not in _models:
-            _models.clear()
-            _models[key] = {k: KneserNey(*x) for k, x in sent.value.items()}
-        models = _models[key]
-        for texts, langs in batches:
-            rows = []
-            for text, lang in zip(texts, langs, strict=True):
-                base = base_rules(text)
-                name = lang if lang in models else REST
-                bits = None
-                if not base[-1] and name in models:
-                    codes, n = np.unique(trigrams(text), return_counts=True)
-                    bits = round(float(models[name].bits(codes) @ n) / int(n.sum()), 3)
-                rows.append((*base, name, bits))
-            out = pd.DataFrame(rows, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "model", "bits"])
-            out["bits"] = out["bits"].astype(float)
-            yield out
-
-    return docs.select(*keep, run(F.col("text"), F.coalesce(F.col("lang"), F.lit(""))).alias("made")).select(*keep, "made.*")
-
-
-def bands(scored: DataFrame, below: float = 8.0, above: float = 5.0, least: float = 0.1) -> DataFrame:
+_KEY = ["lang", "model"]
+
+
+def _suffix(k: int) -> list[Column]:
+    """The last k characters of a gram."""
+    a = F.col("a").bitwiseAND(F.lit(_MASK)) if k == 4 else F.lit(0).cast("long")
+    return [a.alias("a"), (F.col("b") if k >= 3 else F.col("b").bitwiseAND(F.lit((1 << 21 * k) - 1))).alias("b")]
+
+
+def _context() -> list[Column]:
+    """All characters of a gram but the last."""
+    return [F.shiftright("a", 21).alias("ca"), F.shiftleft(F.col("a").bitwiseAND(F.lit(_MASK)), 42).bitwiseOR(F.shiftright("b", 21)).alias("cb")]
+
+
+def levels(grams: DataFrame) -> dict[int, tuple[DataFrame, DataFrame]]:
+    """For each order, its grams with their discounted shares, and its contexts with the weight left to the order below.
+
+    grams has lang, model, a, b, n, each gram once. The highest order goes by counts, those below by the number of
+    characters before a gram. Discounts for one, two and more come from the counts of counts of language and order.
+    """
+    out, now = {}, grams
+    for k in range(ORDER, 0, -1):
+        if k < ORDER:
+            now = save(now.select(*_KEY, *_suffix(k)).groupBy(*_KEY, "a", "b").agg(F.count(F.lit(1)).alias("n")), f"kn-{k}")
+        n = [F.sum((F.col("n") == i).cast("double")).alias(f"n{i}") for i in (1, 2, 3, 4)]
+        kinds = now.groupBy(*_KEY).agg(*n)
+        y = F.when((F.col("n1") > 0) & (F.col("n2") > 0), F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(F.lit(0.5))
+        off = [F.when(F.col(f"n{i}") > 0, F.least(F.greatest(i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}"), F.lit(0.05)), F.lit(i - 0.05))).otherwise(F.lit(0.5 * i)) for i in (1, 2, 3)]
+        kinds = kinds.select(*_KEY, *[o.alias(f"d{i + 1}") for i, o in enumerate(off)])
+        taken = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+        by = Window.partitionBy(*_KEY, "ca", "cb")
+        salted = kinds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a language may hold most rows
+        rows = now.withColumn("salt", F.pmod(F.xxhash64("a", "b"), F.lit(SALTS)).cast("int")).join(salted, [*_KEY, "salt"]).select(*_KEY, "a", "b", *_context(), "n", taken.alias("d"))
+        rows = save(rows.select(*_KEY, "a", "b", "ca", "cb", ((F.col("n") - F.col("d")) / F.sum("n").over(by)).alias("share"), (F.sum("d").over(by) / F.sum("n").over(by)).alias("left")), f"kn-shares-{k}")
+        out[k] = rows.select(*_KEY, "a", "b", "share"), rows.select(*_KEY, "ca", "cb", "left").dropDuplicates([*_KEY, "ca", "cb"])
+    return out
+
+
+def gram_bits(grams: DataFrame, asked: DataFrame) -> DataFrame:
+    """lang, model, a, b and bits of the grams asked for (lang, model, a, b, each once): minus log2 of the probability
+    of the last character given those before, under the model that grams (lang, model, a, b, n) make."""
+    model = levels(grams)
+    chars = model[1][0].groupBy(*_KEY).agg((1.0 / (F.count(F.lit(1)) + 1)).alias("even"))
+    wanted = {ORDER: asked}
+    for k in range(ORDER - 1, 0, -1):
+        wanted[k] = wanted[k + 1].select(*_KEY, *_suffix(k)).distinct()
+    low = None
+    for k in range(1, ORDER + 1):
+        shares, contexts = model[k]
+        rows = wanted[k].join(shares, [*_KEY, "a", "b"], "left").select(*_KEY, "a", "b", *_context(), "share").join(contexts, [*_KEY, "ca", "cb"], "left")
+        if k == 1:
+            rows = rows.join(chars, _KEY, "left").withColumn("p_low", F.coalesce("even", F.lit(2.0**-UNKNOWN)))
+        else:
+            under = low.select(*_KEY, F.col("a").alias("sa"), F.col("b").alias("sb"), F.col("p").alias("p_low"))
+            sa, sb = _suffix(k - 1)
+            rows = rows.withColumns({"sa": sa, "sb": sb}).join(under, [*_KEY, "sa", "sb"])
+        low = save(rows.select(*_KEY, "a", "b", (F.coalesce("share", F.lit(0.0)) + F.coalesce("left", F.lit(1.0)) * F.col("p_low")).alias("p")), f"kn-p-{k}")
+    return low.select(*_KEY, "a", "b", (-F.log2("p")).alias("bits"))
+
+
+def _open(root: str):
+    """Sorted hashes and bits of one file's grams, by language and half."""
+    import pyarrow.dataset as ds
+    from pyarrow import fs
+
+    files, path = fs.FileSystem.from_uri(root)
+    if files.get_file_info(path).type == fs.FileType.NotFound:  # no document of the file passes the base rules
+        return {}
+    rows = ds.dataset(path, filesystem=files, format="parquet").to_table(columns=["lang", "half", "a", "b", "bits"]).to_pandas()
+    rows["h"] = mixed(rows["a"].to_numpy(), rows["b"].to_numpy())
+    return {k: (x["h"].to_numpy(), x["bits"].to_numpy()) for k, x in rows.sort_values("h").groupby(["lang", "half"])}
+
+
+def text_bits(texts: list[str], hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Bits per character of each text, from sorted hashes of its grams and bits beside them."""
+    x, sizes = joined(texts)
+    h = mixed(*_halves(x))
+    at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+    got = np.where(hashes[at] == h, bits[at], UNKNOWN)
+    return np.add.reduceat(got, np.concatenate([[0], np.cumsum(sizes)[:-1]])) / sizes
+
+
+def score(docs: DataFrame, keep=("doc_id",), files: bool = False) -> DataFrame:
+    """The kept columns, the base rules' columns, lang and bits per character (null where base_failed).
+
+    files says that docs is read from files as it is; otherwise it is written first.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    docs = docs if files else save(docs.select(*dict.fromkeys((*keep, "text", "lang"))), "quality-docs")
+    text, lang = F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.col("lang"), F.lit(""))
+    place = [F.xxhash64(F.input_file_name()).alias("block"), lang.alias("lang"), F.pmod(F.xxhash64(text), F.lit(2)).cast("int").alias("half")]
+    counted = save(docs.select(*place, text.alias("text")).mapInPandas(_count, "block bigint, lang string, half int, a bigint, b bigint, n bigint"), "grams")
+    grams = save(counted.groupBy("lang", "half", "a", "b").agg(F.sum("n").alias("n")), "gram-counts")
+    other = (1 - F.col("half")).alias("model")
+    found = gram_bits(grams.select("lang", F.col("half").alias("model"), "a", "b", "n"), grams.select("lang", other, "a", "b"))
+    found = found.select("lang", (1 - F.col("model")).alias("half"), "a", "b", F.col("bits").cast("float").alias("bits"))
+    root = f"{shared_dir(spark)}/gram-bits-{uuid.uuid4().hex}"
+    answers = counted.select("block", "lang", "half", "a", "b").join(found, ["lang", "half", "a", "b"]).distinct()
+    answers.repartition("block", F.pmod(F.xxhash64("a", "b"), F.lit(8))).write.partitionBy("block").parquet(root)
+
+    @F.pandas_udf("struct<n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, bits double>")
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        opened, known = None, {}
+        for batch in batches:
+            rows = pd.DataFrame(dict(zip(("block", "lang", "half", "text"), batch, strict=True)))
+            out = pd.DataFrame([base_rules(t) for t in rows["text"]], columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"])
+            bits = np.full(len(rows), np.nan)
+            failed = out["base_failed"].to_numpy()
+            for (block, lang, half), part in rows.groupby(["block", "lang", "half"], sort=False):
+                at = [k for k in part.index if not failed[k]]
+                if not at:
+                    continue
+                if block != opened:
+                    opened, known = block, {}  # one file at a time
+                    known = _open(f"{root}/block={block}")
+                for some in _slices(texts := rows["text"].iloc[at].tolist()):
+                    bits[[at[k] for k in some]] = text_bits([texts[k] for k in some], *known[lang, half])
+            yield out.assign(bits=np.where(np.isnan(bits), None, bits.round(3))).astype({"bits": "Float64"})
+
+    return docs.select(*keep, *[c for c in place], text.alias("_text")).select(*keep, "lang", run("block", "lang", "half", "_text").alias("made")).select(*keep, F.col("lang").alias("model"), "made.*")
+
+
+def bands(scored: DataFrame, below: float, above: float, least: float) -> DataFrame:
     """model, low and high: the median of bits less and plus so many distances to the lower and upper quartile.
 
-    Quartiles are exact: bits have three decimals, so that a model has few distinct values, whose counts are summed.
-    A distance is at least `least` bits in all, for languages whose documents are nearly alike.
+    Quartiles are exact: bits have three decimals, so that a language has few distinct values, whose counts are
+    summed. A distance is at least `least` bits in all, for languages whose documents are nearly alike.
     """
     counts = scored.filter(F.col("bits").isNotNull() & ~F.isnan("bits")).groupBy("model", "bits").agg(F.count(F.lit(1)).alias("n"))
     by = Window.partitionBy("model")
@@ -217,14 +300,18 @@ def bands(scored: DataFrame, below: float = 8.0, above: float = 5.0, least: floa
     return got.select("model", (F.col("q2") - gap("q1", "q2", below)).alias("low"), (F.col("q2") + gap("q2", "q3", above)).alias("high"))
 
 
-def judge(docs: DataFrame, keep=("doc_id",), name: str = "quality", **options) -> DataFrame:
-    """Scores with kept: whether the base rules pass and bits lie in the band of the model.
+#: Quartile distances below and above the median, and the least width of each in bits.
+BELOW, ABOVE, WIDTH = 8.0, 6.0, 0.1
+
+
+def judge(docs: DataFrame, keep=("doc_id",), files: bool = False, below: float = BELOW, above: float = ABOVE, width: float = WIDTH) -> DataFrame:
+    """Scores with kept: whether the base rules pass and bits lie in the band of the language.
 
-    Nulls: a null text has no words and fails; a null language has the model of the empty name. A text of any length
-    is scored whole; equal texts of one language score alike.
+    Nulls: a null text has no words and fails; a null language is the language of the empty name. A text of any length
+    is scored whole; equal texts of one language score alike. Every language has its own model and band.
     """
-    scored = save(score(docs, train(docs), keep), name)
-    limits = bands(scored, **options).withColumnRenamed("model", "of")
+    scored = save(score(docs, keep, files), "quality")
+    limits = bands(scored, below, above, width).withColumnRenamed("model", "of")
     both = scored.join(limits, F.col("model") == F.col("of"), "left")
     inside = F.coalesce(F.col("bits").between(F.col("low"), F.col("high")), F.lit(False))
     return both.withColumn("kept", ~F.col("base_failed") & inside).drop("of")
@@ -232,11 +319,11 @@ def judge(docs: DataFrame, keep=("doc_id",), name: str = "quality", **options) -
 
 def op10(spark, sf_dir: str) -> DataFrame:
     """Query: base rules, perplexity and verdict of every document."""
-    got = judge(table(spark, sf_dir, "documents"))
+    got = judge(table(spark, sf_dir, "documents"), files=True)
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "model", "bits", "low", "high")
 
 
-def quality_filter(docs: DataFrame, **options) -> DataFrame:
+def quality_filter(docs: DataFrame, files: bool = False, **options) -> DataFrame:
     """The documents that are kept; columns as before, whatever their names."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text", "lang")
-    return judge(rows, keep=("row",), name="quality-docs", **options).filter("kept").select("row.*")
+    return judge(rows, keep=("row",), files=files, **options).filter("kept").select("row.*")
