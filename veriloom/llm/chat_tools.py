@@ -2,9 +2,10 @@
 
 Calls and results meet in a hash join on conversation and call identifier, each side reduced to one row an identifier
 before. Arguments are parsed, held against the tool's schema and written as canonical JSON (sorted keys, no blanks).
-Calls are ordered topologically by what they come after. A transcript where every call stands behind those that it
-needs is in such an order already, which one join finds out; only conversations with a backward need are peeled
-level by level. The result has a row for each call, so that a conversation of any length never meets in one row.
+Calls are ordered topologically by what they come after: every call has a level, one more than the highest level that
+it needs. Chains of calls that need one other each are followed by pointer doubling, in as many rounds as the length
+of the longest has binary digits; what is left, calls that need several, is peeled level by level. The result has a
+row for each call, so that a conversation of any length never meets in one row.
 """
 
 from __future__ import annotations
@@ -41,29 +42,48 @@ def argument_errors(arguments: Column, fields: Column) -> Column:
     return F.when(fields.isNull(), F.array(F.lit("no_schema"))).when(parsed.isNull(), F.array(F.lit("not_an_object"))).otherwise(found)
 
 
-def _levels(calls: DataFrame, most: int = 10_000) -> DataFrame:
-    """conv_id, id and level of the calls of conversations with a call that stands before one that it comes after.
+def call_levels(calls: DataFrame) -> DataFrame:
+    """conv_id, id and level of calls with conv_id, id and after (ids), each id once in a conversation.
 
-    Level 0 needs nothing, level n + 1 something of level n. Calls in a circle, and what needs them, have level -1.
+    Level 0 needs nothing that is there; other calls are one above the highest that they need. Calls in a circle, and
+    what needs them, have level -1. Needs that name no call of the conversation don't count.
     """
-    needs = calls.select("conv_id", "id", F.explode("after").alias("need"))
-    known = calls.select("conv_id", F.col("id").alias("need"), F.struct("turn", "idx").alias("there"))
-    edges = needs.join(calls.select("conv_id", "id", F.struct("turn", "idx").alias("here")), ["conv_id", "id"]).join(known, ["conv_id", "need"])
-    back = save(edges.filter("there >= here").select("conv_id").distinct(), "chat-back")
-    none = calls.select("conv_id", "id").limit(0).withColumn("level", F.lit(0))
-    if back.isEmpty():
-        return none
-    open_ = save(calls.select("conv_id", "id").join(back, "conv_id", "left_semi"), "chat-open")
-    left = save(edges.select("conv_id", "id", "need").distinct().join(back, "conv_id", "left_semi"), "chat-needs")
-    out = none
-    for level in range(most):
-        free = save(open_.join(left, ["conv_id", "id"], "left_anti"), "chat-free")
-        if free.isEmpty():
+    own = calls.select("conv_id", "id")
+    named = calls.select("conv_id", "id", F.explode(F.array_distinct("after")).alias("need")).filter("need is not null")
+    edges = save(named.join(own.withColumnRenamed("id", "need"), ["conv_id", "need"], "left_semi").select("conv_id", "id", "need"), "chat-needs")
+    degree = edges.groupBy("conv_id", "id").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("need"))
+    # every call points to what stands so many steps before it, until that is a call that needs none or several
+    kinds = own.join(degree, ["conv_id", "id"], "left").select("conv_id", "id", F.coalesce("n", F.lit(0)).alias("n"), "need")
+    jump = save(kinds.select("conv_id", "id", "n", F.when(F.col("n") == 1, F.col("need")).otherwise(F.col("id")).alias("to"), F.when(F.col("n") == 1, 1).otherwise(0).cast("long").alias("steps")), "chat-jumps")
+    size = 1
+    count = jump.filter("n = 1").count()
+    while size < count:  # no chain is longer than there are calls in it
+        there = jump.select("conv_id", F.col("id").alias("to"), F.col("to").alias("to2"), F.col("steps").alias("more"))
+        further = save(jump.join(there, ["conv_id", "to"]).select("conv_id", "id", "n", F.col("to2").alias("to"), (F.col("steps") + F.col("more")).alias("steps"), (F.col("to2") != F.col("to")).alias("moved")), "chat-jumps")
+        jump, size = further.drop("moved"), 2 * size
+        if further.filter("moved").isEmpty():
             break
-        out = out.unionByName(free.withColumn("level", F.lit(level)))
-        open_ = save(open_.join(free, ["conv_id", "id"], "left_anti"), "chat-open")
-        left = save(left.join(free.withColumnRenamed("id", "need"), ["conv_id", "need"], "left_anti").select("conv_id", "id", "need"), "chat-needs")
-    return out.unionByName(open_.withColumn("level", F.lit(-1)))
+    # pointers that still stand on a call that needs one other are in a circle, or lead into one
+    ends = jump.select("conv_id", F.col("id").alias("to"), F.col("n").alias("kind"))
+    jump = save(jump.join(ends, ["conv_id", "to"]).filter("kind <> 1").select("conv_id", "id", "n", "to", "steps"), "chat-jumps")
+    done = jump.filter("n = 0").select("conv_id", "id", F.lit(0).cast("long").alias("level"))
+    waits = jump.filter("n > 1").select("conv_id", "id")
+    if not waits.isEmpty():
+        # needs of what needs several, each as a call that needs none or several and the steps from there
+        far = jump.select("conv_id", F.col("id").alias("need"), "to", "steps")
+        left = save(edges.join(waits, ["conv_id", "id"]).join(far, ["conv_id", "need"], "left").select("conv_id", "id", "to", (F.col("steps") + 1).alias("steps")), "chat-left")
+        done = save(done, "chat-levels")
+        while True:
+            open_ = left.join(done.select("conv_id", F.col("id").alias("to"), "level"), ["conv_id", "to"], "left")
+            free = open_.groupBy("conv_id", "id").agg(F.count(F.lit(1)).alias("all"), F.count("level").alias("known"), F.max(F.col("level") + F.col("steps")).alias("level")).filter("all = known").select("conv_id", "id", "level")
+            free = save(free, "chat-free")
+            if free.isEmpty():
+                break
+            done = save(done.unionByName(free), "chat-levels")
+            left = save(left.join(free, ["conv_id", "id"], "left_anti"), "chat-left")
+    roots = done.select("conv_id", F.col("id").alias("to"), F.col("level").alias("base"))
+    known = jump.join(roots, ["conv_id", "to"]).select("conv_id", "id", (F.col("base") + F.col("steps")).alias("level"))
+    return own.join(known, ["conv_id", "id"], "left").select("conv_id", "id", F.coalesce("level", F.lit(-1)).alias("level"))
 
 
 def link_calls(messages: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -71,8 +91,8 @@ def link_calls(messages: DataFrame, schemas: DataFrame) -> DataFrame:
 
     calls is an array of id, name, arguments (JSON text) and after (ids); result_of the id that a message answers,
     content the answer. Returns conv_id, id, status (linked, open_call, lost_result), n_calls and n_results with
-    that id, call_turn, result_turn, level and call_turn as the topological order within the conversation (level is 0
-    where the transcript is in such an order; -1 in circles), errors, valid, json.
+    that id, call_turn, result_turn, level (level and then call_turn are a topological order within the conversation;
+    -1 in circles and behind them), errors, valid, json.
 
     Of several calls or results of one id, the first by turn counts (ties: by place, then value). Calls and results
     without id or conv_id are never linked and keep rows of their own. Invalid JSON is an error, and stays in
@@ -89,22 +109,23 @@ def link_calls(messages: DataFrame, schemas: DataFrame) -> DataFrame:
     results = answers.filter(named).groupBy("conv_id", "id").agg(pick(["result_turn", "result"]), F.count(F.lit(1)).alias("n_results")).select("conv_id", "id", "n_results", "x.*")
     results = results.unionByName(answers.filter(~named).withColumn("n_results", F.lit(1).cast("long")).select(*results.columns))
     both = calls.join(results, ["conv_id", "id"], "full_outer")
-    both = both.join(schemas, "name", "left").join(_levels(calls.filter(named)), ["conv_id", "id"], "left")
+    both = both.join(schemas, "name", "left").join(call_levels(calls.filter(named)), ["conv_id", "id"], "left")
     errors = F.when(F.col("n_calls").isNotNull(), argument_errors(F.col("arguments"), F.col("fields"))).otherwise(F.array().cast("array<string>"))
     status = F.when(F.col("n_calls").isNull(), "lost_result").when(F.col("n_results").isNull(), "open_call").otherwise("linked")
     said = F.coalesce(F.try_parse_json("arguments"), F.try_parse_json(F.to_json(F.struct(F.col("arguments").alias("text")))))
     record = F.to_json(F.struct("after", F.when(F.col("arguments").isNotNull(), said).alias("arguments"), "id", "name", "result"))
     count = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-    rows = both.select("conv_id", "id", status.alias("status"), count("n_calls"), count("n_results"), F.col("turn").alias("call_turn"), "result_turn", F.coalesce("level", F.lit(0)).alias("level"), errors.alias("errors"), canonical(record).alias("json"))
+    rows = both.select("conv_id", "id", status.alias("status"), count("n_calls"), count("n_results"), F.col("turn").alias("call_turn"), "result_turn", F.coalesce("level", F.lit(0)).cast("long").alias("level"), errors.alias("errors"), canonical(record).alias("json"))
     return rows.withColumn("valid", (F.col("status") != "lost_result") & (F.size("errors") == 0))
 
 
 def as_messages(turns: DataFrame) -> DataFrame:
-    """Turns of chats as calls and results: a user's turn calls the tool `reply` after the user's turn two before it;
-    an assistant's turn is the result of the turn before it; others are plain messages, results of nothing."""
+    """Turns of chats as calls and results. A user's turn calls the tool `reply`. Of two user's turns in a row, the
+    first waits for the second, and the second comes after the last pair's; so needs run backwards and forwards. An
+    assistant's turn is the result of the turn before it; others are plain messages, results of nothing."""
     name = lambda back: F.concat_ws("-", F.col("conv_id").cast("string"), (F.col("turn") - back).cast("string"))
     known = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
-    call = F.struct(F.when(known, name(0)).alias("id"), F.lit("reply").alias("name"), F.to_json(F.struct(F.col("text").alias("prompt"), "turn")).alias("arguments"), F.when(known & (F.col("turn") >= 2), F.array(name(2))).otherwise(F.array().cast("array<string>")).alias("after"))
+    call = F.struct(F.when(known, name(0)).alias("id"), F.lit("reply").alias("name"), F.to_json(F.struct(F.col("text").alias("prompt"), "turn")).alias("arguments"), F.when(known & (F.col("turn") % 4 < 2), F.array(name(-2))).when(known & (F.col("turn") >= 4), F.array(name(4))).otherwise(F.array().cast("array<string>")).alias("after"))
     calls = F.when(F.col("role") == "user", F.array(call)).otherwise(F.array().cast(f"array<{'struct<id:string,name:string,arguments:string,after:array<string>>'}>"))
     return turns.select("conv_id", "turn", calls.alias("calls"), F.when(known & (F.col("role") == "assistant"), name(1)).alias("result_of"), F.when(F.coalesce(F.col("role") != "user", F.lit(True)), F.coalesce("text", F.lit(""))).alias("content"))
 
@@ -130,18 +151,27 @@ WITH c AS (
   FROM conversations WHERE role = 'assistant' GROUP BY ALL
   UNION ALL
   SELECT conv_id, NULL, turn, 1, coalesce(text, '') FROM conversations WHERE role NOT IN ('user', 'assistant') OR role IS NULL
+), steps AS (
+  SELECT *, turn - 4 * row_number() OVER (PARTITION BY conv_id, turn % 4 ORDER BY turn) AS island
+  FROM (SELECT DISTINCT conv_id, turn FROM conversations WHERE role = 'user' AND turn % 4 >= 2)
+), second AS (
+  SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn % 4, island ORDER BY turn) - 1 AS level FROM steps
+), levels AS (
+  SELECT conv_id, turn, level FROM second
+  UNION ALL
+  SELECT c.conv_id, c.call_turn, coalesce(s.level + 1, 0) FROM c LEFT JOIN second s ON s.conv_id = c.conv_id AND s.turn = c.call_turn + 2 WHERE c.call_turn % 4 < 2
 ), b AS (
   SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.id, r.id) AS id, call_turn, n_calls, arguments, result_turn, n_results, result
   FROM c FULL OUTER JOIN r ON c.conv_id = r.conv_id AND c.id = r.id
 )
-SELECT conv_id, id,
+SELECT b.conv_id, id,
   CASE WHEN n_calls IS NULL THEN 'lost_result' WHEN n_results IS NULL THEN 'open_call' ELSE 'linked' END AS status,
-  coalesce(n_calls, 0)::BIGINT AS n_calls, coalesce(n_results, 0)::BIGINT AS n_results, call_turn, result_turn, 0::BIGINT AS level,
+  coalesce(n_calls, 0)::BIGINT AS n_calls, coalesce(n_results, 0)::BIGINT AS n_results, call_turn, result_turn, coalesce(l.level, 0)::BIGINT AS level,
   CASE WHEN n_calls IS NOT NULL AND NOT contains(arguments, '"prompt"') THEN 'missing:prompt' ELSE '' END AS errors,
   n_calls IS NOT NULL AND contains(arguments, '"prompt"') AS valid,
   '{' || array_to_string(list_filter([
-    CASE WHEN n_calls IS NOT NULL THEN '"after":[' || CASE WHEN call_turn >= 2 THEN to_json(concat(conv_id, '-', call_turn - 2))::VARCHAR ELSE '' END || ']' END,
+    CASE WHEN n_calls IS NOT NULL THEN '"after":[' || CASE WHEN call_turn % 4 < 2 THEN to_json(concat(b.conv_id, '-', call_turn + 2))::VARCHAR WHEN call_turn >= 4 THEN to_json(concat(b.conv_id, '-', call_turn - 4))::VARCHAR ELSE '' END || ']' END,
     '"arguments":' || arguments, '"id":' || to_json(id)::VARCHAR, CASE WHEN n_calls IS NOT NULL THEN '"name":"reply"' END,
     '"result":' || to_json(result)::VARCHAR], lambda x: x IS NOT NULL AND x <> '"id":null'), ',') || '}' AS json
-FROM b
+FROM b LEFT JOIN levels l ON l.conv_id = b.conv_id AND l.turn = b.call_turn
 """
