@@ -1,5 +1,6 @@
 import random
 
+import __spark_entry__
 import corpus_pipeline
 from veriloom.llm.lsh_forest import drop_near_duplicates, near_duplicates, shingles
 
@@ -43,6 +44,27 @@ def test_against_all_pairs(spark):
     assert got == brute(docs)
 
 
+def test_dense_regions_are_cut(spark):
+    random.seed(17)
+    base, docs = [f"t{i}" for i in range(100)], []
+    for k in range(150):  # a template: similarity about 0.65 to each other, and one of them with a near copy now and then
+        x = base + [f"own{k}w{i}" for i in range(24)]
+        docs.append((len(docs), " ".join(x)))
+        if k % 5 == 0:
+            docs.append((len(docs), " ".join([*x[:-1], "changed"])))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    wanted = brute(docs)
+    assert sum(i != c for i, (_, c) in wanted.items()) == 30
+    for dense in (500, 1 << 18):
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(df, dense=dense).collect()} == wanted
+
+
+def test_query(spark, data):
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in __spark_entry__.queries()["op6_lsh_forest"](spark, data).collect()}
+    assert got == brute(docs)
+
+
 def test_shingles_are_sets_of_the_contract():
     for t in ("", "a", "a b c d", "A b c d e", "a b c d e f a b c d e f", "é x y"):
         assert len(shingles(t)) == len(words(t))

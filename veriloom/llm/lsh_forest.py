@@ -11,10 +11,11 @@ orders, tree t from hash 8 * t on and around. The documents that agree in a tree
    region's largest component is held against all vertices of other components, in one join whose condition compares
    signatures, and full sets of up to SMALL shingles, so that only pairs that may reach the threshold come out, once
    for all trees; they are confirmed on full sets, and the components are joined. Groups of copies, of one component
-   by now, cost nothing here.
+   by now, cost nothing here. The depth of a region adapts to what it holds: one that would compare more than DENSE
+   pairs (texts of one template, alike but below the threshold) is cut by the tree's next two hashes, and again.
 
-A pair of similarity 0.85 shares a region with odds 1 - (1 - 0.85**4)**16 = 0.99999; the signature test gives
-away four standard deviations.
+A pair of similarity 0.85 shares a region with odds 1 - (1 - 0.85**4)**16 = 0.99999, in regions cut once with
+1 - (1 - 0.85**6)**16 = 0.9995 and cut twice with 0.994; the signature test gives away four standard deviations.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ HASHES, TREES, WORDS = 128, 16, 5
 LONGS = HASHES // 4  # four hashes of 16 bits each
 LANES = (0xFFFF, 0xFFFF << 16, 0xFFFF << 32, -1 << 48)
 COARSE = 4  # words that hold two bits of each hash
+DEPTHS = (6, 8)  # hashes that dense regions are cut by
+DENSE = 1 << 18  # pairs of one region that are compared directly
 SMALL = 512  # sets of so many shingles at most are compared in full within the join itself
 
 STORE = 100_000  # words whose hashes a task remembers
@@ -146,7 +149,33 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(_linked(F.col("set_a"), F.col("set_b"), percent)).drop("set_a", "set_b")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, reach: int = 2) -> DataFrame:
+def _regions(named: DataFrame, sigs: DataFrame, dense: int) -> DataFrame:
+    """tree, key, vertex, component and main (the region's largest component) of the regions that hold several.
+
+    named has tree, key, vertex and component, one row for each tree of a vertex. Regions with more than `dense` pairs
+    to compare are cut by further hashes, as deep as DEPTHS go; key is a hash of the path then.
+    """
+    done, now = None, named
+    for depth in (*DEPTHS, None):
+        parts = now.groupBy("tree", "key", "component").agg(F.count(F.lit(1)).alias("n"))
+        sizes = parts.groupBy("tree", "key").agg(F.max(F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("all")).filter("kinds > 1")
+        sizes = sizes.select("tree", "key", F.col("main.component").alias("main"), ((F.col("all") - F.col("main.n")) * F.col("all")).alias("pairs"))
+        rows = save(now.join(sizes, ["tree", "key"]), "regions")
+        if depth is None:
+            kept = rows
+        else:
+            kept, crowded = rows.filter(F.col("pairs") <= dense), rows.filter(F.col("pairs") > dense)
+        kept = kept.select("tree", "key", "vertex", "component", "main")
+        done = kept if done is None else done.unionByName(kept)
+        if depth is None or crowded.isEmpty():
+            return done
+        # a tree's hashes stand four in a word, from word 2 * tree on
+        word = F.element_at("sig", F.pmod(2 * F.col("tree") + (depth - 1) // 4, F.lit(LONGS)).cast("int") + 1)
+        two = word.bitwiseAND(F.lit((1 << 16 * (depth % 4)) - 1)) if depth % 4 else word
+        now = crowded.drop("main", "pairs").join(sigs, "vertex").select("tree", F.xxhash64("key", F.lit(depth), two).alias("key"), "vertex", "component")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, reach: int = 2, dense: int = DENSE) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of a table with doc_id (a long) and text.
 
     Links are pairs with 100 * intersection >= percent * union of their shingle sets. component_id is the least
@@ -166,7 +195,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, reach: int = 2) -> DataF
     keys = same.select("vertex", roots.alias("at")).select("vertex", "at.*")
     shared = keys.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = keys.join(shared.drop("n"), ["tree", "key"])
-    members = save(members.join(same.select("vertex", "sig", "coarse"), "vertex"), "regions")
+    members = save(members.join(same.select("vertex", "sig"), "vertex"), "members")
 
     turned = F.slice(F.concat("sig", "sig"), 2 * F.col("tree") + 1, LONGS)
     ordered = members.withColumn("turned", turned).repartitionByRange("tree", "key", "turned", "vertex").sortWithinPartitions("tree", "key", "turned", "vertex").select("tree", "key", "vertex", "sig")
@@ -181,18 +210,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85, reach: int = 2) -> DataF
     first = components(links)
 
     # links between components
-    named = members.join(first, members["vertex"] == first["id"], "left").select("tree", "key", "vertex", "sig", *[F.element_at("coarse", k + 1).alias(f"c{k}") for k in range(COARSE)], F.coalesce("component", "vertex").alias("component"))
-    named = save(named, "named")
-    parts = named.groupBy("tree", "key", "component").agg(F.count(F.lit(1)).alias("n"))
-    mixed = parts.groupBy("tree", "key").agg(F.max(F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("tree", "key", F.col("main.component").alias("main"))
+    named = members.join(first, members["vertex"] == first["id"], "left").select("tree", "key", "vertex", F.coalesce("component", "vertex").alias("component"))
+    inside = _regions(named, same.select("vertex", "sig"), dense)
+    paths = inside.groupBy("vertex").agg(F.array_sort(F.collect_list(F.struct("tree", "key"))).alias("paths"))
     small = sets.filter(F.size("set") <= SMALL).withColumnRenamed("set", "small")
-    inside = save(named.join(mixed, ["tree", "key"]).join(small, "vertex", "left"), "mixed")
+    coarse_words = [F.element_at("coarse", k + 1).alias(f"c{k}") for k in range(COARSE)]
+    inside = save(inside.join(paths, "vertex").join(same.select("vertex", "sig", *coarse_words), "vertex").join(small, "vertex", "left"), "mixed")
     a, b = inside.filter("component <> main").alias("a"), inside.alias("b")
     once = (F.col("b.component") == F.col("b.main")) | (F.col("a.vertex") < F.col("b.vertex"))
-    roots_of = lambda x: F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.element_at(x, 2 * t + 1))
-    agree_at = F.array_position(F.zip_with(roots_of("a.sig"), roots_of("b.sig"), lambda x, y: x == y), True)
+    first_tree = F.try_element_at(F.array_intersect("a.paths", "b.paths"), F.lit(1)).getField("tree")
     flips = sum((F.bit_count(F.col(f"a.c{k}").bitwiseXOR(F.col(f"b.c{k}"))) for k in range(COARSE)), F.lit(0))
-    condition = (F.col("a.tree") == F.col("b.tree")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & once & (flips <= most) & (_agreement(F.col("a.sig"), F.col("b.sig")) >= least) & (agree_at == F.col("a.tree") + 1)
+    condition = (F.col("a.tree") == F.col("b.tree")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & once & (flips <= most) & (_agreement(F.col("a.sig"), F.col("b.sig")) >= least) & (first_tree == F.col("a.tree"))
     condition &= F.coalesce(_linked(F.col("a.small"), F.col("b.small"), percent), F.lit(True))
     across = save(a.join(b, condition).select(F.col("a.vertex").alias("a"), F.col("b.vertex").alias("b"), F.col("a.component").alias("ca"), F.col("b.component").alias("cb")), "across")
     more = save(_confirmed(across, sets, percent), "more-links")
