@@ -62,8 +62,6 @@ query("z39_comparators", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN
     lambda t: t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (F.abs(C("l_extendedprice") - F.when(C("l_linenumber") > 1, F.round("l_extendedprice", 0))) <= 0.005).alias("out")))
 query("z47_tolerant_json", """SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events""")(lambda t: t("events").select("event_id", F.get_json_object("props", "$.k").try_cast("long").alias("k")))
 query("z54_cube", "SELECT event_type, user_id % 3 AS tier, round(avg(value), 6) AS mean FROM events GROUP BY CUBE (event_type, user_id % 3)")(lambda t: t("events").withColumn("tier", C("user_id") % 3).cube("event_type", "tier").agg(F.round(F.avg("value"), 6).alias("mean")))
-query("z56_ablation", "SELECT r_name AS off, count(*) AS n FROM region, nation WHERE n_regionkey <> r_regionkey GROUP BY r_name")(
-    lambda t: t("region").join(t("nation"), C("n_regionkey") != C("r_regionkey")).groupBy(C("r_name").alias("off")).agg(F.count(F.lit(1)).alias("n")))
 query("z59_parity", "SELECT max(abs(l_extendedprice * (1 - l_discount) - (l_extendedprice - l_extendedprice * l_discount))) <= 0.02 AS within FROM lineitem")(
     lambda t: t("lineitem").agg((F.max(F.abs(C("l_extendedprice") * (1 - C("l_discount")) - (C("l_extendedprice") - C("l_extendedprice") * C("l_discount")))) <= 0.02).alias("within")))
 query("z68_checks_header", "SELECT user_id, array_to_string(list_sort(list(DISTINCT event_type || '=' || CASE WHEN event_type = 'error' THEN 'fail' ELSE 'pass' END)), ';') AS out FROM events GROUP BY user_id")(
