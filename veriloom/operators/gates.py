@@ -146,3 +146,17 @@ def blocked_claims(docs: DataFrame, pattern: str, back: int = 120, cues: str = r
     at = F.length(F.regexp_extract("text", f"^(.*?)(?:{pattern})", 1))
     before = F.substring(F.col("text"), F.greatest(at - back + 1, F.lit(1)), F.least(at, F.lit(back)))
     return lines.filter(F.col("text").rlike(pattern)).filter(~before.rlike(cues)).select("doc_id", "line")
+
+
+#: Words that say that a notice replaces another.
+AMENDED = ("amended", "amendment", "corrigendum", "revised")
+
+
+def amended(c: Column, words=AMENDED) -> Column:
+    """Whether a filing's text says that it amends another."""
+    return F.lower(c).rlike(r"\b(?:" + "|".join(words) + r")\b")
+
+
+def authority_demand(c: Column, authority: str, demands, disclaimer: str) -> Column:
+    """Whether a text speaks for an authority and demands something, without disclaiming it."""
+    return c.rlike(authority) & (count_of(c, demands) > 0) & ~F.lower(c).rlike(disclaimer)

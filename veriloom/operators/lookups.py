@@ -180,3 +180,30 @@ def lookalikes(hosts: DataFrame, key: str, label: str, known: DataFrame, edits:
 def priority(rows: DataFrame, key: str, rank: str, value: str) -> DataFrame:
     """The value of the lowest rank of each key."""
     return rows.groupBy(key).agg(F.min_by(value, rank).alias(value))
+
+
+def seen_with(sightings: DataFrame, type_a: str, type_b: str) -> DataFrame:
+    """Values of one type and those of another that were seen in one observation, with the number of observations.
+
+    sightings has obs, type, value; both sides meet by the observation, each value once.
+    """
+    a = sightings.filter(F.col("type") == type_a).select("obs", "value").distinct()
+    b = sightings.filter(F.col("type") == type_b).select("obs", F.col("value").alias("with_value")).distinct()
+    return a.join(b, "obs").groupBy("value", "with_value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def by_prefix(rows: DataFrame, code: str, listed: DataFrame, prefix: str, size: int) -> DataFrame:
+    """Rows with the columns of the entry whose prefix begins their code; entries have distinct prefixes of one size."""
+    return rows.join(listed, F.upper(F.substring(F.trim(code), 1, size)) == F.upper(prefix), "left").drop(prefix)
+
+
+def feed_agreement(rows: DataFrame, key: str, host: str, flagged: DataFrame, feeds: int) -> DataFrame:
+    """How many feeds flag a host, which, and the confidence that their number gives; unknown hosts have none.
+
+    flagged has host and feed. Half is given for one hit, the other half by the share of all feeds.
+    """
+    named = flagged.groupBy(F.col("host").alias("_h")).agg(F.array_sort(F.collect_set("feed")).alias("named"))
+    both = rows.join(named, F.col(host) == F.col("_h"), "left")
+    n = F.coalesce(F.size("named"), F.lit(0))
+    n = F.when(F.col("named").isNull(), 0).otherwise(n)
+    return both.select(key, n.alias("feeds"), F.coalesce("named", F.array().cast("array<string>")).alias("named"), F.round(F.when(n > 0, 0.5 + 0.5 * n / feeds).otherwise(0.0), 4).alias("confidence"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -81,15 +83,35 @@ def measures(df: DataFrame, p: str = "p", y: str = "y", rate: float = 0.01) -> D
 
 
 def bootstrap_mcc(df: DataFrame, got: str, y: str, rounds: int = 200, seed: int = 42) -> DataFrame:
-    """5th, 50th and 95th percentile of the correlation coefficient over Poisson resamples of the four cells."""
+    """5th, 50th and 95th percentile of the correlation coefficient over Poisson resamples.
+
+    In a Poisson bootstrap every row counts Poisson(1) times, so that a cell of n rows counts Poisson(n) times: drawing
+    the four cells is the same thing, whatever the number of rows.
+    """
     cells = df.agg(F.count_if((F.col(got) == 1) & (F.col(y) == 1)).alias("tp"), F.count_if((F.col(got) == 1) & (F.col(y) == 0)).alias("fp"), F.count_if((F.col(got) == 0) & (F.col(y) == 1)).alias("fn"), F.count_if((F.col(got) == 0) & (F.col(y) == 0)).alias("tn"))
-    noisy = lambda c, k: F.greatest(F.lit(0.0), F.col(c) + F.sqrt(F.col(c)) * F.randn(seed + k))
+
+    @F.pandas_udf("double")
+    def drawn(n: pd.Series, i: pd.Series, cell: pd.Series) -> pd.Series:
+        return pd.Series([float(np.random.default_rng((seed, r, k)).poisson(m)) for m, r, k in zip(n, i, cell, strict=True)])
+
     from veriloom.operators.scoring import mcc
 
-    draws = cells.select(F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("i"), "tp", "fp", "fn", "tn").select("i", *[noisy(c, k).alias(c) for k, c in enumerate(("tp", "fp", "fn", "tn"))])
-    m = draws.select(mcc(F.col("tp"), F.col("fp"), F.col("fn"), F.col("tn")).alias("m"))
+    names = ("tp", "fp", "fn", "tn")
+    draws = cells.select(F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("i"), *names).select("i", *[drawn(F.col(c), F.col("i"), F.lit(k)).alias(c) for k, c in enumerate(names)])
+    m = draws.select(mcc(*[F.col(c) for c in names]).alias("m"))
     return m.agg(F.percentile("m", F.lit(0.05)).alias("low"), F.percentile("m", F.lit(0.5)).alias("mid"), F.percentile("m", F.lit(0.95)).alias("high"))
 
 
 def folds(df: DataFrame, group: Column, k: int = 5, seed: int = 42) -> DataFrame:
     return df.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), group), F.lit(k)).cast("int"))
+
+
+def parity(left: DataFrame, right: DataFrame, key: str, measures_: list[str], tolerance: float = 0.02) -> DataFrame:
+    """Two implementations' measures side by side: how many keys were compared, how many either side lacks, the
+    greatest difference, and whether it is within the tolerance."""
+    a = left.select(F.col(key).alias("_k"), F.struct(*measures_).alias("a"))
+    b = right.select(F.col(key).alias("_l"), F.struct(*measures_).alias("b"))
+    both = a.join(b, F.col("_k") == F.col("_l"), "full_outer")
+    each = both.select(F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(f"a.{m}").cast("double").alias("x"), F.col(f"b.{m}").cast("double").alias("y")) for m in measures_])).alias("e")).select("e.*")
+    gap = F.max(F.abs(F.col("x") - F.col("y")))
+    return each.groupBy("measure").agg(F.count_if(F.col("x").isNotNull() & F.col("y").isNotNull()).alias("compared"), F.count_if(F.col("x").isNull()).alias("lost_left"), F.count_if(F.col("y").isNull()).alias("lost_right"), gap.alias("most"), (F.coalesce(gap, F.lit(0.0)) <= tolerance).alias("within"))

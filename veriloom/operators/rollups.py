@@ -30,8 +30,11 @@ def insert_new(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def update(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Old rows with the columns of the new row of their key, where there is one and it states them."""
-    n = new.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_{c}") for c in columns])
+    """Old rows with the columns of the new row of their key, where there is one and it states them.
+
+    Of several new rows with one key, the least by the columns counts; old rows are never multiplied.
+    """
+    n = latest(new, [key], [F.col(c).asc_nulls_last() for c in columns]).select(F.col(key).alias("_k"), *[F.col(c).alias(f"_{c}") for c in columns])
     both = old.join(n, F.col(key) == F.col("_k"), "left")
     return both.select(*[F.coalesce(f"_{c}", c).alias(c) if c in columns else F.col(c) for c in old.columns])
 
@@ -48,3 +51,10 @@ def confusion(rows: DataFrame, expected: str, got: str, classes: list) -> DataFr
     hit, said = F.col(expected) == F.col("class"), F.col(got) == F.col("class")
     total = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0)).cast("long")
     return each.groupBy("class").agg(total(hit & said).alias("tp"), total(~hit & said).alias("fp"), total(hit & ~said).alias("fn"))
+
+
+def vote(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """The value that most rows of a key have (ties: the least), its votes, all votes, and whether it has the majority."""
+    n = rows.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("votes"))
+    best = n.groupBy(key).agg(F.min(F.struct((-F.col("votes")).alias("less"), F.col(value).alias("value"))).alias("b"), F.sum("votes").alias("all_votes"))
+    return best.select(key, "b.value", (-F.col("b.less")).alias("votes"), "all_votes", (-2 * F.col("b.less") > F.col("all_votes")).alias("agreed"))

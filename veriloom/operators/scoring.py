@@ -41,14 +41,15 @@ def fuse(signals: DataFrame) -> DataFrame:
     """Verdict of each content from rows of content_id, name, score, available: unavailable signals leave both sums.
 
     A signed match in the register (name `registry`, score 1) holds the score under 0.3. driver is the signal with
-    the greatest weighted score (ties: the first by name).
+    the greatest weighted score (ties: the first in the order of the weights).
     """
     w = choose(F.col("name"), FUSION, 0.0)
     live = F.col("available") & (w > 0)
     total = F.sum(F.when(live, w))
     mean = F.coalesce(F.try_divide(F.sum(F.when(live, w * F.col("score"))), total), F.lit(0.0))
     signed = F.max((F.col("name") == "registry") & F.col("available") & (F.col("score") >= 1))
-    driver = F.max_by(F.when(live, F.col("name")), F.when(live, F.struct((w * F.col("score")).alias("s"), F.col("name"))))
+    place = choose(F.col("name"), {n: i for i, n in enumerate(FUSION)}, len(FUSION))
+    driver = F.min_by(F.when(live, F.col("name")), F.when(live, F.struct((-w * F.col("score")).alias("s"), place.alias("place"))))
     got = signals.groupBy("content_id").agg(mean.alias("mean"), signed.alias("signed"), driver.alias("driver"), F.count_if(live).alias("n_live"))
     score = F.round(clamp(F.when(F.col("signed"), F.least("mean", F.lit(0.29))).otherwise(F.col("mean")), 0.0, 1.0), 4)
     return got.select("content_id", score.alias("score"), band(score).alias("band"), "driver", "n_live")
@@ -159,3 +160,8 @@ def preflight(codes: Column) -> Column:
     """The gravest of the codes that fired, by the fixed order; L0 if none."""
     ranks = F.transform(codes, lambda c: F.array_position(F.array(*map(F.lit, PREFLIGHT)), c))
     return F.coalesce(F.element_at(F.array(*map(F.lit, PREFLIGHT)), F.array_min(F.filter(ranks, lambda r: r > 0)).cast("int")), F.lit("L0"))
+
+
+def capped(score: Column, caps: list[tuple[Column, int]]) -> Column:
+    """A score held under the least cap whose condition holds."""
+    return F.least(score, *[F.when(test, cap) for test, cap in caps])

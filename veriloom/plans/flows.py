@@ -62,8 +62,8 @@ query("z39_comparators", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN
     lambda t: t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (F.abs(C("l_extendedprice") - F.when(C("l_linenumber") > 1, F.round("l_extendedprice", 0))) <= 0.005).alias("out")))
 query("z47_tolerant_json", """SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events""")(lambda t: t("events").select("event_id", F.get_json_object("props", "$.k").try_cast("long").alias("k")))
 query("z54_cube", "SELECT event_type, user_id % 3 AS tier, round(avg(value), 6) AS mean FROM events GROUP BY CUBE (event_type, user_id % 3)")(lambda t: t("events").withColumn("tier", C("user_id") % 3).cube("event_type", "tier").agg(F.round(F.avg("value"), 6).alias("mean")))
-query("z59_parity", "SELECT max(abs(l_extendedprice * (1 - l_discount) - (l_extendedprice - l_extendedprice * l_discount))) <= 0.02 AS within FROM lineitem")(
-    lambda t: t("lineitem").agg((F.max(F.abs(C("l_extendedprice") * (1 - C("l_discount")) - (C("l_extendedprice") - C("l_extendedprice") * C("l_discount")))) <= 0.02).alias("within")))
+query("z59_parity", "WITH a AS (SELECT l_partkey AS k, avg(l_extendedprice / l_quantity) AS price, count(*)::DOUBLE AS n FROM lineitem WHERE l_discount > 0 GROUP BY 1), b AS (SELECT p_partkey AS k, p_retailprice AS price, 1.0::DOUBLE AS n FROM part), j AS (SELECT a.price AS ap, b.price AS bp, a.n AS an, b.n AS bn FROM a FULL JOIN b USING (k)) SELECT 'price' AS measure, count(*) FILTER (ap IS NOT NULL AND bp IS NOT NULL) AS compared, count(*) FILTER (ap IS NULL) AS lost_left, count(*) FILTER (bp IS NULL) AS lost_right, round(max(abs(ap - bp)), 6) AS most, coalesce(max(abs(ap - bp)), 0) <= 0.02 AS within FROM j UNION ALL SELECT 'n', count(*) FILTER (an IS NOT NULL AND bn IS NOT NULL), count(*) FILTER (an IS NULL), count(*) FILTER (bn IS NULL), round(max(abs(an - bn)), 6), coalesce(max(abs(an - bn)), 0) <= 0.02 FROM j")(
+    lambda t: models.parity(t("lineitem").filter("l_discount > 0").groupBy(C("l_partkey").alias("k")).agg(F.avg(C("l_extendedprice") / C("l_quantity")).alias("price"), F.count(F.lit(1)).cast("double").alias("n")), t("part").select(C("p_partkey").alias("k"), C("p_retailprice").alias("price"), F.lit(1.0).alias("n")), "k", ["price", "n"]).withColumn("most", F.round("most", 6)))
 query("z68_checks_header", "SELECT user_id, array_to_string(list_sort(list(DISTINCT event_type || '=' || CASE WHEN event_type = 'error' THEN 'fail' ELSE 'pass' END)), ';') AS out FROM events GROUP BY user_id")(
     lambda t: t("events").groupBy("user_id").agg(F.array_sort(F.collect_set(F.concat("event_type", F.lit("="), F.when(C("event_type") == "error", "fail").otherwise("pass")))).alias("x")).select("user_id", F.array_join("x", ";").alias("out")))
 query("z70_severity_tier", "SELECT l_partkey, max(l_linenumber)::INT AS s, CASE WHEN max(l_linenumber) >= 5 THEN 'critical' WHEN max(l_linenumber) >= 3 THEN 'warning' ELSE 'info' END AS tier FROM lineitem GROUP BY l_partkey")(
@@ -73,8 +73,8 @@ _F = {"host_len": f"length({HOST})", "label_count": f"len(string_split({HOST}, '
 query("m08_host_features", "SELECT page_id, " + ", ".join(f"({v})::DOUBLE AS {k}" for k, v in _F.items()) + " FROM pages")(lambda t: models.with_features(t("pages")).select("page_id", *_F))
 query("m14_linear_score", f"SELECT page_id, round(1 / (1 + exp(-(0.1::DOUBLE + 0.05::DOUBLE * length({HOST}) - 0.4::DOUBLE * len(string_split({HOST}, '.'))))), 6) AS p FROM pages")(
     lambda t: models.with_features(t("pages")).select("page_id", F.round(models.linear_score({"host_len": 0.05, "label_count": -0.4}, 0.1)["p"], 6).alias("p")))
-query("m15_route", "SELECT page_id, CASE WHEN page_id % 100 >= 80 OR page_id % 7 = 0 THEN 'warn' WHEN page_id % 100 < 30 THEN 'allow' ELSE 'escalate' END AS out FROM pages")(
-    lambda t: t("pages").select("page_id", models.route(C("page_id") % 100 / 100, F.when(C("page_id") % 7 == 0, "invalid").otherwise("valid")).alias("out")))
+query("m15_route", f"WITH s AS (SELECT page_id, url, 1 / (1 + exp(-(0.1::DOUBLE + 0.05::DOUBLE * length({HOST}) - 0.4::DOUBLE * len(string_split({HOST}, '.'))))) AS p FROM pages) SELECT page_id, CASE WHEN p >= 0.5 OR contains(url, '.example.org') THEN 'warn' WHEN p < 0.4 AND NOT contains(url, '.example.net') THEN 'allow' ELSE 'escalate' END AS out FROM s")(
+    lambda t: models.with_features(t("pages")).select("page_id", models.route(models.linear_score({"host_len": 0.05, "label_count": -0.4}, 0.1)["p"], F.when(C("url").contains(".example.org"), "invalid").when(C("url").contains(".example.net"), "unverified").otherwise("valid"), 0.4, 0.5).alias("out")))
 query("m16_measures", "WITH s AS (SELECT doc_id, quality AS y, (doc_id % 10) / 10.0::DOUBLE AS p FROM labels), t AS (SELECT p, sum(y) AS pos, count(*) AS n FROM s GROUP BY p), c AS (SELECT *, sum(pos) OVER (ORDER BY p DESC) AS tp, sum(n) OVER (ORDER BY p DESC) AS k FROM t), e AS (SELECT sum(y) AS pp, avg((p - y) * (p - y)) AS brier FROM s) SELECT round(sum(pos / pp * tp / k), 6) AS average_precision, round(max(brier), 6) AS brier FROM c, e")(
     lambda t: models.measures(t("labels").select(C("quality").alias("y"), (C("doc_id") % 10 / 10.0).alias("p"))).select(F.round("average_precision", 6).alias("average_precision"), F.round("brier", 6).alias("brier")))
 
@@ -88,9 +88,10 @@ def _trained(t):
 
 query("m11_logistic")(_trained)
 query("m12_bootstrap")(lambda t: models.bootstrap_mcc(t("labels").select(C("quality").alias("y"), C("toxic").alias("got")), "got", "y"))
-query("m13_folds", "SELECT count(DISTINCT source) AS groups, count(*) AS n FROM documents")(lambda t: models.folds(t("documents"), C("source")).groupBy("fold").agg(F.count_distinct("source").alias("g"), F.count(F.lit(1)).alias("k")).agg(F.sum("g").alias("groups"), F.sum("k").alias("n")))
-query("p01_gateway", "SELECT user_id, count(*) AS n FROM (SELECT DISTINCT user_id, event_id FROM events WHERE event_type = 'purchase') GROUP BY user_id")(
-    lambda t: flows.run_to_table(flows.file_stream(t.spark, f"{t.folder}/events.parquet").filter("event_type = 'purchase'").select("user_id", "event_id")).distinct().groupBy("user_id").agg(F.count(F.lit(1)).alias("n")))
+query("m13_folds", "SELECT source, count(*) AS n, 1::BIGINT AS n_folds, true AS in_range FROM documents GROUP BY source")(
+    lambda t: models.folds(t("documents"), C("source")).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("fold").alias("n_folds"), F.min(C("fold").between(0, 4)).alias("in_range")))
+query("p01_gateway", r"""SELECT doc_id::VARCHAR AS message_id, CASE WHEN f THEN 'FRAUDULENT' ELSE 'GENUINE' END AS verdict, CASE WHEN f THEN '[FRAUD] ' ELSE '' END || coalesce(lang, '') AS subject FROM (SELECT doc_id, lang, contains(lower(text), 'password=') OR regexp_matches(regexp_replace(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}', '', 'g'), '\b[a-zA-Z0-9._-]{2,}@[a-zA-Z]{2,}\b') AS f FROM documents)""")(
+    lambda t: flows.delivered(flows.file_stream(t.spark, f"{t.folder}/documents.parquet").select(C("doc_id").cast("string").alias("message_id"), C("source").alias("sender"), C("lang").alias("subject"), C("text").alias("body")), lambda m: m.select("message_id", F.when(gates.has_ask(C("body"), ("password=",)), "FRAUDULENT").otherwise("GENUINE").alias("verdict"))).select("message_id", "verdict", "subject"))
 query("p03_stream_dedup", "SELECT user_id, event_type FROM events GROUP BY ALL")(
     lambda t: flows.run_to_table(flows.first_seen(flows.with_time(flows.file_stream(t.spark, f"{t.folder}/events.parquet"), "ts", "3650 days"), "user_id", "event_type").select("user_id", "event_type")))
 query("p_tumbling", "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")(
@@ -98,14 +99,15 @@ query("p_tumbling", "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d
 query("p_sessions", "WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 HOUR OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS b FROM events), s AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first, count(*) AS n FROM s GROUP BY user_id, s")(
     lambda t: flows.run_to_table(flows.sessions(flows.with_time(flows.file_stream(t.spark, f"{t.folder}/events.parquet"), "ts", "1 hour"), "ts", "2 hours", "user_id"), "complete").select("user_id", F.date_format("session_window.start", "yyyy-MM-dd HH:mm:ss").alias("first"), "n"))
 query("p02_rate_limited_stream")(lambda t: flows.run_to_table(flows.rate_limited(flows.file_stream(t.spark, f"{t.folder}/events.parquet").select("event_id", "user_id", "ts"), "user_id", "ts", 2, 3600)).select("event_id", "user_id", "accepted"))
-query("k10_stamp", "SELECT c_custkey, 'GENUINE' AS v, 1 AS kept FROM customer")(
-    lambda t: t("customer").select("c_custkey", flows.stamp(F.create_map(F.lit("X-Veriloom-Verdict"), F.lit("FORGED"), F.lit("Subject"), F.col("c_name")), F.lit("GENUINE")).alias("h")).select("c_custkey", F.col("h")["X-Veriloom-Verdict"].alias("v"), (F.size("h") - 1).alias("kept")))
+query("k10_stamp", "SELECT doc_id, CASE WHEN contains(text, 'token = ') THEN 'FRAUDULENT' ELSE 'GENUINE' END AS v, array_to_string(list_sort(list_filter([CASE WHEN lang IS NOT NULL THEN 'Subject=' || lang END, 'X-Other=' || doc_id, CASE WHEN doc_id % 2 = 0 THEN NULL ELSE 'From=' || source END], lambda x: x IS NOT NULL)), ';') AS kept FROM documents")(
+    lambda t: t("documents").select("doc_id", flows.stamp(F.map_filter(F.create_map(F.lit("x-VERILOOM-verdict"), F.lit("forged"), F.lit("Subject"), C("lang"), F.lit("X-Other"), C("doc_id").cast("string"), F.when(C("doc_id") % 2 == 0, "X-Veriloom-Old").otherwise("From"), C("source")), lambda k, v: v.isNotNull()), F.when(C("text").contains("token = "), "FRAUDULENT").otherwise("GENUINE")).alias("h")).select("doc_id", C("h")["X-Veriloom-Verdict"].alias("v"), F.array_join(F.array_sort(F.transform(F.map_entries(F.map_filter("h", lambda k, v: k != "X-Veriloom-Verdict")), lambda e: F.concat(e.key, F.lit("="), e.value))), ";").alias("kept")))
 query("x27_attachment", "SELECT c_custkey, 'file' || c_custkey || '.apk' AS name, '12 MB' AS size FROM customer")(
     lambda t: t("customer").select("c_custkey", entities.attachment(F.concat(F.lit("see file"), C("c_custkey").cast("string"), F.lit(".apk (12 MB)"))).alias("a")).select("c_custkey", "a.name", "a.size"))
-query("f20_amended", "SELECT o_orderkey, o_orderpriority LIKE '%URGENT%' AS out FROM orders")(lambda t: t("orders").select("o_orderkey", C("o_orderpriority").rlike("URGENT").alias("out")))
-query("f22_authority_demand", "SELECT doc_id, contains(text, 'token =') AND NOT regexp_matches(lower(text), '\\bnever\\b') AS out FROM documents")(lambda t: t("documents").select("doc_id", (C("text").contains("token =") & ~F.lower("text").rlike(r"\bnever\b")).alias("out")))
+query("f20_amended", r"SELECT doc_id, regexp_matches(lower(text), '\b(?:amended|amendment|corrigendum|revised|version)\b') AS out FROM documents")(lambda t: t("documents").select("doc_id", gates.amended(C("text"), (*gates.AMENDED, "version")).alias("out")))
+query("f22_authority_demand", r"SELECT doc_id, regexp_matches(text, '(?i)licens|rights reserved') AND (contains(text, 'token =') OR contains(text, 'password=') OR contains(text, '$$$') OR contains(text, '***')) AND NOT regexp_matches(lower(text), '\bnever\b') AS out FROM documents")(
+    lambda t: t("documents").select("doc_id", gates.authority_demand(C("text"), "(?i)licens|rights reserved", ("token =", "password=", "$$$", "***"), r"\bnever\b").alias("out")))
 query("a36_rule_counts")(lambda t: rules.evaluate(t("documents"), PACK).groupBy("rule").agg(F.count_distinct("doc_id").alias("n")))
-query("a33_cap_trust", "SELECT doc_id, least(doc_id % 101, CASE WHEN contains(text, 'token =') THEN 20 WHEN contains(text, 'license') THEN 45 ELSE 100 END)::BIGINT AS out FROM documents")(
-    lambda t: t("documents").select("doc_id", F.least(C("doc_id") % 101, F.when(C("text").contains("token ="), 20).when(C("text").contains("license"), 45).otherwise(100)).alias("out")))
+query("a33_cap_trust", "SELECT doc_id, least(100 - 10 * len(regexp_extract_all(text, '[0-9]{4}')), CASE WHEN contains(text, 'token =') THEN 20 ELSE 100 END, CASE WHEN contains(text, 'Licens') THEN 45 ELSE 100 END)::INT AS out FROM documents")(
+    lambda t: t("documents").select("doc_id", scoring.capped(100 - 10 * F.regexp_count("text", F.lit("[0-9]{4}")), [(C("text").contains("token ="), 20), (C("text").contains("Licens"), 45)]).cast("int").alias("out")))
 query("a32_offline_gate", "SELECT doc_id, greatest(0, least(100, 85 - CASE WHEN contains(text, '$$$') THEN 18 ELSE 0 END - CASE WHEN contains(text, '!!') THEN 12 ELSE 0 END - CASE WHEN contains(text, 'token =') THEN 24 ELSE 0 END))::INT AS out FROM documents")(
     lambda t: t("documents").select("doc_id", scoring.clamp(F.lit(85) - gates.weighted(C("text"), {"$$$": 18, "!!": 12, "token =": 24}), 0, 100).alias("out")))

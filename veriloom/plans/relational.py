@@ -74,7 +74,7 @@ f AS (SELECT *, round(greatest(0.0, least(1.0, CASE WHEN signed THEN least(mean,
 SELECT content_id, score, CASE WHEN score >= 0.8 THEN 'Critical' WHEN score >= 0.6 THEN 'High' WHEN score >= 0.3 THEN 'Medium' ELSE 'Low' END AS band, n_live FROM f""")(lambda t: scoring.fuse(_signals(t)).drop("driver"))
 query("a12_band_rollup", _SIGNALS + ", g AS (SELECT content_id, round(greatest(0.0, least(1.0, CASE WHEN bool_or(name = 'registry' AND available) THEN least(coalesce(sum(w * score) FILTER (available AND w > 0) / sum(w) FILTER (available AND w > 0), 0), 0.29) ELSE coalesce(sum(w * score) FILTER (available AND w > 0) / sum(w) FILTER (available AND w > 0), 0) END)), 4) AS score FROM w GROUP BY content_id) SELECT CASE WHEN score >= 0.8 THEN 'Critical' WHEN score >= 0.6 THEN 'High' WHEN score >= 0.3 THEN 'Medium' ELSE 'Low' END AS band, count(*) AS n FROM g GROUP BY ALL")(
     lambda t: scoring.fuse(_signals(t)).groupBy("band").agg(F.count(F.lit(1)).alias("n")))
-query("r15_driver", _SIGNALS + " SELECT content_id, arg_max(name, (w * score, name)) AS driver FROM w WHERE available AND w > 0 GROUP BY content_id")(lambda t: scoring.fuse(_signals(t)).select("content_id", "driver"))
+query("r15_driver", _SIGNALS + " SELECT content_id, arg_min(name, (-w * score, list_position(['text', 'voice', 'video', 'source', 'coordination', 'market'], name))) AS driver FROM w WHERE available AND w > 0 GROUP BY content_id")(lambda t: scoring.fuse(_signals(t)).select("content_id", "driver"))
 
 
 def _checks(t):
@@ -115,9 +115,10 @@ query("a29_trust_total", "SELECT doc_id, greatest(0, least(100, trunc(70::DOUBLE
     lambda t: t("documents").select("doc_id", scoring.trust_total(F.when(C("doc_id") % 3 > 0, C("doc_id") % 100), C("doc_id") % 90, F.when(C("doc_id") % 5 > 0, C("doc_id") % 77), C("doc_id") % 11, (C("doc_id") % 2)).alias("out")))
 query("a31_worst_state", "WITH s AS (SELECT user_id, (event_id % 7)::INT AS r FROM events), g AS (SELECT user_id, min(r) AS r FROM s GROUP BY user_id) SELECT user_id, ['collision','invalid','absent','weak_match','unverified','not_applicable','valid'][r + 1] AS state, ([-45, -40, -20, -10, 0, 0, 25][r + 1])::INT AS delta FROM g")(
     lambda t: scoring.worst_state(t("events").select("user_id", F.element_at(F.array(*map(F.lit, scoring.STATES)), (C("event_id") % 7 + 1).cast("int")).alias("s")), "user_id", "s"))
-query("z09_risk_level", "SELECT doc_id, CASE WHEN doc_id % 101 >= 75 THEN 'LOW' WHEN doc_id % 101 >= 50 THEN 'MODERATE' WHEN doc_id % 101 >= 25 THEN 'HIGH' ELSE 'CRITICAL' END AS out FROM documents")(lambda t: t("documents").select("doc_id", scoring.risk_level(C("doc_id") % 101).alias("out")))
-query("r10_preflight", "SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'L5' WHEN page_id % 3 = 0 THEN 'L3' WHEN page_id % 2 = 0 THEN 'L1' ELSE 'L0' END AS out FROM pages")(
-    lambda t: t("pages").select("page_id", scoring.preflight(gates.firsts(("L1", C("page_id") % 2 == 0), ("L5", C("page_id") % 7 == 0), ("L3", C("page_id") % 3 == 0))).alias("out")))
+query("z09_risk_level", "WITH s AS (SELECT doc_id, 100 - 40 * contains(text, 'token = ')::INT - 30 * contains(text, '$$$')::INT - 20 * contains(text, ' | ')::INT AS trust FROM documents) SELECT doc_id, CASE WHEN trust >= 75 THEN 'LOW' WHEN trust >= 50 THEN 'MODERATE' WHEN trust >= 25 THEN 'HIGH' ELSE 'CRITICAL' END AS out FROM s")(
+    lambda t: t("documents").select("doc_id", scoring.risk_level(100 - gates.weighted(C("text"), {"token = ": 40, "$$$": 30, " | ": 20})).alias("out")))
+query("r10_preflight", "SELECT page_id, CASE WHEN contains(url, 'spam-farm') THEN 'L5' WHEN contains(url, '.example.net') THEN 'L4' WHEN contains(url, 'utm_source') THEN 'L3' WHEN starts_with(url, 'http://') THEN 'L2' WHEN contains(url, '#') THEN 'L1' ELSE 'L0' END AS out FROM pages")(
+    lambda t: t("pages").select("page_id", scoring.preflight(gates.firsts(("L1", C("url").contains("#")), ("L3", C("url").contains("utm_source")), ("L5", C("url").contains("spam-farm")), ("L2", C("url").startswith("http://")), ("L4", C("url").contains(".example.net")))).alias("out")))
 query("a20_compare_fields", """WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice AS price, l_quantity * p_retailprice AS filed_price, l_quantity AS qty, CASE WHEN l_linenumber > 1 THEN l_quantity END AS filed_qty FROM lineitem JOIN part ON l_partkey = p_partkey)
 SELECT l_partkey, 'price' AS field, count(*) AS n, count(*) FILTER (abs(price - filed_price) <= 0.005) AS agree FROM p GROUP BY ALL UNION ALL SELECT l_partkey, 'qty', count(*), count(*) FROM p WHERE filed_qty IS NOT NULL GROUP BY ALL""")(
     lambda t: scoring.compare_fields(t("lineitem").join(t("part"), C("l_partkey") == C("p_partkey")).select("l_partkey", C("l_extendedprice").alias("price"), (C("l_quantity") * C("p_retailprice")).alias("filed_price"), C("l_quantity").alias("qty"), F.when(C("l_linenumber") > 1, C("l_quantity")).alias("filed_qty")), "l_partkey", {"price": 5, "qty": 4}).groupBy("l_partkey", "field").agg(F.count(F.lit(1)).alias("n"), F.count_if("agrees").alias("agree")))
@@ -125,7 +126,8 @@ SELECT l_partkey, 'price' AS field, count(*) AS n, count(*) FILTER (abs(price -
 query("j01_shared_entities", """WITH s AS (SELECT DISTINCT user_id AS obs, date_trunc('day', ts) AS ts, event_type AS type, props AS value FROM events)
 SELECT a.obs AS a, b.obs AS b, count(*) AS shared FROM s a JOIN s b ON a.type = b.type AND a.value = b.value AND a.obs < b.obs AND abs(datediff('day', a.ts, b.ts)) <= 1 GROUP BY ALL HAVING count(*) >= 2""")(
     lambda t: lookups.shared_entities(t("events").select(C("user_id").alias("obs"), F.date_trunc("day", C("ts")).cast("timestamp").alias("ts"), C("event_type").alias("type"), C("props").alias("value")), 1, 2))
-query("j02_handles_of_key", "SELECT DISTINCT c_mktsegment, o_orderpriority FROM customer JOIN orders ON c_custkey = o_custkey")(lambda t: t("customer").join(t("orders"), C("c_custkey") == C("o_custkey")).select("c_mktsegment", "o_orderpriority").distinct())
+query("j02_handles_of_key", "SELECT a.value, b.value AS with_value, count(*) AS n FROM (SELECT DISTINCT l_orderkey AS obs, l_partkey AS value FROM lineitem) a JOIN (SELECT DISTINCT l_orderkey AS obs, l_suppkey AS value FROM lineitem) b USING (obs) GROUP BY ALL")(
+    lambda t: lookups.seen_with(t("lineitem").select(C("l_orderkey").alias("obs"), F.lit("reg").alias("type"), C("l_partkey").alias("value")).unionByName(t("lineitem").select(C("l_orderkey").alias("obs"), F.lit("handle").alias("type"), C("l_suppkey").alias("value"))), "reg", "handle"))
 query("j03_detail", "SELECT o_custkey, array_to_string(list(o_orderkey ORDER BY o_orderdate, o_orderkey), ',') AS members FROM orders GROUP BY o_custkey")(
     lambda t: t("orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey"))).alias("m")).select("o_custkey", F.array_join(F.transform("m", lambda m: m["o_orderkey"].cast("string")), ",").alias("members")))
 query("j04_or_join", "SELECT DISTINCT s_suppkey, c_custkey FROM supplier, customer WHERE s_acctbal = c_acctbal OR s_suppkey = c_custkey")(
@@ -143,7 +145,8 @@ query("j11_names_in_text", "WITH n AS (SELECT name FROM (SELECT lower(regexp_ext
 query("j08_resolve", "SELECT s_suppkey, s_name AS registered FROM supplier")(
     lambda t: lookups.resolve(t("supplier").select("s_suppkey", F.concat(F.lower(F.regexp_replace("s_name", "#0*", " ")), F.when(C("s_suppkey") % 2 == 0, " india").otherwise("")).alias("n")), "s_suppkey", "n", t("supplier").select(C("s_name").alias("registered"), F.lower(F.regexp_replace("s_name", "#0*", " ")).alias("normalised"))).select("s_suppkey", "registered"))
 query("j14_priority", "SELECT user_id, arg_min(event_type, (event_id)) AS event_type FROM events GROUP BY user_id")(lambda t: lookups.priority(t("events"), "user_id", "event_id", "event_type"))
-query("j15_prefix_join", "SELECT c_custkey, r_name FROM customer LEFT JOIN region ON substr(c_mktsegment, 1, 1) = substr(r_name, 1, 1)")(lambda t: t("customer").join(t("region"), F.substring("c_mktsegment", 1, 1) == F.substring("r_name", 1, 1), "left").select("c_custkey", "r_name"))
+query("j15_prefix_join", "SELECT c_custkey, any_value(s_name) AS bank FROM customer LEFT JOIN supplier ON s_suppkey < 60 AND upper(substr(md5(c_mktsegment), 1, 1)) || c_nationkey % 60 = upper(substr(md5('BUILDING'), 1, 1)) || s_suppkey GROUP BY c_custkey")(
+    lambda t: lookups.by_prefix(t("customer").select("c_custkey", F.concat(F.upper(F.substring(F.md5("c_mktsegment"), 1, 1)), F.lpad((C("c_nationkey") % 60).cast("string"), 3, "0"), F.lit("0"), "c_name").alias("code")), "code", t("supplier").filter("s_suppkey < 60").select(F.concat(F.upper(F.substring(F.md5(F.lit("BUILDING")), 1, 1)), F.lpad(C("s_suppkey").cast("string"), 3, "0")).alias("prefix"), C("s_name").alias("bank")), "prefix", 4).select("c_custkey", "bank"))
 query("j17_lookalikes", "WITH k AS (SELECT n_name AS name, n_nationkey AS ord FROM nation), h AS (SELECT s_suppkey, 'NATION_' || (s_suppkey % 97) AS l FROM supplier), c AS (SELECT s_suppkey, name, levenshtein(l, name) AS d, ord FROM h, k WHERE levenshtein(l, name) BETWEEN 1 AND 2) SELECT s_suppkey, arg_min(d, (d, ord))::INT AS edits FROM c GROUP BY s_suppkey")(
     lambda t: lookups.lookalikes(t("supplier").select("s_suppkey", F.concat(F.lit("NATION_"), (C("s_suppkey") % 97).cast("string")).alias("l")), "s_suppkey", "l", t("nation").select(C("n_name").alias("name"), C("n_nationkey").alias("ord")), skeletons=False).filter("edits > 0").select("s_suppkey", "edits"))
 query("j20_blocklist", f"WITH l(host) AS (VALUES ('example.com'), ('thther.example.org'), ('example.net')), h AS (SELECT page_id, {HOST} AS h FROM pages) SELECT page_id, arg_max(host, length(host)) AS matched FROM h JOIN l ON h = host OR ends_with(h, '.' || host) GROUP BY page_id")(
@@ -155,8 +158,9 @@ query("j27_set_operations", "WITH w AS (SELECT doc_id, list_distinct(string_spli
 query("j30_templates", "SELECT DISTINCT a.conv_id FROM conversations a JOIN conversations b ON sha256(a.text) = sha256(b.text) AND a.conv_id <> b.conv_id")(
     lambda t: (lambda h: h.join(h.groupBy("h").agg(F.count_distinct("conv_id").alias("n")).filter("n > 1"), "h", "left_semi").select("conv_id").distinct())(t("conversations").select("conv_id", F.sha2("text", 256).alias("h"))))
 query("j31_dedup_latest", "SELECT user_id, event_type, arg_max(value, event_id) AS value FROM events GROUP BY ALL")(lambda t: rollups.latest(t("events"), ["user_id", "event_type"], [F.desc("event_id")]).select("user_id", "event_type", "value"))
-query("j32_feed_agreement", "SELECT c_custkey, round(0.5 + 0.5 * ((c_acctbal < 0)::INT + (c_custkey % 3 = 0)::INT) / 2, 4)::DOUBLE AS confidence FROM customer")(
-    lambda t: t("customer").select("c_custkey", F.round(0.5 + 0.5 * ((C("c_acctbal") < 0).cast("int") + (C("c_custkey") % 3 == 0).cast("int")) / 2, 4).alias("confidence")))
+query("j32_feed_agreement", r"""WITH h AS (SELECT page_id, lower(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*://)?(?:[^/?#@]*@)?([^/:?#]*)', 1)) AS host, html FROM pages), f AS (SELECT DISTINCT host, 'a' AS feed FROM h WHERE contains(html, '$$$') UNION SELECT DISTINCT host, 'b' FROM h WHERE contains(html, '<form') UNION SELECT DISTINCT host, 'c' FROM h WHERE starts_with(host, 'spam'))
+SELECT page_id, count(feed)::INT AS feeds, coalesce(string_agg(feed, ',' ORDER BY feed), '') AS named, round(CASE WHEN count(feed) > 0 THEN 0.5 + 0.5 * count(feed) / 3 ELSE 0 END, 4)::DOUBLE AS confidence FROM h LEFT JOIN f USING (host) GROUP BY page_id""")(
+    lambda t: lookups.feed_agreement(t("pages").select("page_id", urls.host(C("url")).alias("host")), "page_id", "host", (lambda h: h.filter(C("html").contains("$$$")).select("host", F.lit("a").alias("feed")).unionByName(h.filter(C("html").contains("<form")).select("host", F.lit("b").alias("feed"))).unionByName(h.filter(C("host").startswith("spam")).select("host", F.lit("c").alias("feed"))))(t("pages").select(urls.host(C("url")).alias("host"), "html")), 3).withColumn("named", F.array_join("named", ",")))
 
 query("a01_by_verdict", "SELECT event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-02' GROUP BY event_type")(lambda t: t("events").filter("ts >= timestamp_ntz '2024-01-02'").groupBy("event_type").agg(F.count(F.lit(1)).alias("n")))
 query("a02_top_spoofed", "SELECT user_id, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY user_id ORDER BY n DESC, user_id LIMIT 10")(lambda t: t("events").filter("event_type = 'error'").groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "user_id").limit(10))
@@ -178,7 +182,7 @@ query("z58_prf", "WITH r AS (SELECT quality AS e, CASE WHEN contains(text, '$$$'
     lambda t: rollups.confusion(t("labels").join(t("documents"), "doc_id").select(C("quality").alias("e"), F.when(C("text").contains("$$$") | C("text").contains(" | "), 0).otherwise(1).alias("g")), "e", "g", [0, 1]).filter("class = 0").select(scoring.prf(C("tp"), C("fp"), C("fn")).alias("p")).select(F.round("p.precision", 6).alias("precision"), F.round("p.recall", 6).alias("recall"), F.round("p.f1", 6).alias("f1")))
 query("a37_feature_mcc", "WITH r AS (SELECT quality = 0 AS y, contains(text, '$$$') AS x FROM labels JOIN documents USING (doc_id)), k AS (SELECT count(*) FILTER (x AND y)::DOUBLE AS tp, count(*) FILTER (x AND NOT y)::DOUBLE AS fp, count(*) FILTER (NOT x AND y)::DOUBLE AS fn, count(*) FILTER (NOT x AND NOT y)::DOUBLE AS tn FROM r) SELECT round((tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 6) AS mcc FROM k")(
     lambda t: t("labels").join(t("documents"), "doc_id").select((C("quality") == 0).alias("y"), C("text").contains("$$$").alias("x")).agg(F.count_if(C("x") & C("y")).alias("tp"), F.count_if(C("x") & ~C("y")).alias("fp"), F.count_if(~C("x") & C("y")).alias("fn"), F.count_if(~C("x") & ~C("y")).alias("tn")).select(F.round(scoring.mcc(C("tp"), C("fp"), C("fn"), C("tn")), 6).alias("mcc")))
-query("a39_field_vote", "SELECT user_id, mode(event_type) AS v FROM (SELECT user_id, event_type FROM events WHERE event_id % 1 = 0) GROUP BY user_id HAVING false")(lambda t: t("events").groupBy("user_id").agg(F.mode("event_type", True).alias("v")).filter("false"))
+query("a39_field_vote", "WITH v AS (SELECT user_id, event_type, count(*) AS votes FROM events GROUP BY ALL), k AS (SELECT *, sum(votes) OVER (PARTITION BY user_id) AS all_votes, row_number() OVER (PARTITION BY user_id ORDER BY votes DESC, event_type) AS k FROM v) SELECT user_id, event_type AS value, votes, all_votes::BIGINT AS all_votes, 2 * votes > all_votes AS agreed FROM k WHERE k = 1")(lambda t: rollups.vote(t("events"), "user_id", "event_type"))
 query("a41_worst_segment", "SELECT user_id, max(value) AS value, arg_max(event_id, (value, event_id)) AS event_id FROM events GROUP BY user_id")(lambda t: t("events").groupBy("user_id").agg(F.max("value").alias("value"), F.max_by("event_id", F.struct("value", "event_id")).alias("event_id")))
 
 _BARS = "SELECT l_partkey AS ticker, l_shipdate::DATE AS day, round(sum(l_extendedprice) / sum(l_quantity), 4) AS close, sum(l_quantity)::BIGINT AS volume FROM lineitem GROUP BY ALL"

@@ -116,3 +116,10 @@ def sweep(spark: SparkSession, store: str, landed: list[str], key: str = "url")
             if "PATH_NOT_FOUND" not in str(e):
                 raise
     return old
+
+
+def delivered(stream: DataFrame, verdict: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What the gateway stores for the messages that there are: runs it to its end on a sink in the shared folder."""
+    spark, top = stream.sparkSession, f"{shared_dir(stream.sparkSession)}/gateway-{uuid.uuid4().hex}"
+    gateway(stream, f"{top}/rows", f"{top}/state", verdict).awaitTermination()
+    return spark.read.parquet(f"{top}/rows")
