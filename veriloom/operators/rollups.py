@@ -58,3 +58,26 @@ def vote(rows: DataFrame, key: str, value: str) -> DataFrame:
     n = rows.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("votes"))
     best = n.groupBy(key).agg(F.min(F.struct((-F.col("votes")).alias("less"), F.col(value).alias("value"))).alias("b"), F.sum("votes").alias("all_votes"))
     return best.select(key, "b.value", (-F.col("b.less")).alias("votes"), "all_votes", (-2 * F.col("b.less") > F.col("all_votes")).alias("agreed"))
+
+
+def fact_rows(verdicts: DataFrame, most_urls: int = 5, most_codes: int = 20) -> DataFrame:
+    """What is stored of each verdict: the site of the first of its URLs, its codes (the first so many), channel and time."""
+    site = F.nullif(F.regexp_extract(F.try_element_at(F.slice("urls", 1, most_urls), F.lit(1)), r"^(?:[A-Za-z][A-Za-z0-9+.-]*://)?([^/:?#]*)", 1), F.lit(""))
+    return verdicts.select("msg_id", "created_at", "channel", "verdict", F.lower(site).alias("top_domain"), F.slice("codes", 1, most_codes).alias("reason_codes"))
+
+
+def observation_tables(observations: DataFrame) -> dict[str, DataFrame]:
+    """An observation with entities and reasons as three tables: facts, one row an entity, one row a reason.
+
+    Of rows with one id the latest counts, with its entities and reasons in place of earlier ones.
+    """
+    one = latest(observations, ["id"], [F.col("observed_at").desc(), F.col("channel")])
+    entity = one.select(F.col("id").alias("observation_id"), F.explode(F.array_distinct("entities")).alias("e")).select("observation_id", F.col("e.type").alias("entity_type"), F.col("e.value").alias("entity_value"))
+    reason = one.select(F.col("id").alias("observation_id"), F.posexplode("reasons").alias("place", "code"))
+    return {"observations": one.drop("entities", "reasons"), "sightings": entity, "reasons": reason}
+
+
+def replaced(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """Insert or replace: rows of `new` (the last of a key by all columns) in place of old ones of their key."""
+    one = latest(new, [key], [F.col(c).desc_nulls_last() for c in new.columns if c != key] or [F.col(key)])
+    return old.join(one.select(key), key, "left_anti").select(*old.columns).unionByName(one.select(*old.columns))

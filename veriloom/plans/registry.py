@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veriloom.plans import flows, registers, relational, scalars, verdicts  # noqa: F401
+from veriloom.plans import flows, landing, registers, relational, scalars, verdicts  # noqa: F401
 from veriloom.plans.base import ORACLES, QUERIES
 
 FLAGSHIP = "a15_verdict_ladder"

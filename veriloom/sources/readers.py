@@ -126,3 +126,61 @@ def minimise(df: DataFrame, private: list[str], website: str = "website") -> Dat
 
 def top_by_group(df: DataFrame, key: str, order: str, most: int) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order))).filter(F.col("_n") <= most).drop("_n")
+
+
+def handle_rules(spark: SparkSession, path: str) -> DataFrame:
+    """Rules of payment handles from CSV, ord being the order of the rows: pattern, match_type (REGEX or SUFFIX), category, severity."""
+    df = csv_pack(spark, path, ["pattern", "category"])
+    return df.select(F.col("ord").cast("int").alias("ord"), F.lower("pattern").alias("pattern"), F.when(F.upper("match_type") == "REGEX", "REGEX").otherwise("SUFFIX").alias("match_type"), "category", F.coalesce(F.col("severity").try_cast("int"), F.lit(0)).alias("severity"))
+
+
+def classify_handles(rows: DataFrame, key: str, handle: str, rules: DataFrame) -> DataFrame:
+    """Category and severity of each payment handle: suffix rules by an equi-join on what stands behind the at sign, then
+    patterns; within each the first rule in its order. Handles without a rule are UNKNOWN, with 0."""
+    low = F.lower(handle)
+    suffix = rules.filter("match_type = 'SUFFIX'").select(F.ltrim("pattern", F.lit("@")).alias("_s"), F.struct(F.lit(0).alias("kind"), "ord", "category", "severity").alias("r"))
+    a = rows.join(suffix, F.substring_index(low, "@", -1) == F.col("_s")).select(key, "r")
+    pattern = rules.filter("match_type = 'REGEX'").select("pattern", F.struct(F.lit(1).alias("kind"), "ord", "category", "severity").alias("r"))
+    b = rows.select(key, low.alias("_h")).join(pattern, F.expr("_h rlike pattern")).select(key, "r")
+    best = a.unionByName(b).groupBy(key).agg(F.min("r").alias("r"))
+    return rows.join(best, key, "left").select(*rows.columns, F.coalesce("r.category", F.lit("UNKNOWN")).alias("category"), F.coalesce("r.severity", F.lit(0)).alias("severity"))
+
+
+def bank_codes(spark: SparkSession, path: str) -> DataFrame:
+    """Banks by the four letters of their branch codes; a prefix stated twice keeps its first bank by name."""
+    df = csv_pack(spark, path, ["ifsc_prefix", "bank_name"])
+    return latest(df.withColumn("ifsc_prefix", F.upper(F.trim("ifsc_prefix"))), ["ifsc_prefix"], [F.col("bank_name")])
+
+
+def aliases(spark: SparkSession, path: str, register: DataFrame) -> DataFrame:
+    """Aliases with the registered name they stand for; an alias of a name that isn't registered is left out."""
+    df = csv_pack(spark, path, ["alias", "entity_name"]).select(text.company_name(F.col("alias")).alias("alias"), text.company_name(F.col("entity_name")).alias("_n"))
+    return df.join(register.select(F.col("registered"), F.col("normalised").alias("_n")), "_n").select("alias", "registered").distinct()
+
+
+def behaviour_pack(spark: SparkSession, path: str) -> DataFrame:
+    """Tactics of a JSON pack, one a row: id, weight, patterns; tactics without id or patterns are left out."""
+    df = json_pack(spark, path).select(F.explode("tactics").alias("t")).select("t.*")
+    return df.filter("id is not null and size(patterns) > 0").select("id", F.coalesce(F.col("weight").cast("int"), F.lit(0)).alias("weight"), "patterns")
+
+
+def organisations(spark: SparkSession, path: str) -> DataFrame:
+    """Organisations of a JSON register with ord, their place in it, and their lists in lower case."""
+    kind = "organisations array<struct<name string, domains array<string>, email_domains array<string>, handles array<string>>>"
+    df = spark.read.schema(kind).json(path, multiLine=True).select(F.posexplode("organisations").alias("ord", "o")).select("ord", "o.*")
+    low = lambda c: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.lower(x))
+    return df.select("ord", "name", *[low(F.col(c)).alias(c) for c in ("domains", "email_domains", "handles")])
+
+
+def harvest(spark: SparkSession, path: str) -> DataFrame:
+    """Records of a register that were landed as JSON lines: number, name and the validity as two dates; the last landed
+    row of a number counts."""
+    df = spark.read.json(path).withColumn("v", validity(F.col("validity")))
+    return latest(df.filter("number is not null"), ["number"], [F.col("landed").desc(), F.col("name")]).select("number", "name", F.col("v.start").alias("valid_from"), F.col("v.end").alias("valid_to"))
+
+
+def refreshed(landed: DataFrame, most: int) -> DataFrame:
+    """The manifest of a refresh of feeds from feed and content (null: it couldn't be read): status and bytes, cut at `most`."""
+    size = F.length(F.encode("content", "UTF-8")).cast("long")
+    status = F.when(F.col("content").isNull(), "failed").when(size > most, "truncated").when(size == 0, "empty").otherwise("ok")
+    return landed.select("feed", status.alias("status"), F.least(F.coalesce(size, F.lit(0).cast("long")), F.lit(most)).alias("bytes"))
