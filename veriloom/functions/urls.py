@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -230,3 +231,29 @@ def redirect_chain(hops: Column) -> Column:
     return F.struct(F.size(real).alias("hops"), F.exists(real, lambda s: s["a"].startswith("https://") & s["b"].startswith("http://")).alias("downgrade"), F.exists(real, lambda s: registrable(host(s["a"])) != registrable(host(s["b"]))).alias("leaves_site"))
 
 
+
+
+@F.pandas_udf("string")
+def unicode_host(h: pd.Series) -> pd.Series:
+    """Host with its encoded labels (xn--) decoded; a label that isn't valid stays as it is."""
+
+    def label(x: str) -> str:
+        try:
+            return x[4:].encode("ascii").decode("punycode") if x.startswith("xn--") and " " not in x else x
+        except (UnicodeError, ValueError):
+            return x
+
+    return h.map(lambda x: None if x is None else ".".join(map(label, x.lower().split("."))))
+
+
+def registrable_parts(h: Column, rules=SUFFIX_RULES) -> Column:
+    """domain (suffix and one label), suffix, sld and the subdomains before it, of a host; domain and sld empty for a bare suffix."""
+    low = F.rtrim(F.lower(h), F.lit("."))
+
+    def parts(suffix: Column) -> Column:
+        before = F.when(low == suffix, "").otherwise(F.substring(low, F.lit(1), F.length(low) - F.length(suffix) - 1))
+        sld = F.substring_index(before, ".", -1)
+        rest = F.when(F.contains(before, F.lit(".")), F.substring(before, F.lit(1), F.length(before) - F.length(sld) - 1)).otherwise("")
+        return F.struct(F.when(sld != "", F.concat(sld, F.lit("."), suffix)).otherwise("").alias("domain"), suffix.alias("suffix"), sld.alias("sld"), rest.alias("subdomains"))
+
+    return let(public_suffix(low, rules), parts)

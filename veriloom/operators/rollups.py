@@ -81,3 +81,12 @@ def replaced(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Insert or replace: rows of `new` (the last of a key by all columns) in place of old ones of their key."""
     one = latest(new, [key], [F.col(c).desc_nulls_last() for c in new.columns if c != key] or [F.col(key)])
     return old.join(one.select(key), key, "left_anti").select(*old.columns).unionByName(one.select(*old.columns))
+
+
+def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """Number of rows of each table."""
+    out = None
+    for name, df in tables.items():
+        one = df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"))
+        out = one if out is None else out.unionByName(one)
+    return out
