@@ -33,6 +33,7 @@ HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "ph
 BLANK = r"\x20\x09-\x0D"
 TOKEN = rf"(?<![^{BLANK}])[^{BLANK}0-9@]*+[0-9@][^{BLANK}]*+"
 WORD = rf"[^{BLANK}]+"
+#: Characters around a span in which the words of its patterns are looked for.
 LEFT, RIGHT = 64, 40
 
 
@@ -78,18 +79,24 @@ def _valid(kind: str, x: Column) -> Column:
 
 
 def _context(text: Column, start: Column, end: Column) -> Column:
-    """Patterns around a span: two words to the left; a word on either side. Digits count as 0, edges are trimmed."""
+    """Patterns around a span: two words to the left; a word on either side. Digits count as 0.
+
+    Words are looked for in so many characters to either side; one that goes on beyond them (a run without blanks) is
+    no word of a pattern.
+    """
     words = lambda x: F.transform(F.regexp_extract_all(F.lower(x), F.lit(WORD), F.lit(0)), lambda w: F.regexp_replace(w, "[0-9]", "0"))
-    left = words(F.substring(text, F.greatest(start - LEFT, F.lit(0)) + 1, F.least(start, F.lit(LEFT))))
-    right = words(F.substring(text, end + 1, F.lit(RIGHT)))
+    before = F.substring(text, F.greatest(start - LEFT, F.lit(0)) + 1, F.least(start, F.lit(LEFT)))
+    behind = F.substring(text, end + 1, F.lit(RIGHT))
+    left = words(F.when(start > LEFT, F.regexp_replace(before, f"^[^{BLANK}]+", "")).otherwise(before))
+    right = words(F.when(F.length(behind) == RIGHT, F.regexp_replace(behind, f"[^{BLANK}]+$", "")).otherwise(behind))
     one, two, after = F.try_element_at(left, F.lit(-1)), F.try_element_at(left, F.lit(-2)), F.coalesce(F.try_element_at(right, F.lit(1)), F.lit(""))
     return F.array_compact(F.array(F.when(two.isNotNull(), F.concat_ws(" ", F.lit("L"), two, one)), F.when(one.isNotNull(), F.concat_ws(" ", F.lit("B"), one, after))))
 
 
 def base_table(docs: DataFrame) -> DataFrame:
-    """doc_id, key (xxhash64 of the text), base and other spans of each row, with patterns around each."""
+    """doc_id, key (128 bits of hashes of the text), base and other spans of each row, with patterns around each."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("key"))
+    rows = docs.select("doc_id", text.alias("text"), F.concat(F.hex(F.xxhash64(text)), F.lit("-"), F.hex(F.xxhash64(F.lit(1), text))).alias("key"))
     none = F.array().cast("array<string>")
     tried = {k: F.col("text").rlike(h) for k, h in HINTS.items()} | {"token": F.col("text").rlike("[0-9@]")}
     cut = {}
@@ -161,4 +168,5 @@ def op2(spark, sf_dir: str) -> DataFrame:
     found = find_personal_data(table(spark, sf_dir, "documents"))
     text = lambda xs: F.array_join(F.transform(xs, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
     count = lambda k: F.size(F.filter("spans", lambda s: s.kind == k)).cast("long").alias(f"n_{k}")
-    return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(text("base"), 256).alias("base_sha256"), text("spans").alias("spans"))
+    more = [F.size("spans").cast("long").alias("n_spans"), (F.size("spans") > 0).alias("has_personal_data")]
+    return found.select("doc_id", *[count(k) for k in KINDS], *more, F.sha2(text("base"), 256).alias("base_sha256"), text("spans").alias("spans"))
