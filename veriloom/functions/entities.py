@@ -177,3 +177,25 @@ def attachment(c: Column) -> Column:
 
 def address_domain(c: Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(c, r"@([A-Za-z0-9.-]+)", 1)), F.lit(""))
+
+
+#: Lines of a quoted header block, as mail programs write them.
+QUOTED_FROM = r"(?im)^>?\s*(?:-+\s*(?:forwarded|original) message\s*-+|begin forwarded message:)"
+
+
+def forwarded(c: Column, attached: Column) -> Column:
+    """How a message was forwarded, and the original's sender and subject: ATTACHED (an original is there as such),
+    INLINE (a quoted header block with a sender), or DIRECT."""
+    sender = F.nullif(F.regexp_extract(c, r"(?im)^>?\s*From:\s*(?:[^<\n]*<)?([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+)", 1), F.lit(""))
+    subject = F.nullif(F.trim(F.regexp_extract(c, r"(?im)^>?\s*Subject:[ \t]*([^\n]*)$", 1)), F.lit(""))
+    inline = c.rlike(QUOTED_FROM) & sender.isNotNull()
+    kind = F.when(attached, "ATTACHED").when(F.coalesce(inline, F.lit(False)), "INLINE").otherwise("DIRECT")
+    return F.struct(kind.alias("kind"), F.when(kind != "DIRECT", F.lower(sender)).alias("sender"), F.when(kind != "DIRECT", subject).alias("subject"))
+
+
+def fields(c: Column) -> Column:
+    """All structured fields of a text; telephone numbers and identifiers of other kinds are no accounts."""
+    found = {"isin": distinct(c, ISIN), "cin": distinct(c, CIN), "registrations": distinct(c, REGISTRATION), "handles": F.array_distinct(handles(c)), "ifsc": distinct(c, IFSC), "pan": distinct(c, PAN), "phones": F.array_distinct(phones(c)), "urls": F.array_distinct(urls(c))}
+    others = F.concat(found["phones"], F.transform(distinct(c, AADHAAR), lambda x: F.regexp_replace(x, r"\s", "")))
+    accounts = F.array_except(distinct(c, ACCOUNT), others)
+    return F.struct(dividend(c).alias("dividend"), dates(c).alias("dates"), accounts.alias("accounts"), *[v.alias(k) for k, v in found.items()])

@@ -203,3 +203,13 @@ def summary_line(verdict: Column, confidence: Column, reason: Column) -> Column:
     """One sentence that says the verdict as firmly as the confidence allows."""
     how = F.when(confidence >= 85, "clearly").when(confidence >= 70, "probably").otherwise("possibly")
     return F.when(verdict == "UNVERIFIED", F.lit("not enough to judge")).otherwise(F.concat_ws(" ", how, F.lower(verdict), F.concat(F.lit("("), reason, F.lit(")"))))
+
+
+def preview(disqualifying: Column, weak: Column, asks: Column) -> Column:
+    """The short form of the ladder that runs beside a text field: stop, caution or ok."""
+    return F.when((disqualifying >= 1) | ((weak >= 2) & asks), "stop").when(weak >= 1, "caution").otherwise("ok")
+
+
+def signed_state(body: Column, mac: Column, key: str, digest, revoked: Column) -> Column:
+    """State of a signed contract: valid, tampered (the digest under the key differs), revoked or unsigned."""
+    return F.when(mac.isNull(), "unsigned").when(digest(body, key.encode()) != mac, "tampered").when(revoked, "revoked").otherwise("valid")

@@ -8,8 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veriloom.functions import urls
-from veriloom.operators import verdicts
+from veriloom.functions import entities, text, urls
+from veriloom.operators import chokepoints, registers, rollups, scoring, verdicts
 from veriloom.plans.base import query
 
 C = F.col
@@ -76,9 +76,9 @@ _SENDER = r"""s AS (SELECT msg_id, from_domain, CASE WHEN contains(text, '***')
 
 
 def senders(t):
-    text = C("text")
-    dmarc = F.when(text.contains("***"), "fail").when(text.contains("$$$"), "none").when(text.contains(" | "), None).otherwise("pass")
-    return messages(t).select("msg_id", "from_domain", dmarc.alias("dmarc"), C("from_domain").startswith("mail").alias("free"), C("source").isin("src1", "src2", "src3", "src4").alias("mapped"), text.contains("Licens").alias("claims"), C("source").isin("src1", "src2").alias("fits"), F.concat("source", F.lit(".example.net")).alias("reply"), "asks", text.rlike(r"\n> ").alias("forwarded"))
+    body = C("text")
+    dmarc = F.when(body.contains("***"), "fail").when(body.contains("$$$"), "none").when(body.contains(" | "), None).otherwise("pass")
+    return messages(t).select("msg_id", "from_domain", dmarc.alias("dmarc"), C("from_domain").startswith("mail").alias("free"), C("source").isin("src1", "src2", "src3", "src4").alias("mapped"), body.contains("Licens").alias("claims"), C("source").isin("src1", "src2").alias("fits"), F.concat("source", F.lit(".example.net")).alias("reply"), "asks", body.rlike(r"\n> ").alias("forwarded"))
 
 
 query("r07_sender_state", f"WITH {M}, {_SENDER} SELECT msg_id, CASE WHEN dmarc = 'fail' THEN 'DMARC_FAIL' WHEN dmarc IS NULL THEN 'NO_AUTHENTICATION_RESULTS' WHEN free THEN 'INSTITUTIONAL_CLAIM_FROM_FREEMAIL' WHEN dmarc = 'pass' AND mapped AND claims AND NOT fits THEN 'ENTITY_DOMAIN_MISMATCH' WHEN dmarc = 'pass' AND mapped THEN 'AUTHENTICATED_RECOGNISED' WHEN dmarc = 'pass' THEN 'AUTHENTICATED_UNRECOGNISED' ELSE 'AUTHENTICATION_INCONCLUSIVE' END AS code, CASE WHEN dmarc = 'fail' THEN 5 WHEN dmarc IS NULL THEN 1 WHEN free THEN 4 WHEN dmarc = 'pass' AND mapped AND claims AND NOT fits THEN 4 WHEN dmarc = 'pass' AND mapped THEN 0 WHEN dmarc = 'pass' THEN 3 ELSE 2 END AS severity FROM s")(
@@ -120,3 +120,43 @@ SELECT user_id, coalesce(string_agg(label, ',' ORDER BY rank, label) FILTER (pol
     lambda t: t("events").groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("kinds")).select("user_id", verdicts.partitioned(F.transform("kinds", lambda x: F.struct(x.alias("label"), verdicts.signal_kind(x, *_KINDS).polarity.alias("polarity"), verdicts.signal_kind(x, *_KINDS).severity.alias("severity")))).alias("p")).select("user_id", *[F.array_join(f"p.{k}", ",").alias(k) for k in ("risk", "protective", "context")]))
 query("t09_distinct_first", r"""WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) AS place FROM documents), f AS (SELECT doc_id, arg_min(word, place) AS word, min(place) AS place FROM w GROUP BY doc_id, lower(word)), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS k FROM f) SELECT doc_id, string_agg(word, ' ' ORDER BY place) AS words FROM n WHERE k <= 5 GROUP BY doc_id""")(
     lambda t: t("documents").filter("text is not null").select("doc_id", F.array_join(verdicts.distinct_first(F.split("text", " ")), " ").alias("words")))
+
+
+def paying(t):
+    k = C("c_custkey")
+    at = F.element_at(F.array(*map(F.lit, ("pay to ab{}@OkBank now. ", "pay to ab{}@wallet now. ", "pay to ab{}@nobank now. ", "hello. "))), (k % 4 + 1).cast("int"))
+    code = F.element_at(F.array(*map(F.lit, ("IFSC HDFC0{} ", "IFSC ZZZZ0{} ", "no code "))), (k % 3 + 1).cast("int"))
+    body = F.concat(F.replace(at, F.lit("{}"), k.cast("string")), F.replace(code, F.lit("{}"), F.lpad(k.cast("string"), 6, "0")), F.when(k % 5 == 0, F.concat(F.lit("transfer to account 5000"), F.lpad(k.cast("string"), 8, "0"))).otherwise(""), F.when(k % 7 == 0, " upi://pay?x").otherwise(""))
+    return t("customer").select("c_custkey", body.alias("body"), F.when(k % 2 == 0, "Zen Bank Ltd").otherwise("HDFC").alias("claimed"), C("c_mktsegment").isin("BUILDING", "MACHINERY").alias("investing"))
+
+
+query("r03_money", """WITH m AS (SELECT c_custkey, c_custkey AS k, c_mktsegment IN ('BUILDING', 'MACHINERY') AS i FROM customer)
+SELECT c_custkey, CASE k % 4 WHEN 0 THEN 'UPI_BANK' WHEN 1 THEN 'UPI_WALLET' ELSE 'UPI_UNKNOWN_HANDLE' END AS code, CASE WHEN NOT i THEN 2 ELSE CASE k % 4 WHEN 0 THEN 1 WHEN 1 THEN 4 ELSE 3 END END AS severity, 'ab' || k || ['@OkBank', '@wallet', '@nobank'][(k % 4 + 1)::INT] AS evidence FROM m WHERE k % 4 < 3
+UNION ALL SELECT c_custkey, CASE k % 3 WHEN 0 THEN 'IFSC_BANK_MISMATCH' ELSE 'IFSC_UNKNOWN_BANK' END, CASE k % 3 WHEN 0 THEN 4 ELSE 2 END, CASE k % 3 WHEN 0 THEN 'HDFC0' ELSE 'ZZZZ0' END || lpad(k::VARCHAR, 6, '0') FROM m WHERE k % 3 = 1 OR (k % 3 = 0 AND k % 2 = 0)
+UNION ALL SELECT c_custkey, 'ACCOUNT_SOLICITATION', CASE WHEN i THEN 4 ELSE 3 END, '5000' || lpad(k::VARCHAR, 8, '0') FROM m WHERE k % 5 = 0
+UNION ALL SELECT c_custkey, 'PAYMENT_LINK', CASE WHEN i THEN 4 ELSE 3 END, 'upi://pay' FROM m WHERE k % 7 = 0""")(
+    lambda t: chokepoints.money(paying(t), "c_custkey", "body", "claimed", t.spark.createDataFrame([("okbank", "bank", 1), ("wallet", "wallet", 4)], "suffix string, category string, severity int"), t.spark.createDataFrame([("HDFC", "HDFC Bank")], "prefix string, bank string"), C("investing")).drop("check"))
+query("r05_delivery", r"""WITH p AS (SELECT page_id, page_id % 6 AS k, regexp_extract(lower(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*://)?(?:[^/?#@]*@)?([^/:?#]*)', 1)), '([^.]+\.[^.]+)$', 1) AS d FROM pages)
+SELECT page_id, 'SHORTENED_LINK' AS code, 3 AS severity, 'bit.ly' AS evidence FROM p WHERE k = 0 UNION ALL SELECT page_id, 'LOOKALIKE_DOMAIN', 5, 'examp1e.top' FROM p WHERE k = 1 UNION ALL SELECT page_id, 'RISKY_ENDING', 3, 'examp1e.top' FROM p WHERE k = 1
+UNION ALL SELECT page_id, 'APK_LINK', 5, 'example.net' FROM p WHERE k = 2 UNION ALL SELECT page_id, 'NEW_DOMAIN', 4, 'example.net' FROM p WHERE k = 2 UNION ALL SELECT page_id, 'PUNYCODE_HOST', 4, 'xn--bcher-kva.zip' FROM p WHERE k = 3 UNION ALL SELECT page_id, 'RISKY_ENDING', 3, 'xn--bcher-kva.zip' FROM p WHERE k = 3
+UNION ALL SELECT page_id, 'KNOWN_OFFICIAL_DOMAIN', 0, d FROM p WHERE k > 3 AND d = 'example.com' UNION ALL SELECT page_id, 'NEW_DOMAIN', 4, d FROM p WHERE k > 3 AND d = 'example.net'""")(
+    lambda t: chokepoints.delivery(t("pages").select("page_id", F.when(C("page_id") % 6 == 0, "https://bit.ly/x").when(C("page_id") % 6 == 1, "https://examp1e.top/a").when(C("page_id") % 6 == 2, "https://cdn.example.net/app.apk").when(C("page_id") % 6 == 3, "http://xn--bcher-kva.zip/").otherwise(C("url")).alias("url")), "page_id", "url", t.spark.createDataFrame([("example.com", "COM")], "domain string, entity string"), t.spark.createDataFrame([("example.net", 30), ("example.org", 400)], "domain string, days int"), ("example",)).drop("check"))
+query("r06_entity", """WITH c AS (SELECT o_orderkey, 'INZ' || lpad((o_custkey % 160)::VARCHAR, 9, '0') AS number, o_custkey % 160 AS n, CASE o_orderkey % 3 WHEN 0 THEN 'supplier ' || lpad((o_custkey % 160)::VARCHAR, 9, '0') WHEN 1 THEN 'supplier' ELSE 'customer 7' END AS said, o_orderstatus FROM orders),
+s AS (SELECT o_orderkey, number, CASE WHEN s_suppkey IS NULL THEN 'ABSENT' WHEN s_acctbal <= 0 THEN 'UNVERIFIED' WHEN said = 'supplier ' || lpad(n::VARCHAR, 9, '0') THEN 'VALID' WHEN said = 'supplier' THEN 'WEAK_MATCH' ELSE 'COLLISION' END AS state FROM c LEFT JOIN supplier ON s_suppkey = n WHERE o_orderstatus <> 'P')
+SELECT o_orderkey, 'REGISTRATION_' || state AS code, CASE state WHEN 'COLLISION' THEN 5 WHEN 'ABSENT' THEN 4 WHEN 'WEAK_MATCH' THEN 2 WHEN 'UNVERIFIED' THEN 3 ELSE 0 END AS severity, number AS evidence FROM s UNION ALL SELECT o_orderkey, 'ISIN_INVALID', 4, 'INE002A01017' FROM orders WHERE o_orderkey % 4 = 1""")(
+    lambda t: chokepoints.entity(t("orders").select("o_orderkey", F.concat(F.when(C("o_orderstatus") == "P", "no number").otherwise(F.concat(F.lit("Regd. INZ"), F.lpad((C("o_custkey") % 160).cast("string"), 9, "0"))), F.when(C("o_orderkey") % 4 == 0, " INE002A01018").when(C("o_orderkey") % 4 == 1, " INE002A01017").otherwise("")).alias("body"), F.when(C("o_orderkey") % 3 == 0, F.concat(F.lit("Supplier "), F.lpad((C("o_custkey") % 160).cast("string"), 9, "0"), F.lit(" Pvt Ltd"))).when(C("o_orderkey") % 3 == 1, "Supplier Limited").otherwise("Customer 7").alias("said")), "o_orderkey", "body", "said", t("supplier").select(F.concat(F.lit("INZ"), F.lpad(C("s_suppkey").cast("string"), 9, "0")).alias("number"), C("s_name").alias("name"), (C("s_acctbal") > 0).alias("active"))).drop("check"))
+query("r17_preview", f"WITH {M}, {R}, {K}, c AS (SELECT m.msg_id, any_value(asks) AS asks, count(*) FILTER (kind = 'disqualifying') AS o, count(*) FILTER (kind = 'weak') AS w FROM m LEFT JOIN k USING (msg_id) GROUP BY m.msg_id) SELECT msg_id, CASE WHEN o >= 1 OR (w >= 2 AND asks) THEN 'stop' WHEN w >= 1 THEN 'caution' ELSE 'ok' END AS out FROM c")(
+    lambda t: verdicts.counted(messages(t), "msg_id", verdicts.classified(found(t), OUT, WAYS)).select("msg_id", verdicts.preview(C("n_out"), C("n_weak"), C("asks")).alias("out")))
+query("r16_quick_check", """WITH c AS (SELECT o_custkey, CASE WHEN o_orderstatus = 'P' THEN 'invalid' WHEN s_suppkey IS NULL THEN 'absent' WHEN s_acctbal <= 0 THEN 'unverified' WHEN o_orderkey % 3 = 0 THEN 'valid' WHEN o_orderkey % 3 = 1 THEN 'weak_match' ELSE 'collision' END AS state FROM orders LEFT JOIN supplier ON s_suppkey = o_custkey % 160 AND o_orderstatus <> 'P'), w AS (SELECT o_custkey, arg_min(state, list_position(['collision', 'invalid', 'absent', 'weak_match', 'unverified', 'not_applicable', 'valid'], state)) AS state FROM c GROUP BY 1)
+SELECT o_custkey, state, CASE state WHEN 'collision' THEN -45 WHEN 'invalid' THEN -40 WHEN 'absent' THEN -20 WHEN 'weak_match' THEN -10 WHEN 'valid' THEN 25 ELSE 0 END AS delta FROM w""")(
+    lambda t: scoring.worst_state(registers.by_number(t("orders").select("o_custkey", F.concat(F.when(C("o_orderstatus") == "P", "XX").otherwise("INZ"), F.lpad((C("o_custkey") % 160).cast("string"), 9, "0")).alias("number"), F.when(C("o_orderkey") % 3 == 0, F.concat(F.lit("Supplier "), F.lpad((C("o_custkey") % 160).cast("string"), 9, "0"))).when(C("o_orderkey") % 3 == 1, "Supplier Limited").otherwise("Customer 7").alias("said")), "number", t("supplier").select(F.concat(F.lit("INZ"), F.lpad(C("s_suppkey").cast("string"), 9, "0")).alias("no"), "s_name", (C("s_acctbal") > 0).alias("active")), "no", "s_name", "active", "said"), "o_custkey", "state"))
+query("k11_contracts", "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'unsigned' WHEN 1 THEN 'tampered' WHEN 2 THEN 'revoked' ELSE 'valid' END AS out FROM customer")(
+    lambda t: t("customer").select("c_custkey", verdicts.signed_state(C("c_name"), F.when(C("c_custkey") % 4 == 1, text.keyed_digest(F.lit("other"), b"key")).when(C("c_custkey") % 4 > 1, text.keyed_digest(C("c_name"), b"key")), "key", text.keyed_digest, C("c_custkey") % 4 == 2).alias("out")))
+query("x25_forward", r"""SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'ATTACHED' WHEN 1 THEN 'INLINE' ELSE 'DIRECT' END AS kind, CASE WHEN c_custkey % 3 < 2 THEN 'u' || c_custkey || '@mail.example' END AS sender, CASE WHEN c_custkey % 3 < 2 THEN 'Re: ' || c_name END AS subject FROM customer""")(
+    lambda t: t("customer").select("c_custkey", entities.forwarded(F.concat(F.lit("see below\n"), F.when(C("c_custkey") % 3 == 1, "---------- Forwarded message ---------\n").otherwise(""), F.lit("> From: Some One <U"), C("c_custkey").cast("string"), F.lit("@mail.Example>\n> Subject: Re: "), "c_name", F.lit("\nhello")), C("c_custkey") % 3 == 0).alias("f")).select("c_custkey", "f.*"))
+query("x01_fields", r"""SELECT doc_id, array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(text, '\b[0-9]{9,18}\b')), lambda x: NOT list_contains(list_distinct(regexp_extract_all(text, '(?:\+91[-\s]?)?0?([6-9]\d{9})\b', 1)), x) AND NOT list_contains(list_transform(regexp_extract_all(text, '\b[2-9][0-9]{3}\s?[0-9]{4}\s?[0-9]{4}\b'), lambda y: regexp_replace(y, '\s', '', 'g')), x))), ',') AS accounts, len(list_distinct(regexp_extract_all(text, 'https?://[^\s\)\]\}<>\x22'']+')))::INT AS urls FROM documents""")(
+    lambda t: t("documents").select("doc_id", entities.fields(C("text")).alias("f")).select("doc_id", F.array_join(F.array_sort("f.accounts"), ",").alias("accounts"), F.size("f.urls").alias("urls")))
+query("x13_campaign_entities", r"SELECT conv_id, turn, len(list_distinct(regexp_extract_all(text, '(?:^|[^\w@])@([A-Za-z0-9_]{3,30})\b', 1)))::INT AS handles FROM conversations")(
+    lambda t: t("conversations").select("conv_id", "turn", F.size(F.filter(entities.campaign_entities(C("text")), lambda e: e["type"] == "handle")).alias("handles")))
+query("p09_retention_on_write", "WITH u AS (SELECT event_id, ts FROM events WHERE event_id % 3 < 2 UNION SELECT event_id, ts FROM events WHERE event_id % 3 > 0) SELECT event_id FROM u WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 5 DAY ORDER BY event_id DESC LIMIT 500")(
+    lambda t: rollups.retain(rollups.insert_new(*[t("events").filter(p).select(C("event_id").cast("string").alias("id"), "event_id", "ts") for p in ("event_id % 3 < 2", "event_id % 3 > 0")], "id").join(t("events").agg(F.max("ts").alias("now"))), "ts", "event_id", C("now"), 5, 500).select("event_id"))
