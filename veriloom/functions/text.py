@@ -185,3 +185,8 @@ def host_suffixes(host: Column) -> Column:
     """A host and all its parents, longest first."""
     n = F.size(F.split(host, r"\."))
     return F.transform(F.sequence(n, F.lit(1), F.lit(-1)), lambda i: F.call_function("substring_index", host, F.lit("."), -i))
+
+
+def bare(c: Column) -> Column:
+    """The comparable form without blanks, dots, dashes and underscores."""
+    return F.regexp_replace(for_matching(c), r"[\s._\-]+", "")

@@ -217,3 +217,77 @@ def spaced(rows: DataFrame, key: str, time: str, seconds: float) -> DataFrame:
 def risk_client(score: Column) -> Column:
     """Risk level with the client's edges."""
     return band(score, ((80, "LOW"), (50, "MODERATE"), (25, "HIGH")), "CRITICAL")
+
+
+def poster_host(identity: Column) -> Column:
+    """Host of a poster's identity: an address's domain, a URL's host, or a bare host; empty for a name."""
+    h = F.regexp_replace(F.regexp_extract(F.lower(F.trim(identity)), r"^(?:[a-z]+://)?(?:[^/@\s]*@)?([a-z0-9.-]+\.[a-z]{2,})(?:[/:?#].*)?$", 1), r"^www\.", "")
+    return h
+
+
+def published_mark(domains: DataFrame, domain: str, records: DataFrame, checked: Column) -> DataFrame:
+    """Cached records of verified marks: found and has_vmc of each domain; a domain without a record isn't checked."""
+    r = records.select(F.lower("domain").alias("_d"), F.col("certificate").isNotNull().alias("has_vmc"))
+    both = domains.join(r, F.lower(domain) == F.col("_d"), "left")
+    return both.select(*domains.columns, F.when(F.col("_d").isNotNull(), "found").when(checked, "none").otherwise("not_checked").alias("record"), F.coalesce("has_vmc", F.lit(False)).alias("has_vmc"))
+
+
+def forward_marks(c: Column, phrases: dict[str, tuple[str, ...]]) -> Column:
+    """Names of the marks of forwarding that a picture's text holds."""
+    low, out = F.lower(c), []
+    for name, words in phrases.items():
+        hit = F.lit(False)
+        for w in words:
+            hit = hit | low.contains(w)
+        out.append(F.when(hit, name))
+    return F.array_compact(F.array(*out))
+
+
+def candidate_dates(own: Column, found: Column, most: int = 8) -> Column:
+    """Dates to look filings up by: those of fields first, then the first so many of the text, each once."""
+    return F.array_distinct(F.concat(F.array_compact(own), F.slice(found, 1, most)))
+
+
+def fingerprint(c: Column, size: int = 16) -> Column:
+    return F.substring(F.sha2(F.coalesce(c, F.lit("")), 256), 1, size)
+
+
+def explanation(summaries: Column, otherwise: str) -> Column:
+    """The summaries of available signals (structs of available and summary) as one text."""
+    said = F.transform(F.filter(summaries, lambda s: s.available & (F.coalesce(s["summary"], F.lit("")) != "")), lambda s: s["summary"])
+    return F.when(F.size(said) > 0, F.array_join(said, "; ")).otherwise(F.lit(otherwise))
+
+
+def preview_media(items: Column, kinds: tuple[str, ...] = ("image", "video")) -> Column:
+    """URLs of a preview's items (structs of kind and url) of the kinds that can be looked at, web addresses only, each once."""
+    return F.array_distinct(F.transform(F.filter(items, lambda x: x["kind"].isin(*kinds) & x["url"].rlike(r"^https?://")), lambda x: x["url"]))
+
+
+def playbook(rows: DataFrame, key: str, kind: str, steps: DataFrame, most: int) -> DataFrame:
+    """Steps of each row's kind and of every kind (*), by priority, each once, so many. steps has kind, priority, step."""
+    dims = steps.select(F.col("kind").alias("_k"), "priority", "step")
+    both = rows.select(key, F.explode(F.array(F.col(kind), F.lit("*"))).alias("_k")).join(dims, "_k").groupBy(key, "step").agg(F.min("priority").alias("priority"))
+    placed = both.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("priority", "step"))).filter(F.col("_n") <= most)
+    return placed.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_n", "step"))).alias("s")).select(key, F.transform("s", lambda x: x["step"]).alias("steps"))
+
+
+def drift(pairs: DataFrame, generation: str, distance: str) -> DataFrame:
+    """Distances of copies to their originals by generation: mean, median, least and greatest."""
+    return pairs.groupBy(generation).agg(F.round(F.avg(distance), 4).alias("mean"), F.percentile(distance, F.lit(0.5)).alias("median"), F.min(distance).alias("least"), F.max(distance).alias("most"), F.count(F.lit(1)).alias("n"))
+
+
+def domain_ages(links: DataFrame, domain: str, registered: DataFrame, now: Column, young: int = 90) -> DataFrame:
+    """Age in days of each domain, and whether it is young; a domain that isn't listed has no age, which is no finding."""
+    both = links.join(registered.select(F.lower("domain").alias("_d"), "created"), F.lower(domain) == F.col("_d"), "left")
+    age = F.datediff(now, F.col("created"))
+    return both.select(*links.columns, age.alias("days"), F.coalesce(age < young, F.lit(False)).alias("young"))
+
+
+def top_clusters(clusters: DataFrame, score: str, key: str, most: int = 5) -> DataFrame:
+    return clusters.orderBy(F.desc(score), key).limit(most)
+
+
+def all_hold(rows: DataFrame, state: str, good: str) -> DataFrame:
+    """How many of some contracts there are, how many are good, and whether all are (an empty table isn't)."""
+    n = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(state) == good).alias("good"))
+    return n.withColumn("all_good", (F.col("n") > 0) & (F.col("n") == F.col("good")))

@@ -45,9 +45,14 @@ def date_window(candidates: DataFrame, key: str, a: str, b: str, days: int = 45)
 
 
 def later(rows: DataFrame, key: str, time: str, marked: str, days: int = 60) -> DataFrame:
-    """Rows that a marked row of the same key follows within so many days."""
-    b = rows.filter(F.col(marked)).select(F.col(key).alias("_k"), F.col(time).alias("_t"))
-    return rows.join(b, (F.col(key) == F.col("_k")) & (F.col("_t") > F.col(time)) & (F.col("_t") <= F.col(time) + F.expr(f"interval {days} days")), "left_semi")
+    """Rows that a marked row of the same key follows within so many days.
+
+    One window a key, from the latest row backwards, carries the next marked time: linear in a key's rows.
+    """
+    micros = F.unix_micros(F.col(time).cast("timestamp"))
+    after = Window.partitionBy(key).orderBy(F.col("_t").desc()).rangeBetween(Window.unboundedPreceding, -1)
+    next_ = F.min(F.when(F.col(marked), F.col("_t"))).over(after)
+    return rows.withColumn("_t", micros).withColumn("_next", next_).filter(F.col("_next") <= F.col("_t") + days * 86_400_000_000).drop("_t", "_next")
 
 
 def by_suffix(hosts: DataFrame, host: str, listed: DataFrame, name: str = "host") -> DataFrame:

@@ -73,9 +73,12 @@ def route(p: Column, state: Column, low: float = 0.3, high: float = 0.8) -> Colu
     return F.when((p >= high) | state.isin("invalid", "collision"), "warn").when((p < low) & (state == "valid"), "allow").otherwise("escalate")
 
 
-def measures(df: DataFrame, p: str = "p", y: str = "y", rate: float = 0.01) -> DataFrame:
-    """Average precision, recall at a false positive rate, and Brier score, from counts at each distinct score."""
-    at = df.groupBy(p).agg(F.sum(y).alias("pos"), F.count(F.lit(1)).alias("n"))
+def measures(df: DataFrame, p: str = "p", y: str = "y", rate: float = 0.01, digits: int = 4) -> DataFrame:
+    """Average precision, recall at a false positive rate, and Brier score, from counts at each distinct score.
+
+    Scores lie between 0 and 1 and rank by so many digits, so that the window without a key has 10**digits + 1 rows at most.
+    """
+    at = df.withColumn(p, F.round(p, digits)).groupBy(p).agg(F.sum(y).alias("pos"), F.count(F.lit(1)).alias("n"))
     w = Window.orderBy(F.desc(p))
     cum = at.withColumns({"tp": F.sum("pos").over(w), "all": F.sum("n").over(w)}).withColumn("fp", F.col("all") - F.col("tp"))
     ends = df.agg(F.sum(y).alias("positives"), (F.count(F.lit(1)) - F.sum(y)).alias("negatives"), F.avg((F.col(p) - F.col(y)) ** 2).alias("brier"))

@@ -83,8 +83,9 @@ def ladder(reasons: DataFrame, messages: DataFrame) -> DataFrame:
     return m.select("msg_id", F.when(F.col("confidence") < choose(F.col("raw"), GATES, 0), "UNVERIFIED").otherwise(F.col("raw")).alias("verdict"), "confidence", F.col("n").cast("int").alias("n_reasons"))
 
 
-def behaviour(c: Column, tactics: dict[str, tuple[int, tuple]], combos: dict[str, tuple[tuple, int]]) -> Column:
-    """Sum of the tactics' weights and of the combinations that hold in full, with band and penalty."""
+def behaviour(c: Column, tactics: dict[str, tuple[int, tuple]], combos: dict[str, tuple[tuple, int]], half_up: bool = False) -> Column:
+    """Sum of the tactics' weights and of the combinations that hold in full, with band and penalty (halves to the even
+    number, or up, as the client rounds)."""
     t = F.lower(c)
     hit = {k: count_of(t, words) > 0 for k, (_, words) in tactics.items()}
     total = F.lit(0)
@@ -99,7 +100,7 @@ def behaviour(c: Column, tactics: dict[str, tuple[int, tuple]], combos: dict[str
     cap, name = F.lit(0), F.lit("")
     for edge, label, most in reversed(BEHAVIOUR_BANDS):
         cap, name = F.when(score >= edge, most).otherwise(cap), F.when(score >= edge, label).otherwise(name)
-    return F.struct(score.alias("score"), name.alias("band"), F.least(cap, F.bround(score * 0.65).cast("int")).alias("penalty"))
+    return F.struct(score.alias("score"), name.alias("band"), F.least(cap, (F.round if half_up else F.bround)(score * 0.65).cast("int")).alias("penalty"))
 
 
 def keyword_score(c: Column, weights: dict[str, int], edges=((75, "DANGER"), (45, "WARN"), (25, "CAUTION"))) -> Column:

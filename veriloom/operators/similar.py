@@ -35,9 +35,10 @@ def tfidf(docs: DataFrame, key: str, text: str) -> DataFrame:
 def similar_pairs(weights: DataFrame, key: str, least: float = 0.85) -> DataFrame:
     """Pairs whose cosine reaches the threshold.
 
-    A token indexes a document only where the weights from it on, by rising frequency of tokens reversed, could
-    still reach the threshold: vectors have length one, so a prefix whose squared weights sum up to less than
-    1 - least**2 may be left out on one side. What is left meets in the inverted index, and pairs are then summed.
+    Vectors have length one. A document's commonest tokens, as long as their squared weights sum up to less than
+    least**2, can give less than `least` with any other document, so that they may be left out on one side: by
+    Cauchy and Schwarz a pair that reaches the threshold shares one of the rarer tokens, which are looked up among all
+    tokens of the others. Pairs that met are then summed in full.
     """
     df = weights.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     w = Window.partitionBy(key).orderBy(F.desc("df"), "token").rowsBetween(Window.unboundedPreceding, 0)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veriloom.functions import text, urls
+from veriloom.functions import checks, entities, text, urls
 from veriloom.operators import insights, rollups, scoring
 from veriloom.plans.base import query
 
@@ -99,3 +99,35 @@ query("u15_punycode", "SELECT c_custkey, ['bücher', '中国', 'xn--a b', 'münc
     lambda t: t("customer").select("c_custkey", urls.unicode_host(F.concat(F.element_at(F.array(*map(F.lit, ("xn--bcher-kva", "xn--fiqs8s", "xn--a b", "xn--mnchen-ost-9db", "plain"))), (C("c_custkey") % 5 + 1).cast("int")), F.lit(".example"))).alias("out")))
 query("u04_registrable_parts", rf"WITH h AS (SELECT page_id, {HOST} AS h FROM pages) SELECT page_id, regexp_extract(h, '([^.]+\.[^.]+)$', 1) AS domain, regexp_extract(h, '([^.]+)$', 1) AS suffix, regexp_extract(h, '([^.]+)\.[^.]+$', 1) AS sld, regexp_extract(h, '^(.*)\.[^.]+\.[^.]+$', 1) AS subdomains FROM h")(
     lambda t: t("pages").select("page_id", urls.registrable_parts(urls.host(C("url"))).alias("p")).select("page_id", "p.*"))
+
+query("z20_poster_host", "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'mail.nation' || c_nationkey || '.example' WHEN 1 THEN 'nation' || c_nationkey || '.example' WHEN 2 THEN 'x.example' ELSE '' END AS out FROM customer")(
+    lambda t: t("customer").select("c_custkey", insights.poster_host(F.concat(F.element_at(F.array(*map(F.lit, ("a.b@Mail.nation", "https://www.Nation", "x.example/", "Nation "))), (C("c_custkey") % 4 + 1).cast("int")), C("c_nationkey").cast("string"), F.element_at(F.array(*map(F.lit, (".example", ".example/p?q", "", ""))), (C("c_custkey") % 4 + 1).cast("int")))).alias("out")))
+query("z21_tail_runs", "SELECT o_orderkey, CASE o_orderkey % 2 WHEN 0 THEN 'D' || length(o_custkey::VARCHAR) ELSE 'L1,D' || length(o_custkey::VARCHAR) || ',A2' END AS out FROM orders")(
+    lambda t: t("orders").select("o_orderkey", F.array_join(checks.tail_runs(F.when(C("o_orderkey") % 2 == 0, F.concat(F.lit("inz"), C("o_custkey").cast("string"))).otherwise(F.concat(F.lit("IN-"), C("o_custkey").cast("string"), F.lit("ab")))), ",").alias("out")))
+query("z28_published_mark", rf"WITH h AS (SELECT page_id, {HOST} AS h FROM pages) SELECT page_id, CASE WHEN h LIKE 'm.%' OR h LIKE 'blog.%' THEN 'found' WHEN page_id % 2 = 0 THEN 'none' ELSE 'not_checked' END AS record, h LIKE 'm.%' AS has_vmc FROM h")(
+    lambda t: insights.published_mark(t("pages").select("page_id", urls.host(C("url")).alias("h")), "h", t("pages").select(urls.host(C("url")).alias("domain")).distinct().filter("domain like 'm.%' or domain like 'blog.%'").withColumn("certificate", F.when(C("domain").startswith("m."), "c")), C("page_id") % 2 == 0).select("page_id", "record", "has_vmc"))
+query("z36_forward_marks", "SELECT doc_id, array_to_string(list_filter([CASE WHEN contains(lower(text), 'licens') OR contains(lower(text), 'rights') THEN 'rights' END, CASE WHEN contains(text, '!!') THEN 'shout' END], lambda x: x IS NOT NULL), ',') AS out FROM documents")(
+    lambda t: t("documents").select("doc_id", F.array_join(insights.forward_marks(C("text"), {"rights": ("licens", "rights"), "shout": ("!!",)}), ",").alias("out")))
+query("z40_candidate_dates", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') || ',' ELSE '' END || '2020-01-05,2021-02-06' AS out FROM orders")(
+    lambda t: t("orders").select("o_orderkey", F.array_join(F.transform(insights.candidate_dates(F.array(F.when(C("o_orderkey") % 3 == 0, F.to_date("o_orderdate"))), entities.dates(F.lit("on 2020-01-05 and 2021-02-06, again 2020-01-05"))), lambda d: d.cast("string")), ",").alias("out")))
+query("z42_fingerprint", "SELECT doc_id, substr(sha256(text), 1, 16) AS out FROM documents")(lambda t: t("documents").select("doc_id", insights.fingerprint(C("text")).alias("out")))
+query("z44_explanation", "WITH k AS (SELECT user_id, list_sort(list(DISTINCT event_type) FILTER (event_type <> 'error')) AS kinds FROM events GROUP BY 1) SELECT user_id, coalesce(array_to_string(list_transform(kinds, lambda x: 'saw ' || x), '; '), 'nothing to say') AS out FROM k")(
+    lambda t: t("events").groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("kinds")).select("user_id", insights.explanation(F.transform("kinds", lambda k: F.struct((k != "error").alias("available"), F.concat(F.lit("saw "), k).alias("summary"))), "nothing to say").alias("out")))
+query("z45_preview_media", r"SELECT page_id, CASE WHEN starts_with(url, 'https://') THEN url WHEN page_id % 2 = 0 THEN url ELSE '' END AS out FROM pages")(
+    lambda t: t("pages").select("page_id", F.array_join(insights.preview_media(F.array(F.struct(F.when(C("url").startswith("https://"), "image").when(C("page_id") % 2 == 0, "video").otherwise("text").alias("kind"), C("url").alias("url")), F.struct(F.lit("image").alias("kind"), F.lit("data:x").alias("url")), F.struct(F.when(C("page_id") % 2 == 0, "video").otherwise("other").alias("kind"), C("url").alias("url")))), ",").alias("out")))
+query("t12_playbook", "WITH k AS (SELECT event_id, event_type FROM events), s(kind, priority, step) AS (VALUES ('error', 1, 'stop'), ('error', 4, 'report'), ('*', 3, 'keep notes'), ('purchase', 2, 'call the bank'), ('*', 4, 'report'), ('purchase', 5, 'wait')), b AS (SELECT event_id, step, min(priority) AS p FROM k JOIN s ON kind IN (event_type, '*') GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY p, step) AS n FROM b) SELECT event_id, string_agg(step, ',' ORDER BY n) AS steps FROM r WHERE n <= 3 GROUP BY event_id")(
+    lambda t: insights.playbook(t("events"), "event_id", "event_type", t.spark.createDataFrame([("error", 1, "stop"), ("error", 4, "report"), ("*", 3, "keep notes"), ("purchase", 2, "call the bank"), ("*", 4, "report"), ("purchase", 5, "wait")], "kind string, priority int, step string"), 3).withColumn("steps", F.array_join("steps", ",")))
+query("a38_drift", "WITH d AS (SELECT l_linenumber, abs(l_quantity - l_discount * 100) AS d FROM lineitem) SELECT l_linenumber, round(avg(d), 4) AS mean, quantile_cont(d, 0.5) AS median, min(d) AS least, max(d) AS most, count(*) AS n FROM d GROUP BY 1")(
+    lambda t: insights.drift(t("lineitem").select("l_linenumber", F.abs(C("l_quantity") - C("l_discount") * 100).alias("d")), "l_linenumber", "d"))
+query("j16_domain_ages", rf"WITH h AS (SELECT page_id, {HOST} AS h FROM pages), w AS (SELECT h, min(page_id) AS k FROM h GROUP BY h HAVING min(page_id) % 3 > 0) SELECT page_id, (k * 10)::INT AS days, coalesce(k * 10 < 90, false) AS young FROM h LEFT JOIN w USING (h)")(
+    lambda t: insights.domain_ages(t("pages").select("page_id", urls.host(C("url")).alias("h")), "h", t("pages").groupBy(urls.host(C("url")).alias("domain")).agg(F.min("page_id").alias("k")).filter("k % 3 > 0").select("domain", F.date_sub(F.to_date(F.lit("2024-06-01")), (C("k") * 10).cast("int")).alias("created")), F.to_date(F.lit("2024-06-01"))).select("page_id", "days", "young"))
+query("t08_top_clusters", "SELECT props, count(DISTINCT user_id) AS users FROM events GROUP BY props ORDER BY users DESC, props LIMIT 5")(
+    lambda t: insights.top_clusters(t("events").groupBy("props").agg(F.count_distinct("user_id").alias("users")), "users", "props"))
+query("z69_contract_status", "SELECT count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS good, count(*) = count(*) FILTER (o_orderstatus = 'F') AS all_good FROM orders")(
+    lambda t: insights.all_hold(t("orders"), "o_orderstatus", "F"))
+query("x11_is_handle", "SELECT c_custkey, c_custkey % 3 = 0 AS out FROM customer")(
+    lambda t: t("customer").select("c_custkey", (F.size(entities.handles(F.concat(F.lit("ab"), C("c_custkey").cast("string"), F.element_at(F.array(*map(F.lit, ("@okbank", "@gmail.com", "@gmail"))), (C("c_custkey") % 3 + 1).cast("int"))))) > 0).alias("out")))
+query("x17_registration_shapes", "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'INZ' || lpad(o_custkey::VARCHAR, 9, '0') WHEN 1 THEN 'ARN-' || (10000 + o_custkey) ELSE 'IN-DP-12-3456' END AS out FROM orders")(
+    lambda t: t("orders").select("o_orderkey", F.array_join(entities.registration_shapes(F.concat(F.lit("regd. "), F.when(C("o_orderkey") % 3 == 0, F.concat(F.lit("INZ"), F.lpad(C("o_custkey").cast("string"), 9, "0"))).when(C("o_orderkey") % 3 == 1, F.concat(F.lit("arn-"), (10000 + C("o_custkey")).cast("string"))).otherwise("in-dp-12-3456"), F.lit(" with us"))), ",").alias("out")))
+query("x20_references", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'SEBI/HO/' || o_custkey || ',' ELSE '' END || '12/2024' AS out FROM orders")(
+    lambda t: t("orders").select("o_orderkey", F.array_join(entities.references(F.concat(F.when(C("o_orderkey") % 2 == 0, F.concat(F.lit("see circular no. sebi/ho/"), C("o_custkey").cast("string"), F.lit(" and "))).otherwise(""), F.lit("PR No. 12/2024 of today"))), ",").alias("out")))

@@ -103,6 +103,8 @@ _T = {k: f"({' OR '.join(f'contains(lower(text), {chr(39)}{w}{chr(39)})' for w i
 _B = "least(100, " + " + ".join([f"CASE WHEN {_T[k]} THEN {w} ELSE 0 END" for k, (w, _) in TACTICS.items()] + [f"CASE WHEN {' AND '.join(_T[k] for k in need)} THEN {b} ELSE 0 END" for need, b in COMBOS.values()]) + ")"
 query("a22_behaviour", f"SELECT doc_id, s::INT AS score, CASE WHEN s >= 80 THEN 'severe' WHEN s >= 60 THEN 'strong' WHEN s >= 40 THEN 'moderate' WHEN s >= 20 THEN 'weak' ELSE 'none' END AS band, least(CASE WHEN s >= 80 THEN 65 WHEN s >= 60 THEN 50 WHEN s >= 40 THEN 35 WHEN s >= 20 THEN 15 ELSE 10 END, round_even(s * 0.65, 0))::INT AS penalty FROM (SELECT doc_id, {_B} AS s FROM documents)")(
     lambda t: t("documents").select("doc_id", scoring.behaviour(C("text"), TACTICS, COMBOS).alias("b")).select("doc_id", "b.*"))
+query("r19_behaviour_client", f"SELECT doc_id, s::INT AS score, CASE WHEN s >= 80 THEN 'severe' WHEN s >= 60 THEN 'strong' WHEN s >= 40 THEN 'moderate' WHEN s >= 20 THEN 'weak' ELSE 'none' END AS band, least(CASE WHEN s >= 80 THEN 65 WHEN s >= 60 THEN 50 WHEN s >= 40 THEN 35 WHEN s >= 20 THEN 15 ELSE 10 END, round(s * 0.65::DOUBLE, 0))::INT AS penalty FROM (SELECT doc_id, {_B} AS s FROM documents)")(
+    lambda t: t("documents").select("doc_id", scoring.behaviour(C("text"), TACTICS, COMBOS, True).alias("b")).select("doc_id", "b.*"))
 _K = "least(100, " + " + ".join(f"CASE WHEN contains(lower(text), '{k}') THEN {w} ELSE 0 END" for k, w in WEIGHTS.items()) + ")"
 query("a23_keyword_score", f"SELECT doc_id, s::INT AS score, CASE WHEN s >= 75 THEN 'DANGER' WHEN s >= 45 THEN 'WARN' WHEN s >= 25 THEN 'CAUTION' ELSE 'SAFE' END AS level FROM (SELECT doc_id, {_K} AS s FROM documents)")(
     lambda t: t("documents").select("doc_id", scoring.keyword_score(C("text"), WEIGHTS).alias("k")).select("doc_id", "k.*"))

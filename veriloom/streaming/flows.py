@@ -53,12 +53,20 @@ def first_seen(stream: DataFrame, *keys: str) -> DataFrame:
     return stream.dropDuplicatesWithinWatermark(list(keys))
 
 
-def rate_limited(stream: DataFrame, key: str, time: str, limit: int, seconds: int = 60) -> DataFrame:
-    """Rows with accepted: whether fewer than `limit` accepted rows of the key lie in the span before; refused rows don't count."""
+def rate_limited(stream: DataFrame, key: str, time: str, limit: int, seconds: int = 60, late: str = "1 hour") -> DataFrame:
+    """Rows with accepted: whether fewer than `limit` accepted rows of the key lie in the span before; refused rows don't count.
+
+    A key is forgotten once the watermark has passed the span behind its last row, so that state doesn't grow with all
+    keys ever seen; rows later than `late` are dropped.
+    """
+    stream = with_time(stream, time, late)
     names = stream.columns
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields) + ", accepted boolean"
 
     def step(who: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         seen = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(parts)).sort_values(time, kind="stable")
         ok = []
@@ -68,9 +76,10 @@ def rate_limited(stream: DataFrame, key: str, time: str, limit: int, seconds: in
             if ok[-1]:
                 seen.append(t)
         state.update((seen,))
+        state.setTimeoutTimestamp(int(rows[time].max().timestamp() * 1000) + 1000 * seconds + 1)
         yield rows[names].assign(accepted=ok)
 
-    return stream.groupBy(key).applyInPandasWithState(step, kind, "seen array<bigint>", "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy(key).applyInPandasWithState(step, kind, "seen array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def gateway(stream: DataFrame, sink: str, state: str, verdict: Callable[[DataFrame], DataFrame]):
