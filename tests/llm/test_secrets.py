@@ -91,3 +91,10 @@ def test_wrapped_keys_in_json():
         one = json.dumps({"private_key": pem})
         for t in (one, one.replace("/", "\\/"), json.dumps(one)):
             assert [k for k, _ in found(t)] == ["der_key"] and found(t)[0][1].endswith("KEY-----")
+
+
+def test_encodings_within_encodings():
+    once = base64.b64encode(b"the key is token=abcdefgh1234 today").decode()
+    twice = base64.b64encode(f"see {once} there".encode()).decode()
+    assert [k for k, _ in found(f"x {once} y")] == [k for k, _ in found(f"x {twice} y")] == [k for k, _ in found(f"x {twice.encode().hex()} y")] == ["encoded_secret"]
+    assert found(f"x {base64.b64encode(b'nothing of the kind is said in here').decode()} y") == []

@@ -23,13 +23,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriloom.llm.common import save, shared_dir
+from veriloom.llm.common import save, shared_dir, small_batches
 
 #: Payloads fill whole rows of so many samples.
 WIDTH = 192
 #: Fixed values of the picture format: first bytes, and the size of signature and header together.
 SIGNATURE, HEADER = b"\x89PNG\r\n\x1a\n", 33
-SHARD_BYTES = 64 << 20
+SHARD_BYTES, PART_BYTES = 64 << 20, 16 << 20
 
 
 def payload(text: str | None) -> bytes:
@@ -168,12 +168,15 @@ def media_columns(docs: DataFrame, root: str | None = None) -> DataFrame:
     Null and empty texts have one payload of blanks. Repeated rows repeat; they share one stored payload. root
     defaults to a new folder under the shared one; what earlier calls stored under the same root stays valid.
     """
+    small_batches(docs.sparkSession)
     root = root or f"{shared_dir(docs.sparkSession)}/media-{uuid.uuid4().hex}"
     rows = docs.select(F.col("doc_id").alias("row"), "text").mapInPandas(_store(root), f"row {docs.schema['doc_id'].dataType.simpleString()}, digest string, shard string, offset bigint, length bigint, n_bytes bigint")
     rows = save(rows, "media-rows")
     place = F.min(F.struct("shard", "offset", "length")).alias("at")
     places = rows.groupBy("digest").agg(place).select("digest", "at.*")
-    read = places.repartition("shard").sortWithinPartitions("shard", "offset").mapInPandas(_read(root), "digest string, shard string, offset bigint, length bigint, width int, height int, depth int, colour int, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_sha256 string, feature string")
+    # as many parts as there are PART_BYTES of pictures: rows are small, so that sizes of rows say nothing
+    parts = max(1, -(-(rows.agg(F.sum("length")).first()[0] or 0) // PART_BYTES))
+    read = places.repartition(int(parts), "shard").sortWithinPartitions("shard", "offset").mapInPandas(_read(root), "digest string, shard string, offset bigint, length bigint, width int, height int, depth int, colour int, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_sha256 string, feature string")
     return rows.select(F.col("row").alias("doc_id"), "digest", "n_bytes").join(read, "digest").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.col("length").alias("media_bytes"), "media_sha256", "feature", "digest", "shard", "offset", "width", "height", "depth", "colour")
 
 

@@ -49,6 +49,19 @@ def _ranges(kind: str) -> str:
     return "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends, strict=True))
 
 
+def check_settings(spec: dict) -> None:
+    """Raises unless a file asks for what is built in here: composed, blanks folded, lower-cased; words, single digits
+    and runs of marks; byte letters with an end-of-word mark; no decoder."""
+    model, norm, split = spec["model"], spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    wanted = {
+        "normalizer": [x["type"] for x in norm.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"],
+        "pre_tokenizer": [x["type"] for x in split.get("pretokenizers", [])] == ["Split", "ByteLevel"] and split["pretokenizers"][0].get("invert") is True,
+        "decoder": spec.get("decoder") is None, "end of word": model.get("end_of_word_suffix") == END, "model": model.get("type") == "BPE" and not model.get("byte_fallback") and not model.get("ignore_merges"),
+    }
+    if wrong := [k for k, ok in wanted.items() if not ok]:
+        raise ValueError(f"the vocabulary file has other settings than this codec: {', '.join(wrong)}")
+
+
 class RankBpe:
     """Encoder and decoder of one vocabulary file, given as its JSON text."""
 
@@ -56,6 +69,7 @@ class RankBpe:
         import regex
 
         spec = json.loads(source)
+        check_settings(spec)
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         added = spec.get("added_tokens", [])

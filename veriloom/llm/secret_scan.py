@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import base64
 import binascii
-import hashlib
 import json
 import re
 from collections.abc import Iterator
@@ -24,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veriloom.llm.common import small_batches
+
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "signed_token", "der_key", "key_container", "encoded_secret")
 
@@ -33,6 +34,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 #: Candidates; the look-behinds keep one long run from being tried at each of its places.
 SHORTEST = 14
+#: Encodings within encodings that are followed.
+NESTED = 2
 RUN = re.compile(rf"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{{{SHORTEST},}}")
 #: White space and slashes of a wrapped key may be escaped, as in JSON strings.
 WRAPPED = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----((?:[A-Za-z0-9+/=\s]|\\+[nrt/])+)-----END \1-----")
@@ -156,16 +159,18 @@ def signed_token(run: str) -> bool:
     return low <= len(signature) <= high
 
 
-def confirm(data: bytes | None) -> str | None:
-    """The kind of secret that decoded bytes prove to be."""
+def confirm(data: bytes | None, depth: int = NESTED) -> str | None:
+    """The kind of secret that decoded bytes prove to be; text may itself hold encoded runs, so many times over."""
     if not data:
         return None
     if data[0] == 0x30 and der_key(data):
         return "der_key"
     if key_container(data):
         return "key_container"
-    if data.isascii() and base_spans(data.decode()):
-        return "encoded_secret"
+    if data.isascii():
+        inner = data.decode()
+        if base_spans(inner) or (depth and any(decoded_kind(m[0].rstrip("."), depth - 1) for m in RUN.finditer(inner))):
+            return "encoded_secret"
     return None
 
 
@@ -189,11 +194,11 @@ def _promising(run: str) -> bool:
     return bool(data) and (data[0] == 0x30 or data.isascii())
 
 
-def decoded_kind(run: str) -> str | None:
+def decoded_kind(run: str, depth: int = NESTED) -> str | None:
     """The kind of secret that a whole run encodes."""
     if len(run) < SHORTEST:
         return None
-    return (HEX_RUN.match(run) and confirm(bytes.fromhex(run))) or confirm(decode64(run))
+    return (HEX_RUN.match(run) and confirm(bytes.fromhex(run), depth)) or confirm(decode64(run), depth)
 
 
 def encoded_spans(run: str) -> list[tuple[str, int, int]]:
@@ -236,7 +241,12 @@ def secret_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def scan_secrets(docs: DataFrame, *, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns and spans, an array of kind, start and end, for the whole text of each row; null is empty."""
+    """The kept columns and spans, an array of kind, start and end, for the whole text of each row; null is empty.
+
+    Rows are independent, so that repeated rows give repeated results. Spans come by start; of several kinds that start
+    at one place, the first in the order of KINDS stands first.
+    """
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("array<struct<kind string, start bigint, end bigint>>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -255,9 +265,3 @@ def op5(spark, sf_dir: str) -> DataFrame:
     text = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws(":", x.kind, x.start.cast("string"), x.end.cast("string"))), ",")
     count = lambda kind: F.size(F.filter("spans", lambda x: x.kind == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
-
-
-def base_digest(text: str | None) -> str:
-    """The base digest of one text, for tests."""
-    spans = [x for x in secret_spans(text or "") if x[0] in BASE]
-    return hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
