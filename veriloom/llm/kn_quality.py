@@ -34,7 +34,7 @@ UNKNOWN = 21.0
 PAD, STOP = 0, 1
 BLANKS = b" \t\n\x0b\x0c\r"
 #: Characters that a task works on at once, and grams that it gathers before they are passed on.
-SLICE, GATHERED = 1 << 20, 1 << 20
+SLICE, GATHERED = 1 << 20, 1 << 21
 SALTS = 64
 _MASK = (1 << 21) - 1
 
@@ -111,7 +111,9 @@ def base_rules(text: str | None) -> tuple[int, int, int, int, int, bool]:
     if n > 3:
         seen: dict[bytes, int] = {}
         ids = np.array([seen.setdefault(w, len(seen)) for w in words], dtype=np.int64)
-        _, pair = np.unique(ids[:-1] * len(seen) + ids[1:], return_inverse=True)  # numbered anew, so that no product overflows
+        pair = ids[:-1] * len(seen) + ids[1:]
+        if len(seen) >= 1 << 21:  # numbered anew, so that no product overflows
+            pair = np.unique(pair, return_inverse=True)[1]
         _, back, count = np.unique(pair[:-1] * len(seen) + ids[2:], return_inverse=True, return_counts=True)
         twice = count[back] > 1
         cover = np.zeros(n, dtype=bool)
@@ -139,13 +141,20 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     sums: dict[tuple, list] = {}
     size = 0
 
-    def flush() -> Iterator[pd.DataFrame]:
-        for (block, lang, half), parts in sums.items():
-            a, b, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    def merge() -> int:
+        """Puts each key's parts together; the number of grams that are left."""
+        for key, parts in sums.items():
             if len(parts) > 1:
+                a, b, n = (np.concatenate(x) for x in zip(*parts, strict=True))
                 _, at, back = np.unique(mixed(a, b), return_index=True, return_inverse=True)
-                a, b, n = a[at], b[at], np.bincount(back, weights=n).astype(np.int64)
-            yield pd.DataFrame({"block": block, "lang": lang, "half": half, "a": a, "b": b, "n": n})
+                sums[key] = [(a[at], b[at], np.bincount(back, weights=n).astype(np.int64))]
+        return sum(len(parts[0][0]) for parts in sums.values())
+
+    def flush() -> Iterator[pd.DataFrame]:
+        merge()
+        for (block, lang, half), [(a, b, n)] in sums.items():
+            order = np.lexsort((b, a))
+            yield pd.DataFrame({"block": block, "lang": lang, "half": half, "a": a[order], "b": b[order], "n": n[order]})
         sums.clear()
 
     for batch in batches:
@@ -156,7 +165,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 made = gram_counts([texts[k] for k in some])
                 sums.setdefault(key, []).append(made)
                 size += len(made[0])
-        if size > GATHERED:
+        if size > GATHERED and (size := merge()) > GATHERED * 3 // 4:
             yield from flush()
             size = 0
     yield from flush()
@@ -232,15 +241,31 @@ def _open(root: str):
         return {}
     rows = ds.dataset(path, filesystem=files, format="parquet").to_table(columns=["lang", "half", "a", "b", "bits"]).to_pandas()
     rows["h"] = mixed(rows["a"].to_numpy(), rows["b"].to_numpy())
-    return {k: (x["h"].to_numpy(), x["bits"].to_numpy()) for k, x in rows.sort_values("h").groupby(["lang", "half"])}
+    return {k: Sorted(x["h"].to_numpy(), x["bits"].to_numpy()) for k, x in rows.sort_values("h").groupby(["lang", "half"])}
+
+
+class Sorted:
+    """Bits of grams beside their sorted hashes. A first guess by the leading bits of a hash spares most searches."""
+
+    def __init__(self, hashes: np.ndarray, bits: np.ndarray):
+        self.hashes, self.bits = hashes, bits
+        self.shift = np.uint64(64 - max(1, int(4 * len(hashes)).bit_length()))
+        self.guess = np.zeros(1 << int(np.uint64(64) - self.shift), dtype=np.int32)
+        self.guess[hashes >> self.shift] = np.arange(len(hashes), dtype=np.int32)
+
+    def look_up(self, h: np.ndarray) -> np.ndarray:
+        at = self.guess[h >> self.shift]
+        miss = np.flatnonzero(self.hashes[at] != h)
+        at[miss] = np.minimum(np.searchsorted(self.hashes, h[miss]), len(self.hashes) - 1)
+        got = self.bits[at]
+        got[miss[self.hashes[at[miss]] != h[miss]]] = UNKNOWN
+        return got
 
 
-def text_bits(texts: list[str], hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """Bits per character of each text, from sorted hashes of its grams and bits beside them."""
+def text_bits(texts: list[str], known: Sorted) -> np.ndarray:
+    """Bits per character of each text."""
     x, sizes = joined(texts)
-    h = mixed(*_halves(x))
-    at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-    got = np.where(hashes[at] == h, bits[at], UNKNOWN)
+    got = known.look_up(mixed(*_halves(x))).astype(np.float64)
     return np.add.reduceat(got, np.concatenate([[0], np.cumsum(sizes)[:-1]])) / sizes
 
 
@@ -254,14 +279,14 @@ def score(docs: DataFrame, keep=("doc_id",), files: bool = False) -> DataFrame:
     docs = docs if files else save(docs.select(*dict.fromkeys((*keep, "text", "lang"))), "quality-docs")
     text, lang = F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.col("lang"), F.lit(""))
     place = [F.xxhash64(F.input_file_name()).alias("block"), lang.alias("lang"), F.pmod(F.xxhash64(text), F.lit(2)).cast("int").alias("half")]
-    counted = save(docs.select(*place, text.alias("text")).mapInPandas(_count, "block bigint, lang string, half int, a bigint, b bigint, n bigint"), "grams")
+    counted = save(docs.select(*place, text.alias("text")).mapInPandas(_count, "block bigint, lang string, half int, a bigint, b bigint, n bigint"), "grams", "zstd")
     grams = save(counted.groupBy("lang", "half", "a", "b").agg(F.sum("n").alias("n")), "gram-counts")
     other = (1 - F.col("half")).alias("model")
     found = gram_bits(grams.select("lang", F.col("half").alias("model"), "a", "b", "n"), grams.select("lang", other, "a", "b"))
     found = found.select("lang", (1 - F.col("model")).alias("half"), "a", "b", F.col("bits").cast("float").alias("bits"))
     root = f"{shared_dir(spark)}/gram-bits-{uuid.uuid4().hex}"
     answers = counted.select("block", "lang", "half", "a", "b").join(found, ["lang", "half", "a", "b"]).distinct()
-    answers.repartition("block", F.pmod(F.xxhash64("a", "b"), F.lit(8))).write.partitionBy("block").parquet(root)
+    answers.repartition("block", F.pmod(F.xxhash64("a", "b"), F.lit(8))).write.option("compression", "zstd").partitionBy("block").parquet(root)
 
     @F.pandas_udf("struct<n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, bits double>")
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
@@ -279,7 +304,7 @@ def score(docs: DataFrame, keep=("doc_id",), files: bool = False) -> DataFrame:
                     opened, known = block, {}  # one file at a time
                     known = _open(f"{root}/block={block}")
                 for some in _slices(texts := rows["text"].iloc[at].tolist()):
-                    bits[[at[k] for k in some]] = text_bits([texts[k] for k in some], *known[lang, half])
+                    bits[[at[k] for k in some]] = text_bits([texts[k] for k in some], known[lang, half])
             yield out.assign(bits=np.where(np.isnan(bits), None, bits.round(3))).astype({"bits": "Float64"})
 
     return docs.select(*keep, *[c for c in place], text.alias("_text")).select(*keep, "lang", run("block", "lang", "half", "_text").alias("made")).select(*keep, F.col("lang").alias("model"), "made.*")
