@@ -283,10 +283,12 @@ def score(docs: DataFrame, keep=("doc_id",), files: bool = False) -> DataFrame:
     grams = save(counted.groupBy("lang", "half", "a", "b").agg(F.sum("n").alias("n")), "gram-counts")
     other = (1 - F.col("half")).alias("model")
     found = gram_bits(grams.select("lang", F.col("half").alias("model"), "a", "b", "n"), grams.select("lang", other, "a", "b"))
-    found = found.select("lang", (1 - F.col("model")).alias("half"), "a", "b", F.col("bits").cast("float").alias("bits"))
+    found = found.select("lang", (1 - F.col("model")).alias("half"), "a", "b", F.round("bits", 3).cast("float").alias("bits"))
     root = f"{shared_dir(spark)}/gram-bits-{uuid.uuid4().hex}"
-    answers = counted.select("block", "lang", "half", "a", "b").join(found, ["lang", "half", "a", "b"]).distinct()
-    answers.repartition("block", F.pmod(F.xxhash64("a", "b"), F.lit(8))).write.option("compression", "zstd").partitionBy("block").parquet(root)
+    answers = counted.select("block", "lang", "half", "a", "b").join(found, ["lang", "half", "a", "b"]).withColumn("part", F.pmod(F.xxhash64("a", "b"), F.lit(8)))
+    keys = ["block", "part", "lang", "half", "a", "b"]
+    answers = answers.repartition("block", "part").dropDuplicates(keys).sortWithinPartitions(*keys).drop("part")  # one shuffle for both; sorted rows take less room
+    answers.write.option("compression", "zstd").partitionBy("block").parquet(root)
 
     @F.pandas_udf("struct<n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, bits double>")
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
