@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veriloom.llm import chat_repair, chat_tools, cube_mixing, kn_quality, langid_ftrl, line_dedup, lsh_forest, media_shards, pii_bootstrap, prefix_trie, rank_bpe, secret_scan
+from veriloom.llm import chat_repair, chat_tools, cube_mixing, kn_quality, langid_ftrl, line_dedup, lsh_forest, media_shards, pca_tiles, pii_bootstrap, prefix_trie, rank_bpe, secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_tools": chat_tools.op1,
@@ -20,7 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_langid_ftrl": langid_ftrl.op9,
     "op10_kn_quality": kn_quality.op10,
     "op11_chat_repair": chat_repair.op11,
+    "op12_pca_tiles": pca_tiles.op12,
     "op13_prefix_trie": prefix_trie.op13,
 }
 
-ORACLES: dict[str, str] = {"op1_chat_tools": chat_tools.OP1_SQL, "op11_chat_repair": chat_repair.OP11_SQL, "op13_prefix_trie": prefix_trie.OP13_SQL}
+ORACLES: dict[str, str] = {"op1_chat_tools": chat_tools.OP1_SQL, "op11_chat_repair": chat_repair.OP11_SQL, "op12_pca_tiles": pca_tiles.OP12_SQL, "op13_prefix_trie": prefix_trie.OP13_SQL}
