@@ -218,11 +218,13 @@ def trust(url: Column) -> Column:
 
 
 def status_url(url: Column) -> Column:
-    """Handle and time of a post from its URL; the id holds milliseconds since the service's epoch."""
-    post = F.regexp_extract(url, r"(?:twitter|x)\.com/(\w{1,15})/status/(\d{1,18})", 2).try_cast("long")
-    handle = F.lower(F.regexp_extract(url, r"(?:twitter|x)\.com/(\w{1,15})/status/(\d{1,18})", 1))
+    """Handle and time of a post from its URL; the id holds milliseconds since the service's epoch. Ids before that
+    scheme, and times beyond next year, give null."""
+    pattern = r"(?i)(?:twitter|x)\.com/([a-z0-9_]{1,15})/status(?:es)?/([0-9]+)"
+    post = F.regexp_extract(url, pattern, 2).try_cast("long")
     at = F.timestamp_millis(F.shiftright(post, 22) + 1288834974657)  # fixed value: the service's epoch
-    return F.when(post >= 29_000_000_000, F.struct(handle.alias("handle"), at.alias("at")))
+    sound = (post >= 29_000_000_000) & (F.year(at) <= F.year(F.current_date()) + 1)
+    return F.when(sound, F.struct(F.lower(F.regexp_extract(url, pattern, 1)).alias("handle"), at.alias("at")))
 
 
 def redirect_chain(hops: Column) -> Column:
