@@ -194,7 +194,7 @@ def levels(grams: DataFrame) -> dict[int, tuple[DataFrame, DataFrame]]:
     out, now = {}, grams
     for k in range(ORDER, 0, -1):
         if k < ORDER:
-            now = save(now.select(*_KEY, *_suffix(k)).groupBy(*_KEY, "a", "b").agg(F.count(F.lit(1)).alias("n")), f"kn-{k}")
+            now = save(now.select(*_KEY, *_suffix(k)).groupBy(*_KEY, "a", "b").agg(F.count(F.lit(1)).alias("n")), f"kn-{k}", "zstd")
         n = [F.sum((F.col("n") == i).cast("double")).alias(f"n{i}") for i in (1, 2, 3, 4)]
         kinds = now.groupBy(*_KEY).agg(*n)
         y = F.when((F.col("n1") > 0) & (F.col("n2") > 0), F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(F.lit(0.5))
@@ -204,8 +204,8 @@ def levels(grams: DataFrame) -> dict[int, tuple[DataFrame, DataFrame]]:
         by = Window.partitionBy(*_KEY, "ca", "cb")
         salted = kinds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a language may hold most rows
         rows = now.withColumn("salt", F.pmod(F.xxhash64("a", "b"), F.lit(SALTS)).cast("int")).join(salted, [*_KEY, "salt"]).select(*_KEY, "a", "b", *_context(), "n", taken.alias("d"))
-        rows = save(rows.select(*_KEY, "a", "b", "ca", "cb", ((F.col("n") - F.col("d")) / F.sum("n").over(by)).alias("share"), (F.sum("d").over(by) / F.sum("n").over(by)).alias("left")), f"kn-shares-{k}")
-        out[k] = rows.select(*_KEY, "a", "b", "share"), rows.select(*_KEY, "ca", "cb", "left").dropDuplicates([*_KEY, "ca", "cb"])
+        rows = save(rows.select(*_KEY, "a", "b", ((F.col("n") - F.col("d")) / F.sum("n").over(by)).alias("share"), (F.sum("d").over(by) / F.sum("n").over(by)).alias("left")), f"kn-shares-{k}", "zstd")
+        out[k] = rows.select(*_KEY, "a", "b", "share"), rows.select(*_KEY, *_context(), "left").dropDuplicates([*_KEY, "ca", "cb"])
     return out
 
 
@@ -227,7 +227,7 @@ def gram_bits(grams: DataFrame, asked: DataFrame) -> DataFrame:
             under = low.select(*_KEY, F.col("a").alias("sa"), F.col("b").alias("sb"), F.col("p").alias("p_low"))
             sa, sb = _suffix(k - 1)
             rows = rows.withColumns({"sa": sa, "sb": sb}).join(under, [*_KEY, "sa", "sb"])
-        low = save(rows.select(*_KEY, "a", "b", (F.coalesce("share", F.lit(0.0)) + F.coalesce("left", F.lit(1.0)) * F.col("p_low")).alias("p")), f"kn-p-{k}")
+        low = save(rows.select(*_KEY, "a", "b", (F.coalesce("share", F.lit(0.0)) + F.coalesce("left", F.lit(1.0)) * F.col("p_low")).alias("p")), f"kn-p-{k}", "zstd")
     return low.select(*_KEY, "a", "b", (-F.log2("p")).alias("bits"))
 
 
@@ -280,7 +280,7 @@ def score(docs: DataFrame, keep=("doc_id",), files: bool = False) -> DataFrame:
     text, lang = F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.col("lang"), F.lit(""))
     place = [F.xxhash64(F.input_file_name()).alias("block"), lang.alias("lang"), F.pmod(F.xxhash64(text), F.lit(2)).cast("int").alias("half")]
     counted = save(docs.select(*place, text.alias("text")).mapInPandas(_count, "block bigint, lang string, half int, a bigint, b bigint, n bigint"), "grams", "zstd")
-    grams = save(counted.groupBy("lang", "half", "a", "b").agg(F.sum("n").alias("n")), "gram-counts")
+    grams = save(counted.groupBy("lang", "half", "a", "b").agg(F.sum("n").alias("n")), "gram-counts", "zstd")
     other = (1 - F.col("half")).alias("model")
     found = gram_bits(grams.select("lang", F.col("half").alias("model"), "a", "b", "n"), grams.select("lang", other, "a", "b"))
     found = found.select("lang", (1 - F.col("model")).alias("half"), "a", "b", F.round("bits", 3).cast("float").alias("bits"))
