@@ -6,10 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from veriloom.operators import coordination
+from veriloom.operators import coordination, retrieval
 from veriloom.plans.base import query
 from veriloom.sources.shared import land, shared_dir
-from veriloom.streaming import flows
+from veriloom.streaming import cache, flows
 
 C = F.col
 
@@ -70,3 +70,36 @@ def _p11(t):
 
 
 query("p11_recluster", f"WITH RECURSIVE {_POSTS}, v AS (SELECT doc_id, first_id, posts, accounts, coalesce(score, 0.0) AS signal, round((0.25 * CASE WHEN odd THEN 0.9 ELSE 0.2 END + 0.1 * coalesce(score, 0.0)) / 0.35, 4) AS score FROM p JOIN k USING (content) JOIN s USING (cluster)) SELECT *, CASE WHEN score >= 0.8 THEN 'Critical' WHEN score >= 0.6 THEN 'High' WHEN score >= 0.3 THEN 'Medium' ELSE 'Low' END AS band FROM v")(_p11)
+
+
+# --- ranking of documents for passages
+
+query("m05_lexical_rank", r"""WITH w AS (SELECT doc_id, unnest(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda x: length(x) > 1)) AS token FROM documents),
+tf AS (SELECT doc_id, token, count(*) AS tf FROM w GROUP BY ALL), l AS (SELECT doc_id, sum(tf) AS size FROM tf GROUP BY 1), df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1),
+q AS (SELECT DISTINCT item_id, unnest(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda x: length(x) > 1)) AS token FROM benchmark),
+s AS (SELECT item_id, doc_id, round(sum(ln(1 + ((SELECT count(*) FROM l) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / (SELECT avg(size) FROM l)))), 6) AS score FROM q JOIN tf USING (token) JOIN df USING (token) JOIN l USING (doc_id) GROUP BY ALL)
+SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS place FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10""")(
+    lambda t: retrieval.rank(retrieval.build(t("documents"), "doc_id", "text"), t("benchmark"), "item_id", "text", 10).select(C("query").alias("item_id"), C("id").alias("doc_id"), "score", "place"))
+
+
+# --- cached look-ups
+
+
+def _p05(t):
+    """Look-ups by user that come in four files, each out of order within itself; entries last six hours."""
+    rows = t("events").select("event_id", "user_id", C("ts").cast("timestamp").alias("ts"))
+    first, last = rows.agg(F.min("ts"), F.max("ts")).first()
+    path = f"{shared_dir(t.spark)}/lookups-{uuid.uuid4().hex}"
+    for k in range(4):
+        part = F.least(F.lit(3), F.floor(4 * (F.unix_micros("ts") - F.unix_micros(F.lit(first))) / (F.unix_micros(F.lit(last)) - F.unix_micros(F.lit(first)) + 1)))
+        rows.filter(part == k).orderBy(F.xxhash64("event_id")).coalesce(1).write.mode("append").parquet(path)
+    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    with cache.state_store(t.spark):
+        return flows.run_to_table(cache.cached(stream, "user_id", "event_id", "ts", 6 * 3600))
+
+
+query("p05_ttl_cache", """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+r AS (SELECT user_id, event_id, us, k, 'miss' AS outcome, us AS stored FROM e WHERE k = 1
+  UNION ALL SELECT e.user_id, e.event_id, e.us, e.k, CASE WHEN e.us - stored < 21600000000 THEN 'hit' ELSE 'miss' END, CASE WHEN e.us - stored < 21600000000 THEN stored ELSE e.us END FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1),
+x AS (SELECT user_id, event_id, us, outcome, stored FROM r UNION ALL SELECT user_id, NULL, stored + 21600000000, 'expiry', stored FROM r WHERE outcome = 'miss')
+SELECT user_id::VARCHAR AS key, event_id AS id, us AS "at", outcome, stored FROM x WHERE us < (SELECT epoch_us(max(ts)) // 1000 * 1000 - 3600000000 FROM events)""")(_p05)
