@@ -6,10 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from veriloom.operators import coordination, retrieval
+from veriloom.operators import coordination, retrieval, versions
 from veriloom.plans.base import query
 from veriloom.sources.shared import land, shared_dir
-from veriloom.streaming import cache, flows
+from veriloom.streaming import cache, flows, sweep
 
 C = F.col
 
@@ -103,3 +103,80 @@ r AS (SELECT user_id, event_id, us, k, 'miss' AS outcome, us AS stored FROM e WH
   UNION ALL SELECT e.user_id, e.event_id, e.us, e.k, CASE WHEN e.us - stored < 21600000000 THEN 'hit' ELSE 'miss' END, CASE WHEN e.us - stored < 21600000000 THEN stored ELSE e.us END FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1),
 x AS (SELECT user_id, event_id, us, outcome, stored FROM r UNION ALL SELECT user_id, NULL, stored + 21600000000, 'expiry', stored FROM r WHERE outcome = 'miss')
 SELECT user_id::VARCHAR AS key, event_id AS id, us AS "at", outcome, stored FROM x WHERE us < (SELECT epoch_us(max(ts)) // 1000 * 1000 - 3600000000 FROM events)""")(_p05)
+
+
+# --- sweep of landed records: orders by priority are the sources, some of their lines are damaged
+
+_LINE = """'{"key":' || o_orderkey || ',"mark":' || o_orderkey || ',"cents":' || CAST(round(o_totalprice * 100) AS BIGINT) || '}'"""
+_DAMAGED = f"""CASE WHEN o_orderkey % 97 = 5 THEN left({_LINE}, length({_LINE}) - 4) WHEN o_orderkey % 97 = 6 THEN replace({_LINE}, '"key"', '"id"') WHEN o_orderkey % 97 = 7 THEN replace({_LINE}, '"mark":', '"mark":null,"was":') WHEN o_orderkey % 97 = 8 THEN '[' || {_LINE} || ']' ELSE {_LINE} END"""
+
+
+def _p10(t):
+    """Half of the orders land and are swept, then all of them land again beside these and are swept, twice."""
+    top = f"{shared_dir(t.spark)}/sweep-{uuid.uuid4().hex}"
+    rows = t("orders").select("o_orderkey", F.lower(F.regexp_replace("o_orderpriority", "[^A-Za-z]+", "")).alias("source"), F.expr(_DAMAGED).alias("line"))
+    names = ["urgent", "high", "medium", "notspecified", "low", "silent"]
+    middle = rows.agg(F.max("o_orderkey")).first()[0] // 2
+    for part in (rows.filter(C("o_orderkey") <= middle), rows, rows.filter("o_orderkey % 3 = 0")):
+        for name in names[:-1]:
+            part.filter(C("source") == name).select("line").write.mode("append").text(f"{top}/in/{name}")
+        sweep.sweep(t.spark, {name: f"{top}/in/{name}" for name in names}, f"{top}/store", "key", "mark")
+    taken = sweep.stored(t.spark, f"{top}/store", "rows").select("source", F.lit(None).cast("string").alias("cause"), "key", C("body").alias("line"))
+    return taken.unionByName(sweep.stored(t.spark, f"{top}/store", "bad").select("source", "cause", F.lit(None).cast("string").alias("key"), "line"))
+
+
+query("p10_sweep", f"""WITH r AS (SELECT o_orderkey AS k, lower(regexp_replace(o_orderpriority, '[^A-Za-z]+', '', 'g')) AS source, {_DAMAGED} AS line FROM orders)
+SELECT source, CASE k % 97 WHEN 5 THEN 'not_json' WHEN 6 THEN 'no_key' WHEN 7 THEN 'no_mark' WHEN 8 THEN 'not_json' END AS cause, CASE WHEN k % 97 NOT BETWEEN 5 AND 8 THEN k::VARCHAR END AS key, line FROM r""")(_p10)
+
+# --- versions of a register: customers, and the same after changes in a few ranges of keys
+
+_RANGE = F.floor(C("c_custkey") / 64)
+
+
+def _z65(t):
+    folder = f"{shared_dir(t.spark)}/register-{uuid.uuid4().hex}"
+    old = t("customer").select("c_custkey", "c_acctbal", "c_mktsegment")
+    versions.snapshot(old, "c_custkey", _RANGE, folder, 1)
+    near = C("c_custkey") % 1000 < 40
+    new = old.filter(~(near & (C("c_custkey") % 10 == 0))).withColumn("c_acctbal", F.when(near & (C("c_custkey") % 10 == 1), C("c_acctbal") + 1).otherwise(C("c_acctbal")))
+    new = new.unionByName(old.filter("c_custkey % 500 = 3").withColumn("c_custkey", C("c_custkey") + 1_000_000))
+    versions.snapshot(new, "c_custkey", _RANGE, folder, 2)
+    rows = versions.differences(t.spark, folder, 1, 2)
+    return rows.select("key", "change", C("was.c_acctbal").alias("was"), C("now.c_acctbal").alias("now"))
+
+
+query("z65_snapshot_diff", """SELECT c_custkey AS key, CASE WHEN c_custkey % 10 = 0 THEN 'removed' ELSE 'changed' END AS change, c_acctbal AS was, CASE WHEN c_custkey % 10 = 1 THEN c_acctbal + 1 END AS now FROM customer WHERE c_custkey % 1000 < 40 AND c_custkey % 10 < 2
+UNION ALL SELECT c_custkey + 1000000, 'added', NULL, c_acctbal FROM customer WHERE c_custkey % 500 = 3""")(_z65)
+
+
+def _harvests(t):
+    """Rows of two harvests of a register: the second repeats a third of the first, under another category for some."""
+    number = F.concat(F.upper(F.substring("c_mktsegment", 1, 2)), F.lpad(C("c_custkey").cast("string"), 9, "0"))
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (C("c_nationkey") % 20).cast("int"))
+    rows = t("customer").select(number.alias("number"), C("c_mktsegment").alias("category"), F.lit(1).alias("landed"), C("c_name").alias("name"), day.alias("as_on"))
+    return rows.unionByName(rows.filter("substr(number, 11, 1) in ('0', '3', '6')").withColumn("landed", F.lit(2)).withColumn("category", F.when(C("number").endswith("6"), "OTHER").otherwise(C("category"))).withColumn("as_on", F.date_add("as_on", 30)))
+
+
+_HARVESTS = "b AS (SELECT upper(left(c_mktsegment, 2)) || lpad(c_custkey::VARCHAR, 9, '0') AS number, c_mktsegment AS category, 1 AS landed, c_name AS name, DATE '2024-01-01' + (c_nationkey % 20)::INT AS as_on FROM customer), h AS (SELECT * FROM b UNION ALL SELECT number, CASE WHEN number LIKE '%6' THEN 'OTHER' ELSE category END, 2, name, as_on + 30 FROM b WHERE right(number, 1) IN ('0', '3', '6')), m AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY number ORDER BY landed, category) = 1)"
+query("z65_register", f"WITH {_HARVESTS} SELECT number, category, name, strftime(as_on, '%Y-%m-%d') AS as_on FROM m")(
+    lambda t: versions.merged(_harvests(t)).withColumn("as_on", C("as_on").cast("string")))
+query("z22_coverage", f"WITH {_HARVESTS}, d AS (SELECT category, max(as_on) AS as_on, count(*) AS harvested FROM h GROUP BY 1), p AS (SELECT regexp_extract(upper(number), '^[A-Z]+') AS prefix, arg_min(category, number) AS category, count(*) AS records FROM m GROUP BY 1) SELECT prefix, category, strftime(as_on, '%Y-%m-%d') AS as_on, harvested, records FROM p JOIN d USING (category)")(
+    lambda t: versions.coverage(versions.merged(_harvests(t)), _harvests(t)).withColumn("as_on", C("as_on").cast("string")))
+
+
+def _z22(t):
+    """Every order claims that its customer stood in the register of their segment on its date; a segment's register is
+    renewed in two years of three, and covers the segment in every other."""
+    claims = t("orders").join(t("customer").select(C("c_custkey").alias("o_custkey"), C("c_mktsegment").alias("category")), "o_custkey").select("o_orderkey", C("o_custkey").alias("number"), "category", C("o_orderdate").cast("date").alias("day"))
+    years = t("orders").select(F.year("o_orderdate").alias("y")).distinct().crossJoin(t("customer").select(C("c_mktsegment").alias("category")).distinct())  # years and segments, a few rows each
+    kept = years.withColumn("k", C("y") + F.length("category")).filter("k % 3 <> 0").select("category", F.make_date("y", F.lit(1) + C("k") % 5, F.lit(15)).alias("since"), (C("k") % 2 == 0).alias("covered"))
+    register = t("customer").join(kept.withColumnRenamed("category", "c_mktsegment"), "c_mktsegment").filter((C("c_custkey") + F.year("since")) % 7 != 0).select(C("c_custkey").alias("number"), "since")
+    rows = versions.standing(versions.as_of(claims, kept, "category", "day"), register)
+    return rows.select("o_orderkey", "number", C("since").cast("string").alias("since"), "covered", "state")
+
+
+query("z22_as_of_coverage", """WITH y AS (SELECT DISTINCT year(o_orderdate) AS y, c_mktsegment AS category FROM orders, (SELECT DISTINCT c_mktsegment FROM customer)),
+v AS (SELECT category, make_date(y, 1 + (y + length(category)) % 5, 15) AS since, (y + length(category)) % 2 = 0 AS covered FROM y WHERE (y + length(category)) % 3 <> 0),
+c AS (SELECT o_orderkey, c_custkey AS number, c_mktsegment AS category, o_orderdate::DATE AS day FROM orders JOIN customer ON o_custkey = c_custkey),
+a AS (SELECT c.*, v.since, v.covered FROM c ASOF LEFT JOIN v ON c.category = v.category AND c.day >= v.since)
+SELECT o_orderkey, number, strftime(since, '%Y-%m-%d') AS since, covered, CASE WHEN since IS NOT NULL AND (number + year(since)) % 7 <> 0 THEN 'valid' WHEN covered THEN 'invalid' ELSE 'unverified' END AS state FROM a""")(_z22)
