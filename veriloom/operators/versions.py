@@ -43,25 +43,34 @@ def snapshot(rows: DataFrame, key: str, range_: Column, folder: str, version: in
     digest = F.sha2(F.to_json(F.struct(key, *columns), {"ignoreNullFields": "false"}), 256)
     path = f"{folder}/version={version}"
     rows.select(F.col(key).alias("key"), digest.alias("digest"), F.struct(*columns).alias("row"), range_.cast("long").alias("range")).repartition("range").sortWithinPartitions("range", "key").write.mode("overwrite").partitionBy("range").parquet(f"{path}/rows")
-    found = spark.read.parquet(f"{path}/rows")
+    found = _rows(spark, folder, version, rows.select(F.col(key).alias("key"), digest.alias("digest"), F.struct(*columns).alias("row")))
     together = lambda order: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "digest"))), lambda x: x["digest"]), ""), 256).alias("digest")
-    level = found.groupBy(F.col("range").cast("long").alias("node")).agg(together("key"))
+    level = found.groupBy(F.col("range").alias("node")).agg(together("key"))
     level.write.mode("overwrite").parquet(f"{path}/nodes/level=0")
     for k in range(1, LEVELS + 1):
-        below = spark.read.parquet(f"{path}/nodes/level={k - 1}")
+        below = spark.read.schema("node long, digest string").parquet(f"{path}/nodes/level={k - 1}")
         below.groupBy(F.floor(F.col("node") / FAN).alias("node")).agg(together("node")).write.mode("overwrite").parquet(f"{path}/nodes/level={k}")
         if below.select(F.max("node")).first()[0] in (None, 0):
             break
 
 
+def _rows(spark: SparkSession, folder: str, version: int, like: DataFrame | None = None) -> DataFrame:
+    """Rows of a version; an empty one has no files to tell its columns, so that they are kept beside them."""
+    path = f"{folder}/version={version}"
+    if like is not None:
+        like.limit(0).write.mode("overwrite").parquet(f"{path}/columns")
+    kind = spark.read.parquet(f"{path}/columns").schema
+    return spark.read.schema(kind.add("range", "long")).parquet(f"{path}/rows")
+
+
 def _nodes(spark: SparkSession, folder: str, version: int) -> DataFrame:
-    return spark.read.parquet(f"{folder}/version={version}/nodes").select(F.col("level").cast("int").alias("level"), "node", "digest")
+    return spark.read.schema("node long, digest string, level int").parquet(f"{folder}/version={version}/nodes")
 
 
 def changed_ranges(spark: SparkSession, folder: str, old: int, new: int) -> DataFrame:
     """Ranges whose rows differ, found from the top; levels above the lower tree's top are compared as they are."""
     a, b = _nodes(spark, folder, old), _nodes(spark, folder, new)
-    top = min(x.agg(F.max("level")).first()[0] for x in (a, b))
+    top = min(x.agg(F.max("level")).first()[0] or 0 for x in (a, b))
     open_ = None
     for k in range(top, -1, -1):
         x, y = (n.filter(F.col("level") == k).select("node", F.col("digest").alias(c)) for n, c in ((a, "was"), (b, "now")))
@@ -75,7 +84,7 @@ def changed_ranges(spark: SparkSession, folder: str, old: int, new: int) -> Data
 def differences(spark: SparkSession, folder: str, old: int, new: int) -> DataFrame:
     """key, change (added, removed or changed), was and now (rows) between two versions; only ranges that differ are read."""
     ranges = changed_ranges(spark, folder, old, new)
-    rows = lambda v, r, d: spark.read.parquet(f"{folder}/version={v}/rows").withColumn("range", F.col("range").cast("long")).join(ranges, "range", "left_semi").select("key", F.col("row").alias(r), F.col("digest").alias(d))
+    rows = lambda v, r, d: _rows(spark, folder, v).join(ranges, "range", "left_semi").select("key", F.col("row").alias(r), F.col("digest").alias(d))
     both = rows(old, "was", "d").join(rows(new, "now", "e"), "key", "full_outer").filter(~F.col("d").eqNullSafe(F.col("e")))
     change = F.when(F.col("d").isNull(), "added").when(F.col("e").isNull(), "removed").otherwise("changed")
     return both.select("key", change.alias("change"), "was", "now")
