@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veriloom.operators.lookups import shared_entities
+from veriloom.operators.lookups import entity_ties, shared_entities
 from veriloom.operators.rollups import latest
 from veriloom.operators.scoring import band, choose, clamp, prf
 from veriloom.operators.similar import connected
@@ -120,7 +120,8 @@ def channel_flags(messages: DataFrame, chat: str, sender: str, body: str, funnel
 
 def campaigns(sightings: DataFrame, days: int = 30, least: int = 2) -> DataFrame:
     """obs and campaign (its least observation) of observations that share so many entities within so many days."""
-    return connected(shared_entities(sightings, days, least)).select(F.col("id").alias("obs"), F.col("component").alias("campaign"))
+    ties = entity_ties(sightings, days) if least == 2 else shared_entities(sightings, days, least)
+    return connected(ties).select(F.col("id").alias("obs"), F.col("component").alias("campaign"))
 
 
 def join_campaigns(members: DataFrame, sightings: DataFrame, fresh: DataFrame, days: int = 30, least: int = 2) -> DataFrame:
@@ -130,10 +131,8 @@ def join_campaigns(members: DataFrame, sightings: DataFrame, fresh: DataFrame, d
     that it shares enough with, may tie two of them together, or seeds one with another.
     """
     touched = sightings.join(sightings.join(fresh, "obs", "left_semi").select("type", "value").distinct(), ["type", "value"], "left_semi")
-    pairs = shared_entities(touched, days, least).select("a", "b")
-    isnew = fresh.select("obs").distinct()
-    a_new, b_new = pairs.join(isnew, pairs["a"] == isnew["obs"], "left_semi"), pairs.join(isnew, pairs["b"] == isnew["obs"], "left_semi")
-    edges = a_new.unionByName(b_new).distinct().unionByName(members.filter("obs <> campaign").select(F.col("campaign").alias("a"), F.col("obs").alias("b")))
+    pairs = entity_ties(touched, days) if least == 2 else shared_entities(touched, days, least)
+    edges = pairs.select("a", "b").unionByName(members.filter("obs <> campaign").select(F.col("campaign").alias("a"), F.col("obs").alias("b")))
     return connected(edges).select(F.col("id").alias("obs"), F.col("component").alias("campaign"))
 
 

@@ -28,6 +28,36 @@ def shared_entities(sightings: DataFrame, days: int = 30, least: int = 2) -> Dat
     return a.join(b, near).groupBy(F.col("a.obs").alias("a"), F.col("b.obs").alias("b")).agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= least)
 
 
+def time_neighbours(rows: DataFrame, keys: list[str], time: str, id: str, days: float) -> DataFrame:
+    """Pairs a, b of ids of a key's rows that follow one another in time within so many days.
+
+    Whatever lies within the span of a row is tied to it through such pairs. Rows are sorted in spans of that length,
+    of which the ends are then compared, so that a key with a third of all rows is many groups.
+    """
+    gap = int(days * 86_400_000_000)
+    rows = rows.select(*keys, F.struct(F.unix_micros(time).alias("us"), F.col(id).alias("id")).alias("x")).withColumn("span", F.floor(F.col("x.us") / gap))
+    before = F.lag("x").over(Window.partitionBy(*keys, "span").orderBy("x"))
+    pair = lambda x, y: (x["id"].alias("a"), y["id"].alias("b"))
+    within = rows.withColumn("p", before).filter("p is not null").select(*pair(F.col("p"), F.col("x")))
+    ends = rows.groupBy(*keys, "span").agg(F.min("x").alias("first"), F.max("x").alias("last"))
+    ends = ends.withColumn("p", F.lag("last").over(Window.partitionBy(*keys).orderBy("span"))).filter(F.col("first.us") - F.col("p.us") <= gap)
+    return within.unionByName(ends.select(*pair(F.col("p"), F.col("first")))).filter("a <> b")
+
+
+def entity_ties(sightings: DataFrame, days: float = 30) -> DataFrame:
+    """Pairs a, b of observations that share two entities within so many days, enough of them to tie all that do.
+
+    Two observations share two entities if they share a pair of entities, so that those of one pair are compared with
+    their neighbours in time only: what is sorted grows with the observations, not with the square of those that share
+    an entity. sightings has obs, ts (one an observation), type, value; an observation's entities are few.
+    """
+    s = sightings.select("obs", "ts", F.struct("type", "value").alias("e")).distinct()
+    often = s.groupBy("e").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    own = s.join(often, "e", "left_semi").groupBy("obs", "ts").agg(F.array_sort(F.collect_set("e")).alias("es"))
+    pairs = F.flatten(F.transform("es", lambda x, i: F.transform(F.filter("es", lambda y: y > x), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    return time_neighbours(own.select("obs", "ts", F.explode(pairs).alias("pair")), ["pair"], "ts", "obs", days)
+
+
 def or_join(left: DataFrame, right: DataFrame, keys: dict[str, str], left_id: str, right_id: str) -> DataFrame:
     """Candidates that agree in any of several keys: one equi-join a key, united, each pair once."""
     out = None

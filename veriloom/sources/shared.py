@@ -25,3 +25,10 @@ def land(df: DataFrame, kind: str, **options) -> str:
     path = f"{shared_dir(df.sparkSession)}/landed-{uuid.uuid4().hex}"
     df.write.format(kind).options(**options).save(path)
     return path
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """The same rows from a table of the shared folder: lineage is cut, and lost executors are survived."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
