@@ -17,7 +17,10 @@ C = F.col
 
 # --- coordinated posting: every document is a post of one of its source's accounts
 
-_BASE = F.when(C("text").contains("$$$"), 0.9).otherwise(0.2)
+
+
+def _base():
+    return F.when(C("text").contains("$$$"), 0.9).otherwise(0.2)
 
 
 def _items(docs):
@@ -65,7 +68,7 @@ def _p11(t):
     path = land(_items(t("documents")).repartition(4, "doc_id"), "parquet")
     kept = coordination.Campaigns(t.spark, f"{shared_dir(t.spark)}/campaigns-{uuid.uuid4().hex}", coordination.idf(_batch(t)))
     stream = t.spark.readStream.schema(t.spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
-    coordination.run(stream, kept, _BASE, "doc_id", "url", "text")
+    coordination.run(stream, kept, _base(), "doc_id", "url", "text")
     rows = kept.verdicts().join(kept.clusters().select("cluster", "accounts", "posts"), "cluster")
     names = _named(rows)
     return rows.join(names, "cluster").select(C("post").alias("doc_id"), "first_id", "posts", "accounts", "signal", "score", "band")
@@ -132,17 +135,20 @@ SELECT source, CASE k % 97 WHEN 5 THEN 'not_json' WHEN 6 THEN 'no_key' WHEN 7 TH
 
 # --- versions of a register: customers, and the same after changes in a few ranges of keys
 
-_RANGE = F.floor(C("c_custkey") / 64)
+
+
+def _range():
+    return F.floor(C("c_custkey") / 64)
 
 
 def _z65(t):
     folder = f"{shared_dir(t.spark)}/register-{uuid.uuid4().hex}"
     old = t("customer").select("c_custkey", "c_acctbal", "c_mktsegment")
-    versions.snapshot(old, "c_custkey", _RANGE, folder, 1)
+    versions.snapshot(old, "c_custkey", _range(), folder, 1)
     near = C("c_custkey") % 1000 < 40
     new = old.filter(~(near & (C("c_custkey") % 10 == 0))).withColumn("c_acctbal", F.when(near & (C("c_custkey") % 10 == 1), C("c_acctbal") + 1).otherwise(C("c_acctbal")))
     new = new.unionByName(old.filter("c_custkey % 500 = 3").withColumn("c_custkey", C("c_custkey") + 1_000_000))
-    versions.snapshot(new, "c_custkey", _RANGE, folder, 2)
+    versions.snapshot(new, "c_custkey", _range(), folder, 2)
     rows = versions.differences(t.spark, folder, 1, 2)
     return rows.select("key", "change", C("was.c_acctbal").alias("was"), C("now.c_acctbal").alias("now"))
 
