@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veriloom.llm.common import save, shared_dir, small_batches, table
+from veriloom.llm.common import save, shared_dir, small_batches, table, tidy
 
 ORDER = 5
 #: Bits of a character that no model explains: one code point among all.
@@ -136,6 +136,7 @@ def _slices(texts: list[str]) -> Iterator[list[int]]:
         yield some
 
 
+@tidy
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Counts of the grams of a task's documents that pass the base rules, by file, language and half."""
     sums: dict[tuple, list] = {}
@@ -291,6 +292,7 @@ def score(docs: DataFrame, keep=("doc_id",), files: bool = False) -> DataFrame:
     answers.write.option("compression", "zstd").partitionBy("block").parquet(root)
 
     @F.pandas_udf("struct<n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, bits double>")
+    @tidy
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         opened, known = None, {}
         for batch in batches:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriloom.llm.common import SPACES, save, small_batches, table
+from veriloom.llm.common import SPACES, save, small_batches, table, tidy
 
 LEAST, EXACT, EDITS = 24, 8, 2
 #: Lines that share a segment meet directly up to so many, by bands of their wide sketch beyond.
@@ -168,6 +168,7 @@ def _slices(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
 
 
 def _occurrences(exact: int):
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for part in _slices(batch):
@@ -205,6 +206,7 @@ def _distinct(batches: Iterator[pd.DataFrame], least: int) -> Iterator[list[str]
 def _rows(least: int, edits: int, index: bool):
     """Index or probe rows of the lines of a task: key, line and sketch."""
 
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for lines in _distinct(batches, least):
             x = Lines(lines)
@@ -217,6 +219,7 @@ def _rows(least: int, edits: int, index: bool):
 def _wide(least: int, edits: int):
     """Wide sketches of the lines of a task: 128 bits cut into 4 * edits + 1 bands."""
 
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for lines in _distinct(batches, least):
             yield pd.DataFrame({"id": _ids(lines)[:, 0], "wide": Lines(lines).sketches(7).tolist()})
@@ -225,6 +228,7 @@ def _wide(least: int, edits: int):
 
 
 def _texts(least: int):
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for lines in _distinct(batches, least):
             ids = _ids(lines)

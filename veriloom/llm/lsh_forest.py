@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veriloom.llm.common import save, small_batches, table
+from veriloom.llm.common import save, small_batches, table, tidy
 from veriloom.llm.components import components
 
 HASHES, TREES, WORDS = 128, 16, 5
@@ -87,6 +87,7 @@ def coarse(sig: np.ndarray) -> list[int]:
     return np.packbits(bits).view(np.int64).tolist()
 
 
+@tidy
 def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
@@ -114,6 +115,7 @@ def _neighbours(reach: int, least: int):
                 out.append(pd.DataFrame({"a": vertex[at], "b": vertex[at + k], "agree": agree[at].astype(np.int32)}))
         return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "agree": []}).astype({"a": "int64", "b": "int64", "agree": "int32"})
 
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last = None
         for batch in batches:
@@ -125,6 +127,7 @@ def _neighbours(reach: int, least: int):
     return run
 
 
+@tidy
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         yield pd.DataFrame({"vertex": batch["vertex"], "set": [shingles(t).view(np.int64).tolist() for t in batch["text"]]})

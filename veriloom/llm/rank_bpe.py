@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veriloom.llm.common import small_batches
+from veriloom.llm.common import small_batches, tidy
 
 #: Fixed values of the vocabulary file's format.
 END = "</w>"
@@ -252,6 +252,7 @@ def bpe(docs: DataFrame, path: str, *, ids: bool = False, round_trip: bool = Tru
     kind = "struct<n_tokens bigint, ids_sha256 string" + ", decoded_sha256 string" * round_trip + ", ids binary" * ids + ">"
 
     @F.pandas_udf(kind)
+    @tidy
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         codec = _codec(source.value)
         for batch in batches:
