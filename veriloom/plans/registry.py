@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veriloom.plans import flows, insights, landing, registers, relational, scalars, structures, verdicts  # noqa: F401
+from veriloom.plans import flows, insights, landing, messages, registers, relational, scalars, structures, verdicts  # noqa: F401
 from veriloom.plans.base import ORACLES, QUERIES
 
 FLAGSHIP = "a15_verdict_ladder"

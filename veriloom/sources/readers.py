@@ -79,7 +79,7 @@ def mailbox(spark: SparkSession, path: str) -> DataFrame:
 def announcements(spark: SparkSession, path: str, most: int = 50) -> DataFrame:
     """Announcements whose payload is JSON within a JSON string, or a note that there is none."""
     raw = spark.read.text(path, wholetext=True)
-    inner = F.coalesce(F.from_json("value", "string"), F.col("value"))
+    inner = F.coalesce(F.try_variant_get(F.try_parse_json("value"), "$", "string"), F.col("value"))
     rows = raw.filter(~inner.contains("No Record Found")).select(F.explode(F.from_json(inner, "array<struct<headline:string,summary:string,company:string,url:string,dt:string>>")).alias("r")).select("r.*")
     return rows.withColumn("summary", F.substring(F.coalesce("summary", "headline"), 1, 200)).orderBy(F.desc("dt"), "url").limit(most)
 
