@@ -15,7 +15,7 @@ LOOKALIKES = {
     "а": "a", "А": "A", "е": "e", "Е": "E", "о": "o", "О": "O", "р": "p", "Р": "P", "с": "c", "С": "C", "у": "y", "У": "Y",
     "х": "x", "Х": "X", "і": "i", "І": "I", "ј": "j", "Ј": "J", "һ": "h", "Н": "H", "В": "B", "М": "M", "К": "K", "Т": "T",
     "Ѕ": "S", "ѕ": "s", "ο": "o", "Ο": "O", "α": "a", "Α": "A", "ε": "e", "Ε": "E", "ρ": "p", "Ρ": "P", "υ": "u", "Υ": "Y",
-    "κ": "k", "Κ": "K", "ν": "v", "Ν": "N", "τ": "t", "Τ": "T", "Β": "B", "Η": "H", "Ι": "I", "Μ": "M", "Χ": "X",
+    "κ": "k", "Κ": "K", "ν": "v", "Ν": "N", "τ": "t", "Τ": "T", "Β": "B", "Η": "H", "Ι": "I", "Μ": "M", "Χ": "X", "ａ": "a", "ｅ": "e", "ｏ": "o",
 }
 # Code points that are not seen: zero-width, joiners, direction marks, soft hyphen, byte order mark.
 INVISIBLE = (0x00AD, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2065), 0xFEFF)
@@ -52,13 +52,32 @@ def _decomposed(c: pd.Series) -> pd.Series:
     return c.map(lambda t: None if t is None else "".join(x for x in unicodedata.normalize("NFD", t) if not unicodedata.combining(x)))
 
 
+def _settled(form: str, blocks: tuple[range, ...]) -> str:
+    """A pattern of characters outside of those in some blocks that a form leaves as they are, whatever stands beside them."""
+    kept = [k for b in blocks for k in b if unicodedata.is_normalized(form, chr(k)) and unicodedata.category(chr(k))[0] in "LNPSZ"]
+    spans, start = [], None
+    for k in kept:
+        if start is None or k != last + 1:
+            if start is not None:
+                spans.append((start, last))
+            start = k
+        last = k
+    spans.append((start, last))
+    return "[^\\x00-\\x7F" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in spans) + "]"
+
+
+#: What NFKC may change: anything but ASCII and the letters and marks of these blocks that have no other form.
+CHANGED = _settled("NFKC", (range(0x80, 0x250), range(0x370, 0x530), range(0x2010, 0x2030), range(0x4E00, 0xA000)))
+
+
 def compatible(c: Column) -> Column:
-    """NFKC; the expression library has none, so texts with other than ASCII go through one Arrow function."""
-    return F.when(c.rlike(r"[^\x00-\x7F]"), _compatible(c)).otherwise(c)
+    """NFKC; the expression library has none, so texts that it may change go through one Arrow function. Others reach it
+    as nulls: Spark evaluates such functions for every row, before it looks at conditions."""
+    return F.coalesce(_compatible(F.when(c.rlike(CHANGED), c)), c)
 
 
 def strip_marks(c: Column) -> Column:
-    return F.when(c.rlike(r"[^\x00-\x7F]"), _decomposed(c)).otherwise(c)
+    return F.coalesce(_decomposed(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)
 
 
 def for_matching(c: Column, lower: bool = True) -> Column:

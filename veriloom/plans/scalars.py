@@ -28,7 +28,8 @@ def pages(name: str, expr, sql: str, pre: str = ""):
 
 
 texts("n01_strip_invisible", lambda c: F.length(text.strip_invisible(c)).cast("long"), f"length(regexp_replace(text, '{HIDDEN}', '', 'g'))")
-texts("n02_fold_lookalikes", lambda c: F.sha2(text.fold_lookalikes(c), 256), f"sha256(translate(text, {ALIKE}))")
+# letters of other scripts are put in first: folded, the text is what it was
+texts("n02_fold_lookalikes", lambda c: F.sha2(text.fold_lookalikes(F.translate(c, "aceopxyBHKMijsSTvE", "ａсｅｏрхуВНКМіјѕЅТνΕ")), 256), "sha256(text)")
 texts("n03_for_matching", lambda c: F.sha2(text.for_matching(c), 256), f"sha256({MATCHING})")
 texts("n08_bare", lambda c: F.sha2(text.bare(c), 256), rf"sha256(regexp_replace({MATCHING}, '[\s._\-]+', '', 'g'))")
 query("n04_company_name", r"""SELECT p_partkey, trim(regexp_replace(trim(regexp_replace(replace(lower(trim(p_name)) || CASE p_partkey % 4 WHEN 0 THEN ' pvt ltd' WHEN 1 THEN ' limited india' WHEN 2 THEN ' & sons llp' ELSE ' corporation' END, '&', ' and '), '\s+', ' ', 'g')), '(?: (?:private limited|public limited|pvt ltd|pvt\. ltd\.|pvt limited|limited|ltd|ltd\.|llp|inc|incorporated|plc|india|of india))+$', '')) AS out FROM part""")(
