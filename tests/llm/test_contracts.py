@@ -71,3 +71,17 @@ def test_op8(spark, data, docs):
 def test_other_vocabulary_files_are_refused():
     with pytest.raises(ValueError, match="other settings"):
         check_settings({"model": {"type": "BPE", "end_of_word_suffix": None}, "normalizer": None, "pre_tokenizer": None, "decoder": {"type": "ByteLevel"}})
+
+
+def test_kept_columns_of_any_name(spark, odd):
+    """What an operator names itself clashes with no kept column."""
+    import public_tokenizers
+
+    from veriloom.llm.kn_quality import score
+    from veriloom.llm.rank_bpe import bpe
+
+    keep = ("doc_id", "made", "row", "kept", "lang", "text2")
+    assert bpe(odd, public_tokenizers.path("word_bpe_49k.json"), keep=keep).columns[: len(keep)] == list(keep)
+    assert bpe(odd, public_tokenizers.path("word_bpe_49k.json"), keep=keep).count() == odd.count()
+    got = score(odd, keep=keep)
+    assert got.columns[: len(keep)] == list(keep) and got.count() == odd.count()

@@ -3,7 +3,9 @@ import hmac
 import json
 import random
 import re
+import time
 
+from veriloom.llm import secret_scan
 from veriloom.llm.secret_scan import BASE, scan_secrets, secret_spans
 
 
@@ -98,3 +100,33 @@ def test_encodings_within_encodings():
     twice = base64.b64encode(f"see {once} there".encode()).decode()
     assert [k for k, _ in found(f"x {once} y")] == [k for k, _ in found(f"x {twice} y")] == [k for k, _ in found(f"x {twice.encode().hex()} y")] == ["encoded_secret"]
     assert found(f"x {base64.b64encode(b'nothing of the kind is said in here').decode()} y") == []
+
+
+def test_long_runs_take_time_by_their_length():
+    for t in ("MAAA/" * 800_000, "eyJ" * 300_000 + ".eyJhIjoxfQ." + "a" * 43, "/" * 2_000_000, "MIIBMIIB/" * 200_000, base64.b64encode(b"word word? " * 200_000).decode()):
+        began = time.process_time()
+        assert not [x for x in secret_scan.secret_spans(t) if x[0] not in secret_scan.BASE]
+        assert time.process_time() - began < 20
+
+
+def test_nested_as_deep_as_it_goes():
+    t = "password = hunter2hunter2"
+    for _ in range(9):
+        t = base64.b64encode(t.encode()).decode()
+    assert secret_scan.secret_spans("x " + t) == [("encoded_secret", 2, 2 + len(t))]
+
+
+def test_behind_slashes():
+    inner = base64.b64encode(b"x password = hunter2hunter2 x").decode().rstrip("=")
+    for pad in range(4):
+        run = "AB" + "C" * pad + "/" + inner
+        assert [x[0] for x in secret_scan.secret_spans(run)] == ["encoded_secret"], run
+
+
+def test_sealed_key():
+    body = base64.encodebytes(bytes(range(160))).decode()
+    head = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC," + "0F" * 16 + "\n\n"
+    key = head + body + "-----END RSA PRIVATE KEY-----"
+    assert [x for x in secret_scan.secret_spans("a " + key) if x[0] not in secret_scan.BASE] == [("encrypted_key", 2, 2 + len(key))]
+    assert not [x for x in secret_scan.secret_spans(key.replace("0F" * 16, "0F" * 7)) if x[0] == "encrypted_key"]
+    assert not [x for x in secret_scan.secret_spans(head + base64.encodebytes(bytes(155)).decode() + "-----END RSA PRIVATE KEY-----") if x[0] == "encrypted_key"]

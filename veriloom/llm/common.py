@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 BATCH = 1000
 SPACES = " \t\n\x0b\x0c\r"
+#: Names within an operator of what it keeps and makes, so that a table's own names clash with nothing.
+KEPT, MADE = "_kept_by_veriloom", "_made_by_veriloom"
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veriloom.llm.common import save, shared_dir, small_batches, table, tidy
+from veriloom.llm.common import KEPT, MADE, save, shared_dir, small_batches, table, tidy
 
 ORDER = 5
 #: Bits of a character that no model explains: one code point among all.
@@ -311,7 +311,9 @@ def score(docs: DataFrame, keep=("doc_id",), files: bool = False) -> DataFrame:
                     bits[[at[k] for k in some]] = text_bits([texts[k] for k in some], known[lang, half])
             yield out.assign(bits=np.where(np.isnan(bits), None, bits.round(3))).astype({"bits": "Float64"})
 
-    return docs.select(*keep, *[c for c in place], text.alias("_text")).select(*keep, "lang", run("block", "lang", "half", "_text").alias("made")).select(*keep, F.col("lang").alias("model"), "made.*")
+    kept = F.struct(*[F.col(f"`{c}`") for c in keep]).alias(KEPT)
+    rows = docs.select(kept, *place, text.alias("text")).select(KEPT, "lang", run("block", "lang", "half", "text").alias(MADE))
+    return rows.select(*[F.col(f"{KEPT}.`{c}`") for c in keep], F.col("lang").alias("model"), f"{MADE}.*")
 
 
 def bands(scored: DataFrame, below: float, above: float, least: float) -> DataFrame:

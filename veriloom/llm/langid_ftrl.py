@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veriloom.llm.common import save, small_batches, table
+from veriloom.llm.common import MADE, save, small_batches, table
 
 DIMS, CELLS, SAMPLE = 1 << 16, 1 << 22, 4000
 UNKNOWN = "und"
@@ -209,7 +209,7 @@ def predict(docs: DataFrame, model: dict | None, keep=("doc_id",)) -> DataFrame:
                 rows.append((m["langs"][k], round(min(float(p[k]), 1.0), 6)))
             yield pd.DataFrame(rows, columns=["lang_pred", "score"])
 
-    return docs.select(*keep, run(F.col("text")).alias("made")).select(*keep, "made.*")
+    return docs.select(*keep, run(F.col("text")).alias(MADE)).select(*keep, f"{MADE}.*")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

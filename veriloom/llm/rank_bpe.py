@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veriloom.llm.common import small_batches, tidy
+from veriloom.llm.common import MADE, small_batches, tidy
 
 #: Fixed values of the vocabulary file's format.
 END = "</w>"
@@ -266,7 +266,7 @@ def bpe(docs: DataFrame, path: str, *, ids: bool = False, round_trip: bool = Tru
         codec.known.clear()  # a worker may serve other jobs next
 
     out: Column = run(F.col("text"))
-    return docs.select(*keep, out.alias("made")).select(*keep, "made.*")
+    return docs.select(*keep, out.alias(MADE)).select(*keep, f"{MADE}.*")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -8,7 +8,10 @@ JSON body and a signature of the algorithm's size; a decoded text must itself ho
 
 The floor of a candidate is the least that can be confirmed: ten bytes of an encrypted key, SHORTEST characters of
 base64. Within a run, tokens are tried at every start of a JSON object, decoding at every part between dots and equals
-signs, and there from every slash to the next one and to the part's end.
+signs, and there from every slash to the next one and to the part's end. A part is decoded once for each of the four
+ways in which its characters can fall into groups, and what starts at a slash is looked at there: of a key only the
+lengths that it states, of text the longest end that is text. So the work grows with the run, not with its square.
+Encodings within encodings are followed as deep as they go: each is a quarter shorter than the one around it.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 from veriloom.llm.common import small_batches
 
 BASE = ("assign", "access", "hex")
-KINDS = (*BASE, "signed_token", "der_key", "key_container", "encoded_secret")
+KINDS = (*BASE, "signed_token", "der_key", "key_container", "encoded_secret", "encrypted_key")
 
 _NAMES = "|".join("".join(f"[{c}{c.upper()}]" for c in w) for w in ("password", "passwd", "secret", "token")) + "|[aA][pP][iI]_?[kK][eE][yY]"
 ASSIGN = re.compile(rf"""({_NAMES})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -34,11 +37,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 #: Candidates; the look-behinds keep one long run from being tried at each of its places.
 SHORTEST = 14
-#: Encodings within encodings that are followed.
-NESTED = 2
 RUN = re.compile(rf"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{{{SHORTEST},}}")
 #: White space and slashes of a wrapped key may be escaped, as in JSON strings.
-WRAPPED = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----((?:[A-Za-z0-9+/=\s]|\\+[nrt/])+)-----END \1-----")
+WRAPPED = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----((?:[A-Za-z0-9+/=\s]|\\+[nrt/])+)-----END \1-----")
+#: A key that is encrypted as a whole states how in header lines; its bytes fill whole blocks of the vector's size.
+SEALED = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----\s+Proc-Type:\s*4,\s*ENCRYPTED\s+DEK-Info:\s*[A-Z0-9-]+,([0-9A-Fa-f]{16}|[0-9A-Fa-f]{32})\s+([A-Za-z0-9+/=\s]+)-----END \1-----")
 HEX_RUN = re.compile(r"(?:[0-9a-f]{2}){10,}\Z|(?:[0-9A-F]{2}){10,}\Z")
 #: Base64 of an opening brace and a quote or white space.
 HEAD = re.compile(r"e(?:y[A-DI-L]|w[k-r0-3])")
@@ -50,6 +53,7 @@ _SPACE = re.compile(r"\s+|\\+[nrt]|\\+(?=/)")
 SIGNATURES = {"HS256": (32, 32), "HS384": (48, 48), "HS512": (64, 64), "ES256": (64, 64), "ES384": (96, 96), "ES512": (132, 132), "EdDSA": (64, 114), "RS256": (128, 1024), "RS384": (128, 1024), "RS512": (128, 1024), "PS256": (128, 1024), "PS384": (128, 1024), "PS512": (128, 1024)}
 #: The first field of the binary private key container.
 CONTAINER = b"openssh-key-v1\x00"
+ASCII = bytes(range(128))
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -126,41 +130,54 @@ def key_container(data: bytes) -> bool:
         return False
     at = len(CONTAINER)
 
-    def field() -> bytes | None:
+    def field() -> int | None:
+        """The size of the next field."""
         nonlocal at
         if at + 4 > len(data) or at + 4 + (n := int.from_bytes(data[at : at + 4], "big")) > len(data):
             return None
         at += 4 + n
-        return data[at - n : at]
+        return n
 
     head = [field() for _ in range(3)]
     if None in head or at + 4 > len(data) or not head[0]:
         return False
     keys = int.from_bytes(data[at : at + 4], "big")
     at += 4
-    return 1 <= keys <= 64 and all(field() is not None for _ in range(keys)) and field() is not None and at == len(data)
+    return 1 <= keys <= (len(data) - at) // 4 and all(field() is not None for _ in range(keys)) and field() is not None and at == len(data)
+
+
+def _object(part: str, at: int = 0) -> dict | None:
+    """The JSON object that a base64 part encodes from a character on."""
+    left = len(part) - at
+    for size in (256, 4096, left):  # most of what only looks like one fails within its first characters
+        data = decode64(part[at : at + size])
+        try:
+            made = json.loads(data) if data else None
+        except json.JSONDecodeError as e:
+            if size < left and (e.msg.startswith("Unterminated") or e.pos >= len(data) - 16):
+                continue
+            return None
+        except UnicodeDecodeError as e:
+            if size < left and e.start >= len(data) - 4:  # cut within a character
+                continue
+            return None
+        except (ValueError, RecursionError):
+            return None
+        if size >= left:
+            return made if isinstance(made, dict) else None
+    return None
 
 
-def signed_token(run: str) -> bool:
-    """Whether a run is a signed token: JSON header with a known algorithm, JSON body, signature of a fitting size."""
-    parts = run.split(".")
-    if len(parts) != 3:
-        return False
-    head, body, signature = (decode64(x) if x else None for x in parts)
-    if head is None or body is None or signature is None:
-        return False
-    try:
-        first, second = json.loads(head), json.loads(body)
-    except (ValueError, RecursionError):
+def _signed(head: dict | None, signature: str) -> bool:
+    """Whether a header names an algorithm whose signatures have the size of this one."""
+    if head is None or not isinstance(head.get("alg"), str) or not (data := decode64(signature) if signature else None):
         return False
-    if not isinstance(first, dict) or not isinstance(second, dict) or not isinstance(first.get("alg"), str):
-        return False
-    low, high = SIGNATURES.get(first["alg"], (1, 0))
-    return low <= len(signature) <= high
+    low, high = SIGNATURES.get(head["alg"], (1, 0))
+    return low <= len(data) <= high
 
 
-def confirm(data: bytes | None, depth: int = NESTED) -> str | None:
-    """The kind of secret that decoded bytes prove to be; text may itself hold encoded runs, so many times over."""
+def confirm(data: bytes | None) -> str | None:
+    """The kind of secret that decoded bytes prove to be; text may itself hold encoded runs, and these may again."""
     if not data:
         return None
     if data[0] == 0x30 and der_key(data):
@@ -169,7 +186,7 @@ def confirm(data: bytes | None, depth: int = NESTED) -> str | None:
         return "key_container"
     if data.isascii():
         inner = data.decode()
-        if base_spans(inner) or (depth and any(decoded_kind(m[0].rstrip("."), depth - 1) for m in RUN.finditer(inner))):
+        if base_spans(inner) or any(decoded_kind(m[0].rstrip(".")) for m in RUN.finditer(inner)):
             return "encoded_secret"
     return None
 
@@ -178,27 +195,66 @@ def token_spans(run: str) -> list[tuple[int, int]]:
     """Start and end of the signed tokens within a run, whatever stands before and behind them."""
     parts, found, at = [(m.start(), m[0]) for m in PART.finditer(run)], [], 0
     for (a, x), (b, y), (c, z) in zip(parts, parts[1:], parts[2:]):
-        if a < at or b != a + len(x) + 1 or c != b + len(y) + 1:
+        if a < at or b != a + len(x) + 1 or c != b + len(y) + 1 or _object(y) is None:
             continue
         short = m[0] if (m := URL_SAFE.match(z)) else z
-        tried = [(k, end) for k in dict.fromkeys((0, *(m.start() for m in HEAD.finditer(x)))) for end in dict.fromkeys((z, short))]
-        if (one := next((t for t in tried if signed_token(f"{x[t[0] :]}.{y}.{t[1]}")), None)) is not None:
-            at = c + len(one[1])
-            found.append((a + one[0], at))
+        for k in dict.fromkeys((0, *(m.start() for m in HEAD.finditer(x)))):
+            head = _object(x, k)
+            if (end := next((e for e in dict.fromkeys((z, short)) if _signed(head, e)), None)) is not None:
+                at = c + len(end)
+                found.append((a + k, at))
+                break
     return found
 
 
-def _promising(run: str) -> bool:
-    """Whether the first characters of a base64 run may be those of a key or of plain text."""
-    data = decode64(run.rstrip("="))
-    return bool(data) and (data[0] == 0x30 or data.isascii())
-
-
-def decoded_kind(run: str, depth: int = NESTED) -> str | None:
+def decoded_kind(run: str) -> str | None:
     """The kind of secret that a whole run encodes."""
     if len(run) < SHORTEST:
         return None
-    return (HEX_RUN.match(run) and confirm(bytes.fromhex(run), depth)) or confirm(decode64(run), depth)
+    return (HEX_RUN.match(run) and confirm(bytes.fromhex(run))) or confirm(decode64(run))
+
+
+class _Ends:
+    """Decodings of what is left of a base64 part from any of its characters on."""
+
+    def __init__(self, part: str):
+        self.part, self.made = part, {}
+        self.plain, self.url = (max(part.rfind(c) for c in cs) for cs in ("+/", "-_"))
+
+    def kind(self, at: int) -> str | None:
+        """The kind of secret that the part's end from a character on encodes. A text is searched once for each grouping,
+        from the first place asked for on."""
+        if len(self.part) - at < SHORTEST or (self.plain >= at and self.url >= at):
+            return None
+        way = at % 4
+        if way not in self.made:
+            data = decode64(self.part[way:].replace("-", "+").replace("_", "/"))
+            high = len(data.rstrip(ASCII)) - 1 if data else -1
+            self.made[way] = [data, high, False]
+        data, high, searched = self.made[way]
+        lo = (at - way) // 4 * 3
+        if not data or lo >= len(data):
+            return None
+        if data[lo] == 0x30 and _whole(data, lo) or data.startswith(CONTAINER, lo):
+            return confirm(data[lo:])
+        if high < lo and not searched:
+            self.made[way][2] = True
+            return confirm(data[lo:])
+        return None
+
+
+def _whole(data: bytes, lo: int) -> bool:
+    """Whether the value that starts at lo states just the length that is left."""
+    head = data[lo : lo + 6]
+    if len(head) < 2:
+        return False
+    n, k = head[1], 0
+    if n >= 0x80:
+        k = n & 0x7F
+        if not 1 <= k <= 4 or len(head) < 2 + k:
+            return False
+        n = int.from_bytes(head[2 : 2 + k], "big")
+    return lo + 2 + k + n == len(data)
 
 
 def encoded_spans(run: str) -> list[tuple[str, int, int]]:
@@ -208,18 +264,19 @@ def encoded_spans(run: str) -> list[tuple[str, int, int]]:
         at, piece = m.start(), m[0]
         end = at + len(piece)
         bare = at + len(piece.rstrip("="))
+        ends = _Ends(run[at:bare])
         while bare - at >= SHORTEST:
-            if at == m.start() or _promising(run[at : min(bare, at + 60)]):
-                to = end if end == len(run) or (end - at) % 4 == 0 else bare  # else a name and its equals sign
-                if kind := decoded_kind(run[at:bare]):
-                    found.append((kind, at, to))
-                    break
-            to = run.find("/", at, end)
-            if to < 0:
-                break
-            if at < to and (kind := decoded_kind(run[at:to])):
+            to = end if end == len(run) or (end - at) % 4 == 0 else bare  # else a name and its equals sign
+            slash = run.find("/", at, end)
+            kind = decoded_kind(run[at:bare]) if at == m.start() or slash < 0 else ends.kind(at - m.start())
+            if kind:
                 found.append((kind, at, to))
-            at = to + 1
+                break
+            if slash < 0:
+                break
+            if at < slash and (kind := decoded_kind(run[at:slash])):
+                found.append((kind, at, slash))
+            at = slash + 1
     return found
 
 
@@ -236,6 +293,11 @@ def secret_spans(text: str) -> list[tuple[str, int, int]]:
             if (kind := confirm(decode64(_SPACE.sub("", m[2])))) and "PUBLIC" not in m[1]:
                 found = [x for x in found if x[0] in BASE or not m.start() <= x[1] < m.end()]
                 found.append((kind, *m.span()))
+        for m in SEALED.finditer(text):
+            data = decode64(_SPACE.sub("", m[3]))
+            if data and len(data) >= 16 and len(data) % (len(m[2]) // 2) == 0:
+                found = [x for x in found if x[0] in BASE or not m.start() <= x[1] < m.end()]
+                found.append(("encrypted_key", *m.span()))
     place = {k: i for i, k in enumerate(KINDS)}
     return sorted(set(found), key=lambda x: (x[1], place[x[0]], x[2]))
 
