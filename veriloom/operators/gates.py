@@ -141,11 +141,14 @@ def allowed(rows: DataFrame, address: str, exact: DataFrame, domains: DataFrame)
 
 
 def blocked_claims(docs: DataFrame, pattern: str, back: int = 120, cues: str = r"\b(?:not|no|never)\b") -> DataFrame:
-    """Lines with a claim that isn't negated within so many characters before it."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    at = F.length(F.regexp_extract("text", f"^(.*?)(?:{pattern})", 1))
-    before = F.substring(F.col("text"), F.greatest(at - back + 1, F.lit(1)), F.least(at, F.lit(back)))
-    return lines.filter(F.col("text").rlike(pattern)).filter(~before.rlike(cues)).select("doc_id", "line")
+    """Lines with a claim that isn't negated within so many characters before it; every claim of a line is looked at."""
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text")).filter(F.col("text").rlike(pattern))
+    pieces, found = F.split("text", pattern), F.regexp_extract_all("text", F.lit(f"(?:{pattern})"), F.lit(0))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+    step = lambda s, x: F.struct((s["at"] + F.length(x["p"]) + F.length(x["f"])).alias("at"), F.array_append(s["all"], s["at"] + F.length(x["p"])).alias("all"))
+    places = F.aggregate(F.filter(F.arrays_zip(pieces.alias("p"), found.alias("f")), lambda x: x["f"].isNotNull()), start, step, lambda s: s["all"])
+    before = lambda at: F.substring(F.col("text"), F.greatest(at - back + 1, F.lit(1)), F.least(at, F.lit(back)))
+    return lines.filter(F.exists(places, lambda at: ~before(at).rlike(cues))).select("doc_id", "line")
 
 
 #: Words that say that a notice replaces another.

@@ -9,6 +9,7 @@ from veriloom.operators.lookups import entity_ties, shared_entities
 from veriloom.operators.rollups import latest
 from veriloom.operators.scoring import band, choose, clamp, prf
 from veriloom.operators.similar import connected
+from veriloom.sources.shared import kept
 
 # Orders of verdicts and tiers, edges of confidence and of distances.
 VERDICT_ORDER = ("safe", "unverified", "suspicious", "dangerous")
@@ -204,13 +205,25 @@ def latest_within(rows: DataFrame, key: str, time: str, now: Column, hours: int)
 def spaced(rows: DataFrame, key: str, time: str, seconds: float) -> DataFrame:
     """Rows with allowed: whether a call comes so many seconds after the last allowed one of its key.
 
-    Allowed calls depend on one another, so that each key's times are folded in order.
+    Every call points to the first one that is late enough after it; those that the first call of a key leads to are
+    allowed. They are found by doubling: each round follows pointers of twice the length from all that are known, so that
+    the rounds grow with the logarithm of a key's calls. Calls without key or time aren't allowed.
     """
     gap = int(seconds * 1_000_000)
-    times = rows.groupBy(key).agg(F.array_sort(F.collect_set(F.unix_micros(time))).alias("t"))
-    first = F.struct(F.lit(-(1 << 60)).cast("long").alias("last"), F.array().cast("array<bigint>").alias("ok"))
-    fold = F.aggregate("t", first, lambda a, x: F.when(x >= a["last"] + gap, F.struct(x.alias("last"), F.array_append(a["ok"], x).alias("ok"))).otherwise(a), lambda a: a["ok"])
-    return rows.join(times.select(key, fold.alias("_ok")), key).withColumn("allowed", F.array_contains("_ok", F.unix_micros(time))).drop("_ok")
+    times = rows.select(F.col(key).alias("k"), F.unix_micros(time).alias("us")).filter("k is not null and us is not null").distinct()
+    asked = times.select("k", "us", F.lit(True).alias("point")).unionByName(times.select("k", (F.col("us") + gap).alias("us"), F.lit(False).alias("point")))
+    back = Window.partitionBy("k").orderBy(F.desc("us"), F.desc("point")).rowsBetween(Window.unboundedPreceding, 0)
+    found = asked.withColumn("to", F.min(F.when(F.col("point"), F.col("us"))).over(back)).filter("not point and to is not null")
+    jump = kept(found.select("k", (F.col("us") - gap).alias("us"), "to"), "jumps")
+    allowed = kept(times.groupBy("k").agg(F.min("us").alias("us")), "allowed")
+    while True:
+        more = kept(allowed.join(jump, ["k", "us"]).select("k", F.col("to").alias("us")), "allowed")
+        if more.isEmpty():
+            break
+        allowed = kept(allowed.unionByName(more), "allowed")
+        jump = kept(jump.join(jump.select("k", F.col("us").alias("to"), F.col("to").alias("far")), ["k", "to"]).select("k", "us", F.col("far").alias("to")), "jumps")
+    known = allowed.withColumn("_ok", F.lit(True))
+    return rows.join(known, (F.col(key) == F.col("k")) & (F.unix_micros(time) == F.col("us")), "left").withColumn("allowed", F.coalesce("_ok", F.lit(False))).drop("k", "us", "_ok")
 
 
 def risk_client(score: Column) -> Column:

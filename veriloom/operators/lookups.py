@@ -242,3 +242,8 @@ def feed_agreement(rows: DataFrame, key: str, host: str, flagged: DataFrame, fee
     n = F.coalesce(F.size("named"), F.lit(0))
     n = F.when(F.col("named").isNull(), 0).otherwise(n)
     return both.select(key, n.alias("feeds"), F.coalesce("named", F.array().cast("array<string>")).alias("named"), F.round(F.when(n > 0, 0.5 + 0.5 * n / feeds).otherwise(0.0), 4).alias("confidence"))
+
+
+def unlisted(rows: DataFrame, number: str, listed: DataFrame, known: str) -> DataFrame:
+    """Numbers of rows, each once, that no listed row has: made up, or of something that isn't registered."""
+    return rows.select(number).filter(F.col(number).isNotNull()).distinct().join(listed.select(F.col(known).alias(number)), number, "left_anti")

@@ -90,3 +90,9 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
         one = df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def shared_templates(rows: DataFrame, key: str, digest: str) -> DataFrame:
+    """Rows whose digest several keys have: the same text, sent by more than one."""
+    often = rows.groupBy(digest).agg(F.count_distinct(key).alias("_n")).filter("_n > 1").select(digest)
+    return rows.join(often, digest, "left_semi")

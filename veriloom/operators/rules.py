@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Words that tell to whom or from whom something goes.
@@ -84,29 +84,23 @@ def read_pack(spark, path: str) -> list[Rule]:
 IDENTIFIERS = (("EMAIL", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"), ("IP", r"\b\d{1,3}(?:\.\d{1,3}){3}\b"), ("PAN", r"\b[A-Z]{5}[0-9]{4}[A-Z]\b"), ("CARD", r"\b[0-9]{13,19}\b"), ("PHONE", r"\+\d[\d ()-]{8,}\d"), ("NUMBER", r"\b[0-9]{6,}\b"))
 
 
-def accepted(found: Column) -> Column:
-    """Spans (start, end, kind) that stay when the earliest, then the longest, wins: a fold over the sorted spans."""
-    ordered = F.array_sort(F.transform(found, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
-    none = F.struct(F.lit(-1).alias("cursor"), F.array().cast("array<struct<start:int,end:int,kind:string>>").alias("out"))
-
-    def step(a: Column, s: Column) -> Column:
-        free = s["start"] >= a["cursor"]
-        span = F.struct(s["start"].alias("start"), (-s["back"]).alias("end"), s["kind"].alias("kind"))
-        return F.struct(F.when(free, -s["back"]).otherwise(a["cursor"]).alias("cursor"), F.when(free, F.array_append(a["out"], span)).otherwise(a["out"]).alias("out"))
-
-    return F.aggregate(ordered, none, step, lambda a: a["out"])
-
-
 def mask(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, masked text and spans: identifiers give way to their kind in brackets; a null text masks as an empty one."""
+    """key, masked text and spans: identifiers give way to their kind in brackets; of spans that overlap the
+    earliest stays, then the longest; a null text masks as an empty one."""
     compiled = [(k, re.compile(p)) for k, p in IDENTIFIERS]
 
-    @F.pandas_udf("array<struct<start int, end int, kind string>>")
-    def find(c: pd.Series) -> pd.Series:
-        return pd.Series([[{"start": m.start(), "end": m.end(), "kind": k} for k, p in compiled for m in p.finditer(t or "")] for t in c], dtype=object)
+    def one(t: str) -> dict:
+        spans, out, at = [], [], 0
+        for start, back, kind in sorted((m.start(), -m.end(), k) for k, p in compiled for m in p.finditer(t)):
+            if start >= at:
+                spans.append({"start": start, "end": -back, "kind": kind})
+                out += [t[at:start], f"[{kind}]"]
+                at = -back
+        return {"masked": "".join([*out, t[at:]]), "spans": spans}
+
+    @F.pandas_udf("struct<masked string, spans array<struct<start int, end int, kind string>>>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([one(t or "") for t in batch], columns=["masked", "spans"])
 
-    rows = docs.select(key, text, accepted(find(F.col(text))).alias("spans"))
-    shown = lambda s: F.concat(F.lit("["), s["kind"], F.lit("]"))
-    ends = F.concat(F.array(F.lit(0)), F.transform("spans", lambda s: s["end"]))
-    pieces = F.zip_with(ends, F.col("spans"), lambda e, s: F.concat(F.substring(F.col(text), e + 1, F.coalesce(s["start"], F.length(text)) - e), F.coalesce(shown(s), F.lit(""))))
-    return rows.select(key, F.array_join(pieces, "").alias("masked"), "spans")
+    return docs.select(key, run(F.col(text)).alias("m")).select(key, "m.*")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from veriloom.sources.shared import kept
+
 
 def market_scores(bars: DataFrame, events: DataFrame, window: int = 2, baseline: int = 20, least: int = 5) -> DataFrame:
     """z-scores of volume and return around an event against the bars before it.
@@ -13,12 +15,15 @@ def market_scores(bars: DataFrame, events: DataFrame, window: int = 2, baseline:
     side; the baseline the last bars before the window, without it. Fewer than `least` bars give no row.
     """
     by = Window.partitionBy("ticker").orderBy("day")
-    b = bars.withColumn("ret", F.col("close") / F.lag("close").over(by) - 1)
-    e = events.select(F.col("ticker").alias("t"), F.col("day").alias("at"))
-    joined = b.join(e, (F.col("ticker") == F.col("t")) & (F.col("day") <= F.date_add("at", window)))
-    inside = F.col("day") >= F.date_sub("at", window)
-    place = F.row_number().over(Window.partitionBy("ticker", "at", inside).orderBy(F.col("day").desc()))
-    used = joined.withColumn("inside", inside).withColumn("place", place).filter(F.col("inside") | (F.col("place") <= baseline))
+    b = bars.withColumns({"ret": F.col("close") / F.lag("close").over(by) - 1, "n": F.row_number().over(by)}).select(F.col("ticker").alias("t"), "day", "volume", "ret", "n")
+    e = events.select("ticker", F.col("day").alias("at")).distinct()
+    # bars are numbered once; an event meets the bars of its days, and the numbers before the first of these
+    days = e.withColumn("d", F.explode(F.sequence(F.date_sub("at", window), F.date_add("at", window))))
+    near = days.join(b, (F.col("ticker") == F.col("t")) & (F.col("d") == F.col("day"))).select("ticker", "at", "volume", "ret", "n", F.lit(True).alias("inside"))
+    first = near.groupBy("ticker", "at").agg(F.min("n").alias("first")).filter("first > 1")
+    numbers = first.withColumn("k", F.explode(F.sequence(F.greatest(F.col("first") - baseline, F.lit(1)), F.col("first") - 1)))
+    before = numbers.join(b, (F.col("ticker") == F.col("t")) & (F.col("k") == F.col("n"))).select("ticker", "at", "volume", "ret", "n", F.lit(False).alias("inside"))
+    used = near.unionByName(before)
     base, win = ~F.col("inside"), F.col("inside")
     got = used.groupBy("ticker", "at").agg(
         F.count_if(base).alias("n_base"), F.count_if(win).alias("n_window"), F.avg(F.when(base, F.col("volume"))).alias("vm"), F.stddev_samp(F.when(base, F.col("volume"))).alias("vs"),
@@ -57,9 +62,18 @@ def rate(rows: DataFrame, key: str, time: str, seconds: int = 60) -> DataFrame:
     return rows.withColumn("hits", F.count(F.lit(1)).over(w))
 
 
+def numbered(rows: DataFrame, order: str) -> DataFrame:
+    """Adds _i, the place of every row in an order, from 0: rows are sorted in ranges, which begin after the rows of those
+    before; only the ranges' counts meet in one place."""
+    ranges = kept(rows.repartitionByRange(order).withColumn("_p", F.spark_partition_id()), "ranges")
+    counts = ranges.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
+    starts = counts.select("_p", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_s"))  # a row a range
+    within = F.row_number().over(Window.partitionBy("_p").orderBy(order)) - 1
+    return ranges.withColumn("_i", within).join(starts, "_p").withColumn("_i", F.col("_i") + F.col("_s")).drop("_p", "_s")
+
+
 def stride(rows: DataFrame, order: str, size: int) -> DataFrame:
     """Every n-th row by an order, so many in all."""
     n = rows.count()
     step = max(n / size, 1.0)
-    placed = rows.withColumn("_i", F.row_number().over(Window.orderBy(order)) - 1)
-    return placed.filter((F.col("_i") == 0) | (F.floor(F.col("_i") / step) != F.floor((F.col("_i") - 1) / step))).drop("_i")
+    return numbered(rows, order).filter((F.col("_i") == 0) | (F.floor(F.col("_i") / step) != F.floor((F.col("_i") - 1) / step))).drop("_i")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veriloom.sources.shared import shared_dir
+from veriloom.sources.shared import kept, shared_dir
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -13,12 +17,103 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+#: Cells that vectors are dealt into, those that a query looks at first, and vectors of a block of a cell.
+CELLS, FIRST, BLOCK = 64, 4, 8192
+
+
+def _unit(values: list) -> np.ndarray:
+    x = np.array(values, dtype=np.float64)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _in_cells(pivots: np.ndarray):
+    """Vectors with the cell of the pivot that they are nearest to, and the angle to it."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cosine = _unit(b.column("v").to_pylist()) @ pivots.T if len(b) else np.zeros((0, len(pivots)))
+            cell = cosine.argmax(axis=1)
+            angle = np.arccos(np.clip(cosine[np.arange(len(b)), cell], -1, 1))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell, pa.int32()), pa.array(angle)], [*b.schema.names, "cell", "angle"])
+
+    return place
+
+
+def _bounds(pivots: np.ndarray, radius: np.ndarray):
+    """Greatest cosine that a query may have with a vector of each cell."""
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            angle = np.arccos(np.clip(_unit(b.column("v").to_pylist()) @ pivots.T, -1, 1)) if len(b) else np.zeros((0, len(pivots)))
+            top = np.cos(np.maximum(angle - radius, 0)) + 1e-9
+            for i, (q, v) in enumerate(zip(b.column("query_id").to_pylist(), b.column("v").to_pylist(), strict=True)):
+                cells = np.flatnonzero(radius >= 0)
+                n = len(cells)
+                yield pa.RecordBatch.from_arrays([pa.array([q] * n, pa.int64()), pa.array([v] * n, pa.list_(pa.float64())), pa.array(cells, pa.int32()), pa.array(top[i, cells])], ["query_id", "v", "cell", "bound"])
+
+    return bound
+
+
+def _best_of_block(k: int):
+    """The k best vectors of a block for each query that meets it, and those that rounding may put before them."""
+
+    def best(members: pa.Table, queries: pa.Table) -> pa.Table:
+        out = [[], [], []]
+        if len(members) and len(queries):
+            ids = np.array(members.column("vec_id").to_pylist())
+            x = _unit(members.column("v").to_pylist())
+            for at in range(0, len(queries), 256):
+                names = queries.column("query_id").to_pylist()[at : at + 256]
+                score = _unit(queries.column("v").to_pylist()[at : at + 256]) @ x.T
+                score[ids[None, :] == np.array(names)[:, None]] = -np.inf
+                least = np.sort(score, axis=1)[:, -min(k, score.shape[1])] - 2e-5
+                i, j = np.nonzero((score >= least[:, None]) & np.isfinite(score))
+                for column, values in zip(out, ([names[q] for q in i], ids[j].tolist(), score[i, j].tolist()), strict=True):
+                    column += values
+        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query_id", "vec_id", "score"])
+
+    return best
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k nearest vectors of each query by cosine (ties: the lesser id); queries are a stated, small set."""
-    pairs = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")).join(vectors, F.col("query_id") != F.col("vec_id"))
-    scored = pairs.select("query_id", "vec_id", F.round(cosine(F.col("q"), F.col("embedding")), 5).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
+    """The k nearest vectors of each query by cosine to five decimals (ties: the lesser id), of all vectors.
+
+    Vectors go to the cell of the nearest of CELLS pivots, which come from the vectors with the least digests. A cell's
+    greatest angle to its pivot bounds the cosine that a query may have with any of its vectors. A query meets the
+    cells of the highest bounds first, and then those whose bound reaches the k-th cosine found; a cell's vectors are
+    dealt into blocks. Vectors that are null, empty, zero or hold nulls are near to nothing. All have one length.
+    """
+    spark = vectors.sparkSession
+    sound = lambda df, id: df.select(F.col("vec_id").cast("long").alias(id), F.col("embedding").cast("array<double>").alias("v")).filter("v is not null and size(v) > 0 and forall(v, c -> c is not null) and exists(v, c -> c <> 0)")
+    rows = kept(sound(vectors, "vec_id"), "vectors")
+    pivots = [r[0] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").select("v").limit(CELLS).collect()]
+    kind = "query_id long, vec_id long, place int, score double"
+    if not pivots:
+        return spark.createDataFrame([], kind)
+    pivots = _unit(pivots)
+    placed = kept(rows.mapInArrow(_in_cells(pivots), "vec_id long, v array<double>, cell int, angle double"), "cells")
+    sizes = placed.groupBy("cell").agg(F.max("angle").alias("radius"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).collect()  # at most CELLS rows
+    radius, blocks = np.full(len(pivots), -1.0), [1] * len(pivots)
+    for r in sizes:
+        radius[r["cell"]], blocks[r["cell"]] = r["radius"], r["blocks"]
+    count = F.element_at(F.array(*map(F.lit, blocks)), F.col("cell") + 1).cast("long")
+    dealt = placed.select("vec_id", "v", "cell", F.pmod(F.xxhash64("vec_id"), count).alias("block"))
+    bounds = kept(sound(queries, "query_id").mapInArrow(_bounds(pivots, radius), "query_id long, v array<double>, cell int, bound double"), "bounds")
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        asked = pairs.select("query_id", F.col("v").alias("v"), F.col("cell").alias("cell"), F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("block"))
+        return dealt.groupBy("cell", "block").cogroup(asked.groupBy("cell", "block")).applyInArrow(_best_of_block(k), "query_id long, vec_id long, score double")
+
+    def top(found: DataFrame) -> DataFrame:
+        found = found.withColumn("score", F.round("score", 5))
+        return found.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).filter(F.col("place") <= k)
+
+    ahead = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "cell"))
+    begun = bounds.withColumn("n", ahead).filter(F.col("n") <= FIRST).drop("n")
+    found = kept(top(scored(begun)), "found")
+    least = found.filter(F.col("place") == k).select("query_id", F.col("score").alias("least"))
+    rest = bounds.join(least, "query_id", "left").filter(F.col("least").isNull() | (F.col("bound") >= F.col("least") - 1e-5)).join(begun.select("query_id", "cell"), ["query_id", "cell"], "left_anti")
+    return top(found.drop("place").unionByName(scored(rest))).select("query_id", "vec_id", "score", "place")
 
 
 def tfidf(docs: DataFrame, key: str, text: str) -> DataFrame:

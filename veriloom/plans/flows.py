@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veriloom.functions import entities, markup, urls
-from veriloom.operators import gates, models, rules, scoring
+from veriloom.operators import gates, lookups, models, rules, scoring
 from veriloom.plans.base import query
 from veriloom.sources import readers
 from veriloom.streaming import flows
@@ -30,8 +30,8 @@ query("s16_message", "SELECT c_custkey, 'Re: ' || c_name AS subject, lower('u' |
     lambda t: t("customer").select("c_custkey", markup.message(F.encode(F.concat(F.lit("From: Someone <U"), C("c_custkey").cast("string"), F.lit("@mail.example>\nSubject: Re: "), "c_name", F.lit("\nContent-Type: text/plain\n\nhello "), "c_mktsegment"), "UTF-8")).alias("m")).select("c_custkey", "m.subject", "m.from_address", "m.text"))
 query("s17_authentication", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'pass' ELSE 'fail' END AS spf, 'pass' AS dkim, 'seg' || c_nationkey || '.example' AS signer FROM customer")(
     lambda t: t("customer").select("c_custkey", markup.authentication(F.concat(F.lit("mx.example; spf="), F.when(C("c_custkey") % 2 == 0, "pass").otherwise("fail"), F.lit(" smtp.mailfrom=x; dkim=pass header.d=Seg"), C("c_nationkey").cast("string"), F.lit(".example"))).alias("a")).select("c_custkey", "a.spf", "a.dkim", "a.signer"))
-query("s29_date_windows", "SELECT strftime(d, '%Y-%m-%d') AS first, strftime(least(d + INTERVAL 29 DAY, TIMESTAMP '2024-06-30'), '%Y-%m-%d') AS last FROM generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-06-30', INTERVAL 30 DAY) s(d)")(
-    lambda t: readers.date_windows(t.spark, "2024-01-01", "2024-06-30").select(C("first").cast("string").alias("first"), C("last").cast("string").alias("last")))
+query("s29_date_windows", "WITH r AS (SELECT min(o_orderdate)::DATE AS a, max(o_orderdate)::DATE AS b FROM orders) SELECT strftime(d, '%Y-%m-%d') AS first, strftime(least(d + INTERVAL 29 DAY, b), '%Y-%m-%d') AS last FROM (SELECT unnest(generate_series(a::TIMESTAMP, b::TIMESTAMP, INTERVAL 30 DAY)) AS d, b FROM r)")(
+    lambda t: (lambda r: readers.date_windows(t.spark, str(r[0]), str(r[1])).select(C("first").cast("string").alias("first"), C("last").cast("string").alias("last")))(t("orders").agg(F.min(C("o_orderdate").cast("date")), F.max(C("o_orderdate").cast("date"))).first()))
 query("s30_select_companies", "WITH g AS (SELECT p_partkey, p_size AS scrip, ['A','B','T','Q'][(p_partkey % 4 + 1)::INT] AS grp FROM part), r AS (SELECT scrip, min(CASE grp WHEN 'A' THEN 1 WHEN 'B' THEN 2 WHEN 'T' THEN 3 END) AS r FROM g WHERE grp <> 'Q' GROUP BY scrip) SELECT scrip, ['A','B','T'][r] AS grp FROM r ORDER BY r, scrip LIMIT 20")(
     lambda t: readers.select_companies(t("part").select(C("p_size").alias("scrip"), C("p_name").alias("isin"), F.element_at(F.array(*map(F.lit, "ABTQ")), (C("p_partkey") % 4 + 1).cast("int")).alias("grp")), 20).select("scrip", "grp"))
 query("s10_blocklist_host", "SELECT s_suppkey, CASE s_suppkey % 4 WHEN 3 THEN NULL ELSE 'bad' || s_suppkey || '.example' END AS out FROM supplier")(
@@ -43,8 +43,8 @@ query("s32_chat_entities", "SELECT conv_id, turn, len(regexp_extract_all(text, '
 query("z63_prefix_shapes", "SELECT 'CUSTOMER' AS prefix, count(*) AS n, min(length(regexp_replace(c_name, '[^0-9]', '', 'g')))::INT AS least, max(length(regexp_replace(c_name, '[^0-9]', '', 'g')))::INT AS most FROM customer")(lambda t: readers.prefix_shapes(t("customer"), "c_name"))
 query("z64_validity", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS a, CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate + INTERVAL 365 DAY, '%Y-%m-%d') END AS b FROM orders")(
     lambda t: t("orders").select("o_orderkey", readers.validity(F.concat(F.date_format("o_orderdate", "dd-MMM-yyyy"), F.when(C("o_orderkey") % 2 == 0, F.concat(F.lit(" to "), F.date_format(F.date_add("o_orderdate", 365), "dd-MMM-yyyy"))).otherwise(" - Perpetual"))).alias("v")).select("o_orderkey", C("v.start").cast("string").alias("a"), C("v.end").cast("string").alias("b")))
-query("z61_fabricated", "SELECT n FROM generate_series(0, 5000) s(n) WHERE n NOT IN (SELECT c_custkey FROM customer) ORDER BY n DESC LIMIT 100")(
-    lambda t: t.spark.range(0, 5001).withColumnRenamed("id", "n").join(t("customer").select(C("c_custkey").alias("n")), "n", "left_anti").orderBy(F.desc("n")).limit(100))
+query("z61_fabricated", "SELECT DISTINCT n FROM (SELECT unnest([o_custkey * 3, o_custkey + o_orderkey]) AS n FROM orders) WHERE n NOT IN (SELECT c_custkey FROM customer)")(
+    lambda t: lookups.unlisted(t("orders").select(F.explode(F.array(C("o_custkey") * 3, C("o_custkey") + C("o_orderkey"))).alias("n")), "n", t("customer"), "c_custkey"))
 query("z62_source_selection", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' ORDER BY o_orderdate DESC, o_orderkey LIMIT 6")(lambda t: t("orders").filter("o_orderstatus = 'P'").orderBy(F.desc("o_orderdate"), "o_orderkey").select("o_orderkey").limit(6))
 query("z02_conversation_counts", "SELECT conv_id, sum(len(string_split(text, chr(10))))::BIGINT AS lines, sum(len(regexp_extract_all(text, '[0-9]+')))::BIGINT AS numbers, count(*) AS turns FROM conversations GROUP BY conv_id")(
     lambda t: t("conversations").groupBy("conv_id").agg(F.sum(F.size(F.split("text", "\n"))).alias("lines"), F.sum(F.regexp_count("text", F.lit("[0-9]+"))).alias("numbers"), F.count(F.lit(1)).alias("turns")))

@@ -13,8 +13,8 @@ from veriloom.sources.shared import land
 C = F.col
 NAME = "trim(regexp_replace(trim(regexp_replace(replace(lower(trim({0})), '#', ' '), '\\s+', ' ', 'g')), '(?: (?:private limited|public limited|pvt ltd|pvt limited|limited|ltd|llp|inc|india))+$', ''))"
 
-query("s01_filings", """SELECT 'F' || doc_id AS source_id, CASE WHEN contains(lower(text), 'dividend') THEN 'DIVIDEND' WHEN contains(lower(text), 'agm') THEN 'AGM' ELSE 'X' END <> 'X' AS typed, length(text)::INT AS n FROM documents WHERE doc_id % 10 <> 0 AND doc_id % 7 <> 0""")(
-    lambda t: readers.filings(t.spark, land(t("documents").select(F.when(C("doc_id") % 10 != 0, F.concat(F.lit("F"), C("doc_id").cast("string"))).otherwise(" ").alias("source_id"), C("text").alias("body_text")), "json"), known=t("documents").filter("doc_id % 7 = 0").select(F.concat(F.lit("F"), C("doc_id").cast("string")).alias("source_id")), texts=t("documents").limit(0).select(F.lit("").alias("source_id"), "text")).select("source_id", C("doc_type").isin("DIVIDEND", "AGM").alias("typed"), F.length(F.rtrim("body_text", F.lit("\n"))).alias("n")))
+query("s01_filings", """SELECT 'F' || doc_id AS source_id, CASE WHEN contains(lower(text), 'dividend') THEN 'DIVIDEND' WHEN contains(lower(text), 'agm') THEN 'AGM' ELSE 'X' END <> 'X' AS typed, (length(text) + CASE WHEN doc_id % 3 = 0 THEN 1 + length(source) ELSE 0 END)::INT AS n FROM documents WHERE doc_id % 10 <> 0 AND doc_id % 7 <> 0""")(
+    lambda t: readers.filings(t.spark, land(t("documents").select(F.when(C("doc_id") % 10 != 0, F.concat(F.lit("F"), C("doc_id").cast("string"))).otherwise(" ").alias("source_id"), C("text").alias("body_text")), "json"), known=t("documents").filter("doc_id % 7 = 0").select(F.concat(F.lit("F"), C("doc_id").cast("string")).alias("source_id")), texts=t("documents").filter("doc_id % 3 = 0").select(F.concat(F.lit("F"), C("doc_id").cast("string")).alias("source_id"), C("source").alias("text"))).select("source_id", C("doc_type").isin("DIVIDEND", "AGM").alias("typed"), F.length("body_text").alias("n")))
 query("s02_companies", "SELECT DISTINCT lower(p_brand) AS normalised, p_type AS type FROM part")(
     lambda t: readers.companies(t.spark, land(t("part").select(F.concat("p_brand", F.lit(" Pvt Ltd")).alias("name"), C("p_type").alias("type")), "csv", header=True)).select(F.regexp_replace("normalised", " ", "#").alias("normalised"), "type").distinct())
 query("s03_intermediaries", "SELECT 'INZ' || s_suppkey AS reg_no, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE 'firm' || s_suppkey || '.example' END AS official_domain FROM supplier")(

@@ -48,16 +48,16 @@ query("f15_download_gate", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'BL
 query("f16_form_gate", "SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 0 WHEN p_partkey % 3 = 0 THEN 40 WHEN p_partkey % 3 = 1 THEN 30 ELSE 10 END::INT AS out FROM part")(
     lambda t: t("part").select("p_partkey", gates.form_gate(F.array(F.lit("user_email"), F.element_at(F.array(*map(F.lit, ("otp_code", "card_no", "city"))), (C("p_partkey") % 3 + 1).cast("int"))), C("p_size") % 5 == 0).alias("out")))
 flag("f17_clipboard_gate", lambda c: F.array_join(gates.clipboard_gate(c), ","), r"array_to_string(list_filter([CASE WHEN regexp_matches(text, '\b[0-9]{13,19}\b') THEN 'card' END, CASE WHEN regexp_matches(text, '\b[0-9]{1,3}(\.[0-9]{1,3}){3}\b') THEN 'ip' END, CASE WHEN regexp_matches(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9-]+\.[a-zA-Z]{2,}') THEN 'email' END], lambda x: x IS NOT NULL), ',')")
-query("f18_recipient_allowed", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT s_suppkey FROM supplier) OR c_mktsegment = 'BUILDING'")(
-    lambda t: gates.allowed(t("customer").withColumn("a", F.concat(F.lit("u"), C("c_custkey").cast("string"), F.lit("@"), F.lower("c_mktsegment"))), "a", t("supplier").join(t("customer"), C("s_suppkey") == C("c_custkey")).select(F.concat(F.lit("U"), C("c_custkey").cast("string"), F.lit("@"), F.lower("c_mktsegment")).alias("value")), t("region").limit(1).select(F.lit("BUILDING").alias("value"))).select("c_custkey"))
+query("f18_recipient_allowed", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT s_suppkey FROM supplier) OR c_mktsegment LIKE 'B%'")(
+    lambda t: gates.allowed(t("customer").withColumn("a", F.concat(F.lit("u"), C("c_custkey").cast("string"), F.lit("@"), F.lower("c_mktsegment"))), "a", t("supplier").join(t("customer"), C("s_suppkey") == C("c_custkey")).select(F.concat(F.lit("U"), C("c_custkey").cast("string"), F.lit("@"), F.lower("c_mktsegment")).alias("value")), t("customer").filter("c_mktsegment like 'B%'").select(C("c_mktsegment").alias("value")).distinct()).select("c_custkey"))
 query("f19_postdates_corpus", "SELECT o_orderkey FROM orders WHERE o_orderdate > (SELECT max(l_shipdate) - INTERVAL 1500 DAY FROM lineitem)")(
     lambda t: t("orders").join(t("lineitem").agg((F.max("l_shipdate") - F.expr("interval 1500 days")).alias("m")), C("o_orderdate") > C("m")).select("o_orderkey"))
 query("f21_within_coverage", "SELECT o_orderkey, year(o_orderdate) BETWEEN 1996 AND 1999 AS out FROM orders")(lambda t: t("orders").select("o_orderkey", F.year("o_orderdate").between(1996, 1999).alias("out")))
 query("f23_list_content", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderpriority ILIKE '%high%' AND o_totalprice >= 1000 ORDER BY o_totalprice DESC, o_orderkey LIMIT 50")(
     lambda t: t("orders").filter(C("o_orderpriority").ilike("%high%") & (C("o_totalprice") >= 1000)).select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(50))
-query("f24_blocked_claims", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents), m AS (SELECT *, length(regexp_extract(s, '^(.*?)(?:license)', 1)) AS k FROM l WHERE regexp_matches(s, 'license'))
-SELECT doc_id, (i - 1)::INT AS line FROM m WHERE NOT regexp_matches(substr(s, greatest(k - 119, 1), least(k, 120)), '\b(?:not|no|never|work)\b')""")(
-    lambda t: gates.blocked_claims(t("documents"), "license", 120, r"\b(?:not|no|never|work)\b"))
+query("f24_blocked_claims", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE contains(text, 'icense'))
+SELECT doc_id, (i - 1)::INT AS line FROM l WHERE len(list_filter(range(1, length(s) + 1), lambda k: substr(s, k, 6) = 'icense' AND NOT regexp_matches(substr(s, greatest(k - 40, 1), least(k - 1, 40)), '\b(?:not|no|never|work)\b'))) > 0""")(
+    lambda t: gates.blocked_claims(t("documents"), "icense", 40, r"\b(?:not|no|never|work)\b"))
 
 _SIGNALS = """WITH s AS (SELECT doc_id AS content_id, 'text' AS name, (doc_id * 7 % 100) / 100.0::DOUBLE AS score, true AS available FROM documents
 UNION ALL SELECT doc_id, 'source', (doc_id * 13 % 100) / 100.0::DOUBLE, doc_id % 3 <> 0 FROM documents UNION ALL SELECT doc_id, 'market', (doc_id * 31 % 100) / 100.0::DOUBLE, doc_id % 4 = 1 FROM documents
@@ -157,8 +157,8 @@ query("j21_registration_state", "SELECT c_custkey, CASE WHEN s_suppkey IS NULL T
     lambda t: t("customer").join(t("supplier"), C("c_custkey") == C("s_suppkey"), "left").select("c_custkey", F.when(C("s_suppkey").isNull(), F.when(C("c_custkey") % 2 == 0, "invalid").otherwise("unverified")).when(C("c_nationkey") == C("s_nationkey"), "valid").otherwise("collision").alias("state")))
 query("j27_set_operations", "WITH w AS (SELECT doc_id, list_distinct(string_split(lower(text), ' ')) AS a FROM documents) SELECT doc_id, len(list_filter(a, lambda x: list_contains(['the', 'de', 'der'], x)))::INT AS both, len(list_filter(['the', 'de', 'der'], lambda x: NOT list_contains(a, x)))::INT AS missing FROM w")(
     lambda t: t("documents").select("doc_id", F.split(F.lower("text"), " ").alias("a"), F.array(*map(F.lit, ("the", "de", "der"))).alias("b")).select("doc_id", F.size(F.array_intersect("a", "b")).alias("both"), F.size(F.array_except("b", "a")).alias("missing")))
-query("j30_templates", "SELECT DISTINCT a.conv_id FROM conversations a JOIN conversations b ON sha256(a.text) = sha256(b.text) AND a.conv_id <> b.conv_id")(
-    lambda t: (lambda h: h.join(h.groupBy("h").agg(F.count_distinct("conv_id").alias("n")).filter("n > 1"), "h", "left_semi").select("conv_id").distinct())(t("conversations").select("conv_id", F.sha2("text", 256).alias("h"))))
+query("j30_templates", "WITH h AS (SELECT conv_id, turn, sha256(left(text, 6)) AS h FROM conversations) SELECT conv_id, count(*) AS rows FROM h WHERE h IN (SELECT h FROM h GROUP BY 1 HAVING count(DISTINCT conv_id) > 1) GROUP BY 1")(
+    lambda t: rollups.shared_templates(t("conversations").select("conv_id", F.sha2(F.left("text", F.lit(6)), 256).alias("h")), "conv_id", "h").groupBy("conv_id").agg(F.count(F.lit(1)).alias("rows")))
 query("j31_dedup_latest", "SELECT user_id, event_type, arg_max(value, event_id) AS value FROM events GROUP BY ALL")(lambda t: rollups.latest(t("events"), ["user_id", "event_type"], [F.desc("event_id")]).select("user_id", "event_type", "value"))
 query("j32_feed_agreement", r"""WITH h AS (SELECT page_id, lower(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*://)?(?:[^/?#@]*@)?([^/:?#]*)', 1)) AS host, html FROM pages), f AS (SELECT DISTINCT host, 'a' AS feed FROM h WHERE contains(html, '$$$') UNION SELECT DISTINCT host, 'b' FROM h WHERE contains(html, '<form') UNION SELECT DISTINCT host, 'c' FROM h WHERE starts_with(host, 'spam'))
 SELECT page_id, count(feed)::INT AS feeds, coalesce(string_agg(feed, ',' ORDER BY feed), '') AS named, round(CASE WHEN count(feed) > 0 THEN 0.5 + 0.5 * count(feed) / 3 ELSE 0 END, 4)::DOUBLE AS confidence FROM h LEFT JOIN f USING (host) GROUP BY page_id""")(

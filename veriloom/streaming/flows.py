@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from veriloom.operators import gates
 from veriloom.operators.rollups import insert_new
-from veriloom.sources.shared import shared_dir
+from veriloom.sources.shared import kept, shared_dir
 
 
 def file_stream(spark: SparkSession, path: str, files: int = 4) -> DataFrame:
@@ -82,24 +82,35 @@ def rate_limited(stream: DataFrame, key: str, time: str, limit: int, seconds: in
     return stream.groupBy(key).applyInPandasWithState(step, kind, "seen array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+#: Folders of the ids that the gateway has taken.
+BUCKETS = 64
+
+
 def gateway(stream: DataFrame, sink: str, state: str, verdict: Callable[[DataFrame], DataFrame]):
     """Messages to stored verdicts, exactly once by message id: what fails to be judged is delivered as unverified.
 
-    stream has message_id, sender, subject, body. Each batch drops ids that the sink has, judges the rest and appends.
+    stream has message_id, sender, subject, body. The ids that were taken lie beside the sink, in BUCKETS folders by
+    their hash: a batch reads the ids of its own buckets only, and never the messages. A batch writes its rows and ids
+    under its number, so that one that is run again replaces what it left.
     """
 
     def batch(df: DataFrame, i: int) -> None:
         spark = df.sparkSession
         one = df.groupBy("message_id").agg(F.min(F.struct(*[c for c in df.columns if c != "message_id"])).alias("m")).select("message_id", "m.*")
+        bucket = F.pmod(F.xxhash64("message_id"), F.lit(BUCKETS)).cast("int")
+        one = one.withColumn("bucket", bucket)
+        touched = [r[0] for r in one.select("bucket").distinct().collect()]  # at most BUCKETS
         try:
-            old = spark.read.parquet(sink).select("message_id")
-            one = one.join(old, "message_id", "left_anti")
+            old = spark.read.schema("message_id string, batch int, bucket int").parquet(f"{sink}-ids").filter(F.col("bucket").isin(touched) & (F.col("batch") != i))
+            one = one.join(old.select("bucket", "message_id"), ["bucket", "message_id"], "left_anti")
         except Exception as e:  # nothing stored yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            if "PATH_NOT_FOUND" not in str(e):
                 raise
+        one = kept(one.drop("bucket"), "gateway")
         judged = one.join(verdict(one), "message_id", "left").withColumn("verdict", F.coalesce("verdict", F.lit("UNVERIFIED")))
         tag = F.when(F.col("verdict") == "FRAUDULENT", "[FRAUD] ").when(F.col("verdict") == "UNVERIFIED", "[UNVERIFIED] ").otherwise("")
-        judged.withColumn("subject", F.concat(tag, F.coalesce("subject", F.lit("")))).withColumn("batch", F.lit(i)).write.mode("append").parquet(sink)
+        judged.withColumn("subject", F.concat(tag, F.coalesce("subject", F.lit("")))).write.mode("overwrite").parquet(f"{sink}/batch={i}")
+        one.select("message_id", bucket.alias("bucket")).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{sink}-ids/batch={i}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", state).trigger(availableNow=True).start()
 
