@@ -222,8 +222,8 @@ def spaced(rows: DataFrame, key: str, time: str, seconds: float) -> DataFrame:
             break
         allowed = kept(allowed.unionByName(more), "allowed")
         jump = kept(jump.join(jump.select("k", F.col("us").alias("to"), F.col("to").alias("far")), ["k", "to"]).select("k", "us", F.col("far").alias("to")), "jumps")
-    known = allowed.withColumn("_ok", F.lit(True))
-    return rows.join(known, (F.col(key) == F.col("k")) & (F.unix_micros(time) == F.col("us")), "left").withColumn("allowed", F.coalesce("_ok", F.lit(False))).drop("k", "us", "_ok")
+    known = allowed.select(F.col("k").alias("_k"), F.col("us").alias("_us"), F.lit(True).alias("_ok"))
+    return rows.join(known, (F.col(key) == F.col("_k")) & (F.unix_micros(time) == F.col("_us")), "left").withColumn("allowed", F.coalesce("_ok", F.lit(False))).drop("_k", "_us", "_ok")
 
 
 def risk_client(score: Column) -> Column:
