@@ -17,7 +17,8 @@ PACK = [rules.Rule("token", r"token = ", r"[0-9a-f]{8}", None, ("never share",),
 query("r01_rules", r"""WITH d AS (SELECT doc_id, text, lower(text) AS t FROM documents)
 SELECT doc_id, 'token' AS rule, 5 AS severity FROM d WHERE regexp_matches(t, 'token = ') AND regexp_matches(text, '(?i)token = ["'']?[0-9a-f]{8}') UNION ALL SELECT doc_id, 'license', 1 FROM d WHERE contains(t, 'license')""")(
     lambda t: rules.evaluate(t("documents"), PACK[:2]).select("doc_id", "rule", "severity"))
-query("r02_compile")(lambda t: rules.evaluate(t("documents"), PACK).groupBy("rule").agg(F.count(F.lit(1)).alias("n"), F.max("severity").alias("severity")))
+_HITS = r"""WITH d AS (SELECT doc_id, text, lower(text) AS t FROM documents), h AS (SELECT 'token' AS rule, 5 AS severity FROM d WHERE regexp_matches(t, 'token = ') AND regexp_matches(text, '(?i)token = ["'']?[0-9a-f]{8}') UNION ALL SELECT 'license', 1 FROM d WHERE contains(t, 'license') UNION ALL SELECT 'shout', 3 FROM d WHERE regexp_matches(t, '!! [a-z]+!!'))"""
+query("r02_compile", f"{_HITS} SELECT rule, count(*) AS n, max(severity)::INT AS severity FROM h GROUP BY rule")(lambda t: rules.evaluate(t("documents"), PACK).groupBy("rule").agg(F.count(F.lit(1)).alias("n"), F.max("severity").alias("severity")))
 query("x09_mask")(lambda t: rules.mask(t("documents")).select("doc_id", F.sha2("masked", 256).alias("masked"), F.size("spans").alias("n")))
 query("x23_page_links", r"SELECT page_id, len(regexp_extract_all(html, '<a[\s>]'))::INT AS n_links, len(regexp_extract_all(html, '<form[\s>]'))::INT AS n_forms, len(regexp_extract_all(html, '<script[\s>]'))::INT AS n_scripts FROM pages")(
     lambda t: t("pages").select("page_id", markup.page(C("html")).alias("p")).select("page_id", "p.n_links", "p.n_forms", "p.n_scripts"))
@@ -98,7 +99,7 @@ query("p_tumbling", "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d
     lambda t: flows.run_to_table(flows.tumbling(flows.with_time(flows.file_stream(t.spark, f"{t.folder}/events.parquet"), "ts", "1 hour"), "ts", "1 hour", "event_type"), "complete").select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("hour"), "event_type", "n"))
 query("p_sessions", "WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 HOUR OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS b FROM events), s AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first, count(*) AS n FROM s GROUP BY user_id, s")(
     lambda t: flows.run_to_table(flows.sessions(flows.with_time(flows.file_stream(t.spark, f"{t.folder}/events.parquet"), "ts", "1 hour"), "ts", "2 hours", "user_id"), "complete").select("user_id", F.date_format("session_window.start", "yyyy-MM-dd HH:mm:ss").alias("first"), "n"))
-query("p02_rate_limited_stream")(lambda t: flows.run_to_table(flows.rate_limited(flows.file_stream(t.spark, f"{t.folder}/events.parquet").select("event_id", "user_id", "ts"), "user_id", "ts", 2, 3600)).select("event_id", "user_id", "accepted"))
+query("p02_rate_limited_stream", "WITH RECURSIVE e AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events), r AS (SELECT user_id, event_id, k, true AS accepted, NULL::TIMESTAMP AS a, ts AS b FROM e WHERE k = 1 UNION ALL SELECT e.user_id, e.event_id, e.k, a IS NULL OR a <= e.ts - INTERVAL 1 HOUR, CASE WHEN a IS NULL OR a <= e.ts - INTERVAL 1 HOUR THEN b ELSE a END, CASE WHEN a IS NULL OR a <= e.ts - INTERVAL 1 HOUR THEN e.ts ELSE b END FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1) SELECT event_id, user_id, accepted FROM r")(lambda t: flows.run_to_table(flows.rate_limited(flows.file_stream(t.spark, f"{t.folder}/events.parquet").select("event_id", "user_id", "ts"), "user_id", "ts", 2, 3600)).select("event_id", "user_id", "accepted"))
 query("k10_stamp", "SELECT doc_id, CASE WHEN contains(text, 'token = ') THEN 'FRAUDULENT' ELSE 'GENUINE' END AS v, array_to_string(list_sort(list_filter([CASE WHEN lang IS NOT NULL THEN 'Subject=' || lang END, 'X-Other=' || doc_id, CASE WHEN doc_id % 2 = 0 THEN NULL ELSE 'From=' || source END], lambda x: x IS NOT NULL)), ';') AS kept FROM documents")(
     lambda t: t("documents").select("doc_id", flows.stamp(F.map_filter(F.create_map(F.lit("x-VERILOOM-verdict"), F.lit("forged"), F.lit("Subject"), C("lang"), F.lit("X-Other"), C("doc_id").cast("string"), F.when(C("doc_id") % 2 == 0, "X-Veriloom-Old").otherwise("From"), C("source")), lambda k, v: v.isNotNull()), F.when(C("text").contains("token = "), "FRAUDULENT").otherwise("GENUINE")).alias("h")).select("doc_id", C("h")["X-Veriloom-Verdict"].alias("v"), F.array_join(F.array_sort(F.transform(F.map_entries(F.map_filter("h", lambda k, v: k != "X-Veriloom-Verdict")), lambda e: F.concat(e.key, F.lit("="), e.value))), ";").alias("kept")))
 query("x27_attachment", "SELECT c_custkey, 'file' || c_custkey || '.apk' AS name, '12 MB' AS size FROM customer")(
@@ -106,7 +107,7 @@ query("x27_attachment", "SELECT c_custkey, 'file' || c_custkey || '.apk' AS name
 query("f20_amended", r"SELECT doc_id, regexp_matches(lower(text), '\b(?:amended|amendment|corrigendum|revised|version)\b') AS out FROM documents")(lambda t: t("documents").select("doc_id", gates.amended(C("text"), (*gates.AMENDED, "version")).alias("out")))
 query("f22_authority_demand", r"SELECT doc_id, regexp_matches(text, '(?i)licens|rights reserved') AND (contains(text, 'token =') OR contains(text, 'password=') OR contains(text, '$$$') OR contains(text, '***')) AND NOT regexp_matches(lower(text), '\bnever\b') AS out FROM documents")(
     lambda t: t("documents").select("doc_id", gates.authority_demand(C("text"), "(?i)licens|rights reserved", ("token =", "password=", "$$$", "***"), r"\bnever\b").alias("out")))
-query("a36_rule_counts")(lambda t: rules.evaluate(t("documents"), PACK).groupBy("rule").agg(F.count_distinct("doc_id").alias("n")))
+query("a36_rule_counts", f"{_HITS} SELECT rule, count(*) AS n FROM h GROUP BY rule")(lambda t: rules.evaluate(t("documents"), PACK).groupBy("rule").agg(F.count_distinct("doc_id").alias("n")))
 query("a33_cap_trust", "SELECT doc_id, least(100 - 10 * len(regexp_extract_all(text, '[0-9]{4}')), CASE WHEN contains(text, 'token =') THEN 20 ELSE 100 END, CASE WHEN contains(text, 'Licens') THEN 45 ELSE 100 END)::INT AS out FROM documents")(
     lambda t: t("documents").select("doc_id", scoring.capped(100 - 10 * F.regexp_count("text", F.lit("[0-9]{4}")), [(C("text").contains("token ="), 20), (C("text").contains("Licens"), 45)]).cast("int").alias("out")))
 query("a32_offline_gate", "SELECT doc_id, greatest(0, least(100, 85 - CASE WHEN contains(text, '$$$') THEN 18 ELSE 0 END - CASE WHEN contains(text, '!!') THEN 12 ELSE 0 END - CASE WHEN contains(text, 'token =') THEN 24 ELSE 0 END))::INT AS out FROM documents")(

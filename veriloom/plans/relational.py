@@ -226,4 +226,4 @@ query("m02_components", """WITH RECURSIVE e AS (SELECT s_suppkey AS a, s_suppkey
     lambda t: similar.connected(t("supplier").filter("s_suppkey % 4 > 0").select(C("s_suppkey").alias("a"), (C("s_suppkey") * 7 % 60).alias("b")).filter("a <> b")))
 query("m04_nearest", "WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query_id, vec_id, round(list_cosine_similarity(q::DOUBLE[], embedding::DOUBLE[]), 5) AS score FROM q, embeddings WHERE query_id <> vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM s) SELECT query_id, vec_id, score, place::INT AS place FROM r WHERE place <= 5")(
     lambda t: similar.nearest(t("embeddings").select("vec_id", "embedding"), t("embeddings").filter("vec_id % 20 = 0").select("vec_id", "embedding"), 5))
-query("m07_bigram_score")(lambda t: similar.bigram_score(t("part").select("p_partkey", "p_name", "p_type"), "p_name", "p_type").select("p_partkey", F.round("score", 4).alias("score")))
+query("m07_bigram_score", "WITH g AS (SELECT p_partkey, lower(p_name) AS a, lower(p_type) AS b, list_transform(range(1, length(p_name)), lambda i: substr(lower(p_name), i, 2)) AS x, list_transform(range(1, length(p_type)), lambda i: substr(lower(p_type), i, 2)) AS y FROM part) SELECT p_partkey, round(CASE WHEN a = b THEN 100.0 ELSE coalesce(200.0 * list_sum(list_transform(list_distinct(x), lambda g: least(len(list_filter(x, lambda u: u = g)), len(list_filter(y, lambda u: u = g))))) / nullif(len(x) + len(y), 0), 0) END, 4)::DOUBLE AS score FROM g")(lambda t: similar.bigram_score(t("part").select("p_partkey", "p_name", "p_type"), "p_name", "p_type").select("p_partkey", F.round("score", 4).alias("score")))
