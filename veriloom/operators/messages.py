@@ -169,3 +169,31 @@ def negative_control(contexts: DataFrame, group: str, name: str, scored: Column)
     fired (the name matches) and accused (and the message is scored as well)."""
     each = contexts.select(group, scored.alias("_s"), F.explode(F.array(F.struct(F.lit("tuned").alias("mode"), (F.size(funnel_name(F.col(name))) > 0).alias("hit")), F.struct(F.lit("broad").alias("mode"), (F.size(funnel_name(F.col(name), True)) > 0).alias("hit")))).alias("m")).select(group, "_s", "m.*")
     return each.groupBy(group, "mode").agg(F.count(F.lit(1)).alias("n"), F.count_if("hit").alias("fired"), F.count_if(F.col("hit") & F.coalesce("_s", F.lit(False))).alias("accused"))
+
+
+def actions(verdict: Column, registered: Column, sent_money: Column, contact: Column) -> Column:
+    """What to do after a verdict, most urgent first: priority and type of each step."""
+    bad = verdict.isin("FRAUDULENT", "TAMPERED")
+    step = lambda test, priority, kind: F.when(test, F.struct(F.lit(priority).alias("priority"), F.lit(kind).alias("type")))
+    steps = [
+        step(bad, "IMMEDIATE", "DO_NOT"), step(verdict == "UNVERIFIED", "IMMEDIATE", "VERIFY"), step(bad & F.coalesce(sent_money, F.lit(False)), "IMMEDIATE", "REPORT_LOSS"), step(contact.isNotNull(), "HIGH", "OFFICIAL_CONTACT"),
+        step(bad & F.coalesce(registered, F.lit(False)), "HIGH", "REPORT_SUPERVISOR"), step(bad & ~F.coalesce(registered, F.lit(False)), "HIGH", "REPORT_TAKEDOWN"), step(bad, "MEDIUM", "SHARE"), step(~bad & (verdict != "UNVERIFIED"), "INFO", "SAFE_TO_READ"),
+    ]
+    return F.array_compact(F.array(*steps))
+
+
+def media_summary(items: Column, pictures: int = 5, codes: int = 4, title: int = 120, value: int = 200) -> Column:
+    """Numbers of pictures and codes among a page's media (kind, value), and the first few of each, cut at a length with
+    three dots."""
+    of = lambda kind: F.filter(F.coalesce(items, F.array()), lambda x: x["kind"] == kind)
+    cut = lambda c, n: F.when(F.length(c) > n, F.concat(F.left(c, F.lit(n - 3)), F.lit("..."))).otherwise(c)
+    shown = lambda kind, most, n: F.transform(F.slice(of(kind), 1, most), lambda x: cut(x["value"], n))
+    return F.struct(F.size(of("image")).alias("n_images"), F.size(of("qr")).alias("n_codes"), shown("image", pictures, title).alias("images"), shown("qr", codes, value).alias("codes"))
+
+
+def structural_check(handles: DataFrame, key: str, rules: DataFrame) -> DataFrame:
+    """What a payment address is by structural rules alone (handle, category): key, category (UNKNOWN without a rule),
+    validated, and source, which says that no register was asked. Rules go by what stands behind the at sign."""
+    own = rules.select(F.lower(F.ltrim("pattern", F.lit("@"))).alias("_s"), "category").groupBy("_s").agg(F.min("category").alias("category"))
+    rows = handles.select(key, F.lower(F.substring_index("handle", "@", -1)).alias("_h")).join(own, F.col("_h") == F.col("_s"), "left")
+    return rows.select(key, F.coalesce("category", F.lit("UNKNOWN")).alias("category"), F.coalesce(F.col("category") == "VALID_INTERMEDIARY", F.lit(False)).alias("validated"), F.lit("local_structural_rules").alias("source"))

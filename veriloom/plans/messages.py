@@ -144,3 +144,25 @@ def _s22(t):
 
 
 query("s22_announcements", "SELECT 'Order ' || o_orderkey AS headline, CASE WHEN o_orderkey % 2 = 0 THEN 'said \"' || o_orderkey || '\"' ELSE 'Order ' || o_orderkey END AS summary, 'u' || o_orderkey AS url FROM orders ORDER BY strftime(o_orderdate, '%Y-%m-%d') DESC, 'u' || o_orderkey LIMIT 50")(_s22)
+
+
+def _s23(t):
+    """The same lists once more, written as plain JSON."""
+    rows = t("orders").select(F.floor(C("o_orderkey") / 1000).alias("part"), F.struct(F.concat(F.lit("Order "), C("o_orderkey").cast("string")).alias("headline"), F.lpad(C("o_orderkey").cast("string"), 240, "x").alias("summary"), F.concat(F.lit("u"), C("o_orderkey").cast("string")).alias("url"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("dt")).alias("r"))
+    path = f"{shared_dir(t.spark)}/announced-{uuid.uuid4().hex}"
+    rows.groupBy("part").agg(F.to_json(F.collect_list("r")).alias("value")).write.partitionBy("part").text(path)
+    return readers.announcements(t.spark, path, 40).select("headline", "summary", "url")
+
+
+query("s23_plain_announcements", "SELECT 'Order ' || o_orderkey AS headline, left(lpad(o_orderkey::VARCHAR, 240, 'x'), 200) AS summary, 'u' || o_orderkey AS url FROM orders ORDER BY strftime(o_orderdate, '%Y-%m-%d') DESC, 'u' || o_orderkey LIMIT 40")(_s23)
+query("u01_registrable", rf"SELECT page_id, regexp_extract({HOST}, '[^.]+\.[^.]+$') AS out FROM pages")(lambda t: t("pages").select("page_id", urls.registrable(urls.host(C("url"))).alias("out")))
+query("j07_exact_name", "SELECT p_partkey, p_name || ' Ltd' AS name FROM part WHERE p_partkey % 2 = 0")(
+    lambda t: messages.official_contact(t("part").select("p_partkey", F.concat(F.upper(F.concat("p_name", F.lit(" "), C("p_partkey").cast("string"))), F.lit(" LIMITED")).alias("n")), "p_partkey", "n", t("part").filter("p_partkey % 2 = 0").select(F.concat("p_name", F.lit(" "), C("p_partkey").cast("string"), F.lit(" Ltd")).alias("name"), F.lit(None).cast("string").alias("domains"), F.lit(None).cast("string").alias("contact"), F.lit(None).cast("string").alias("reg_no"))).filter("by = 'exact'").select("p_partkey", F.regexp_replace("name", r" \d+ Ltd$", " Ltd").alias("name")))
+query("t10_actions", """SELECT doc_id, array_to_string(list_filter([CASE WHEN bad THEN 'IMMEDIATE:DO_NOT' END, CASE WHEN v = 'UNVERIFIED' THEN 'IMMEDIATE:VERIFY' END, CASE WHEN bad AND doc_id % 3 = 0 THEN 'IMMEDIATE:REPORT_LOSS' END, CASE WHEN source IS NOT NULL AND doc_id % 5 = 0 THEN 'HIGH:OFFICIAL_CONTACT' END, CASE WHEN bad AND doc_id % 2 = 0 THEN 'HIGH:REPORT_SUPERVISOR' END, CASE WHEN bad AND doc_id % 2 = 1 THEN 'HIGH:REPORT_TAKEDOWN' END, CASE WHEN bad THEN 'MEDIUM:SHARE' END, CASE WHEN v = 'GENUINE' THEN 'INFO:SAFE_TO_READ' END], lambda x: x IS NOT NULL), ',') AS out
+FROM (SELECT doc_id, source, CASE WHEN contains(text, '$$$') THEN 'FRAUDULENT' WHEN contains(text, ' | ') THEN 'UNVERIFIED' ELSE 'GENUINE' END AS v, contains(text, '$$$') AS bad FROM documents)""")(
+    lambda t: t("documents").select("doc_id", F.array_join(F.transform(messages.actions(F.when(C("text").contains("$$$"), "FRAUDULENT").when(C("text").contains(" | "), "UNVERIFIED").otherwise("GENUINE"), C("doc_id") % 2 == 0, C("doc_id") % 3 == 0, F.when(C("doc_id") % 5 == 0, C("source"))), lambda a: F.concat(a["priority"], F.lit(":"), a["type"])), ",").alias("out")))
+query("z04_media_summary", r"""WITH m AS (SELECT page_id, list_transform(regexp_extract_all(html, 'href="([^"]*)"', 1), lambda h: {'kind': CASE WHEN length(h) % 2 = 0 THEN 'qr' ELSE 'image' END, 'value': h}) AS items FROM pages)
+SELECT page_id, len(list_filter(items, lambda x: x.kind = 'image'))::INT AS n_images, len(list_filter(items, lambda x: x.kind = 'qr'))::INT AS n_codes, array_to_string(list_transform(list_filter(items, lambda x: x.kind = 'image')[:2], lambda x: CASE WHEN length(x.value) > 6 THEN left(x.value, 3) || '...' ELSE x.value END), ' ') AS images, array_to_string(list_transform(list_filter(items, lambda x: x.kind = 'qr')[:4], lambda x: x.value), ' ') AS codes FROM m""")(
+    lambda t: t("pages").select("page_id", messages.media_summary(F.transform(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)), lambda h: F.struct(F.when(F.length(h) % 2 == 0, "qr").otherwise("image").alias("kind"), h.alias("value"))), 2, 4, 6).alias("m")).select("page_id", "m.n_images", "m.n_codes", F.array_join("m.images", " ").alias("images"), F.array_join("m.codes", " ").alias("codes")))
+query("z30_structural_check", "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'VALID_INTERMEDIARY' WHEN 1 THEN 'WALLET' ELSE 'UNKNOWN' END AS category, c_custkey % 3 = 0 AS validated, 'local_structural_rules' AS source FROM customer")(
+    lambda t: messages.structural_check(t("customer").select("c_custkey", F.concat(F.lit("u"), C("c_custkey").cast("string"), F.lit("@"), F.when(C("c_custkey") % 3 == 0, "VALID").when(C("c_custkey") % 3 == 1, "pay").otherwise("none")).alias("handle")), "c_custkey", t("customer").select(F.when(C("c_custkey") % 2 == 0, "@valid").otherwise("@pay").alias("pattern"), F.when(C("c_custkey") % 2 == 0, "VALID_INTERMEDIARY").otherwise("WALLET").alias("category")).distinct()))
