@@ -122,6 +122,11 @@ def find_urls(c: Column) -> Column:
     return F.array_distinct(F.transform(found, lambda u: F.regexp_replace(u, r"[.,;:!?]+$", "")))
 
 
+def stated(c: Column, rest: str = r"[^\s<>\"')\]]+") -> Column:
+    """URLs that a text states with their scheme, as often as it does."""
+    return F.regexp_extract_all(c, F.lit(f"https?://{rest}"), F.lit(0))
+
+
 def numeric_ipv4(h: Column) -> Column:
     """Dotted form of a host that is one number, decimal or hexadecimal, or dotted already; else null."""
     number = F.when(h.rlike(r"^0[xX][0-9a-fA-F]{1,8}$"), F.conv(F.substring(h, 3, 8), 16, 10).try_cast("long")).when(h.rlike(r"^[1-9][0-9]{7,9}$"), h.try_cast("long"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veriloom.functions import entities, markup, urls
-from veriloom.operators import gates, lookups, models, rules, scoring
+from veriloom.operators import boards, gates, lookups, models, rules, scoring
 from veriloom.plans.base import query
 from veriloom.sources import readers
 from veriloom.streaming import flows
@@ -46,27 +46,30 @@ query("z64_validity", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS a
     lambda t: t("orders").select("o_orderkey", readers.validity(F.concat(F.date_format("o_orderdate", "dd-MMM-yyyy"), F.when(C("o_orderkey") % 2 == 0, F.concat(F.lit(" to "), F.date_format(F.date_add("o_orderdate", 365), "dd-MMM-yyyy"))).otherwise(" - Perpetual"))).alias("v")).select("o_orderkey", C("v.start").cast("string").alias("a"), C("v.end").cast("string").alias("b")))
 query("z61_fabricated", "SELECT DISTINCT n FROM (SELECT unnest([o_custkey * 3, o_custkey + o_orderkey]) AS n FROM orders) WHERE n NOT IN (SELECT c_custkey FROM customer)")(
     lambda t: lookups.unlisted(t("orders").select(F.explode(F.array(C("o_custkey") * 3, C("o_custkey") + C("o_orderkey"))).alias("n")), "n", t("customer"), "c_custkey"))
-query("z62_source_selection", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' ORDER BY o_orderdate DESC, o_orderkey LIMIT 6")(lambda t: t("orders").filter("o_orderstatus = 'P'").orderBy(F.desc("o_orderdate"), "o_orderkey").select("o_orderkey").limit(6))
+query("z62_source_selection", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' ORDER BY o_orderdate DESC, o_orderkey LIMIT 6")(
+    lambda t: boards.newest_of(t("orders"), "o_orderstatus = 'P'", "o_orderdate", "o_orderkey", 6).select("o_orderkey"))
 query("z02_conversation_counts", "SELECT conv_id, sum(len(string_split(text, chr(10))))::BIGINT AS lines, sum(len(regexp_extract_all(text, '[0-9]+')))::BIGINT AS numbers, count(*) AS turns FROM conversations GROUP BY conv_id")(
-    lambda t: t("conversations").groupBy("conv_id").agg(F.sum(F.size(F.split("text", "\n"))).alias("lines"), F.sum(F.regexp_count("text", F.lit("[0-9]+"))).alias("numbers"), F.count(F.lit(1)).alias("turns")))
+    lambda t: boards.conversation_counts(t("conversations"), "conv_id", "text"))
 query("z03_qr_value", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'payment' WHEN page_id % 3 = 1 THEN 'link' ELSE 'text' END AS out FROM pages")(
     lambda t: t("pages").select("page_id", F.when(C("page_id") % 3 == 0, F.concat(F.lit("upi://pay?pa="), C("page_id").cast("string"))).when(C("page_id") % 3 == 1, C("url")).otherwise("hello").alias("v")).select("page_id", F.when(urls.parts(C("v"))["kind"] == "payment", "payment").when(urls.parts(C("v"))["kind"] == "web", "link").otherwise("text").alias("out")))
 query("z10_sensitive_fields", "SELECT p_partkey, (p_partkey % 3 < 2)::INT AS n FROM part")(
-    lambda t: t("part").select("p_partkey", F.size(F.filter(F.array(F.lit("city"), F.element_at(F.array(*map(F.lit, ("otp", "card_pin", "name"))), (C("p_partkey") % 3 + 1).cast("int"))), lambda f: f.rlike("otp|pin|password"))).alias("n")))
+    lambda t: t("part").select("p_partkey", boards.sensitive_fields(F.array(F.lit("city"), F.element_at(F.array(*map(F.lit, ("otp", "card_pin", "name"))), (C("p_partkey") % 3 + 1).cast("int")))).alias("n")))
 query("z17_selector_health", "SELECT user_id, CASE WHEN avg((event_type = 'click')::INT) >= 0.8 THEN 'HEALTHY' WHEN avg((event_type = 'click')::INT) >= 0.4 THEN 'DEGRADED' ELSE 'BLIND' END AS out FROM events GROUP BY user_id")(
     lambda t: t("events").groupBy("user_id").agg(F.avg((C("event_type") == "click").cast("int")).alias("r")).select("user_id", scoring.band(C("r"), ((0.8, "HEALTHY"), (0.4, "DEGRADED")), "BLIND").alias("out")))
 query("z19_channel_flags", "SELECT conv_id, count(*) >= 4 AND count(DISTINCT role) <= 2 AS few_posters, bool_or(contains(text, 'http')) AS links FROM conversations GROUP BY conv_id")(
-    lambda t: t("conversations").groupBy("conv_id").agg(((F.count(F.lit(1)) >= 4) & (F.count_distinct("role") <= 2)).alias("few_posters"), F.bool_or(C("text").contains("http")).alias("links")))
+    lambda t: boards.channel_trust(t("conversations"), "conv_id", "role", "text"))
 query("z34_filing_type", "SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 'DIVIDEND' WHEN o_orderstatus = 'F' THEN 'AGM' ELSE 'OTHER' END AS out FROM orders")(
     lambda t: t("orders").select("o_orderkey", entities.document_type(F.concat_ws(" ", F.when(C("o_orderpriority") == "1-URGENT", "Final dividend"), F.when(C("o_orderstatus") == "F", "Annual General Meeting"))).alias("out")))
 query("z39_comparators", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber > 1 THEN abs(l_extendedprice - round(l_extendedprice, 0)) <= 0.005 END AS out FROM lineitem")(
-    lambda t: t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (F.abs(C("l_extendedprice") - F.when(C("l_linenumber") > 1, F.round("l_extendedprice", 0))) <= 0.005).alias("out")))
-query("z47_tolerant_json", """SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events""")(lambda t: t("events").select("event_id", F.get_json_object("props", "$.k").try_cast("long").alias("k")))
-query("z54_cube", "SELECT event_type, user_id % 3 AS tier, round(avg(value), 6) AS mean FROM events GROUP BY CUBE (event_type, user_id % 3)")(lambda t: t("events").withColumn("tier", C("user_id") % 3).cube("event_type", "tier").agg(F.round(F.avg("value"), 6).alias("mean")))
+    lambda t: t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", boards.same_amount(C("l_extendedprice"), F.when(C("l_linenumber") > 1, F.round("l_extendedprice", 0))).alias("out")))
+query("z47_tolerant_json", """SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events""")(
+    lambda t: t("events").select("event_id", boards.tolerant(C("props"), "$.k", "long").alias("k")))
+query("z54_cube", "SELECT event_type, user_id % 3 AS tier, round(avg(value), 6) AS mean FROM events GROUP BY CUBE (event_type, user_id % 3)")(
+    lambda t: boards.cube_means(t("events").select(C("event_type").alias("kind"), "user_id", "value"), "value", 6, event_type=C("kind"), tier=C("user_id") % 3))
 query("z59_parity", "WITH a AS (SELECT l_partkey AS k, avg(l_extendedprice / l_quantity) AS price, count(*)::DOUBLE AS n FROM lineitem WHERE l_discount > 0 GROUP BY 1), b AS (SELECT p_partkey AS k, p_retailprice AS price, 1.0::DOUBLE AS n FROM part), j AS (SELECT a.price AS ap, b.price AS bp, a.n AS an, b.n AS bn FROM a FULL JOIN b USING (k)) SELECT 'price' AS measure, count(*) FILTER (ap IS NOT NULL AND bp IS NOT NULL) AS compared, count(*) FILTER (ap IS NULL) AS lost_left, count(*) FILTER (bp IS NULL) AS lost_right, round(max(abs(ap - bp)), 6) AS most, coalesce(max(abs(ap - bp)), 0) <= 0.02 AS within FROM j UNION ALL SELECT 'n', count(*) FILTER (an IS NOT NULL AND bn IS NOT NULL), count(*) FILTER (an IS NULL), count(*) FILTER (bn IS NULL), round(max(abs(an - bn)), 6), coalesce(max(abs(an - bn)), 0) <= 0.02 FROM j")(
     lambda t: models.parity(t("lineitem").filter("l_discount > 0").groupBy(C("l_partkey").alias("k")).agg(F.avg(C("l_extendedprice") / C("l_quantity")).alias("price"), F.count(F.lit(1)).cast("double").alias("n")), t("part").select(C("p_partkey").alias("k"), C("p_retailprice").alias("price"), F.lit(1.0).alias("n")), "k", ["price", "n"]).withColumn("most", F.round("most", 6)))
 query("z68_checks_header", "SELECT user_id, array_to_string(list_sort(list(DISTINCT event_type || '=' || CASE WHEN event_type = 'error' THEN 'fail' ELSE 'pass' END)), ';') AS out FROM events GROUP BY user_id")(
-    lambda t: t("events").groupBy("user_id").agg(F.array_sort(F.collect_set(F.concat("event_type", F.lit("="), F.when(C("event_type") == "error", "fail").otherwise("pass")))).alias("x")).select("user_id", F.array_join("x", ";").alias("out")))
+    lambda t: boards.checks_header(t("events"), "user_id", "event_type", C("event_type") != "error").withColumnRenamed("header", "out"))
 query("z70_severity_tier", "SELECT l_partkey, max(l_linenumber)::INT AS s, CASE WHEN max(l_linenumber) >= 5 THEN 'critical' WHEN max(l_linenumber) >= 3 THEN 'warning' ELSE 'info' END AS tier FROM lineitem GROUP BY l_partkey")(
     lambda t: t("lineitem").groupBy("l_partkey").agg(F.max("l_linenumber").cast("int").alias("s")).withColumn("tier", scoring.band(C("s"), ((5, "critical"), (3, "warning")), "info")))
 HOST = rf"regexp_replace({HOST}, '^www\.', '')"

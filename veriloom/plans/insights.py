@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veriloom.functions import checks, entities, text, urls
-from veriloom.operators import insights, rollups, scoring
+from veriloom.operators import boards, insights, rollups, scoring
 from veriloom.plans.base import query
 
 C = F.col
@@ -92,7 +92,7 @@ query("a06_dashboard_counts", "SELECT count(*) AS total, count(CASE WHEN event_t
 query("a10_table_counts", "SELECT 'documents' AS name, count(*) AS n FROM documents UNION ALL SELECT 'pages', count(*) FROM pages UNION ALL SELECT 'events', count(*) FROM events")(
     lambda t: rollups.table_counts({k: t(k) for k in ("documents", "pages", "events")}))
 query("a42_best_ticker", "WITH b AS (SELECT o_custkey, o_orderkey, greatest(abs(o_totalprice / 1000 - 100), 0) AS z FROM orders) SELECT o_custkey, arg_max(o_orderkey, (z, -o_orderkey)) AS o_orderkey FROM b GROUP BY o_custkey")(
-    lambda t: t("orders").groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct(F.abs(C("o_totalprice") / 1000 - 100), -C("o_orderkey"))).alias("o_orderkey")))
+    lambda t: boards.greatest_of(t("orders"), "o_custkey", F.abs(C("o_totalprice") / 1000 - 100), -C("o_orderkey"), "o_orderkey").select("o_custkey", "o_orderkey"))
 query("u14_private_address", "SELECT c_custkey, c_custkey % 5 < 4 AS out FROM customer")(
     lambda t: t("customer").select("c_custkey", urls.private_ipv4(F.concat(F.element_at(F.array(*map(F.lit, ("10.1.2.", "172.20.0.", "192.168.9.", "127.0.0.", "8.8.4."))), (C("c_custkey") % 5 + 1).cast("int")), (C("c_custkey") % 250).cast("string"))).alias("out")))
 query("u15_punycode", "SELECT c_custkey, ['bücher', '中国', 'xn--a b', 'münchen-ost', 'plain'][(c_custkey % 5 + 1)::INT] || '.example' AS out FROM customer")(

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from veriloom.functions import urls
-from veriloom.operators import gates, lookups, rollups, scoring, series, similar
+from veriloom.operators import boards, gates, lookups, rollups, scoring, series, similar
 from veriloom.plans.base import query
 
 C = F.col
@@ -51,10 +51,11 @@ flag("f17_clipboard_gate", lambda c: F.array_join(gates.clipboard_gate(c), ","),
 query("f18_recipient_allowed", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT s_suppkey FROM supplier) OR c_mktsegment LIKE 'B%'")(
     lambda t: gates.allowed(t("customer").withColumn("a", F.concat(F.lit("u"), C("c_custkey").cast("string"), F.lit("@"), F.lower("c_mktsegment"))), "a", t("supplier").join(t("customer"), C("s_suppkey") == C("c_custkey")).select(F.concat(F.lit("U"), C("c_custkey").cast("string"), F.lit("@"), F.lower("c_mktsegment")).alias("value")), t("customer").filter("c_mktsegment like 'B%'").select(C("c_mktsegment").alias("value")).distinct()).select("c_custkey"))
 query("f19_postdates_corpus", "SELECT o_orderkey FROM orders WHERE o_orderdate > (SELECT max(l_shipdate) - INTERVAL 1500 DAY FROM lineitem)")(
-    lambda t: t("orders").join(t("lineitem").agg((F.max("l_shipdate") - F.expr("interval 1500 days")).alias("m")), C("o_orderdate") > C("m")).select("o_orderkey"))
-query("f21_within_coverage", "SELECT o_orderkey, year(o_orderdate) BETWEEN 1996 AND 1999 AS out FROM orders")(lambda t: t("orders").select("o_orderkey", F.year("o_orderdate").between(1996, 1999).alias("out")))
+    lambda t: boards.postdates(t("orders"), "o_orderdate", t("lineitem"), "l_shipdate", 1500).select("o_orderkey"))
+query("f21_within_coverage", "SELECT o_orderkey, year(o_orderdate) BETWEEN 1996 AND 1999 AS out FROM orders")(
+    lambda t: t("orders").select("o_orderkey", boards.within_years(C("o_orderdate"), 1996, 1999).alias("out")))
 query("f23_list_content", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderpriority ILIKE '%high%' AND o_totalprice >= 1000 ORDER BY o_totalprice DESC, o_orderkey LIMIT 50")(
-    lambda t: t("orders").filter(C("o_orderpriority").ilike("%high%") & (C("o_totalprice") >= 1000)).select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(50))
+    lambda t: boards.listing(t("orders"), "o_orderpriority", "high", "o_totalprice", 1000, "o_orderkey", 50).select("o_orderkey", "o_totalprice"))
 query("f24_blocked_claims", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE contains(text, 'icense'))
 SELECT doc_id, (i - 1)::INT AS line FROM l WHERE len(list_filter(range(1, length(s) + 1), lambda k: substr(s, k, 6) = 'icense' AND NOT regexp_matches(substr(s, greatest(k - 40, 1), least(k - 1, 40)), '\b(?:not|no|never|work)\b'))) > 0""")(
     lambda t: gates.blocked_claims(t("documents"), "icense", 40, r"\b(?:not|no|never|work)\b"))
@@ -130,8 +131,8 @@ SELECT a.obs AS a, b.obs AS b, count(*) AS shared FROM s a JOIN s b ON a.type =
     lambda t: lookups.shared_entities(t("events").select(C("user_id").alias("obs"), F.date_trunc("day", C("ts")).cast("timestamp").alias("ts"), C("event_type").alias("type"), C("props").alias("value")), 1, 2))
 query("j02_handles_of_key", "SELECT a.value, b.value AS with_value, count(*) AS n FROM (SELECT DISTINCT l_orderkey AS obs, l_partkey AS value FROM lineitem) a JOIN (SELECT DISTINCT l_orderkey AS obs, l_suppkey AS value FROM lineitem) b USING (obs) GROUP BY ALL")(
     lambda t: lookups.seen_with(t("lineitem").select(C("l_orderkey").alias("obs"), F.lit("reg").alias("type"), C("l_partkey").alias("value")).unionByName(t("lineitem").select(C("l_orderkey").alias("obs"), F.lit("handle").alias("type"), C("l_suppkey").alias("value"))), "reg", "handle"))
-query("j03_detail", "SELECT o_custkey, array_to_string(list(o_orderkey ORDER BY o_orderdate, o_orderkey), ',') AS members FROM orders GROUP BY o_custkey")(
-    lambda t: t("orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey"))).alias("m")).select("o_custkey", F.array_join(F.transform("m", lambda m: m["o_orderkey"].cast("string")), ",").alias("members")))
+query("j03_detail", "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)::INT AS place FROM orders")(
+    lambda t: boards.in_order(t("orders"), "o_custkey", C("o_orderdate"), C("o_orderkey")).select("o_custkey", "o_orderkey", "place"))
 query("j04_or_join", "SELECT DISTINCT s_suppkey, c_custkey FROM supplier, customer WHERE s_acctbal = c_acctbal OR s_suppkey = c_custkey")(
     lambda t: lookups.or_join(t("supplier").withColumn("k", C("s_suppkey").cast("string")).withColumn("b", C("s_acctbal").cast("string")), t("customer").withColumn("ck", C("c_custkey").cast("string")).withColumn("cb", C("c_acctbal").cast("string")), {"k": "ck", "b": "cb"}, "s_suppkey", "c_custkey"))
 query("j05_date_window", """WITH c AS (SELECT o_orderkey, l_linenumber, l_partkey, abs(datediff('day', o_orderdate::DATE, l_shipdate::DATE)) <= 45 AS near FROM orders JOIN lineitem ON o_orderkey = l_orderkey), a AS (SELECT *, bool_or(near) OVER (PARTITION BY o_orderkey) AS any_ FROM c)
@@ -154,9 +155,9 @@ query("j17_lookalikes", "WITH k AS (SELECT n_name AS name, n_nationkey AS ord FR
 query("j20_blocklist", f"WITH l(host) AS (VALUES ('example.com'), ('thther.example.org'), ('example.net')), h AS (SELECT page_id, {HOST} AS h FROM pages) SELECT page_id, arg_max(host, length(host)) AS matched FROM h JOIN l ON h = host OR ends_with(h, '.' || host) GROUP BY page_id")(
     lambda t: lookups.by_suffix(t("pages").select("page_id", urls.host(C("url")).alias("h")), "h", t.spark.createDataFrame([("example.com",), ("thther.example.org",), ("example.net",)], "host string")).select("page_id", "matched"))
 query("j21_registration_state", "SELECT c_custkey, CASE WHEN s_suppkey IS NULL THEN CASE WHEN c_custkey % 2 = 0 THEN 'invalid' ELSE 'unverified' END WHEN c_nationkey = s_nationkey THEN 'valid' ELSE 'collision' END AS state FROM customer LEFT JOIN supplier ON c_custkey = s_suppkey")(
-    lambda t: t("customer").join(t("supplier"), C("c_custkey") == C("s_suppkey"), "left").select("c_custkey", F.when(C("s_suppkey").isNull(), F.when(C("c_custkey") % 2 == 0, "invalid").otherwise("unverified")).when(C("c_nationkey") == C("s_nationkey"), "valid").otherwise("collision").alias("state")))
+    lambda t: boards.registration_state(t("customer"), "c_custkey", "c_nationkey", t("supplier"), "s_suppkey", "s_nationkey", C("c_custkey") % 2 == 0).select("c_custkey", "state"))
 query("j27_set_operations", "WITH w AS (SELECT doc_id, list_distinct(string_split(lower(text), ' ')) AS a FROM documents) SELECT doc_id, len(list_filter(a, lambda x: list_contains(['the', 'de', 'der'], x)))::INT AS both, len(list_filter(['the', 'de', 'der'], lambda x: NOT list_contains(a, x)))::INT AS missing FROM w")(
-    lambda t: t("documents").select("doc_id", F.split(F.lower("text"), " ").alias("a"), F.array(*map(F.lit, ("the", "de", "der"))).alias("b")).select("doc_id", F.size(F.array_intersect("a", "b")).alias("both"), F.size(F.array_except("b", "a")).alias("missing")))
+    lambda t: t("documents").select("doc_id", boards.divergence(F.split(F.lower("text"), " "), F.array(*map(F.lit, ("the", "de", "der")))).alias("d")).select("doc_id", "d.both", "d.missing"))
 query("j30_templates", "WITH h AS (SELECT conv_id, turn, sha256(left(text, 6)) AS h FROM conversations) SELECT conv_id, count(*) AS rows FROM h WHERE h IN (SELECT h FROM h GROUP BY 1 HAVING count(DISTINCT conv_id) > 1) GROUP BY 1")(
     lambda t: rollups.shared_templates(t("conversations").select("conv_id", F.sha2(F.left("text", F.lit(6)), 256).alias("h")), "conv_id", "h").groupBy("conv_id").agg(F.count(F.lit(1)).alias("rows")))
 query("j31_dedup_latest", "SELECT user_id, event_type, arg_max(value, event_id) AS value FROM events GROUP BY ALL")(lambda t: rollups.latest(t("events"), ["user_id", "event_type"], [F.desc("event_id")]).select("user_id", "event_type", "value"))
@@ -164,18 +165,22 @@ query("j32_feed_agreement", r"""WITH h AS (SELECT page_id, lower(regexp_extract(
 SELECT page_id, count(feed)::INT AS feeds, coalesce(string_agg(feed, ',' ORDER BY feed), '') AS named, round(CASE WHEN count(feed) > 0 THEN 0.5 + 0.5 * count(feed) / 3 ELSE 0 END, 4)::DOUBLE AS confidence FROM h LEFT JOIN f USING (host) GROUP BY page_id""")(
     lambda t: lookups.feed_agreement(t("pages").select("page_id", urls.host(C("url")).alias("host")), "page_id", "host", (lambda h: h.filter(C("html").contains("$$$")).select("host", F.lit("a").alias("feed")).unionByName(h.filter(C("html").contains("<form")).select("host", F.lit("b").alias("feed"))).unionByName(h.filter(C("host").startswith("spam")).select("host", F.lit("c").alias("feed"))))(t("pages").select(urls.host(C("url")).alias("host"), "html")), 3).withColumn("named", F.array_join("named", ",")))
 
-query("a01_by_verdict", "SELECT event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-02' GROUP BY event_type")(lambda t: t("events").filter("ts >= timestamp_ntz '2024-01-02'").groupBy("event_type").agg(F.count(F.lit(1)).alias("n")))
-query("a02_top_spoofed", "SELECT user_id, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY user_id ORDER BY n DESC, user_id LIMIT 10")(lambda t: t("events").filter("event_type = 'error'").groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "user_id").limit(10))
+query("a01_by_verdict", "SELECT event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-02' GROUP BY event_type")(
+    lambda t: boards.counts_since(t("events"), "event_type", "ts", F.expr("timestamp_ntz '2024-01-02'")))
+query("a02_top_spoofed", "SELECT user_id, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY user_id ORDER BY n DESC, user_id LIMIT 10")(
+    lambda t: boards.most_frequent(t("events").filter("event_type = 'error'"), "user_id", 10))
 query("a03_clusters", "SELECT props, count(*) AS n, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_seen, max(event_type) AS verdict, arg_min(user_id, (ts, user_id)) AS user_id FROM events GROUP BY props HAVING count(*) >= 2")(
     lambda t: rollups.clusters(t("events"), "props", "ts", "event_type", "user_id").select("props", "n", F.date_format("first_seen", "yyyy-MM-dd HH:mm:ss").alias("first_seen"), "verdict", "user_id"))
-query("a04_mean_latency", "SELECT event_type, round(avg(value), 1) AS mean FROM events GROUP BY event_type")(lambda t: t("events").groupBy("event_type").agg(F.round(F.avg("value"), 1).alias("mean")))
+query("a04_mean_latency", "SELECT event_type, round(avg(value), 1) AS mean FROM events GROUP BY event_type")(
+    lambda t: boards.means(t("events"), "event_type", "value"))
 query("a05_corpus_counts", "SELECT 'documents' AS name, count(*) AS n FROM documents UNION ALL SELECT 'pages', count(*) FROM pages UNION ALL SELECT 'benchmark', count(*) FROM benchmark")(
-    lambda t: t("documents").agg(F.lit("documents").alias("name"), F.count(F.lit(1)).alias("n")).unionByName(t("pages").agg(F.lit("pages").alias("name"), F.count(F.lit(1)).alias("n"))).unionByName(t("benchmark").agg(F.lit("benchmark").alias("name"), F.count(F.lit(1)).alias("n"))))
-query("a07_ticker_counts", "SELECT t, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS t FROM part) GROUP BY t ORDER BY n DESC, t LIMIT 20")(lambda t: t("part").select(F.explode(F.split("p_name", " ")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "t").limit(20))
+    lambda t: rollups.table_counts({n: t(n) for n in ("documents", "pages", "benchmark")}))
+query("a07_ticker_counts", "SELECT t, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS t FROM part) GROUP BY t ORDER BY n DESC, t LIMIT 20")(
+    lambda t: boards.most_frequent(t("part").select(F.explode(F.split("p_name", " ")).alias("t")), "t", 20))
 query("a08_regulator_rollup", "WITH x AS (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 1000) SELECT event_type, user_id % 5 AS grp, count(*) AS n FROM x WHERE ts >= (SELECT max(ts) - INTERVAL 7 DAY FROM x) GROUP BY GROUPING SETS ((event_type), (user_id % 5), ())")(
-    lambda t: (lambda x: x.join(x.agg((F.max("ts") - F.expr("interval 7 days")).alias("since")), C("ts") >= C("since")).withColumn("grp", C("user_id") % 5).groupingSets([[C("event_type")], [C("grp")], []], C("event_type"), C("grp")).agg(F.count(F.lit(1)).alias("n")))(t("events").orderBy(F.desc("ts"), F.desc("event_id")).limit(1000)))
+    lambda t: boards.rollup_of_newest(t("events").select("ts", "event_id", C("event_type").alias("kind"), "user_id"), "ts", "event_id", 1000, 7, event_type=C("kind"), grp=C("user_id") % 5))
 query("a09_corpus_status", "SELECT event_type, count(*) AS n, strftime(max(ts), '%Y-%m-%d') AS as_of, max(ts) < (SELECT max(ts) FROM events) - INTERVAL 3 DAY AS stale FROM events GROUP BY event_type")(
-    lambda t: t("events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("m")).join(t("events").agg(F.max("ts").alias("last"))).select("event_type", "n", F.date_format("m", "yyyy-MM-dd").alias("as_of"), (C("m") < C("last") - F.expr("interval 3 days")).alias("stale")))
+    lambda t: boards.corpus_status(t("events"), "event_type", "ts", 3))
 query("a21_bursts", "WITH g AS (SELECT props, count(DISTINCT user_id) AS handles, epoch_us(max(ts)) - epoch_us(min(ts)) AS us FROM events GROUP BY props HAVING count(DISTINCT user_id) >= 3) SELECT props, handles, round(0.5 * least(1.0, (handles - 2) / 12.0) + 0.5 * CASE WHEN us / 6e7 <= 60 THEN 1.0 ELSE greatest(0.0, 1 - (us / 6e7 - 60) / 1440) END, 4) AS score FROM g")(
     lambda t: similar.bursts(t("events").withColumn("ts", C("ts").cast("timestamp")), "props", "user_id", "ts").select("props", "handles", "score"))
 query("a35_confusion", "WITH r AS (SELECT quality AS e, CASE WHEN contains(text, '$$$') OR contains(text, ' | ') THEN 0 ELSE 1 END AS g FROM labels JOIN documents USING (doc_id)), c(class) AS (VALUES (0), (1)) SELECT class, count(*) FILTER (e = class AND g = class) AS tp, count(*) FILTER (e <> class AND g = class) AS fp, count(*) FILTER (e = class AND g <> class) AS fn FROM r, c GROUP BY class")(
@@ -185,7 +190,8 @@ query("z58_prf", "WITH r AS (SELECT quality AS e, CASE WHEN contains(text, '$$$'
 query("a37_feature_mcc", "WITH r AS (SELECT quality = 0 AS y, contains(text, '$$$') AS x FROM labels JOIN documents USING (doc_id)), k AS (SELECT count(*) FILTER (x AND y)::DOUBLE AS tp, count(*) FILTER (x AND NOT y)::DOUBLE AS fp, count(*) FILTER (NOT x AND y)::DOUBLE AS fn, count(*) FILTER (NOT x AND NOT y)::DOUBLE AS tn FROM r) SELECT round((tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 6) AS mcc FROM k")(
     lambda t: t("labels").join(t("documents"), "doc_id").select((C("quality") == 0).alias("y"), C("text").contains("$$$").alias("x")).agg(F.count_if(C("x") & C("y")).alias("tp"), F.count_if(C("x") & ~C("y")).alias("fp"), F.count_if(~C("x") & C("y")).alias("fn"), F.count_if(~C("x") & ~C("y")).alias("tn")).select(F.round(scoring.mcc(C("tp"), C("fp"), C("fn"), C("tn")), 6).alias("mcc")))
 query("a39_field_vote", "WITH v AS (SELECT user_id, event_type, count(*) AS votes FROM events GROUP BY ALL), k AS (SELECT *, sum(votes) OVER (PARTITION BY user_id) AS all_votes, row_number() OVER (PARTITION BY user_id ORDER BY votes DESC, event_type) AS k FROM v) SELECT user_id, event_type AS value, votes, all_votes::BIGINT AS all_votes, 2 * votes > all_votes AS agreed FROM k WHERE k = 1")(lambda t: rollups.vote(t("events"), "user_id", "event_type"))
-query("a41_worst_segment", "SELECT user_id, max(value) AS value, arg_max(event_id, (value, event_id)) AS event_id FROM events GROUP BY user_id")(lambda t: t("events").groupBy("user_id").agg(F.max("value").alias("value"), F.max_by("event_id", F.struct("value", "event_id")).alias("event_id")))
+query("a41_worst_segment", "SELECT user_id, max(value) AS value, arg_max(event_id, (value, event_id)) AS event_id FROM events GROUP BY user_id")(
+    lambda t: boards.greatest_of(t("events"), "user_id", C("value"), C("event_id"), "event_id"))
 
 _BARS = "SELECT l_partkey AS ticker, l_shipdate::DATE AS day, round(sum(l_extendedprice) / sum(l_quantity), 4) AS close, sum(l_quantity)::BIGINT AS volume FROM lineitem GROUP BY ALL"
 query("w01_market", f"""WITH b AS ({_BARS}), r AS (SELECT *, close / lag(close) OVER (PARTITION BY ticker ORDER BY day) - 1 AS ret FROM b), e AS (SELECT ticker, max(day) AS ed FROM b GROUP BY ticker),
@@ -204,13 +210,14 @@ query("w07_rank_candidates", "SELECT l_orderkey, l_partkey FROM (SELECT l_orderk
 query("w09_stride", "WITH n AS (SELECT count(*) AS n FROM customer), r AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS i FROM customer) SELECT c_custkey FROM r, n WHERE i = 0 OR floor(i / greatest(n / 50.0, 1.0)) <> floor((i - 1) / greatest(n / 50.0, 1.0))")(
     lambda t: series.stride(t("customer"), "c_custkey", 50).select("c_custkey"))
 query("w10_percentiles", "SELECT event_type, round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.95), 4) AS p95 FROM events GROUP BY event_type")(
-    lambda t: t("events").groupBy("event_type").agg(F.round(F.percentile("value", F.lit(0.5)), 4).alias("p50"), F.round(F.percentile("value", F.lit(0.95)), 4).alias("p95")))
+    lambda t: boards.percentiles(t("events"), "event_type", "value", p50=0.5, p95=0.95))
 query("p02_rate", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 3600 SECOND PRECEDING AND CURRENT ROW) AS hits FROM events")(
     lambda t: series.rate(t("events").withColumn("ts", C("ts").cast("timestamp")), "user_id", "ts", 3600).select("event_id", "hits"))
-query("t01_page_of_messages", "SELECT event_id, user_id FROM events ORDER BY event_id DESC LIMIT 50 OFFSET 10")(lambda t: t("events").select("event_id", "user_id").orderBy(F.desc("event_id")).limit(60).orderBy("event_id").limit(50))
+query("t01_page_of_messages", "SELECT event_id, user_id FROM events ORDER BY event_id DESC LIMIT 50 OFFSET 10")(
+    lambda t: boards.page(t("events").select("event_id", "user_id"), [F.desc("event_id")], 50, 10))
 query("t04_dedupe_by_url", "SELECT url, min(page_id) AS page_id FROM pages GROUP BY url")(lambda t: rollups.latest(t("pages"), ["url"], [C("page_id")]).select("url", "page_id"))
-query("t05_reason_sort", "SELECT user_id, array_to_string(list(event_id ORDER BY value DESC, event_id), ',') AS out FROM events GROUP BY user_id")(
-    lambda t: t("events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct((-C("value")).alias("v"), "event_id"))).alias("m")).select("user_id", F.array_join(F.transform("m", lambda m: m["event_id"].cast("string")), ",").alias("out")))
+query("t05_reason_sort", "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id)::INT AS place FROM events")(
+    lambda t: boards.in_order(t("events"), "user_id", F.desc("value"), C("event_id")).select("user_id", "event_id", "place"))
 query("k03_insert_new", "SELECT c_custkey, c_name FROM customer WHERE c_custkey % 2 = 0 UNION SELECT c_custkey, c_name FROM customer WHERE c_custkey % 3 = 0")(
     lambda t: rollups.insert_new(t("customer").filter("c_custkey % 2 = 0").select("c_custkey", "c_name"), t("customer").filter("c_custkey % 3 = 0").select("c_custkey", "c_name"), "c_name"))
 query("k05_update", "SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'X' ELSE c_mktsegment END AS c_mktsegment FROM customer")(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veriloom.functions import checks, entities, text, urls
+from veriloom.operators import boards
 from veriloom.plans.base import query
 
 C = F.col
@@ -55,7 +56,7 @@ _HEX = {k: "".join(f"\\x{x ^ v:02X}" for x in _KEY) for k, v in (("inner", 0x36)
 query("n17_keyed_digest", f"SELECT c_custkey, substr(sha256('{_HEX['outer']}'::BLOB || unhex(sha256('{_HEX['inner']}'::BLOB || encode(c_name)))), 1, 32) AS out FROM customer")(
     lambda t: t("customer").select("c_custkey", text.keyed_digest(C("c_name"), b"salt-of-tests").alias("out")))
 query("n18_tiers", "SELECT c_custkey, c_mktsegment, sha256(c_name) AS name_anchor FROM customer")(
-    lambda t: t("customer").select("c_custkey", "c_mktsegment", F.sha2("c_name", 256).alias("name_anchor")))
+    lambda t: boards.tiers(t("customer"), ["c_custkey", "c_mktsegment"], ["c_name"]).withColumnRenamed("c_name_anchor", "name_anchor"))
 query("n19_fnv1a", "SELECT p_partkey, lpad(lower(printf('%x', list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(p_name, ''), lambda x: ascii(x)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296))), 8, '0') AS out FROM part")(
     lambda t: t("part").select("p_partkey", text.fnv1a(C("p_name")).alias("out")))
 query("n20_campaign_id", "SELECT user_id, 'cmp_' || substr(sha256(array_to_string(list_sort(list(DISTINCT 'type:' || event_type)), '|')), 1, 16) AS out FROM events GROUP BY user_id")(
@@ -83,7 +84,7 @@ query("u09_licensed_namespace", r"SELECT n_nationkey, CASE n_nationkey % 3 WHEN
     lambda t: t("nation").select("n_nationkey", urls.licensed_namespace(F.concat(F.lit("www."), F.lower("n_name"), F.when(C("n_nationkey") % 3 == 0, ".bank.in").when(C("n_nationkey") % 3 == 1, ".fin.in").otherwise(".example.in"))).alias("x")).select("n_nationkey", "x.suffix", "x.domain"))
 pages("u10_heuristic_domain", urls.heuristic_domain, tail_sql(rf"regexp_replace({HOST}, '^www\.', '')", 2))
 query("u11_find_urls", r"SELECT page_id, array_to_string(list_distinct(regexp_extract_all(html, 'https?://[a-z0-9.-]+')), ' ') <> '' AS has, len(regexp_extract_all(html, 'https?://[^\s<>\x22'')\]]+'))::INT AS n FROM pages")(
-    lambda t: t("pages").select("page_id", (F.size(F.regexp_extract_all("html", F.lit("https?://[a-z0-9.-]+"), F.lit(0))) > 0).alias("has"), F.size(F.regexp_extract_all("html", F.lit(r"https?://[^\s<>\"')\]]+"), F.lit(0))).alias("n")))
+    lambda t: t("pages").select("page_id", (F.size(urls.stated(C("html"), "[a-z0-9.-]+")) > 0).alias("has"), F.size(urls.stated(C("html"))).alias("n")))
 query("u12_parts", rf"""SELECT page_id, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) AS scheme, {HOST} AS host, regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '\?([^#]*)', 1) AS query, regexp_extract(url, '#(.*)$', 1) AS fragment, contains({HOST}, 'xn--') AS punycode FROM pages""")(
     lambda t: t("pages").select("page_id", urls.parts(C("url")).alias("p")).select("page_id", "p.scheme", "p.host", "p.path", "p.query", "p.fragment", "p.punycode"))
 query("u13_numeric_ipv4", r"SELECT c_custkey, array_to_string([(n >> 24) & 255, (n >> 16) & 255, (n >> 8) & 255, n & 255], '.') AS ip, ((n >> 24) & 255) IN (0, 10, 127) OR ((n >> 16) IN (49320, 43518)) OR ((n >> 20) = 2753) AS private FROM (SELECT c_custkey, 100000000 + c_custkey * 2654435 % 4000000000 AS n FROM customer)")(
