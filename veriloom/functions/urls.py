@@ -232,6 +232,12 @@ def status_url(url: Column) -> Column:
     return F.when(sound, F.struct(F.lower(F.regexp_extract(url, pattern, 1)).alias("handle"), at.alias("at")))
 
 
+def qr_kind(value: Column) -> Column:
+    """What a code's value is: payment (an address to pay to), link, or text."""
+    kind = parts(value)["kind"]
+    return F.when(kind == "payment", "payment").when(kind == "web", "link").otherwise("text")
+
+
 def redirect_chain(hops: Column) -> Column:
     """Number of hops, whether one leaves https, and whether the site changes, of an array of URLs."""
     steps = F.zip_with(hops, F.slice(hops, 2, F.size(hops)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))

@@ -25,8 +25,11 @@ query("x23_page_links", r"SELECT page_id, len(regexp_extract_all(html, '<a[\s>]'
 query("x24_dom_depth")(lambda t: t("pages").select("page_id", markup.page(C("html")).alias("p")).select("page_id", "p.depth", F.length("p.text").alias("chars")))
 query("s18_plain_text", r"SELECT page_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>', ' ', 'g'), '(?is)<style\b[^>]*>.*?</style\s*>', ' ', 'g'), '(?i)<(?:br|/p|/div|/tr|/li|/h[1-6])\b[^>]*>', chr(10), 'g'), '(?s)<[^>]*>', ' ', 'g'), '[ \t]+', ' ', 'g'))) AS out FROM pages")(
     lambda t: t("pages").select("page_id", F.sha2(markup.plain_text(C("html")), 256).alias("out")))
-query("s14_kind_of", "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'PDF' WHEN 1 THEN 'EMAIL' WHEN 2 THEN 'URL' ELSE 'TEXT' END AS out FROM customer")(
-    lambda t: t("customer").select("c_custkey", markup.kind_of(F.encode(F.element_at(F.array(*map(F.lit, ("%PDF-1.7 x", "From: a@b.example\nSubject: x", "https://a.example/x", "hello"))), (C("c_custkey") % 4 + 1).cast("int")), "UTF-8"), F.lit(None).cast("string")).alias("out")))
+query("s14_kind_of", r"""SELECT 'd' || doc_id AS id, CASE WHEN regexp_matches(left(text, 500), '(?im)^(from|received|return-path|message-id):') THEN 'EMAIL' WHEN regexp_matches(trim(left(text, 512)), '^https?://\S+$') THEN 'URL' ELSE 'TEXT' END AS out FROM documents UNION ALL SELECT 'u' || page_id, CASE WHEN page_id % 5 = 0 THEN 'PDF' ELSE 'URL' END FROM pages UNION ALL SELECT 'm' || page_id, 'EMAIL' FROM pages""")(
+    lambda t: t("documents").select(F.concat(F.lit("d"), C("doc_id").cast("string")).alias("id"), F.encode("text", "UTF-8").alias("data"), F.lit(None).cast("string").alias("name"))
+    .unionByName(t("pages").select(F.concat(F.lit("u"), C("page_id").cast("string")).alias("id"), F.encode("url", "UTF-8").alias("data"), F.when(C("page_id") % 5 == 0, "Paper.PDF").alias("name")))
+    .unionByName(t("pages").select(F.concat(F.lit("m"), C("page_id").cast("string")).alias("id"), F.encode(F.concat(F.lit("Subject: x\nFrom: a@"), urls.host(C("url")), F.lit("\n\n"), C("html")), "UTF-8").alias("data"), F.lit(None).cast("string").alias("name")))
+    .select("id", markup.kind_of(C("data"), C("name")).alias("out")))
 query("s16_message", "SELECT c_custkey, 'Re: ' || c_name AS subject, lower('u' || c_custkey || '@mail.example') AS from_address, 'hello ' || c_mktsegment AS text FROM customer")(
     lambda t: t("customer").select("c_custkey", markup.message(F.encode(F.concat(F.lit("From: Someone <U"), C("c_custkey").cast("string"), F.lit("@mail.example>\nSubject: Re: "), "c_name", F.lit("\nContent-Type: text/plain\n\nhello "), "c_mktsegment"), "UTF-8")).alias("m")).select("c_custkey", "m.subject", "m.from_address", "m.text"))
 query("s17_authentication", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'pass' ELSE 'fail' END AS spf, 'pass' AS dkim, 'seg' || c_nationkey || '.example' AS signer FROM customer")(
@@ -50,8 +53,9 @@ query("z62_source_selection", "SELECT o_orderkey FROM orders WHERE o_orderstatus
     lambda t: boards.newest_of(t("orders"), "o_orderstatus = 'P'", "o_orderdate", "o_orderkey", 6).select("o_orderkey"))
 query("z02_conversation_counts", "SELECT conv_id, sum(len(string_split(text, chr(10))))::BIGINT AS lines, sum(len(regexp_extract_all(text, '[0-9]+')))::BIGINT AS numbers, count(*) AS turns FROM conversations GROUP BY conv_id")(
     lambda t: boards.conversation_counts(t("conversations"), "conv_id", "text"))
-query("z03_qr_value", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'payment' WHEN page_id % 3 = 1 THEN 'link' ELSE 'text' END AS out FROM pages")(
-    lambda t: t("pages").select("page_id", F.when(C("page_id") % 3 == 0, F.concat(F.lit("upi://pay?pa="), C("page_id").cast("string"))).when(C("page_id") % 3 == 1, C("url")).otherwise("hello").alias("v")).select("page_id", F.when(urls.parts(C("v"))["kind"] == "payment", "payment").when(urls.parts(C("v"))["kind"] == "web", "link").otherwise("text").alias("out")))
+query("z03_qr_value", r"""WITH v AS (SELECT page_id, unnest(list_concat([url, 'upi://pay?pa=' || page_id || '@bank'], regexp_extract_all(html, '>([^<>]{3,40})<', 1))) AS v FROM pages)
+SELECT page_id, CASE WHEN starts_with(v, 'upi:') THEN 'payment' WHEN regexp_matches(v, '^https?:') THEN 'link' ELSE 'text' END AS kind, count(*) AS n FROM v GROUP BY ALL""")(
+    lambda t: t("pages").select("page_id", F.explode(F.concat(F.array(C("url"), F.concat(F.lit("upi://pay?pa="), C("page_id").cast("string"), F.lit("@bank"))), F.regexp_extract_all("html", F.lit(">([^<>]{3,40})<"), F.lit(1)))).alias("v")).groupBy("page_id", urls.qr_kind(C("v")).alias("kind")).agg(F.count(F.lit(1)).alias("n")))
 query("z10_sensitive_fields", "SELECT p_partkey, (p_partkey % 3 < 2)::INT AS n FROM part")(
     lambda t: t("part").select("p_partkey", boards.sensitive_fields(F.array(F.lit("city"), F.element_at(F.array(*map(F.lit, ("otp", "card_pin", "name"))), (C("p_partkey") % 3 + 1).cast("int")))).alias("n")))
 query("z17_selector_health", "SELECT user_id, CASE WHEN avg((event_type = 'click')::INT) >= 0.8 THEN 'HEALTHY' WHEN avg((event_type = 'click')::INT) >= 0.4 THEN 'DEGRADED' ELSE 'BLIND' END AS out FROM events GROUP BY user_id")(

@@ -93,8 +93,9 @@ query("a10_table_counts", "SELECT 'documents' AS name, count(*) AS n FROM docume
     lambda t: rollups.table_counts({k: t(k) for k in ("documents", "pages", "events")}))
 query("a42_best_ticker", "WITH b AS (SELECT o_custkey, o_orderkey, greatest(abs(o_totalprice / 1000 - 100), 0) AS z FROM orders) SELECT o_custkey, arg_max(o_orderkey, (z, -o_orderkey)) AS o_orderkey FROM b GROUP BY o_custkey")(
     lambda t: boards.greatest_of(t("orders"), "o_custkey", F.abs(C("o_totalprice") / 1000 - 100), -C("o_orderkey"), "o_orderkey").select("o_custkey", "o_orderkey"))
-query("u14_private_address", "SELECT c_custkey, c_custkey % 5 < 4 AS out FROM customer")(
-    lambda t: t("customer").select("c_custkey", urls.private_ipv4(F.concat(F.element_at(F.array(*map(F.lit, ("10.1.2.", "172.20.0.", "192.168.9.", "127.0.0.", "8.8.4."))), (C("c_custkey") % 5 + 1).cast("int")), (C("c_custkey") % 250).cast("string"))).alias("out")))
+query("u14_private_address", r"""WITH i AS (SELECT doc_id, unnest(list_concat(regexp_extract_all(text, '[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}'), [doc_id % 256 || '.' || doc_id * 7 % 256 || '.1.2', '172.' || doc_id % 40 || '.0.1', '192.' || (160 + doc_id % 16) || '.3.4'])) AS ip FROM documents), o AS (SELECT doc_id, ip, string_split(ip, '.')[1]::INT AS a, string_split(ip, '.')[2]::INT AS b FROM i)
+SELECT doc_id, ip, a IN (0, 10, 127) OR (a = 192 AND b = 168) OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) AS out FROM o""")(
+    lambda t: t("documents").select("doc_id", F.explode(F.concat(F.coalesce(F.regexp_extract_all("text", F.lit(r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"), F.lit(0)), F.array()), F.array(F.format_string("%d.%d.1.2", C("doc_id") % 256, C("doc_id") * 7 % 256), F.format_string("172.%d.0.1", C("doc_id") % 40), F.format_string("192.%d.3.4", 160 + C("doc_id") % 16)))).alias("ip")).select("doc_id", "ip", urls.private_ipv4(C("ip")).alias("out")))
 query("u15_punycode", "SELECT c_custkey, ['bücher', '中国', 'xn--a b', 'münchen-ost', 'plain'][(c_custkey % 5 + 1)::INT] || '.example' AS out FROM customer")(
     lambda t: t("customer").select("c_custkey", urls.unicode_host(F.concat(F.element_at(F.array(*map(F.lit, ("xn--bcher-kva", "xn--fiqs8s", "xn--a b", "xn--mnchen-ost-9db", "plain"))), (C("c_custkey") % 5 + 1).cast("int")), F.lit(".example"))).alias("out")))
 query("u04_registrable_parts", rf"WITH h AS (SELECT page_id, {HOST} AS h FROM pages) SELECT page_id, regexp_extract(h, '([^.]+\.[^.]+)$', 1) AS domain, regexp_extract(h, '([^.]+)$', 1) AS suffix, regexp_extract(h, '([^.]+)\.[^.]+$', 1) AS sld, regexp_extract(h, '^(.*)\.[^.]+\.[^.]+$', 1) AS subdomains FROM h")(
@@ -125,8 +126,8 @@ query("t08_top_clusters", "SELECT props, count(DISTINCT user_id) AS users FROM e
     lambda t: insights.top_clusters(t("events").groupBy("props").agg(F.count_distinct("user_id").alias("users")), "users", "props"))
 query("z69_contract_status", "SELECT count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS good, count(*) = count(*) FILTER (o_orderstatus = 'F') AS all_good FROM orders")(
     lambda t: insights.all_hold(t("orders"), "o_orderstatus", "F"))
-query("x11_is_handle", "SELECT c_custkey, c_custkey % 3 = 0 AS out FROM customer")(
-    lambda t: t("customer").select("c_custkey", (F.size(entities.handles(F.concat(F.lit("ab"), C("c_custkey").cast("string"), F.element_at(F.array(*map(F.lit, ("@okbank", "@gmail.com", "@gmail"))), (C("c_custkey") % 3 + 1).cast("int"))))) > 0).alias("out")))
+query("x11_is_handle", r"""WITH w AS (SELECT conv_id, turn, text || ' pay ab' || conv_id || CASE turn % 3 WHEN 0 THEN '@okbank' WHEN 1 THEN '@mail.example.com' ELSE ' @x' END AS t FROM conversations) SELECT conv_id, turn, regexp_matches(regexp_replace(t, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}', '', 'g'), '\b[a-zA-Z0-9._-]{2,}@[a-zA-Z]{2,}\b') AS out FROM w""")(
+    lambda t: t("conversations").select("conv_id", "turn", (F.size(entities.handles(F.concat(C("text"), F.lit(" pay ab"), C("conv_id").cast("string"), F.when(C("turn") % 3 == 0, "@okbank").when(C("turn") % 3 == 1, "@mail.example.com").otherwise(" @x")))) > 0).alias("out")))
 query("x17_registration_shapes", "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'INZ' || lpad(o_custkey::VARCHAR, 9, '0') WHEN 1 THEN 'ARN-' || (10000 + o_custkey) ELSE 'IN-DP-12-3456' END AS out FROM orders")(
     lambda t: t("orders").select("o_orderkey", F.array_join(entities.registration_shapes(F.concat(F.lit("regd. "), F.when(C("o_orderkey") % 3 == 0, F.concat(F.lit("INZ"), F.lpad(C("o_custkey").cast("string"), 9, "0"))).when(C("o_orderkey") % 3 == 1, F.concat(F.lit("arn-"), (10000 + C("o_custkey")).cast("string"))).otherwise("in-dp-12-3456"), F.lit(" with us"))), ",").alias("out")))
 query("x20_references", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'SEBI/HO/' || o_custkey || ',' ELSE '' END || '12/2024' AS out FROM orders")(
