@@ -185,6 +185,15 @@ def test_a_chain_of_twelve_thousand(spark):
     assert all(got[1, f"c{i}"] == i for i in range(12_000)) and all(got[2, f"r{i}"] == -1 for i in range(500))
 
 
+def test_ladders_and_diamonds(spark):
+    rows = [(1, f"c{i}", [f"c{j}" for j in (i - 2, i - 1) if j >= 0]) for i in range(4000)]
+    rows += [(2, f"{x}{i}", [f"m{i - 1}"] if i else []) for i in range(300) for x in "ab"] + [(2, f"m{i}", [f"a{i}", f"b{i}", "m0"] if i else ["a0", "b0"]) for i in range(300)]
+    rows += [(3, "x", ["y", "leaf"]), (3, "y", ["x", "leaf"]), (3, "leaf", []), (3, "z", ["leaf", "x"])]
+    got = {(r["conv_id"], r["id"]): r["level"] for r in call_levels(spark.createDataFrame(rows, "conv_id long, id string, after array<string>")).collect()}
+    assert all(got[1, f"c{i}"] == i for i in range(4000)) and all(got[2, f"m{i}"] == 2 * i + 1 for i in range(300))
+    assert [got[3, k] for k in ("x", "y", "z", "leaf")] == [-1, -1, -1, 0]
+
+
 def test_odd_calls(spark):
     long = json.dumps({"prompt": "x" * 300_000, "turn": 1})
     rows = [(1, 0, [("a", "reply", long, ["a"])], None, None), (1, 1, [], "a", "y" * 300_000), (1, 1, [], "a", "y" * 300_000), (2, None, [("b", None, None, [None])], None, None), (3, 0, None, None, None)]

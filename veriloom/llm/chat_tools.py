@@ -17,6 +17,8 @@ from veriloom.llm.common import save, table
 
 #: Schemas are rows: name of the tool, and its fields with type and whether they are required.
 SCHEMA = "name string, fields array<struct<field string, type string, required boolean>>"
+#: The level of what runs into a circle, above all others.
+ENDLESS = 1 << 40
 TYPES = {"string": "STRING", "integer": "BIGINT", "boolean": "BOOLEAN", "number": "BIGINT|DOUBLE|FLOAT|DECIMAL.*", "object": "OBJECT.*", "array": "ARRAY.*"}
 
 
@@ -42,48 +44,45 @@ def argument_errors(arguments: Column, fields: Column) -> Column:
     return F.when(fields.isNull(), F.array(F.lit("no_schema"))).when(parsed.isNull(), F.array(F.lit("not_an_object"))).otherwise(found)
 
 
+def _followed(own: DataFrame, chosen: DataFrame) -> DataFrame:
+    """conv_id, id and level of calls that each follow one chosen need (conv_id, id, to): the number of steps to a call
+    that follows none, ENDLESS for what runs into a circle. Every pointer goes twice as far in each round."""
+    jump = own.join(chosen, ["conv_id", "id"], "left").select("conv_id", "id", F.coalesce("to", "id").alias("to"), F.col("to").isNotNull().cast("long").alias("steps"))
+    jump = save(jump, "chat-jumps")
+    ends = save(jump.filter("steps = 0").select("conv_id", F.col("id").alias("to")), "chat-ends")
+    size, count = 1, chosen.count()
+    while size < count:  # no chain is longer than there are calls in it
+        there = jump.select("conv_id", F.col("id").alias("to"), F.col("to").alias("far"), F.col("steps").alias("more"))
+        further = save(jump.join(there, ["conv_id", "to"]).select("conv_id", "id", F.col("far").alias("to"), (F.col("steps") + F.col("more")).alias("steps"), (F.col("far") != F.col("to")).alias("moved")), "chat-jumps")
+        jump, size = further.drop("moved"), 2 * size
+        if further.filter("moved").isEmpty():
+            break
+    done = jump.join(ends.withColumn("ended", F.lit(True)), ["conv_id", "to"], "left")
+    return done.select("conv_id", "id", F.when(F.col("ended"), F.col("steps")).otherwise(F.lit(ENDLESS)).alias("level"))
+
+
 def call_levels(calls: DataFrame) -> DataFrame:
     """conv_id, id and level of calls with conv_id, id and after (ids), each id once in a conversation.
 
     Level 0 needs nothing that is there; other calls are one above the highest that they need. Calls in a circle, and
     what needs them, have level -1. Needs that name no call of the conversation don't count.
+
+    Every call follows one of its needs, and levels are the lengths of these chains. Calls with a need of a higher level
+    than the one that they follow follow that one instead, until there are none: then every level is one above the
+    highest. A ladder whose rungs need the two below takes three such turns, whatever its height.
     """
     own = calls.select("conv_id", "id")
     named = calls.select("conv_id", "id", F.explode(F.array_distinct("after")).alias("need")).filter("need is not null")
     edges = save(named.join(own.withColumnRenamed("id", "need"), ["conv_id", "need"], "left_semi").select("conv_id", "id", "need"), "chat-needs")
-    degree = edges.groupBy("conv_id", "id").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("need"))
-    # every call points to what stands so many steps before it, until that is a call that needs none or several
-    kinds = own.join(degree, ["conv_id", "id"], "left").select("conv_id", "id", F.coalesce("n", F.lit(0)).alias("n"), "need")
-    jump = save(kinds.select("conv_id", "id", "n", F.when(F.col("n") == 1, F.col("need")).otherwise(F.col("id")).alias("to"), F.when(F.col("n") == 1, 1).otherwise(0).cast("long").alias("steps")), "chat-jumps")
-    size = 1
-    count = jump.filter("n = 1").count()
-    while size < count:  # no chain is longer than there are calls in it
-        there = jump.select("conv_id", F.col("id").alias("to"), F.col("to").alias("to2"), F.col("steps").alias("more"))
-        further = save(jump.join(there, ["conv_id", "to"]).select("conv_id", "id", "n", F.col("to2").alias("to"), (F.col("steps") + F.col("more")).alias("steps"), (F.col("to2") != F.col("to")).alias("moved")), "chat-jumps")
-        jump, size = further.drop("moved"), 2 * size
-        if further.filter("moved").isEmpty():
-            break
-    # pointers that still stand on a call that needs one other are in a circle, or lead into one
-    ends = jump.select("conv_id", F.col("id").alias("to"), F.col("n").alias("kind"))
-    jump = save(jump.join(ends, ["conv_id", "to"]).filter("kind <> 1").select("conv_id", "id", "n", "to", "steps"), "chat-jumps")
-    done = jump.filter("n = 0").select("conv_id", "id", F.lit(0).cast("long").alias("level"))
-    waits = jump.filter("n > 1").select("conv_id", "id")
-    if not waits.isEmpty():
-        # needs of what needs several, each as a call that needs none or several and the steps from there
-        far = jump.select("conv_id", F.col("id").alias("need"), "to", "steps")
-        left = save(edges.join(waits, ["conv_id", "id"]).join(far, ["conv_id", "need"], "left").select("conv_id", "id", "to", (F.col("steps") + 1).alias("steps")), "chat-left")
-        done = save(done, "chat-levels")
-        while True:
-            open_ = left.join(done.select("conv_id", F.col("id").alias("to"), "level"), ["conv_id", "to"], "left")
-            free = open_.groupBy("conv_id", "id").agg(F.count(F.lit(1)).alias("all"), F.count("level").alias("known"), F.max(F.col("level") + F.col("steps")).alias("level")).filter("all = known").select("conv_id", "id", "level")
-            free = save(free, "chat-free")
-            if free.isEmpty():
-                break
-            done = save(done.unionByName(free), "chat-levels")
-            left = save(left.join(free, ["conv_id", "id"], "left_anti"), "chat-left")
-    roots = done.select("conv_id", F.col("id").alias("to"), F.col("level").alias("base"))
-    known = jump.join(roots, ["conv_id", "to"]).select("conv_id", "id", (F.col("base") + F.col("steps")).alias("level"))
-    return own.join(known, ["conv_id", "id"], "left").select("conv_id", "id", F.coalesce("level", F.lit(-1)).alias("level"))
+    chosen = save(edges.groupBy("conv_id", "id").agg(F.min("need").alias("to")), "chat-chosen")
+    while True:
+        levels = save(_followed(own, chosen), "chat-levels")
+        highest = edges.join(levels.select("conv_id", F.col("id").alias("need"), "level"), ["conv_id", "need"]).groupBy("conv_id", "id").agg(F.max(F.struct("level", "need")).alias("x"))
+        better = highest.join(levels, ["conv_id", "id"]).filter("x.level + 1 > level and level < " + str(ENDLESS)).select("conv_id", "id", F.col("x.need").alias("better"))
+        better = save(better, "chat-better")
+        if better.isEmpty():
+            return levels.select("conv_id", "id", F.when(F.col("level") == ENDLESS, -1).otherwise(F.col("level")).cast("long").alias("level"))
+        chosen = save(chosen.join(better, ["conv_id", "id"], "left").select("conv_id", "id", F.coalesce("better", "to").alias("to")), "chat-chosen")
 
 
 def link_calls(messages: DataFrame, schemas: DataFrame) -> DataFrame:
