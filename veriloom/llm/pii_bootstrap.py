@@ -35,6 +35,8 @@ TOKEN = rf"(?<![^{BLANK}])[^{BLANK}0-9@]*+[0-9@][^{BLANK}]*+"
 WORD = rf"[^{BLANK}]+"
 #: Characters around a span in which the words of its patterns are looked for.
 LEFT, RIGHT = 64, 40
+#: Characters of a piece of a text.
+PIECE = 1024
 
 
 def _barrier(df: DataFrame, **columns: Column) -> DataFrame:
@@ -43,22 +45,27 @@ def _barrier(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", made).select(*df.columns, "_made.*")
 
 
-def _starts(steps: Column, chunk: int = 256) -> Column:
-    """Running sums of an array of whole numbers, the first being 0 and the last sum left out; in two levels, so that
-    long arrays don't cost their square."""
-    size = F.size(steps)
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((size - 1) / chunk).cast("int")), lambda c: F.slice(steps, c * chunk + 1, chunk))
-    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+def _scan(xs: Column, combine, zero: int, chunk: int = 256) -> Column:
+    """What all whole numbers before each one of an array combine to, the first being zero; in two levels, so that long
+    arrays don't cost their square."""
+    size = F.size(xs)
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((size - 1) / chunk).cast("int")), lambda c: F.slice(xs, c * chunk + 1, chunk))
+    total = lambda x: F.aggregate(x, F.lit(zero), combine)
 
-    def running(xs: Column, start: Column) -> Column:
+    def running(x: Column, start: Column) -> Column:
         first = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
-        step = lambda a, x: F.struct((a.at + x).alias("at"), F.array_append(a.out, a.at).alias("out"))
-        return F.aggregate(xs, first, step, lambda a: a.out)
+        step = lambda a, v: F.struct(combine(a.at, v).alias("at"), F.array_append(a.out, a.at).alias("out"))
+        return F.aggregate(x, first, step, lambda a: a.out)
 
-    bases = running(F.transform(chunks, total), F.lit(0))
+    bases = running(F.transform(chunks, total), F.lit(zero))
     return F.when(size > 0, F.flatten(F.zip_with(chunks, bases, running))).otherwise(F.array().cast("array<int>"))
 
 
+def _starts(steps: Column) -> Column:
+    """Running sums of an array of whole numbers, the first being 0 and the last sum left out."""
+    return _scan(steps, lambda a, x: a + x, 0)
+
+
 def _spans(gaps: Column, hits: Column) -> Column:
     """Start, end and value of matches, from the texts between them and their own; code points."""
     lengths = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.length(g) + F.length(h))
@@ -78,21 +85,37 @@ def _valid(kind: str, x: Column) -> Column:
     return F.length(_digits(x)).between(10, 15) if kind == "phone" else F.lit(True)
 
 
-def _context(text: Column, start: Column, end: Column) -> Column:
+def _context(pieces: Column, start: Column, end: Column) -> Column:
     """Patterns around a span: two words to the left; a word on either side. Digits count as 0.
 
-    Words are looked for in so many characters to either side; one that goes on beyond them (a run without blanks) is
-    no word of a pattern.
+    pieces is the text, cut into PIECE characters each, so that what is around a span isn't looked for from the text's
+    beginning. Words are looked for in so many characters to either side; one that goes on beyond them (a run without
+    blanks) is no word of a pattern.
     """
     words = lambda x: F.transform(F.regexp_extract_all(F.lower(x), F.lit(WORD), F.lit(0)), lambda w: F.regexp_replace(w, "[0-9]", "0"))
-    before = F.substring(text, F.greatest(start - LEFT, F.lit(0)) + 1, F.least(start, F.lit(LEFT)))
-    behind = F.substring(text, end + 1, F.lit(RIGHT))
+    piece = lambda i: F.coalesce(F.try_element_at(pieces, F.greatest(i, F.lit(0)).cast("int") + 1), F.lit(""))
+    at, to = F.floor(start / PIECE), F.floor(end / PIECE)
+    near = F.concat(F.when(at > 0, piece(at - 1)).otherwise(""), piece(at))
+    place = start - F.greatest(at - 1, F.lit(0)) * PIECE
+    before = F.substring(near, F.greatest(place - LEFT, F.lit(0)).cast("int") + 1, F.least(place, F.lit(LEFT)).cast("int"))
+    behind = F.substring(F.concat(piece(to), piece(to + 1)), (end - to * PIECE).cast("int") + 1, F.lit(RIGHT))
     left = words(F.when(start > LEFT, F.regexp_replace(before, f"^[^{BLANK}]+", "")).otherwise(before))
     right = words(F.when(F.length(behind) == RIGHT, F.regexp_replace(behind, f"[^{BLANK}]+$", "")).otherwise(behind))
     one, two, after = F.try_element_at(left, F.lit(-1)), F.try_element_at(left, F.lit(-2)), F.coalesce(F.try_element_at(right, F.lit(1)), F.lit(""))
     return F.array_compact(F.array(F.when(two.isNotNull(), F.concat_ws(" ", F.lit("L"), two, one)), F.when(one.isNotNull(), F.concat_ws(" ", F.lit("B"), one, after))))
 
 
+def _free(tokens: Column, spans: Column) -> Column:
+    """Tokens that overlap no span: in the order of where tokens end and spans start, no span so far reaches beyond the
+    token's start. Both are looked at once, however many there are."""
+    mark = lambda at, rank, end, token: F.struct(at.alias("at"), F.lit(rank).alias("rank"), end.alias("end"), token.alias("token"))
+    none = F.lit(None).cast("struct<start:int,end:int,value:string>")
+    events = F.array_sort(F.concat(F.transform(tokens, lambda s: mark(s.end, 0, s.end, s)), F.transform(spans, lambda s: mark(s.start, 1, s.end, none))))
+    reach = _scan(F.transform(events, lambda e: F.when(e["rank"] == 1, e.end).otherwise(-1)), lambda a, x: F.greatest(a, x), -1)
+    kept = F.filter(F.arrays_zip(events.alias("e"), reach.alias("r")), lambda z: (z.e["rank"] == 0) & (z.r <= z.e.token.start))
+    return F.when(F.size(spans) == 0, tokens).otherwise(F.transform(kept, lambda z: z.e.token))
+
+
 def base_table(docs: DataFrame) -> DataFrame:
     """doc_id, key (128 bits of hashes of the text), base and other spans of each row, with patterns around each."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -115,9 +138,8 @@ def base_table(docs: DataFrame) -> DataFrame:
     core = F.transform("token_spans", lambda s: F.struct((s.start + lead(s.value)).alias("start"), (s.start + F.length(s.value) - trail(s.value)).alias("end"), s.value.substr(lead(s.value) + 1, F.length(s.value) - lead(s.value) - trail(s.value)).alias("value")))
     likely = F.filter(core, lambda s: (F.length(F.translate(s.value, "0123456789", "")) + 4 <= F.length(s.value)) | F.contains(F.substring(s.value, F.lit(2), F.lit(1 << 30)), F.lit("@")))
     rows = _barrier(rows, base=F.array_sort(F.concat(*[tagged(k) for k in SEEDS])), likely=likely).select("doc_id", "key", "text", "base", "likely")
-    free = F.filter("likely", lambda s: ~F.exists("base", lambda b: (b.start < s.end) & (s.start < b.end)))
-    rows = _barrier(rows, other=free)
-    around = lambda s: _context(F.col("text"), s.start, s.end)
+    rows = _barrier(rows, other=_free(F.col("likely"), F.col("base")), pieces=F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0)))
+    around = lambda s: _context(F.col("pieces"), s.start, s.end)
     base = F.transform("base", lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), s["rank"].alias("rank"), s.kind.alias("kind"), s.value.alias("value"), around(s).alias("patterns")))
     other = F.transform("other", lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), F.lower(s.value).alias("value"), around(s).alias("patterns")))
     return rows.select("doc_id", "key", base.alias("base"), other.alias("other"))
