@@ -197,3 +197,15 @@ def structural_check(handles: DataFrame, key: str, rules: DataFrame) -> DataFram
     own = rules.select(F.lower(F.ltrim("pattern", F.lit("@"))).alias("_s"), "category").groupBy("_s").agg(F.min("category").alias("category"))
     rows = handles.select(key, F.lower(F.substring_index("handle", "@", -1)).alias("_h")).join(own, F.col("_h") == F.col("_s"), "left")
     return rows.select(key, F.coalesce("category", F.lit("UNKNOWN")).alias("category"), F.coalesce(F.col("category") == "VALID_INTERMEDIARY", F.lit(False)).alias("validated"), F.lit("local_structural_rules").alias("source"))
+
+
+def gateway_rows(verdicts: DataFrame, codes: int = 12) -> DataFrame:
+    """What is stored of verdicts that the gateway gave (message_id, verdict, confidence, codes, filing, from_addr, to_addr,
+    subject, content_hash, latency_ms): addresses and ids at the lengths of their columns, the first so many codes."""
+    cut = lambda c, n: F.left(F.coalesce(F.col(c), F.lit("")), F.lit(n)).alias(c)
+    return verdicts.select("content_hash", F.lit("EMAIL").alias("source_type"), F.lit("GATEWAY").alias("channel"), "verdict", "confidence", F.slice(F.coalesce("codes", F.array().cast("array<string>")), 1, codes).alias("codes"), F.col("filing").alias("matched_filing_id"), "latency_ms", cut("message_id", 998), cut("from_addr", 320), cut("to_addr", 998), "subject")
+
+
+def sources_of(directory: DataFrame, category: str | None = None) -> DataFrame:
+    """Official sources of a category; all of them without one."""
+    return directory if not category else directory.filter(F.col("category") == category)

@@ -6,10 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from veriloom.functions import entities, urls
-from veriloom.operators import lookups, messages, rules
+from veriloom.functions import entities, text, urls
+from veriloom.operators import features, lookups, messages, registers, rules
 from veriloom.plans.base import query
-from veriloom.plans.scalars import HOST, MATCHING
+from veriloom.plans.scalars import HOST
 from veriloom.sources import readers
 from veriloom.sources.shared import land, shared_dir
 
@@ -166,3 +166,11 @@ SELECT page_id, len(list_filter(items, lambda x: x.kind = 'image'))::INT AS n_im
     lambda t: t("pages").select("page_id", messages.media_summary(F.transform(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)), lambda h: F.struct(F.when(F.length(h) % 2 == 0, "qr").otherwise("image").alias("kind"), h.alias("value"))), 2, 4, 6).alias("m")).select("page_id", "m.n_images", "m.n_codes", F.array_join("m.images", " ").alias("images"), F.array_join("m.codes", " ").alias("codes")))
 query("z30_structural_check", "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'VALID_INTERMEDIARY' WHEN 1 THEN 'WALLET' ELSE 'UNKNOWN' END AS category, c_custkey % 3 = 0 AS validated, 'local_structural_rules' AS source FROM customer")(
     lambda t: messages.structural_check(t("customer").select("c_custkey", F.concat(F.lit("u"), C("c_custkey").cast("string"), F.lit("@"), F.when(C("c_custkey") % 3 == 0, "VALID").when(C("c_custkey") % 3 == 1, "pay").otherwise("none")).alias("handle")), "c_custkey", t("customer").select(F.when(C("c_custkey") % 2 == 0, "@valid").otherwise("@pay").alias("pattern"), F.when(C("c_custkey") % 2 == 0, "VALID_INTERMEDIARY").otherwise("WALLET").alias("category")).distinct()))
+query("k02_gateway_rows", """SELECT sha256(text) AS content_hash, 'EMAIL' AS source_type, 'GATEWAY' AS channel, CASE WHEN contains(text, '$$$') THEN 'FRAUDULENT' ELSE 'GENUINE' END AS verdict, doc_id % 101 AS confidence, array_to_string(list_transform(range(0, least(doc_id % 20, 12)), lambda i: 'C' || i), ',') AS codes, CASE WHEN doc_id % 3 = 0 THEN doc_id END AS matched_filing_id, doc_id % 400 AS latency_ms, left(repeat(doc_id || '-', 400), 998) AS message_id, left(coalesce(source, ''), 320) AS from_addr, '' AS to_addr, lang AS subject FROM documents""")(
+    lambda t: messages.gateway_rows(t("documents").select(F.sha2("text", 256).alias("content_hash"), F.when(C("text").contains("$$$"), "FRAUDULENT").otherwise("GENUINE").alias("verdict"), (C("doc_id") % 101).alias("confidence"), F.when(C("doc_id") % 20 > 0, F.transform(F.sequence(F.lit(0).cast("long"), C("doc_id") % 20 - 1), lambda i: F.concat(F.lit("C"), i.cast("string")))).alias("codes"), F.when(C("doc_id") % 3 == 0, C("doc_id")).alias("filing"), C("source").alias("from_addr"), F.lit(None).cast("string").alias("to_addr"), C("lang").alias("subject"), F.concat(C("doc_id").cast("string"), F.lit("-")).alias("m"), (C("doc_id") % 400).alias("latency_ms")).withColumn("message_id", F.repeat("m", F.lit(400)))).withColumn("codes", F.array_join("codes", ",")))
+query("z24_official_sources", "SELECT p_partkey, p_name FROM part WHERE p_type = 'ECONOMY'")(lambda t: messages.sources_of(t("part").withColumnRenamed("p_type", "category"), "ECONOMY").select("p_partkey", "p_name"))
+query("z14_contact_offline", "SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN 'unknown' WHEN s_suppkey % 4 = 1 THEN 'mismatch' ELSE 'match' END AS state FROM supplier")(
+    lambda t: (lambda phone: t("supplier").select("s_suppkey", registers.contact_state(F.concat(F.lit("+91 "), phone), F.when(C("s_suppkey") % 4 == 1, text.keyed_digest(F.lit("9000000000"), b"salt")).when(C("s_suppkey") % 4 > 1, text.keyed_digest(phone, b"salt")), b"salt", "phone").alias("state")))(F.concat(F.lit("98"), F.lpad(C("s_suppkey").cast("string"), 8, "1"))))
+_LABEL = "list_extract(string_split({0}, '.'), -2)"
+query("z15_url_features", rf"WITH h AS (SELECT page_id, regexp_replace({HOST}, '^www\.', '') AS h FROM pages) SELECT page_id, length(h)::DOUBLE AS host_len, len(string_split(h, '.'))::DOUBLE AS label_count, length(h) - length(replace(h, '-', ''))::DOUBLE AS hyphens, length(regexp_replace(h, '[^0-9]', '', 'g'))::DOUBLE AS digits, length({_LABEL.format('h')})::DOUBLE AS domain_len, contains(h, 'xn--')::DOUBLE AS has_punycode FROM h")(
+    lambda t: t("pages").select("page_id", *[v.cast("double").alias(k) for k, v in (features.host_group(urls.host(C("url"))) | {"has_punycode": F.contains(urls.host(C("url")), F.lit("xn--"))}).items() if k in ("host_len", "label_count", "hyphens", "digits", "domain_len", "has_punycode")]))
