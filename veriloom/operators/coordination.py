@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from veriloom.functions.urls import status_url
 from veriloom.operators.rollups import latest
 from veriloom.operators.scoring import fuse
-from veriloom.operators.similar import connected, similar_pairs
+from veriloom.operators.similar import HALF, connected, similar_pairs
+from veriloom.sources.shared import kept
 
 LEAST = 0.85
 #: Fewer accounts than this are no campaign.
@@ -132,8 +133,12 @@ class Campaigns:
     def add(self, rows: DataFrame, batch: int) -> None:
         """One batch: rows has post, handle, at, words, content (see posts) and base, the score of the post's other signals.
 
-        Posts that are known stay as they are; of several rows of a post in one batch the first in time counts.
+        Posts that are known stay as they are; of several rows of a post in one batch the first in time counts. The batch
+        is written first and read by the session that campaigns were made with: it is looked at several times.
         """
+        kind, path = rows.schema, f"{self.folder}/incoming/batch={batch}"
+        rows.write.mode("overwrite").parquet(path)
+        rows = self.spark.read.schema(kind).parquet(path)
         fresh = latest(rows, ["post"], [F.col("at"), F.col("handle"), F.col("content")]).join(self.stored("posts", batch).select("post"), "post", "left_anti")
         self._put(fresh.select("post", "content", "base"), "posts", batch)
         new_posts = self._new(rows, batch)
@@ -141,14 +146,20 @@ class Campaigns:
         contents = new_posts.groupBy("content").agg(F.any_value("words").alias("words")).join(old_vectors.select("content").distinct(), "content", "left_anti")
         order = Window.partitionBy("content").orderBy(F.desc("idf"), "token").rowsBetween(Window.unboundedPreceding, -1)
         w = weights(contents, self.idfs).join(self.idfs.filter("token is not null"), "token", "left").withColumn("idf", F.coalesce("idf", F.lit(float("inf"))))
-        # words behind a rare prefix can't make up the threshold alone
-        rare = F.coalesce(F.sum(F.col("weight") * F.col("weight")).over(order), F.lit(0.0)) <= 1 - self.least * self.least + 1e-9
+        # words behind a rare prefix can't make up the threshold alone; half of a vector, at least, is its prefix
+        rare = F.coalesce(F.sum(F.col("weight") * F.col("weight")).over(order), F.lit(0.0)) <= max(1 - self.least * self.least, 1 - HALF) + 1e-9
         vectors = self._put(w.select("content", "token", "weight", rare.alias("rare")), "vectors", batch)
         seen(new_posts, "content").transform(lambda d: self._put(d, "sightings", batch))
 
         every = old_vectors.drop("batch", "rare").unionByName(vectors.drop("rare"))
-        met = vectors.filter("rare").select(F.col("content").alias("a"), "token").join(every.select(F.col("content").alias("b"), "token"), "token").filter("a <> b").select("a", "b").distinct()
-        x, y = vectors.select(F.col("content").alias("a"), "token", F.col("weight").alias("wa")), every.select(F.col("content").alias("b"), "token", F.col("weight").alias("wb"))
+        often = every.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("token")
+        every = kept(every.join(often, "token", "left_semi"), "contents")  # words of one content only add to no link
+        rest = vectors.groupBy(F.col("content").alias("a")).agg(F.coalesce(F.sum(F.when(~F.col("rare"), F.col("weight") * F.col("weight"))), F.lit(0.0)).alias("rest"))
+        met = vectors.filter("rare").select(F.col("content").alias("a"), "token", F.col("weight").alias("wa")).join(every.select(F.col("content").alias("b"), "token", F.col("weight").alias("wb")), "token").filter("a <> b")
+        met = met.groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"), F.sum(F.col("wb") * F.col("wb")).alias("used"))
+        met = met.join(rest, "a").filter(F.col("dot") + F.sqrt(F.col("rest") * F.greatest(1 - F.col("used"), F.lit(0.0))) >= self.least - 1e-9).select("a", "b")
+        fresh_ = every.join(vectors.select("content").distinct(), "content", "left_semi")
+        x, y = fresh_.select(F.col("content").alias("a"), "token", F.col("weight").alias("wa")), every.select(F.col("content").alias("b"), "token", F.col("weight").alias("wb"))
         links = met.join(x, "a").join(y, ["b", "token"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("s")).filter(F.col("s") >= self.least).select("a", "b")
 
         labels = self.standing("labels", "content", batch)

@@ -127,20 +127,29 @@ def tfidf(docs: DataFrame, key: str, text: str) -> DataFrame:
     return raw.select(key, "token", (F.col("w") / norm).alias("weight"))
 
 
+#: The share of a vector's squared weights, in its rarer tokens, by which candidates are found and bounded.
+HALF = 0.5
+
+
 def similar_pairs(weights: DataFrame, key: str, least: float = 0.85) -> DataFrame:
     """Pairs whose cosine reaches the threshold.
 
     Vectors have length one. A document's commonest tokens, as long as their squared weights sum up to less than
     least**2, can give less than `least` with any other document, so that they may be left out on one side: by
     Cauchy and Schwarz a pair that reaches the threshold shares one of the rarer tokens, which are looked up among all
-    tokens of the others. Pairs that met are then summed in full.
+    tokens of the others. HALF of a vector, at least, is looked up, so that what the rest can add is small: pairs that
+    can't reach the threshold with it are dropped, and the others are summed in full.
     """
     df = weights.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     w = Window.partitionBy(key).orderBy(F.desc("df"), "token").rowsBetween(Window.unboundedPreceding, 0)
     ranked = weights.join(df.filter("df > 1"), "token").withColumn("mass", F.sum(F.col("weight") * F.col("weight")).over(w))
-    keys = ranked.filter(F.col("mass") >= least * least - 1e-9).select(F.col(key).alias("a"), "token")
-    pairs = keys.join(ranked.select(F.col(key).alias("b"), "token"), "token").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    x, y = weights.select(F.col(key).alias("a"), "token", F.col("weight").alias("wa")), weights.select(F.col(key).alias("b"), "token", F.col("weight").alias("wb"))
+    looked = F.col("mass") >= min(least * least, HALF) - 1e-9
+    rest = ranked.groupBy(key).agg(F.coalesce(F.max(F.when(~looked, F.col("mass"))), F.lit(0.0)).alias("rest")).select(F.col(key).alias("a"), "rest")
+    keys = ranked.filter(looked).select(F.col(key).alias("a"), "token", F.col("weight").alias("wa"))
+    # tokens of one document only add to no pair
+    x, y = ranked.select(F.col(key).alias("a"), "token", F.col("weight").alias("wa")), ranked.select(F.col(key).alias("b"), "token", F.col("weight").alias("wb"))
+    met = keys.join(y, "token").filter("a <> b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"), F.sum(F.col("wb") * F.col("wb")).alias("used"))
+    pairs = met.join(rest, "a").filter(F.col("dot") + F.sqrt(F.col("rest") * F.greatest(1 - F.col("used"), F.lit(0.0))) >= least - 1e-9).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return pairs.join(x, "a").join(y, ["b", "token"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("score")).filter(F.col("score") >= least)
 
 

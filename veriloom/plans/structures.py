@@ -99,7 +99,7 @@ def _p05(t):
         part = F.least(F.lit(3), F.floor(4 * (F.unix_micros("ts") - F.unix_micros(F.lit(first))) / (F.unix_micros(F.lit(last)) - F.unix_micros(F.lit(first)) + 1)))
         rows.filter(part == k).orderBy(F.xxhash64("event_id")).coalesce(1).write.mode("append").parquet(path)
     stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    with cache.state_store(t.spark):
+    with cache.state_store(t.spark, t.spark.sparkContext.defaultParallelism):
         return flows.run_to_table(cache.cached(stream, "user_id", "event_id", "ts", 6 * 3600))
 
 

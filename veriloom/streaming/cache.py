@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from veriloom.streaming.flows import with_time
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+PARTITIONS = "spark.sql.shuffle.partitions"
 ROWS = "key string, id bigint, at bigint, outcome string, stored bigint"
 
 
@@ -71,14 +72,17 @@ class Cache(StatefulProcessor):
 
 
 @contextlib.contextmanager
-def state_store(spark: SparkSession):
-    """Keyed state with timers needs the store that keeps state on disk."""
-    old = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+def state_store(spark: SparkSession, partitions: int | None = None):
+    """Keyed state with timers needs the store that keeps state on disk; partitions: of the state, else the session's."""
+    new = {PROVIDER: "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"} | ({PARTITIONS: str(partitions)} if partitions else {})
+    old = {k: spark.conf.get(k, None) for k in new}
+    for k, v in new.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(PROVIDER, old) if old else spark.conf.unset(PROVIDER)
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def cached(stream: DataFrame, key: str, id: str, time: str, seconds: float, late: str = "1 hour") -> DataFrame:

@@ -57,7 +57,9 @@ def sweep(spark: SparkSession, sources: dict[str, str], store: str, key: str, ma
         return spark.read.schema(TABLES[name]).parquet(path)
 
     def batch(df: DataFrame, i: int) -> None:
-        rows = checked(df.filter(F.trim("line") != ""), key, mark)
+        path = f"{store}/incoming/batch={i}"
+        checked(df.filter(F.trim("line") != ""), key, mark).write.mode("overwrite").parquet(path)
+        rows = spark.read.schema("source string, line string, key string, mark long, cause string").parquet(path)
         known = stored(spark, store, "marks", i).groupBy("source").agg(F.max("mark").alias("until"))
         rows = rows.join(known, "source", "left")  # a row a source
         bad = rows.filter("cause is not null").select("source", "cause", "line").distinct()
