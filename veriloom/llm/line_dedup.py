@@ -32,7 +32,7 @@ LEAST, EXACT, EDITS = 24, 8, 2
 #: Lines that share a segment meet directly up to so many, by bands of their wide sketch beyond.
 HEAVY = 256
 #: Characters that a task works on at once.
-SLICE = 1 << 20
+SLICE = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xC2B2AE3D27D4EB4F)
 
