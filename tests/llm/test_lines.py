@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 
 import __spark_entry__
 import corpus_pipeline
+from veriloom.llm import line_dedup
 from veriloom.llm.line_dedup import EXACT, Lines, _ids, _lines, alike_lines, drop_repeated_lines, edit_distance, repeated_lines, segments
 
 
@@ -100,6 +101,22 @@ def test_heavy_segments_lose_no_link(spark):
         assert len(got) == len(wanted) and set(got) == wanted and len(wanted) > 100
 
 
+def test_near_copies_make_rows_of_links_only(spark, monkeypatch):
+    random.seed(5)
+    words = random.sample([a + b + c for a in "abcdefghij" for b in "klmnopqrst" for c in "uvwxyzABCD"], 300)
+    base = "every one of these lines is a copy of one line, in which a single {} stands for another word, and no more than that."
+    lines = [base.format(x) for x in words] + [base.format(x)[:-1] for x in words[:20]]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    made, save = {}, line_dedup.save
+    monkeypatch.setattr(line_dedup, "save", lambda df, name, *a: made.setdefault(name, []).append(out := save(df, name, *a)) or out)
+    got = alike_lines(df).collect()
+    name = {tuple(_ids([x])[0].tolist()): i for i, x in enumerate(lines)}
+    wanted = {(a, b) for a in range(len(lines)) for b in range(a + 1, len(lines)) if edit_distance(lines[a], lines[b], 2) <= 2}
+    assert len(got) == len(wanted) and {tuple(sorted((name[r["h"], r["g"]], name[r["h2"], r["g2"]]))) for r in got} == wanted
+    settled = made["line-pairs"][-1].count()  # all 51,040 pairs share two segments of three, and most are three edits apart
+    assert 10_000 < len(wanted) <= settled < 1.5 * len(wanted)
+
+
 def test_query(spark, data):
     texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
     rows = __spark_entry__.queries()["op3_line_dedup"](spark, data).collect()

@@ -8,9 +8,11 @@ place. So lines are indexed by length, place and hash of their segments, and pro
 match a segment of each possible length. Hits must also agree in a parity sketch of character pairs (an edit flips
 four bits at most), tested within the join, before a banded bit-parallel computation settles their distance.
 
-A segment that many lines share (templates) would make its lines meet all at once. Segments of more than HEAVY lines
-are taken out and joined by a second key, the bands of a wider sketch: of 4 * edits + 1 bands at least one is equal in
-alike lines, so that nothing is lost, and lines that share the segment only don't meet.
+A segment that many lines share (templates, near copies) would make its lines meet all at once. Segments of more than
+HEAVY lines are taken out, one mark each stays to collect the lines that probe them, and these lines are joined by a second
+key, the bands of a wider sketch: of 4 * edits + 1 bands at least one is equal in alike lines, so that nothing is lost,
+and lines that share the segment only don't meet. Near copies beyond the edit distance still agree in most bands, so
+that this join carries the lines themselves and settles the distance in its condition: it makes rows of links only.
 
 Of equal lines, the one in the document with the least doc_id stays, and there the first. A line goes if an alike
 line was seen first in an earlier document (in one document: has the lesser hash). Hot lines meet as hashes only.
@@ -29,8 +31,8 @@ from pyspark.sql import functions as F
 from veriloom.llm.common import SPACES, save, small_batches, table, tidy
 
 LEAST, EXACT, EDITS = 24, 8, 2
-#: Lines that share a segment meet directly up to so many, by bands of their wide sketch beyond.
-HEAVY = 256
+#: Lines that share a segment meet directly up to so many, by bands of their wide sketch and with their text beyond.
+HEAVY = 32
 #: Characters that a task works on at once.
 SLICE = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
@@ -216,15 +218,12 @@ def _rows(least: int, edits: int, index: bool):
     return run
 
 
-def _wide(least: int, edits: int):
-    """Wide sketches of the lines of a task: 128 bits cut into 4 * edits + 1 bands."""
-
-    @tidy
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for lines in _distinct(batches, least):
-            yield pd.DataFrame({"id": _ids(lines)[:, 0], "wide": Lines(lines).sketches(7).tolist()})
-
-    return run
+@tidy
+def _wide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Wide sketches of lines: 128 bits, to be cut into 4 * edits + 1 bands."""
+    for batch in batches:
+        for part in _slices(batch):
+            yield pd.DataFrame({"id": part["id"].to_numpy(), "wide": Lines([*part["text"]]).sketches(7).tolist()})
 
 
 def _texts(least: int):
@@ -250,6 +249,26 @@ def _banded(rows: DataFrame, wide: DataFrame, edits: int) -> DataFrame:
     return rows.join(wide, "id").select("seg", "id", "wide", F.explode(F.array(*cut)).alias("band"))
 
 
+def _second(df: DataFrame) -> DataFrame:
+    return df.withColumnsRenamed({"id": "id2", "bits": "bits2", "wide": "wide2", "line": "line2"})
+
+
+def _crowded_links(index: DataFrame, probe: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
+    """Pairs id and id2 of lines within the edit distance that meet in a heavy segment; index and probe hold seg and id.
+
+    Sketches meet first, on both sides as semi-joins, so that only lines with a partner carry their text.
+    """
+    wide = save(lines.select(F.col("h").alias("id"), F.col("line").alias("text")).mapInPandas(_wide, "id bigint, wide array<bigint>").dropDuplicates(["id"]), "line-wide")
+    a, b = _banded(index, wide, edits), _second(_banded(probe, wide, edits))
+    flips = sum((F.bit_count(F.element_at("wide", w).bitwiseXOR(F.element_at("wide2", w))) for w in (1, 2)), F.lit(0))
+    same = (F.col("i.seg") == F.col("p.seg")) & (F.col("i.band") == F.col("p.band")) & (flips <= 4 * edits) & (F.col("id") != F.col("id2"))
+    texts = lines.select(F.col("h").alias("id"), "line")
+    left = a.alias("i").join(b.alias("p"), same, "left_semi").join(texts, "id")
+    right = b.alias("p").join(a.alias("i"), same, "left_semi").join(_second(texts), "id2")
+    within = F.levenshtein("line", "line2", edits) >= 0  # -1 beyond
+    return left.alias("i").join(right.alias("p"), same & within).select("id", "id2")
+
+
 def alike_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, heavy: int = HEAVY) -> DataFrame:
     """Pairs (h, g) and (h2, g2) of 128-bit hashes of different lines within the edit distance, each pair once.
 
@@ -263,21 +282,28 @@ def alike_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, heavy:
     kind = "seg bigint, id bigint, bits bigint"
     index = save(text.mapInPandas(_rows(least, edits, True), kind).dropDuplicates(["seg", "id"]), "line-index")
     crowded = save(index.groupBy("seg").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > heavy).select("seg"), "line-heavy")
-    probe = text.mapInPandas(_rows(least, edits, False), kind)
-    other = lambda df: df.withColumnsRenamed({"id": "id2", "bits": "bits2", "wide": "wide2"})
+    probe = _second(text.mapInPandas(_rows(least, edits, False), kind))
     near = (F.bit_count(F.col("bits").bitwiseXOR(F.col("bits2"))) <= 4 * edits) & (F.col("id") != F.col("id2"))
+    pair = (F.least("id", "id2").alias("h"), F.greatest("id", "id2").alias("h2"))
     few = crowded.isEmpty()
-    hits = (index if few else index.join(crowded, "seg", "left_anti")).alias("i").join(other(probe).alias("p"), (F.col("i.seg") == F.col("p.seg")) & near).select("id", "id2")
+    if few:
+        hits = index.alias("i").join(probe.alias("p"), (F.col("i.seg") == F.col("p.seg")) & near)
+    else:
+        # a heavy segment is one row without id, which all that probes it meets
+        marked = index.join(crowded, "seg", "left_anti").unionByName(crowded.select("seg", F.lit(None).cast("bigint").alias("id"), F.lit(0).cast("bigint").alias("bits")))
+        met = marked.alias("i").join(probe.alias("p"), (F.col("i.seg") == F.col("p.seg")) & (F.col("id").isNull() | near))
+        met = save(met.select(F.when(F.col("id").isNull(), F.col("i.seg")).alias("seg"), "id", "id2").distinct(), "line-met")
+        hits = met.filter("id is not null")
+    pairs = save(hits.select(*pair).distinct(), "line-pairs")
+    ids = pairs.select("h").unionByName(pairs.select(F.col("h2").alias("h")))
     if not few:
-        wide = save(text.mapInPandas(_wide(least, edits), "id bigint, wide array<bigint>").dropDuplicates(["id"]), "line-wide")
-        a = _banded(index.join(crowded, "seg", "left_semi").select("seg", "id"), wide, edits)
-        b = other(_banded(probe.join(crowded, "seg", "left_semi").select("seg", "id").distinct(), wide, edits))
-        flips = sum((F.bit_count(F.element_at("wide", w).bitwiseXOR(F.element_at("wide2", w))) for w in (1, 2)), F.lit(0))
-        same = (F.col("i.seg") == F.col("p.seg")) & (F.col("i.band") == F.col("p.band")) & (flips <= 4 * edits) & (F.col("id") != F.col("id2"))
-        hits = hits.unionByName(a.alias("i").join(b.alias("p"), same).select("id", "id2"))
-    pairs = save(hits.select(F.least("id", "id2").alias("h"), F.greatest("id", "id2").alias("h2")).distinct(), "line-pairs")
-    ids = save(pairs.select("h").unionByName(pairs.select(F.col("h2").alias("h"))).distinct(), "line-ids")
+        inside = index.join(crowded, "seg", "left_semi").select("seg", "id")
+        probing = met.filter("id is null").select("seg", F.col("id2").alias("id"))
+        ids = ids.unionByName(inside.select(F.col("id").alias("h"))).unionByName(probing.select(F.col("id").alias("h")))
+    ids = save(ids.distinct(), "line-ids")
     lines = save(text.mapInPandas(_texts(least), "h bigint, g bigint, line string").join(ids, "h", "left_semi").dropDuplicates(["h", "g"]), "line-texts")
+    if not few:
+        pairs = save(_crowded_links(inside, probing, lines, edits).select(*pair).unionByName(pairs).distinct(), "line-pairs")
     both = pairs.join(lines, "h").join(lines.select(F.col("h").alias("h2"), F.col("g").alias("g2"), F.col("line").alias("line2")), "h2")
 
     @F.pandas_udf("boolean")
