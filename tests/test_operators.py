@@ -1,10 +1,12 @@
 """Operators on small cases of their own."""
 
 import random
+import re
 from email.message import EmailMessage
 
 import pandas as pd
 import pyspark.sql.functions as F
+import pytest
 
 from veriloom.functions import checks, entities, markup, text, urls
 from veriloom.operators import lookups, rollups, rules, scoring, similar
@@ -142,3 +144,15 @@ def test_resolve_against_all_pairs(spark):
             wanted[i] = max(near)[::-1]
     got = lookups.resolve(spark.createDataFrame(list(enumerate(names)), "k int, n string"), "k", "n", spark.createDataFrame([(x, x) for x in register], "registered string, normalised string")).collect()
     assert {r["k"]: (r["registered"], r["score"]) for r in got} == wanted and wanted[0][0] == "reliance industries" and len(wanted) > 10
+
+
+@pytest.mark.parametrize("slots", [8, 1 << 20])
+def test_names_meet_no_shuffled_words(spark, monkeypatch, slots):
+    """Against brute force, with full slots too; few names are broadcast, so that no text's words are shuffled."""
+    monkeypatch.setattr(lookups, "SLOTS", slots)
+    docs = [(1, "Acme & Sons of the North, ACME"), (2, "the sons, of"), (3, None), (3, "of\nthe north bank and of the"), (4, ""), (5, "a1#b of-the-north bank and trust company x")]
+    names = [("A", "acme"), ("S", "acme sons"), ("O", "of the"), ("O", "of"), ("N", "of the north"), ("B", "of the north bank and trust"), ("C", "of the north bank and trust company"), ("E", ""), ("U", "Acme"), ("D", "the  sons"), ("H", "a1#b")]
+    got = lookups.names_in_text(spark.createDataFrame(docs, "k int, t string"), "k", "t", spark.createDataFrame(names, "name string, normalised string"))
+    spaced = [(k, f" {' '.join(re.findall('[a-z0-9#]+', (t or '').lower()))} ") for k, t in docs]
+    assert {tuple(r) for r in got.collect()} == {(k, n) for k, t in spaced for n, x in names if 0 < len(x.split()) <= 6 and f" {x} " in t}
+    assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()

@@ -6,13 +6,18 @@ Dimension sides carry no broadcast hint: Spark broadcasts them where their size
 from __future__ import annotations
 
 import difflib
+import re
+import zlib
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veriloom.functions.text import host_suffixes, letter_skeleton
+from veriloom.sources.shared import kept
 
 
 def shared_entities(sightings: DataFrame, days: int = 30, least: int = 2) -> DataFrame:
@@ -93,17 +98,56 @@ def by_suffix(hosts: DataFrame, host: str, listed: DataFrame, name: str = "host"
     return got.groupBy(*hosts.columns).agg(F.max_by(F.struct(F.col("_s").alias("matched"), *others), F.length("_s")).alias("m")).select(*hosts.columns, "m.*")
 
 
-def ngrams(docs: DataFrame, key: str, text: str, low: int, high: int) -> DataFrame:
-    """Distinct word n-grams of each text, lower case."""
-    words = F.filter(F.split(F.regexp_replace(F.lower(text), "[^a-z0-9#]+", " "), " "), lambda w: w != "")
-    rows = docs.select(key, words.alias("w"))
-    gram = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.array_join(F.slice("w", i, n), " "))).otherwise(F.array().cast("array<string>"))
-    return rows.select(key, F.explode(F.array_distinct(F.concat(*[gram(n) for n in range(low, high + 1)]))).alias("gram"))
+#: Slots that words and names are hashed to, whatever their number, by which texts' words are told apart before they leave a task.
+SLOTS = 1 << 20
+
+
+def _slots(values: DataFrame, column: str) -> bytes:
+    """The slots that a column's values take, as bits."""
+    slot = F.pmod(F.crc32(F.col(column).cast("binary")), F.lit(SLOTS)).cast("int")
+    taken = np.zeros(SLOTS, dtype=bool)
+    taken[[i for r in values.groupBy(F.pmod(slot, F.lit(64)).alias("part")).agg(F.collect_set(slot).alias("slots")).collect() for i in r["slots"]]] = True
+    return np.packbits(taken, bitorder="little").tobytes()
+
+
+def _maybe_names(sizes: list[int], words: bytes, whole: bytes):
+    """Runs of so many words of a text that may be names: all of a name's words, and the name, have a slot."""
+
+    def taken(bits: bytes, value: str) -> int:
+        h = zlib.crc32(value.encode()) % SLOTS
+        return bits[h >> 3] >> (h & 7) & 1
+
+    @F.pandas_udf("array<string>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known, good = set(), set()
+        for batch in batches:
+            out = []
+            for t in batch:
+                here = re.findall("[a-z0-9#]+", (t or "").lower())
+                if len(known) >= 1 << 17:
+                    known, good = set(), set()
+                fresh = set(here) - known
+                known |= fresh
+                good.update(w for w in fresh if taken(words, w))
+                at = [i for i, w in enumerate(here) if w in good]
+                found = {" ".join(here[i : i + n]) for n in sizes for i, j in zip(at, at[n - 1 :], strict=False) if j - i == n - 1}
+                out.append([g for g in found if taken(whole, g)])
+            yield pd.Series(out, dtype=object)
+
+    return run
 
 
 def names_in_text(docs: DataFrame, key: str, text: str, names: DataFrame, low: int = 1, high: int = 6) -> DataFrame:
-    """Names that occur as whole word sequences in texts; names has name, normalised."""
-    return ngrams(docs, key, text, low, high).join(names.select("name", F.col("normalised").alias("gram")), "gram").select(key, "name").distinct()
+    """Names of low to high words that occur as whole word sequences in texts; names has name, normalised.
+
+    What leaves a text are the word sequences that may be names, by slots of a fixed number; these meet the names
+    themselves. The names are written first, so that Spark knows their size.
+    """
+    words = F.split("normalised", " ")
+    known = kept(names.select("name", "normalised").distinct().filter(F.col("normalised").rlike("^[a-z0-9#]+( [a-z0-9#]+)*$") & F.size(words).between(low, high)), "names")
+    sizes = sorted(r[0] for r in known.select(F.size(words)).distinct().collect())
+    may = _maybe_names(sizes, _slots(known.select(F.explode(words).alias("word")), "word"), _slots(known, "normalised"))
+    return docs.select(key, F.explode(may(F.col(text))).alias("gram")).join(known.select("name", F.col("normalised").alias("gram")), "gram").select(key, "name").distinct()
 
 
 def longest_name(found: DataFrame, key: str) -> DataFrame:
