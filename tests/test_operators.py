@@ -9,7 +9,7 @@ import pyspark.sql.functions as F
 import pytest
 
 from veriloom.functions import checks, entities, markup, text, urls
-from veriloom.operators import lookups, rollups, rules, scoring, similar
+from veriloom.operators import lookups, registers, rollups, rules, scoring, similar
 from veriloom.sources import readers
 from veriloom.streaming import flows
 
@@ -156,3 +156,11 @@ def test_names_meet_no_shuffled_words(spark, monkeypatch, slots):
     spaced = [(k, f" {' '.join(re.findall('[a-z0-9#]+', (t or '').lower()))} ") for k, t in docs]
     assert {tuple(r) for r in got.collect()} == {(k, n) for k, t in spaced for n, x in names if 0 < len(x.split()) <= 6 and f" {x} " in t}
     assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_entity_in_message_shuffles_no_words(spark):
+    rows = spark.createDataFrame([(1, "", "pay acme bank of x now", "x.example"), (2, "Desk - Team", "acme bank", "x.example"), (3, "", "nothing", "X.example"), (4, "", "bank", "y")], "k int, display string, body string, domain string")
+    names = spark.createDataFrame([("Acme Bank", "acme bank"), ("Acme Bank of X", "acme bank of x")], "name string, normalised string")
+    got = registers.entity_in_message(rows, "k", F.col("display"), "body", "domain", names, spark.createDataFrame([("x.example", "X")], "domain string, entity string"))
+    assert sorted(map(tuple, got.collect())) == [(1, "Acme Bank of X", "text"), (2, "Desk", "display"), (3, "X", "domain"), (4, None, None)]
+    assert not re.search(r"Exchange hashpartitioning\(gram", got._jdf.queryExecution().executedPlan().toString())
