@@ -12,7 +12,8 @@ from veriloom.streaming import flows
 
 C = F.col
 HOST = r"lower(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*://)?(?:[^/?#@]*@)?([^/:?#]*)', 1))"
-PACK = [rules.Rule("token", r"token = ", r"[0-9a-f]{8}", None, ("never share",), 60, False, 5), rules.Rule("license", "license", None, None, (), 120, False, 4), rules.Rule("shout", "!! [A-Z]+!!", "[A-Z]{3}", None, (), 40, False, 3), rules.Rule("broken", "((", None)]
+#: What the SQL states of a hit: its case folding gives a to z from two letters beside ASCII, and nothing near a hit speaks for or against it.
+PACK = [rules.Rule("token", r"""token = ["']?[0-9a-f]{8}""", r"[0-9a-f]{8}", None, (), 60, False, 5), rules.Rule("license", "l(?a:[i\u0130])cen(?a:s)e", None, None, (), 120, False, 4), rules.Rule("shout", "!! (?a:[A-Z\u0130\u212a])+!!", ".", None, (), 40, False, 3), rules.Rule("broken", "((", None)]
 
 query("r01_rules", r"""WITH d AS (SELECT doc_id, text, lower(text) AS t FROM documents)
 SELECT doc_id, 'token' AS rule, 5 AS severity FROM d WHERE regexp_matches(t, 'token = ') AND regexp_matches(text, '(?i)token = ["'']?[0-9a-f]{8}') UNION ALL SELECT doc_id, 'license', 1 FROM d WHERE contains(t, 'license')""")(
@@ -114,7 +115,7 @@ query("x27_attachment", "SELECT c_custkey, 'file' || c_custkey || '.apk' AS name
 query("f20_amended", r"SELECT doc_id, regexp_matches(lower(text), '\b(?:amended|amendment|corrigendum|revised|version)\b') AS out FROM documents")(lambda t: t("documents").select("doc_id", gates.amended(C("text"), (*gates.AMENDED, "version")).alias("out")))
 query("f22_authority_demand", r"SELECT doc_id, regexp_matches(text, '(?i)licens|rights reserved') AND (contains(text, 'token =') OR contains(text, 'password=') OR contains(text, '$$$') OR contains(text, '***')) AND NOT regexp_matches(lower(text), '\bnever\b') AS out FROM documents")(
     lambda t: t("documents").select("doc_id", gates.authority_demand(C("text"), "(?i)licens|rights reserved", ("token =", "password=", "$$$", "***"), r"\bnever\b").alias("out")))
-query("a36_rule_counts", f"{_HITS} SELECT rule, count(*) AS n FROM h GROUP BY rule")(lambda t: rules.evaluate(t("documents"), PACK).groupBy("rule").agg(F.count_distinct("doc_id").alias("n")))
+query("a36_rule_counts", f"{_HITS} SELECT rule, count(*) AS n FROM h GROUP BY rule")(lambda t: rules.evaluate(t("documents"), PACK).groupBy("rule").agg(F.count(F.lit(1)).alias("n")))
 query("a33_cap_trust", "SELECT doc_id, least(100 - 10 * len(regexp_extract_all(text, '[0-9]{4}')), CASE WHEN contains(text, 'token =') THEN 20 ELSE 100 END, CASE WHEN contains(text, 'Licens') THEN 45 ELSE 100 END)::INT AS out FROM documents")(
     lambda t: t("documents").select("doc_id", scoring.capped(100 - 10 * F.regexp_count("text", F.lit("[0-9]{4}")), [(C("text").contains("token ="), 20), (C("text").contains("Licens"), 45)]).cast("int").alias("out")))
 query("a32_offline_gate", "SELECT doc_id, greatest(0, least(100, 85 - CASE WHEN contains(text, '$$$') THEN 18 ELSE 0 END - CASE WHEN contains(text, '!!') THEN 12 ELSE 0 END - CASE WHEN contains(text, 'token =') THEN 24 ELSE 0 END))::INT AS out FROM documents")(
