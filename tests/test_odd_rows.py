@@ -25,7 +25,7 @@ def rows_of(spark, tmp_path):
 TEXTS = ["token = zz near deadbeef", "never share token = 'deadbeef1", 'TOKEN = "0123abcd', "to\u212aen = 0123abcd", "!! a!!", "!! A1!!", "1 !! \u212a\u0130!! 2", "!! \u017f!!", "!! \u0131!!", "LICENSE", "l\u0130cense", "licen\u017fe", "l\u0131cense", None, ""]
 
 
-@pytest.mark.parametrize("name", ["a36_rule_counts", "r01_rules"])
+@pytest.mark.parametrize("name", ["a36_rule_counts", "r01_rules", "r02_compile"])
 def test_rules_hit_what_their_sql_hits(rows_of, name):
     got, want = rows_of(name, "documents", [(i // 2, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
     assert got == want
