@@ -29,3 +29,11 @@ TEXTS = ["token = zz near deadbeef", "never share token = 'deadbeef1", 'TOKEN =
 def test_rules_hit_what_their_sql_hits(rows_of, name):
     got, want = rows_of(name, "documents", [(i // 2, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
     assert got == want
+
+
+HOSTS = ["example.org", "a.example.org", "example.org.evil.test", "examp.le.org", "examp1e.org", "www.spam-farm.example.com", "m-x.test", "spam.test", "x.m", "-m.test", "", None]
+
+
+def test_official_match_cuts_labels_as_its_sql(rows_of):
+    got, want = rows_of("j28_official_match", "pages", [(i, h and f"https://{h}/en/") for i, h in enumerate(HOSTS)], "page_id long, url string")
+    assert got == want

@@ -180,15 +180,15 @@ def agreement(fields: DataFrame, key: str) -> DataFrame:
     return n.withColumn("score", F.round(F.least(F.lit(1.0), 0.75 + 0.08 * F.col("matched")), 4))
 
 
-def official_match(host: Column, official: Column, brands: tuple[str, ...], skeleton) -> Column:
+def official_match(host: Column, official: Column, brands: tuple[str, ...], skeleton=None, cut: str = r"[.-]") -> Column:
     """How a host relates to official ones (an array): exact, stuffing (an official name within another's), confusable
-    (same skeleton), brand_token, none."""
+    (same skeleton, if one is given), brand_token (between places that match cut), none."""
     exact = F.exists(official, lambda o: (host == o) | host.endswith(F.concat(F.lit("."), o)))
     stuffed = F.exists(official, lambda o: host.contains(F.concat(o, F.lit("."))) | host.contains(F.concat(o, F.lit("-"))))
-    alike = F.exists(official, lambda o: skeleton(host) == skeleton(o))
+    alike = F.exists(official, lambda o: skeleton(host) == skeleton(o)) if skeleton else F.lit(False)
     token = F.lit(False)
     for b in brands:
-        token = token | F.array_contains(F.split(host, r"[.-]"), b)
+        token = token | F.array_contains(F.split(host, cut), b)
     return F.when(exact, "exact").when(stuffed, "stuffing").when(alike, "confusable").when(token, "brand_token").otherwise("none")
 
 

@@ -80,7 +80,7 @@ query("z57_configurations", "WITH s AS (SELECT quality AS good, 40 * contains(te
 query("a19_agreement", "WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice AS price, l_quantity * p_retailprice AS filed_price, l_quantity AS qty, CASE WHEN l_linenumber > 1 THEN l_quantity + (l_linenumber = 4)::INT END AS filed_qty FROM lineitem JOIN part ON l_partkey = p_partkey), o AS (SELECT l_orderkey, abs(price - filed_price) <= 0.005 AS a, CASE WHEN filed_qty IS NOT NULL THEN abs(qty - filed_qty) <= 0.005 END AS b FROM p) SELECT l_orderkey, count(a) + count(b) AS comparable, count(*) FILTER (a) + count(*) FILTER (b) AS matched, count(*) FILTER (NOT a) + count(*) FILTER (NOT b) AS conflicts, round(least(1.0, 0.75 + 0.08 * (count(*) FILTER (a) + count(*) FILTER (b))), 4)::DOUBLE AS score FROM o GROUP BY l_orderkey")(
     lambda t: insights.agreement(scoring.compare_fields(t("lineitem").join(t("part"), C("l_partkey") == C("p_partkey")).select("l_orderkey", C("l_extendedprice").alias("price"), (C("l_quantity") * C("p_retailprice")).alias("filed_price"), C("l_quantity").alias("qty"), F.when(C("l_linenumber") > 1, C("l_quantity") + (C("l_linenumber") == 4).cast("int")).alias("filed_qty")), "l_orderkey", {"price": 5, "qty": 4}), "l_orderkey"))
 query("j28_official_match", rf"WITH h AS (SELECT page_id, {HOST} AS h FROM pages) SELECT page_id, CASE WHEN h = 'example.org' OR ends_with(h, '.example.org') OR h = 'blog.ththan.example.net' OR ends_with(h, '.blog.ththan.example.net') THEN 'exact' WHEN contains(h, 'example.org.') OR contains(h, 'example.org-') OR contains(h, 'blog.ththan.example.net.') OR contains(h, 'blog.ththan.example.net-') THEN 'stuffing' WHEN list_contains(string_split(h, '.'), 'm') OR list_contains(string_split(h, '.'), 'spam') THEN 'brand_token' ELSE 'none' END AS out FROM h")(
-    lambda t: t("pages").select("page_id", insights.official_match(urls.host(C("url")), F.array(F.lit("example.org"), F.lit("blog.ththan.example.net")), ("m", "spam"), text.registry_skeleton).alias("out")))
+    lambda t: t("pages").select("page_id", insights.official_match(urls.host(C("url")), F.array(F.lit("example.org"), F.lit("blog.ththan.example.net")), ("m", "spam"), cut=r"\.").alias("out")))
 query("j29_identity", rf"WITH h AS (SELECT page_id, url, {HOST} AS h FROM pages) SELECT page_id, CASE WHEN contains(url, 'utm_source') THEN 'mismatch' WHEN starts_with(h, 'm.') THEN 'imitation' WHEN contains(url, '#') THEN 'outside_namespace' WHEN ends_with(h, '.example.com') AND contains(url, '/en/') THEN 'confirmed' WHEN ends_with(h, '.example.com') THEN 'official' ELSE 'unverified' END AS out FROM h")(
     lambda t: t("pages").select("page_id", insights.identity_state(F.when(urls.host(C("url")).startswith("m."), "confusable").when(urls.host(C("url")).endswith(".example.com"), "exact").otherwise("none"), F.when(C("url").contains("#"), F.lit(False)), F.when(C("url").contains("utm_source"), "collision").when(C("url").contains("/en/"), "valid").otherwise("absent")).alias("out")))
 query("z16_domain_cache", "SELECT user_id, max(event_id) AS event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS k FROM events WHERE ts > TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 24 HOUR AND ts <= TIMESTAMP '2024-01-30 12:00:00') WHERE k = 1 GROUP BY user_id")(
