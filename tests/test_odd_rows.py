@@ -37,3 +37,8 @@ HOSTS = ["example.org", "a.example.org", "example.org.evil.test", "examp.le.org"
 def test_official_match_cuts_labels_as_its_sql(rows_of):
     got, want = rows_of("j28_official_match", "pages", [(i, h and f"https://{h}/en/") for i, h in enumerate(HOSTS)], "page_id long, url string")
     assert got == want
+
+
+def test_status_ids_of_many_customers(rows_of):
+    got, want = rows_of("u31_status_url", "customer", [(k,) for k in (0, 1, 14_999, 399_999, 899_999, 1_160_000)], "c_custkey long")
+    assert got == want

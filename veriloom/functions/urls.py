@@ -222,13 +222,13 @@ def trust(url: Column) -> Column:
     return F.when(F.coalesce(url, F.lit("")) == "", 50).otherwise(let(host(full), score))
 
 
-def status_url(url: Column) -> Column:
+def status_url(url: Column, future: bool = False) -> Column:
     """Handle and time of a post from its URL; the id holds milliseconds since the service's epoch. Ids before that
-    scheme, and times beyond next year, give null."""
+    scheme, and times beyond next year unless the future is asked for, give null."""
     pattern = r"(?i)(?:twitter|x)\.com/([a-z0-9_]{1,15})/status(?:es)?/([0-9]+)"
     post = F.regexp_extract(url, pattern, 2).try_cast("long")
     at = F.timestamp_millis(F.shiftright(post, 22) + 1288834974657)  # fixed value: the service's epoch
-    sound = (post >= 29_000_000_000) & (F.year(at) <= F.year(F.current_date()) + 1)
+    sound = (post >= 29_000_000_000) & (F.lit(future) | (F.year(at) <= F.year(F.current_date()) + 1))
     return F.when(sound, F.struct(F.lower(F.regexp_extract(url, pattern, 1)).alias("handle"), at.alias("at")))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veriloom.functions import checks, entities, text, urls
+from veriloom.functions import checks, entities, urls
 from veriloom.operators import boards, insights, rollups, scoring
 from veriloom.plans.base import query
 

@@ -106,7 +106,7 @@ query("u25_levenshtein", "SELECT a.n_name AS a, b.n_name AS b, levenshtein(a.n_n
     lambda t: t("nation").alias("a").join(t("nation").alias("b"), (C("a.n_regionkey") == C("b.n_regionkey")) & (C("a.n_nationkey") < C("b.n_nationkey"))).select(C("a.n_name").alias("a"), C("b.n_name").alias("b"), F.levenshtein("a.n_name", "b.n_name").alias("d")))
 pages("u26_domain_trust", urls.trust, f"greatest(0, least(100, 60 + CASE WHEN {HOST} = 'example.org' OR {HOST} LIKE '%.example.org' OR {HOST} LIKE '%exchange.example.com' THEN 30 ELSE 0 END + CASE WHEN starts_with(url, 'https://') THEN 5 ELSE -15 END + CASE WHEN {HOST} LIKE '%.net' THEN -10 ELSE 0 END + CASE WHEN len(string_split({HOST}, '.')) >= 5 THEN -20 WHEN len(string_split({HOST}, '.')) >= 4 THEN -8 ELSE 0 END + CASE WHEN length({HOST}) > 40 THEN -5 ELSE 0 END))::INT")
 query("u31_status_url", "SELECT c_custkey, lower('user' || c_custkey) AS handle, (((30000000000 + c_custkey * 7919000000000) >> 22) + 1288834974657)::BIGINT AS ms FROM customer")(
-    lambda t: t("customer").select("c_custkey", urls.status_url(F.concat(F.lit("https://x.com/User"), C("c_custkey").cast("string"), F.lit("/status/"), (F.lit(30000000000) + C("c_custkey") * 7919000000000).cast("string"))).alias("s")).select("c_custkey", "s.handle", F.unix_millis("s.at").alias("ms")))
+    lambda t: t("customer").select("c_custkey", urls.status_url(F.concat(F.lit("https://x.com/User"), C("c_custkey").cast("string"), F.lit("/status/"), (F.lit(30000000000) + C("c_custkey") * 7919000000000).cast("string")), future=True).alias("s")).select("c_custkey", "s.handle", F.unix_millis("s.at").alias("ms")))
 
 query("x10_contacts", r"SELECT doc_id, len(list_slice(regexp_extract_all(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}'), 1, 10))::INT AS emails, len(list_slice(regexp_extract_all(text, '\b[A-Z]{5}[0-9]{4}[A-Z]\b'), 1, 5))::INT AS pan FROM documents")(
     lambda t: t("documents").select("doc_id", F.size(entities.contacts(C("text"))["emails"]).alias("emails"), F.size(entities.contacts(C("text"))["pan"]).alias("pan")))
