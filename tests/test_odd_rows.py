@@ -1,8 +1,12 @@
 """Queries against their SQL on odd rows of their own."""
 
+from email import message_from_bytes, policy
+from email.utils import getaddresses, parseaddr
+
 import duckdb
 import pytest
 
+from veriloom.functions import markup
 from veriloom.plans.registry import ORACLES, QUERIES
 
 
@@ -42,3 +46,17 @@ def test_official_match_cuts_labels_as_its_sql(rows_of):
 def test_status_ids_of_many_customers(rows_of):
     got, want = rows_of("u31_status_url", "customer", [(k,) for k in (0, 1, 14_999, 399_999, 899_999, 1_160_000)], "c_custkey long")
     assert got == want
+
+
+def test_headers_are_parsed_once():
+    """Plain headers go to the standard parser only where it could give something else, and repeated ones once."""
+    markup._known.cache_clear()
+    for i in range(300):
+        got = markup._message(f"From: Some One <U{i}@Mail.example>\nSubject: Re: no {i}\nContent-Type: text/plain\n\nhello".encode())
+        assert got[:3] == (f"Re: no {i}", "Some One", f"u{i}@mail.example") and got[8] == "hello"
+    assert markup._known.cache_info().misses == 1
+    for head in ("=?utf-8?B?w6k=?= x", "a  b\tc", '"Q, R" <q@R.s>', "a..b@c", "A <.a@b>, c@d", "x\n y", "é <a@b>", "<A@b.C>", "A B <A+b_c@d-e.F>", ""):
+        m = message_from_bytes(f"From: {head}\nSubject: {head}\nReturn-Path: {head}\nReply-To: {head}\n\nx".encode(), policy=policy.default)
+        name, address = parseaddr(str(m["From"]))
+        got = markup._message(f"From: {head}\nSubject: {head}\nReturn-Path: {head}\nReply-To: {head}\n\nx".encode())
+        assert got[:5] == (str(m["Subject"]), name or None, address.lower() or None, getaddresses([str(m["Reply-To"])])[0][1].lower() or None, str(m["Return-Path"]))

@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 from email import message_from_bytes, policy
 from email.utils import getaddresses, parseaddr
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -83,6 +84,49 @@ def plain_text(html: Column) -> Column:
 MESSAGE = "struct<subject string, from_name string, from_address string, reply_to string, return_path string, message_id string, date string, auth string, text string, html string, attachments array<struct<name string, type string, bytes int>>>"
 
 
+@lru_cache(1 << 12)
+def _known(name: str, value: str):
+    return policy.default.header_factory(name, value)
+
+
+def _parsed(name: str, value: str):
+    """A header read by the standard parser; short ones that are met again are not read again."""
+    return _known(name, value) if len(value) < 200 else policy.default.header_factory(name, value)
+
+
+READ = policy.EmailPolicy(header_factory=_parsed)
+#: Headers without structure, and the form in which these and a sender are what the parser would give.
+FREE, PLAIN = ("subject", "return-path", "authentication-results"), re.compile(r"[!-~]+(?: [!-~]+)*")
+SENDER = re.compile(r"([A-Za-z0-9]+(?: [A-Za-z0-9]+)*) <([A-Za-z0-9_+-]+(?:\.[A-Za-z0-9_+-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*)>")
+
+
+def _message(b: bytes) -> tuple:
+    m = message_from_bytes(b, policy=READ)
+    first = {}
+    for name, value in m.raw_items():
+        first.setdefault(name.lower(), value)
+
+    def head(k: str) -> str | None:
+        v = first.get(k)
+        if v is None or (k in FREE and "=?" not in v and PLAIN.fullmatch(v)):
+            return v
+        return str(m[k])
+
+    sender = SENDER.fullmatch(first.get("from") or "")
+    name, address = sender.groups() if sender else parseaddr(head("from") or "")
+    reply = getaddresses([head("reply-to")]) if "reply-to" in first else []
+    text, html, files = [], [], []
+    for part in m.walk():
+        if part.is_multipart():
+            continue
+        body, kind = part.get_payload(decode=True) or b"", part.get_content_type()
+        if file := part.get_filename():
+            files.append({"name": file, "type": kind, "bytes": len(body)})
+        elif kind in ("text/plain", "text/html"):
+            (text if kind == "text/plain" else html).append(body.decode(part.get_content_charset() or "utf-8", "replace"))
+    return (head("subject"), name or None, address.lower() or None, (reply[0][1].lower() or None) if reply else None, head("return-path"), head("message-id"), head("date"), head("authentication-results"), "\n".join(text) or None, "\n".join(html) or None, files)
+
+
 def message(raw: Column) -> Column:
     """Headers, bodies and attachments of raw messages; what can't be read is null."""
 
@@ -90,23 +134,7 @@ def message(raw: Column) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         names = [x.split(" ")[0].split("<")[-1] for x in ("subject ", "from_name ", "from_address ", "reply_to ", "return_path ", "message_id ", "date ", "auth ", "text ", "html ", "attachments ")]
         for batch in batches:
-            rows = []
-            for b in batch:
-                m = message_from_bytes(bytes(b or b""), policy=policy.default)
-                head = lambda k: str(m[k]) if m[k] is not None else None  # noqa: B023, E731
-                name, address = parseaddr(head("From") or "")
-                reply = getaddresses([head("Reply-To") or ""])
-                text, html, files = [], [], []
-                for part in m.walk():
-                    if part.is_multipart():
-                        continue
-                    body = part.get_payload(decode=True) or b""
-                    if part.get_filename():
-                        files.append({"name": part.get_filename(), "type": part.get_content_type(), "bytes": len(body)})
-                    elif part.get_content_type() in ("text/plain", "text/html"):
-                        (text if part.get_content_type() == "text/plain" else html).append(body.decode(part.get_content_charset() or "utf-8", "replace"))
-                rows.append((head("Subject"), name or None, address.lower() or None, (reply[0][1].lower() or None) if reply else None, head("Return-Path"), head("Message-ID"), head("Date"), head("Authentication-Results"), "\n".join(text) or None, "\n".join(html) or None, files))
-            yield pd.DataFrame(rows, columns=names)
+            yield pd.DataFrame([_message(bytes(b or b"")) for b in batch], columns=names)
 
     return run(raw)
 

@@ -32,7 +32,7 @@ query("s14_kind_of", r"""SELECT 'd' || doc_id AS id, CASE WHEN regexp_matches(le
     .unionByName(t("pages").select(F.concat(F.lit("m"), C("page_id").cast("string")).alias("id"), F.encode(F.concat(F.lit("Subject: x\nFrom: a@"), urls.host(C("url")), F.lit("\n\n"), C("html")), "UTF-8").alias("data"), F.lit(None).cast("string").alias("name")))
     .select("id", markup.kind_of(C("data"), C("name")).alias("out")))
 query("s16_message", "SELECT c_custkey, 'Re: ' || c_name AS subject, lower('u' || c_custkey || '@mail.example') AS from_address, 'hello ' || c_mktsegment AS text FROM customer")(
-    lambda t: t("customer").select("c_custkey", markup.message(F.encode(F.concat(F.lit("From: Someone <U"), C("c_custkey").cast("string"), F.lit("@mail.example>\nSubject: Re: "), "c_name", F.lit("\nContent-Type: text/plain\n\nhello "), "c_mktsegment"), "UTF-8")).alias("m")).select("c_custkey", "m.subject", "m.from_address", "m.text"))
+    lambda t: t("customer").repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions"))).select("c_custkey", markup.message(F.encode(F.concat(F.lit("From: Someone <U"), C("c_custkey").cast("string"), F.lit("@mail.example>\nSubject: Re: "), "c_name", F.lit("\nContent-Type: text/plain\n\nhello "), "c_mktsegment"), "UTF-8")).alias("m")).select("c_custkey", "m.subject", "m.from_address", "m.text"))
 query("s17_authentication", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'pass' ELSE 'fail' END AS spf, 'pass' AS dkim, 'seg' || c_nationkey || '.example' AS signer FROM customer")(
     lambda t: t("customer").select("c_custkey", markup.authentication(F.concat(F.lit("mx.example; spf="), F.when(C("c_custkey") % 2 == 0, "pass").otherwise("fail"), F.lit(" smtp.mailfrom=x; dkim=pass header.d=Seg"), C("c_nationkey").cast("string"), F.lit(".example"))).alias("a")).select("c_custkey", "a.spf", "a.dkim", "a.signer"))
 query("s29_date_windows", "WITH r AS (SELECT min(o_orderdate)::DATE AS a, max(o_orderdate)::DATE AS b FROM orders) SELECT strftime(d, '%Y-%m-%d') AS first, strftime(least(d + INTERVAL 29 DAY, b), '%Y-%m-%d') AS last FROM (SELECT unnest(generate_series(a::TIMESTAMP, b::TIMESTAMP, INTERVAL 30 DAY)) AS d, b FROM r)")(
