@@ -164,3 +164,19 @@ def test_entity_in_message_shuffles_no_words(spark):
     got = registers.entity_in_message(rows, "k", F.col("display"), "body", "domain", names, spark.createDataFrame([("x.example", "X")], "domain string, entity string"))
     assert sorted(map(tuple, got.collect())) == [(1, "Acme Bank of X", "text"), (2, "Desk", "display"), (3, "X", "domain"), (4, None, None)]
     assert not re.search(r"Exchange hashpartitioning\(gram", got._jdf.queryExecution().executedPlan().toString())
+
+
+def test_full_ratios_are_settled_before_the_others(spark, monkeypatch):
+    """Names within one another need no look-up of all that may be alike; the result is that of all pairs."""
+    register = [*(f"supplier {i}" for i in range(60)), "north", "a b c", "c b a d", "a  b"]
+    names = [*(f"supplier {i} india" for i in range(0, 60, 7)), "b a", "d c a b x", "supplier", "north star", "supplierr 3x", "zz"]
+    asked, looked = [], lookups.candidates
+    monkeypatch.setattr(lookups, "candidates", lambda rows, *a: (asked.append({r["n"] for r in rows.collect()}), looked(rows, *a))[1])
+    got = lookups.resolve(spark.createDataFrame(list(enumerate(names)), "k int, n string"), "k", "n", spark.createDataFrame([(x, x) for x in register], "registered string, normalised string")).collect()
+    wanted = {}
+    for i, x in enumerate(names):
+        score = lookups.set_ratio.func(pd.Series([x] * len(register)), pd.Series(register))
+        near = [(s, y) for s, y in zip(score, register) if s >= 85 and (s >= 92 or set(x.split()) & set(y.split()))]
+        if near:
+            wanted[i] = max(near)[::-1]
+    assert {r["k"]: (r["registered"], r["score"]) for r in got} == wanted and asked == [{"supplierr 3x", "zz"}]

@@ -221,13 +221,32 @@ def candidates(names: DataFrame, key: str, name: str, register: DataFrame, least
     return both.filter(filled | alike).select(*ka, *kb, (F.col("_lc") > 0).alias("common"))
 
 
+def _within(names: DataFrame, key: str, name: str, register: DataFrame) -> DataFrame:
+    """key and registered of names whose words are all among a registered name's, or the other way round: those, and
+    no others, have a ratio of 100. They meet in the smaller side's rarest word of the register."""
+    words = lambda c: F.array_sort(F.array_distinct(F.filter(F.split(c, r"(?U)\s+"), lambda w: w != "")))
+    a = names.select(key, words(F.col(name)).alias("_wa")).filter(F.size("_wa") > 0).distinct()
+    b = register.select("registered", words(F.col("normalised")).alias("_wb")).filter(F.size("_wb") > 0).distinct()
+    ea, eb = a.withColumn("_w", F.explode("_wa")), b.withColumn("_w", F.explode("_wb"))
+    df = eb.groupBy("_w").agg(F.count(F.lit(1)).alias("_n"))
+    # a word that the register lacks is in no registered name: what holds one is within none
+    rarest = lambda rows, *by: rows.join(df, "_w", "left").groupBy(*by).agg(F.min_by("_w", F.struct(F.coalesce("_n", F.lit(0)), F.col("_w"))).alias("_w"))
+    inside = rarest(eb, "registered", "_wb").join(ea, "_w").filter(F.size(F.array_except("_wb", "_wa")) == 0).select(key, "registered")
+    around = rarest(ea, key, "_wa").join(eb, "_w").filter(F.size(F.array_except("_wa", "_wb")) == 0).select(key, "registered")
+    return inside.unionByName(around)
+
+
 def resolve(names: DataFrame, key: str, name: str, register: DataFrame, least: float = 85.0, alone: float = 92.0) -> DataFrame:
     """Registered name of each name: equal first, then the best word-set ratio of all names in the register.
 
-    Without a common word, the ratio must reach `alone`. register has registered, normalised.
+    Names that reach a ratio of 100 are settled before all others that may be alike are looked up. Without a common
+    word, the ratio must reach `alone`. register has registered, normalised.
     """
     exact = names.join(register, F.col(name) == F.col("normalised")).select(key, "registered", F.lit(100.0).alias("score"))
     rest = names.join(exact.select(key), key, "left_anti")
+    if least <= 100:
+        full = kept(_within(rest, key, name, register).groupBy(key).agg(F.max("registered").alias("registered")).select(key, "registered", F.lit(100.0).alias("score")), "full")
+        exact, rest = exact.unionByName(full), kept(rest.join(full.select(key), key, "left_anti"), "rest")
     scored = candidates(rest, key, name, register, least).withColumn("score", set_ratio(F.col(name), F.col("normalised")))
     scored = scored.filter((F.col("score") >= least) & (F.col("common") | (F.col("score") >= alone)))
     best = scored.groupBy(key).agg(F.max_by(F.struct("registered", "score"), F.struct(F.col("score"), F.col("registered"))).alias("b")).select(key, "b.*")
