@@ -180,3 +180,27 @@ def test_full_ratios_are_settled_before_the_others(spark, monkeypatch):
         if near:
             wanted[i] = max(near)[::-1]
     assert {r["k"]: (r["registered"], r["score"]) for r in got} == wanted and asked == [{"supplierr 3x", "zz"}]
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_shared_entities_in_tiles(spark, monkeypatch, kind):
+    """Pairs counted in tiles, over several batches of one entity, are those of all pairs."""
+    rnd = random.Random(4)
+    rows = {(rnd.randrange(40), rnd.randrange(60), rnd.choice("xy"), str(rnd.randrange(2))) for _ in range(700)}
+    want = {}
+    for o, t, k, v in rows:
+        for p, u, m, w in rows:
+            if (k, v) == (m, w) and o < p and abs(t - u) <= 3 * 24:
+                want[o, p] = want.get((o, p), 0) + 1
+    name = (lambda o: f"o{o:02d}") if kind == "string" else (lambda o: o)
+    df = spark.createDataFrame([(name(o), t * 3600, k, v) for o, t, k, v in rows], f"obs {kind}, s long, type string, value string")
+    df = df.select("obs", F.timestamp_seconds("s").alias("ts"), "type", "value")
+    monkeypatch.setattr(lookups, "BLOCKS", 3)
+    monkeypatch.setattr(lookups, "AT_ONCE", 50)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)
+    try:
+        got = lookups.shared_entities(df, 3, 5)
+        assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
+        assert {(r["a"], r["b"]): r["shared"] for r in got.collect()} == {(name(o), name(p)): n for (o, p), n in want.items() if n >= 5}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

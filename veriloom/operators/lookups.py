@@ -6,30 +6,117 @@ Dimension sides carry no broadcast hint: Spark broadcasts them where their size
 from __future__ import annotations
 
 import difflib
+import math
 import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from veriloom.functions.text import host_suffixes, letter_skeleton
 from veriloom.sources.shared import kept
 
 
+#: Observations of a block, by which pairs are counted in tables of a block by a block; fewest blocks; pairs that are made at once.
+BLOCK, BLOCKS, AT_ONCE = 4096, 8, 1 << 21
+
+
+def _reach(of: np.ndarray, to: np.ndarray, gap: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places in two sorted arrays of times that lie within gap, AT_ONCE or those of one time at once."""
+    low, high = np.searchsorted(to, of - gap, "left"), np.searchsorted(to, of + gap, "right")
+    ends, at = np.cumsum(high - low), 0
+    while at < len(of):
+        until = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, "right")))
+        n = (high - low)[at:until]
+        yield np.repeat(np.arange(at, until), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[at:until], n)
+        at = until
+
+
+def _counted_in_tiles(gap: int, least: int, size: int, kind: pa.Schema):
+    """Pairs with their counts of rows (tile, e, us, side, n, obs) in the order of tile, e and us."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, counts, names, rest = None, None, None, None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if counts is not None:
+                found = np.flatnonzero(counts >= least)
+                for i in range(0, len(found), 100_000):
+                    x, y = names[0][found[i : i + 100_000] // size], names[1][found[i : i + 100_000] % size]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.where(x < y, x, y), kind[0].type), pa.array(np.where(x < y, y, x), kind[1].type), pa.array(counts[found[i : i + 100_000]], pa.int64())], schema=kind)
+
+        for batch in batches:
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("tile", "e", "us", "side", "n", "obs")]
+            cuts = [0, *(np.flatnonzero((np.diff(columns[0]) != 0) | (np.diff(columns[1]) != 0)) + 1), len(batch)]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                if i == j:
+                    continue
+                t, e, us, side, n, obs = (c[i:j] for c in columns)
+                if tile != t[0]:
+                    yield from done()
+                    tile, counts, names, rest = t[0], np.zeros(size * size, np.int32), [np.empty(size, obs.dtype) for _ in range(2)], None
+                for k in (0, 1):  # in a tile of one block all rows are of both sides
+                    names[k][n[side == k]] = obs[side == k]
+                    if side[0] == 2:
+                        names[k][n] = obs
+                kept_rows = rest[1:] if rest is not None and rest[0] == e[0] else tuple(c[:0] for c in (us, side, n))
+                every = [np.concatenate(c) for c in zip(kept_rows, (us, side, n), strict=True)]
+                if side[0] == 2:
+                    start = len(kept_rows[0])
+                    for p, q in _reach(us, every[0], gap):
+                        p, q = p[before := q < p + start], q[before]
+                        x, y = n[p], every[2][q]
+                        np.add.at(counts, (np.minimum(x, y) * size + np.maximum(x, y))[x != y], 1)
+                else:
+                    for (u, s_, m), (v, r, o) in (((us, side, n), every), (kept_rows, (us, side, n))):
+                        # new rows of the first side with all of the second, and earlier ones of the first with new ones
+                        m, o, u, v = m[s_ == 0], o[r == 1], u[s_ == 0], v[r == 1]
+                        for p, q in _reach(u, v, gap):
+                            np.add.at(counts, m[p] * size + o[q], 1)
+                late = every[0] >= every[0][-1] - gap
+                rest = (e[0], *(c[late] for c in every))
+        yield from done()
+
+    return run
+
+
+def _shared_in_tiles(s: DataFrame, gap: int, least: int, blocks: int) -> DataFrame:
+    """Pairs of observations by tiles of two blocks: each row goes to as many tiles as there are blocks, and no pairs are
+    shuffled, however many share an entity."""
+    named = s.select("obs").distinct().withColumn("block", F.pmod(F.xxhash64("obs"), F.lit(blocks)).cast("int"))
+    named = kept(named.withColumn("n", F.row_number().over(Window.partitionBy("block").orderBy("obs")) - 1), "observations")
+    size = named.agg(F.max("n")).first()[0]
+    own = kept(s.select("type", "value").distinct().withColumn("e", F.monotonically_increasing_id()), "entities")
+    rows = s.join(own, ["type", "value"]).join(named, "obs").withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    side = F.when(F.col("block") == F.col("other"), 2).otherwise((F.col("block") > F.col("other")).cast("int"))
+    rows = rows.select((F.least("block", "other") * blocks + F.greatest("block", "other")).alias("tile"), "e", F.unix_micros("ts").alias("us"), side.alias("side"), F.col("n").cast("long").alias("n"), "obs")
+    kind = T.StructType([T.StructField("a", s.schema["obs"].dataType), T.StructField("b", s.schema["obs"].dataType), T.StructField("shared", T.LongType())])
+    counted = _counted_in_tiles(gap, least, (size or 0) + 1, pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in kind]))
+    return rows.repartition("tile").sortWithinPartitions("tile", "e", "us").mapInArrow(counted, kind)
+
+
 def shared_entities(sightings: DataFrame, days: int = 30, least: int = 2) -> DataFrame:
     """Pairs of observations that share so many entities within so many days.
 
-    sightings has obs, ts, type, value. Entities seen once can't tie anything and leave before the join.
+    sightings has obs, ts, type, value. Entities seen once can't tie anything and leave before the join. Where more pairs
+    would be made than rows of tiles, pairs are counted in tiles.
     """
     s = sightings.select("obs", "ts", "type", "value").distinct()
     often = s.groupBy("type", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    s = s.join(often, ["type", "value"], "left_semi")
+    s = kept(s.join(often, ["type", "value"], "left_semi").filter("obs is not null and ts is not null"), "sightings")
+    gap = days * 86_400_000_000
+    met = s.groupBy("type", "value", F.floor(F.unix_micros("ts") / max(gap, 1))).agg(F.count(F.lit(1)).cast("double").alias("n")).agg(F.sum("n").alias("rows"), F.sum(F.col("n") * F.col("n")).alias("pairs")).first()
+    blocks = max(BLOCKS, math.ceil(s.agg(F.approx_count_distinct("obs")).first()[0] / BLOCK))
+    if least > 0 and (met["pairs"] or 0) > 2 * blocks * met["rows"]:
+        return _shared_in_tiles(s, gap, least, blocks)
     a, b = s.alias("a"), s.alias("b")
-    near = (F.col("a.type") == F.col("b.type")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.obs") < F.col("b.obs")) & (F.abs(F.unix_micros("a.ts") - F.unix_micros("b.ts")) <= days * 86_400_000_000)
+    near = (F.col("a.type") == F.col("b.type")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.obs") < F.col("b.obs")) & (F.abs(F.unix_micros("a.ts") - F.unix_micros("b.ts")) <= gap)
     return a.join(b, near).groupBy(F.col("a.obs").alias("a"), F.col("b.obs").alias("b")).agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= least)
 
 
